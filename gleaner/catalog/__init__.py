@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["statements", "dedups", "findings", "ingest", "files"]
+FAMILIES = ["ingest", "statements", "dedups", "findings", "files", "compare", "inventory", "web", "lines", "artifacts", "events"]
 
 
 def all_queries() -> list:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.catalog.fixtures import FIXTURES
+from gleaner.session import spread
 
 TABLES = [
     "region",
@@ -42,7 +43,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input: one SELECT over the given tables that reads the same in Spark and in the oracle."""
     spec = FIXTURES[name]
     for source in spec.tables:
-        table(spark, sf_dir, source).createOrReplaceTempView(source)
+        spread(table(spark, sf_dir, source)).createOrReplaceTempView(source)
     return spark.sql(spec.spark_sql)
 
 

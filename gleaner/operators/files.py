@@ -57,12 +57,17 @@ def duplicate_rows(files: DataFrame, key: str = "name", algorithm: str = "sha256
 @F.pandas_udf(T.DoubleType())
 def _indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     def ratio(a: str, b: str) -> float:
-        row = [0] * (len(b) + 1)
+        # Longest common subsequence with one bit per character of b (Hyyro 2004): zero bits mark its length.
+        places: dict[str, int] = {}
+        for i, ch in enumerate(b):
+            places[ch] = places.get(ch, 0) | 1 << i
+        full = (1 << len(b)) - 1
+        row = full
         for ch in a:
-            diagonal = 0
-            for j, other in enumerate(b, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if ch == other else max(row[j], row[j - 1])
-        return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+            hit = row & places.get(ch, 0)
+            row = (row + hit | row - hit) & full
+        common = len(b) - row.bit_count()
+        return 2 * common / (len(a) + len(b)) if a or b else 1.0
 
     return pd.Series([ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 

@@ -59,14 +59,12 @@ def carry_marker(lines: DataFrame, lines_per_block: int = LINES_PER_BLOCK) -> Da
 def line_language(text: Column, stop_words: dict[str, list[str]] | None = None) -> Column:
     """Language with the most stop words in the line (ties: first in the table), NULL without any."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    votes = [
-        F.struct(
-            F.size(F.filter(words, lambda w, vocabulary=vocabulary: w.isin(vocabulary))).alias("n"),
-            F.lit(-i).alias("rank"),
-            F.lit(lang).alias("lang"),
-        )
-        for i, (lang, vocabulary) in enumerate((stop_words or STOP_WORDS).items())
-    ]
+
+    def vote(place: int, lang: str, vocabulary: list[str]) -> Column:
+        hits = F.filter(words, lambda w: w.isin(vocabulary))
+        return F.struct(F.size(hits).alias("n"), F.lit(-place).alias("rank"), F.lit(lang).alias("lang"))
+
+    votes = [vote(i, lang, vocabulary) for i, (lang, vocabulary) in enumerate((stop_words or STOP_WORDS).items())]
     best = F.array_max(F.array(*votes))
     return F.when(best["n"] > 0, best["lang"])
 

@@ -162,10 +162,8 @@ def ordered_leaders(reps: DataFrame, signatures: DataFrame, similar: Column, piv
             )
         )
         edges = durable(verified(per_record.select("ord", F.explode("earlier").alias("leader"))))
-        leaders = durable(
-            per_record.filter("covered").select("ord").join(edges.select("ord"), "ord", "left_anti")
-        )
-        joined = durable(
+        leaders = per_record.filter("covered").select("ord").join(edges.select("ord"), "ord", "left_anti")
+        joined = (
             edges.join(leaders.select(F.col("ord").alias("leader")), "leader", "left_semi")
             .groupBy("ord")
             .agg(F.min("leader").alias("found"))

@@ -14,6 +14,12 @@ from gleaner.functions import sqltext as S
 from gleaner.functions.text import count_lines, literal_map, trim_ws
 
 
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row. They leave a generator, through which the optimizer neither pushes
+    filters nor copies expressions, so a later filter or score does not run their regexes again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _is_statement(sql: Column) -> Column:
     return (
         (F.length(sql) >= S.MIN_LENGTH) & ~S.is_comment_only(sql) & (S.statement_type(sql) != "UNKNOWN")
@@ -26,13 +32,9 @@ def split_statements(files: DataFrame) -> DataFrame:
         *[c for c in files.columns if c != "content"],
         F.posexplode(S.statement_pieces(F.col("content"))).alias("ordinal", "piece"),
     )
-    return (
-        pieces.withColumn("raw_sql", trim_ws(F.col("piece")))
-        .drop("piece")
-        .filter((F.length("raw_sql") >= S.MIN_LENGTH) & ~S.is_comment_only(F.col("raw_sql")))
-        .withColumn("query_type", S.statement_type(F.col("raw_sql")))
-        .filter(F.col("query_type") != "UNKNOWN")
-    )
+    trimmed = pinned(pieces, {"raw_sql": trim_ws(F.col("piece"))}).drop("piece")
+    long_enough = trimmed.filter((F.length("raw_sql") >= S.MIN_LENGTH) & ~S.is_comment_only(F.col("raw_sql")))
+    return with_type(long_enough).filter(F.col("query_type") != "UNKNOWN")
 
 
 def statement_lines(files: DataFrame) -> DataFrame:
@@ -44,14 +46,15 @@ def statement_lines(files: DataFrame) -> DataFrame:
     before = W.partitionBy("source_file").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
     lead = F.regexp_extract("piece", r"^(\s*)", 1)
     located = (
-        pieces.withColumn("raw_sql", trim_ws(F.col("piece")))
+        pinned(pieces, {"raw_sql": trim_ws(F.col("piece"))})
         .withColumn("above", F.coalesce(F.sum(count_lines(F.col("piece")) - 1).over(before), F.lit(0)))
         .withColumn("line_start", (F.col("above") + count_lines(lead)).cast("int"))
         .withColumn("line_end", (F.col("line_start") + count_lines(F.col("raw_sql")) - 1).cast("int"))
     )
+    long_enough = located.filter((F.length("raw_sql") >= S.MIN_LENGTH) & ~S.is_comment_only(F.col("raw_sql")))
     return (
-        located.filter(_is_statement(F.col("raw_sql")))
-        .withColumn("query_type", S.statement_type(F.col("raw_sql")))
+        with_type(long_enough)
+        .filter(F.col("query_type") != "UNKNOWN")
         .select(*others, "ordinal", "raw_sql", "query_type", "line_start", "line_end")
     )
 
@@ -117,9 +120,7 @@ def extract_line_runs(files: DataFrame, mode: str = "default") -> DataFrame:
         )
     )
     return (
-        blocks.withColumn("raw_sql", trim_ws(F.col("text")))
-        .filter(F.length("raw_sql") >= S.MIN_LENGTH)
-        .withColumn("query_type", S.statement_type(F.col("raw_sql")))
+        with_type(pinned(blocks, {"raw_sql": trim_ws(F.col("text"))}).filter(F.length("raw_sql") >= S.MIN_LENGTH))
         .filter(F.col("query_type") != "UNKNOWN")
         .select(
             *others,
@@ -151,7 +152,7 @@ def filter_valid(statements: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def with_type(statements: DataFrame) -> DataFrame:
-    return statements.withColumn("query_type", S.statement_type(F.col("raw_sql")))
+    return pinned(statements, {"query_type": S.statement_type(F.col("raw_sql"))})
 
 
 def with_normal_form(statements: DataFrame) -> DataFrame:
@@ -163,16 +164,17 @@ def with_normal_form(statements: DataFrame) -> DataFrame:
 def with_flags(statements: DataFrame) -> DataFrame:
     """Five feature flags and the referenced tables; needs ``query_type``."""
     sql = F.upper("raw_sql")
-    return statements.withColumns(
+    flagged = pinned(
+        statements,
         {
             "has_joins": sql.rlike(r"\bJOIN\b"),
             "has_subquery": sql.rlike(r"\(\s*SELECT\b"),
             "has_cte": (F.col("query_type") == "WITH") | sql.rlike(r"\bWITH\s+\w+\s+AS\s*\("),
             "has_aggregation": sql.rlike(r"\b(?:COUNT|SUM|AVG|MAX|MIN|GROUP\s+BY|HAVING)\b"),
             "has_where": sql.rlike(r"\bWHERE\b"),
-            "table_names": S.table_refs(F.col("raw_sql")),
-        }
+        },
     )
+    return flagged.withColumn("table_names", S.table_refs(F.col("raw_sql")))
 
 
 def with_complexity(statements: DataFrame) -> DataFrame:

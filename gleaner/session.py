@@ -44,6 +44,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores before heavy per-row work; an input with enough partitions stays as it is,
+    so a large scan is never shuffled for this."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, reachable from every executor."""
     ensure_checkpoint_dir(spark)
