@@ -6,8 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.catalog.fixtures import FIXTURES
+from gleaner.functions.frames import pinned
 from gleaner.session import spread
 
 TABLES = [
@@ -44,7 +46,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spec = FIXTURES[name]
     for source in spec.tables:
         spread(table(spark, sf_dir, source)).createOrReplaceTempView(source)
-    return spark.sql(spec.spark_sql)
+    df = spark.sql(spec.spark_sql)
+    if not spec.text:
+        return df
+    built = df.withColumnRenamed(spec.text, "_text")
+    return pinned(built, {spec.text: F.col("_text")}).drop("_text")
 
 
 def oracle(select: str, **ctes: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.catalog import duck as D
 from gleaner.catalog.base import Query, fixture, oracle, table
 from gleaner.catalog.fixtures import FIXTURES
-from gleaner.catalog.statements import FEATURES, featured
+from gleaner.catalog.statements import FEATURES, featured, typed
 from gleaner.functions import sqltext as S
 from gleaner.operators import dedup as DD
 from gleaner.operators import statements as ST
@@ -52,11 +52,11 @@ TAGGED = {**NEAR, "tagged": _TAGGED}
 
 
 def exact(spark: SparkSession, d: str) -> DataFrame:
-    return DD.exact_tier(featured(spark, d))
+    return DD.exact_tier(durable(ST.with_normal_form(typed(spark, d))))
 
 
 def template(spark: SparkSession, d: str) -> DataFrame:
-    return DD.template_tier(DD.survivors(exact(spark, d)))
+    return DD.template_tier(durable(DD.survivors(exact(spark, d))))
 
 
 def tagged(spark: SparkSession, d: str, metric: str = "jaccard") -> DataFrame:

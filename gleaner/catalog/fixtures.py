@@ -13,6 +13,7 @@ class Fixture:
     tables: list[str]
     sql: str
     spark: str = ""
+    text: str = ""  # the derived text column: built once per row, never inside the filters that read it
 
     @property
     def spark_sql(self) -> str:
@@ -188,18 +189,18 @@ FROM events WHERE event_type IN ('view', 'click', 'purchase')"""
 NAMES = """SELECT concat(replace(p_name, ' ', '_'), '_', cast(p_size as string), '.csv') AS name FROM part"""
 
 FIXTURES = {
-    "f1": Fixture(["orders"], F1),
+    "f1": Fixture(["orders"], F1, text="raw_sql"),
     "f2": Fixture(["orders"], F2, F2_SPARK),
     "files": Fixture(["documents"], FILES),
     "named": Fixture(["documents"], NAMED),
-    "f3": Fixture(["customer"], F3),
+    "f3": Fixture(["customer"], F3, text="content"),
     "f4_base": Fixture(["customer"], F4_BASE),
     "f4_lookup": Fixture(["lineitem"], F4_LOOKUP),
     "f5": Fixture(["documents"], F5, F5_SPARK),
-    "f6": Fixture(["conversations"], F6),
-    "sites": Fixture(["pages"], SITES),
-    "f8": Fixture(["events"], F8),
-    "f9": Fixture(["part"], F9),
+    "f6": Fixture(["conversations"], F6, text="text"),
+    "sites": Fixture(["pages"], SITES, text="html"),
+    "f8": Fixture(["events"], F8, text="line"),
+    "f9": Fixture(["part"], F9, text="content"),
     "f10": Fixture(["events"], F10),
     "event_labels": Fixture(["events"], LABELS),
     "names": Fixture(["part"], NAMES),

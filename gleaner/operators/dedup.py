@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import sqltext as S
 from gleaner.operators.neardup import near_dup
 from gleaner.operators.skew import ROWS_PER_SLICE, join_leaders
+from gleaner.session import durable
 
 MAX_REPORTED_GROUPS = 1000
 
@@ -72,12 +73,14 @@ def dedup(
             F.col("survivor.line_start").alias("original_line"),
         )
 
-    first = exact_tier(statements)
-    second = template_tier(survivors(first))
+    # Every tier feeds its edges and the next tier, so each is cut once instead of being computed twice.
+    first = durable(exact_tier(statements))
+    second = durable(template_tier(survivors(first)))
     kept = survivors(second).select(*columns)
     parts = [edges(first, "EXACT"), edges(second, "NORMALIZED")]
     if near:
         third = near_dup(kept, threshold=threshold, metric=metric, carry=["line_start"])
+        third = durable(third)
         parts.append(edges(third, "SEMANTIC"))
         kept = survivors(third).select(*columns)
     out = kept.withColumns(nothing)

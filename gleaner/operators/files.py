@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import spread
+
 HASHES = {
     "md5": F.md5,
     "sha1": F.sha1,
@@ -102,7 +104,8 @@ def similar_names(names: DataFrame, threshold: float = 80, metric: str = "levens
     if not (0 if metric == "levenshtein" else 50) < threshold <= 100:
         raise ValueError("the segment filter needs a threshold above 0 (levenshtein) or 50 (indel)")
     distinct = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    distinct = distinct.withColumn("size", F.length("name")).filter("size > 0")
+    # Distinct names are few bytes but expand into many segments: keep them on all cores.
+    distinct = spread(distinct.withColumn("size", F.length("name")).filter("size > 0"), force=True)
     allowed = (100 - threshold) / 100
     longest = 1 / (1 - allowed) if metric == "levenshtein" else (1 + allowed) / (1 - allowed)
     # Every length pair (short, long) that can reach the threshold, with its edit bound.

@@ -148,81 +148,76 @@ def profile(statements: DataFrame) -> DataFrame:
     )
 
 
+def _counter_findings() -> Column:
+    """Findings of the rules over the ``profile`` row, as an array."""
+    order = {"critical": 1, "high": 2, "complex": 3, "unfiltered": 4, "ddl": 6}
+    rows = [
+        F.struct(
+            F.lit(no).alias("rule_no"),
+            F.lit(rule).alias("rule"),
+            F.col(rule).alias("metric"),
+            F.format_string(FINDING_TEXTS[rule], F.col(rule)).alias("message"),
+        )
+        for rule, no in order.items()
+    ]
+    return F.filter(F.array(*rows), lambda r: r["metric"] > 0)
+
+
+def _table_finding() -> Column:
+    return F.format_string(FINDING_TEXTS["top_table"], F.col("table_name"), F.col("n"))
+
+
 def findings(statements: DataFrame) -> DataFrame:
     """Rule-based findings: (rule_no, rule, metric, message) for every rule whose metric is positive."""
-    counters = profile(statements)
-    order = {"critical": 1, "high": 2, "complex": 3, "unfiltered": 4, "ddl": 6}
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(no).alias("rule_no"),
-                F.lit(rule).alias("rule"),
-                F.col(rule).alias("metric"),
-                F.format_string(FINDING_TEXTS[rule], F.col(rule)).alias("message"),
-            )
-            for rule, no in order.items()
-        ]
-    )
-    by_counter = counters.select(F.inline(rows))
+    by_counter = profile(statements).select(F.inline(_counter_findings()))
     by_table = top_tables(statements, 1).select(
         F.lit(5).alias("rule_no"),
         F.lit("top_table").alias("rule"),
         F.col("n").alias("metric"),
-        F.format_string(FINDING_TEXTS["top_table"], F.col("table_name"), F.col("n")).alias("message"),
+        _table_finding().alias("message"),
     )
-    return by_counter.filter("metric > 0").unionByName(by_table)
+    return by_counter.unionByName(by_table)
 
 
-def summary_lines(statements: DataFrame) -> DataFrame:
-    """Narrative summary as ordered (section_no, line_no, text) rows."""
-    counters = profile(statements)
+def _line(section: int, line: Column | int, text: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section_no"),
+        (F.lit(line) if isinstance(line, int) else line).alias("line_no"),
+        text.alias("text"),
+    )
 
-    def fixed(section: int, line: int, *texts: Column) -> DataFrame:
-        rows = F.array(
-            *[
-                F.struct(F.lit(section).alias("section_no"), F.lit(line + i).alias("line_no"), t.alias("text"))
-                for i, t in enumerate(texts)
-            ]
-        )
-        return counters.select(F.inline(rows))
 
-    head = fixed(
-        1,
-        1,
-        F.lit("NATURAL LANGUAGE SUMMARY"),
-        F.format_string("This consolidated document contains %d unique SQL queries.", F.col("total")),
-    )
-    ordered_types = F.array_sort(
+def summary_lines(statements: DataFrame) -> DataFrame:
+    """Narrative summary as ordered (section_no, line_no, text) rows; one pass for counters, one for tables."""
+    frequent = F.array_sort(
         F.filter("types", lambda t: t["n"] > 0),
-        lambda a, b: F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1)).otherwise(
-            F.when(a["query_type"] < b["query_type"], -1).when(a["query_type"] > b["query_type"], 1).otherwise(0)
-        ),
-    )
-    breakdown = counters.select(F.posexplode(ordered_types).alias("pos", "t")).select(
-        F.lit(2).alias("section_no"),
-        (F.col("pos") + 1).alias("line_no"),
-        F.format_string("  * %d %s queries", F.col("t.n"), F.col("t.query_type")).alias("text"),
-    )
-    risks = fixed(
-        3, 1, *[F.format_string("  * %d " + RISK_TEXTS[r], F.col(r.lower())) for r in RISK_LEVELS]
+        lambda a, b: F.when(a["n"] > b["n"], -1)
+        .when(a["n"] < b["n"], 1)
+        .when(a["query_type"] < b["query_type"], -1)
+        .when(a["query_type"] > b["query_type"], 1)
+        .otherwise(0),
     )
-    average = fixed(
-        4,
-        1,
-        F.format_string("Average complexity score: %.1f", F.coalesce("average_complexity", F.lit(0.0))),
+    total = F.format_string("This consolidated document contains %d unique SQL queries.", F.col("total"))
+    average = F.format_string("Average complexity score: %.1f", F.coalesce("average_complexity", F.lit(0.0)))
+    risks = [F.format_string("  * %d " + RISK_TEXTS[r], F.col(r.lower())) for r in RISK_LEVELS]
+    counted = F.concat(
+        F.array(_line(1, 1, F.lit("NATURAL LANGUAGE SUMMARY")), _line(1, 2, total)),
+        F.transform(
+            frequent, lambda t, i: _line(2, i + 1, F.format_string("  * %d %s queries", t["n"], t["query_type"]))
+        ),
+        F.array(*[_line(3, i, text) for i, text in enumerate(risks, 1)], _line(4, 1, average)),
+        F.transform(_counter_findings(), lambda r: _line(6, r["rule_no"], F.concat(F.lit("  "), r["message"]))),
     )
-    tables = table_ranks(statements, 5).select(
-        F.lit(5).alias("section_no"),
-        F.col("rank").alias("line_no"),
-        F.format_string("  * %s: referenced %d times", F.col("table_name"), F.col("n")).alias("text"),
+    referenced = F.format_string("  * %s: referenced %d times", F.col("table_name"), F.col("n"))
+    ranked = F.array(
+        _line(5, F.col("rank"), referenced),
+        F.when(F.col("rank") == 1, _line(6, 5, F.concat(F.lit("  "), _table_finding()))),
     )
-    found = findings(statements).select(
-        F.lit(6).alias("section_no"), F.col("rule_no").alias("line_no"), F.concat(F.lit("  "), "message").alias("text")
+    return (
+        profile(statements)
+        .select(F.inline(counted))
+        .unionByName(table_ranks(statements, 5).select(F.inline(F.array_compact(ranked))))
     )
-    out = head
-    for part in (breakdown, risks, average, tables, found):
-        out = out.unionByName(part)
-    return out
 
 
 def run_summary(stats: DataFrame, statements: DataFrame, files: int | None = None) -> DataFrame:

@@ -11,15 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gleaner.functions import sqltext as S
+from gleaner.functions.frames import pinned
 from gleaner.functions.text import count_lines, literal_map, trim_ws
 
 
-def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are evaluated once per row. They leave a generator, through which the optimizer neither pushes
-    filters nor copies expressions, so a later filter or score does not run their regexes again."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def _is_statement(sql: Column) -> Column:
     return (
         (F.length(sql) >= S.MIN_LENGTH) & ~S.is_comment_only(sql) & (S.statement_type(sql) != "UNKNOWN")

@@ -44,11 +44,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, force: bool = False) -> DataFrame:
     """Rows of a small input over all cores before heavy per-row work; an input with enough partitions stays as it is,
-    so a large scan is never shuffled for this."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    so a large scan is never shuffled for this. ``force`` is for aggregated frames whose shuffle partitions adaptive
+    execution would merge."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if force:
+        return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
