@@ -1,7 +1,7 @@
 """File trees and file tables as sources.
 
 File frames carry ``path``, ``relative_path``, ``size`` and, once read, ``content``. Spark's file listing skips names
-that start with ``_`` or ``.``.
+that start with ``_`` or ``.``, and files without any byte.
 """
 
 from __future__ import annotations
