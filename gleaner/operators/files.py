@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import spread
+from gleaner.session import durable, spread
+
+CHUNK_BYTES = 1 << 20
 
 HASHES = {
     "md5": F.md5,
@@ -33,6 +40,34 @@ def content_hash(content: Column, algorithm: str = "sha256") -> Column:
     return HASHES[algorithm](content)
 
 
+def hash_paths(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """Add the content hash of files known by path only, streamed in chunks where the task runs.
+
+    For file trees: metadata decides the candidates first, and only their bytes are ever opened, of any size.
+    Files that cannot be read are dropped.
+    """
+
+    def digest(path: str) -> str | None:
+        try:
+            # The store's own name for the scheme; a bare or file: path is local or a mounted share.
+            uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "/", path))
+            system, inner = fs.FileSystem.from_uri(uri)
+            hasher = hashlib.new(algorithm)
+            with system.open_input_stream(inner) as stream:
+                while chunk := stream.read(CHUNK_BYTES):
+                    hasher.update(chunk)
+            return hasher.hexdigest()
+        except (OSError, ValueError):
+            return None
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(hash=[digest(p) for p in pdf["path"]])
+
+    schema = T.StructType([*files.schema.fields, T.StructField("hash", T.StringType())])
+    return files.mapInPandas(batches, schema).filter(F.col("hash").isNotNull())
+
+
 def with_hash(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
     return files.withColumn("hash", content_hash(F.col("content"), algorithm)).filter(F.col("hash").isNotNull())
 
@@ -51,7 +86,12 @@ def identical_groups(files: DataFrame, key: str = "name", algorithm: str = "sha2
 def duplicate_rows(files: DataFrame, key: str = "name", algorithm: str = "sha256") -> DataFrame:
     """Flat report: hash, file, path and size of every member of every identical group."""
     keys = {"name": ["name", "size"], "content": ["size"]}[key]
-    hashed = with_hash(candidate_files(files, key), algorithm).select("hash", "name", "path", "size")
+    return duplicate_members(with_hash(candidate_files(files, key), algorithm), keys)
+
+
+def duplicate_members(hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose (keys, hash) occurs more than once. The narrow hash rows are cut, so no content is read twice."""
+    hashed = durable(hashed.select("hash", "name", "path", "size"))
     groups = hashed.groupBy(*keys, "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return hashed.join(groups, [*keys, "hash"], "left_semi")
 

@@ -179,9 +179,16 @@ def ordered_leaders(reps: DataFrame, signatures: DataFrame, similar: Column, piv
     leaders, joined = leader_parts[0], joined_parts[0]
     for more_leaders, more_joined in zip(leader_parts[1:], joined_parts[1:], strict=True):
         leaders, joined = leaders.union(more_leaders), joined.union(more_joined)
-    # A leader decided in a later round may still come earlier in the order than the one that was found.
-    behind = signatures.join(joined, "ord")
-    ahead = signatures.join(leaders, "ord", "left_semi").withColumnRenamed("ord", "leader")
+    # A leader decided in a later round may still come earlier in the order than the one that was found. Only records
+    # with such a leader under one of their signatures are looked at again; mostly the found one is the first.
+    ahead = durable(signatures.join(leaders, "ord", "left_semi").withColumnRenamed("ord", "leader"))
+    first_leader = ahead.groupBy("signature").agg(F.min("leader").alias("first"))
+    behind = (
+        signatures.join(joined, "ord")
+        .join(first_leader, "signature")
+        .filter(F.col("first") < F.col("found"))
+        .drop("first")
+    )
     maybe = (
         behind.join(ahead, "signature")
         .filter(F.col("leader") < F.col("found"))

@@ -11,6 +11,7 @@ from gleaner.session import durable
 ROWS_PER_SLICE = 1_000_000
 MAX_HOT_KEYS = 10_000
 MAX_SLICES = 1_000
+MAX_BROADCAST_ROWS = 100_000
 
 
 def join_leaders(
@@ -68,7 +69,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[str | Column], number_
             "_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
         )
     )
-    counts = cut.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    counts = durable(cut.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")))
     earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
         "_part",
@@ -77,6 +78,8 @@ def number_rows(df: DataFrame, by: list[str], order: list[str | Column], number_
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(W.partitionBy(*by)).alias(f"{number_col}_total"),
     )
+    # One row per partition and group border; broadcast only after counting them.
+    offsets = F.broadcast(offsets) if counts.count() <= MAX_BROADCAST_ROWS else offsets
     joined = cut.join(offsets, ["_part", *by])
     return joined.withColumn(number_col, F.col("_before") + F.col("_pos") - F.col("_first") + 1).drop(
         "_part", "_pos", "_first", "_before"

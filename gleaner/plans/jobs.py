@@ -13,9 +13,9 @@ from gleaner.operators import files as FD
 from gleaner.operators import findings as A
 from gleaner.operators import statements as ST
 from gleaner.operators import web as WB
-from gleaner.session import durable
+from gleaner.session import durable, spread
 from gleaner.sinks.reports import write_reports
-from gleaner.sources.files import ScanOptions, list_files, prune_dirs, scan_files
+from gleaner.sources.files import DUPLICATE_EXCLUDED_DIRS, ScanOptions, list_files, prune_dirs, scan_files
 
 
 @dataclass
@@ -81,12 +81,17 @@ def consolidate_tree(
 
 
 def find_duplicate_files(
-    spark: SparkSession, roots: list[str] | str, key: str = "name", exclude_dirs: list[str] | None = None
+    spark: SparkSession,
+    roots: list[str] | str,
+    key: str = "name",
+    exclude_dirs: list[str] | None = None,
+    algorithm: str = "sha256",
 ) -> DataFrame:
-    """Identical files below the roots as flat report rows; only candidates are read and hashed."""
-    listed = prune_dirs(list_files(spark, roots), exclude_dirs, drop_hidden=False)
-    files = listed.select("path", base_name(F.col("path")).alias("name"), "size", F.col("raw").alias("content"))
-    return FD.duplicate_rows(files, key)
+    """Identical files below the roots as flat report rows; only the candidates are opened, and once."""
+    listed = prune_dirs(list_files(spark, roots), exclude_dirs or DUPLICATE_EXCLUDED_DIRS, drop_hidden=False)
+    files = listed.select("path", base_name(F.col("path")).alias("name"), "size")
+    hashed = FD.hash_paths(spread(FD.candidate_files(files, key), force=True), algorithm)
+    return FD.duplicate_members(hashed, ["name", "size"] if key == "name" else ["size"])
 
 
 def plan_downloads(
@@ -98,6 +103,6 @@ def plan_downloads(
     layout: str = "tree",
 ) -> DataFrame:
     """Fetched pages (url, html) and seed URLs to a plan of document downloads."""
-    links = WB.with_file_category(WB.resolve_links(WB.extract_links(pages)))
-    frontier = WB.expand_frontier(WB.page_edges(links), seeds, max_depth, max_pages)
+    links = durable(WB.with_file_category(WB.resolve_links(WB.extract_links(pages))))
+    frontier = WB.expand_frontier(durable(WB.page_edges(links)), seeds, max_depth, max_pages)
     return WB.download_plan(WB.file_links(frontier, links), existing, layout)

@@ -19,6 +19,7 @@ from gleaner.functions.text import contains_any, count_lines, trim_ws
 DEFAULT_EXTENSIONS = [".sql", ".txt", ".log", ".bak"]
 EXCLUDED_EXTENSIONS = [".exe", ".dll", ".bin", ".jpg", ".png"]
 EXCLUDED_DIRS = [".git", "__pycache__", "node_modules"]
+DUPLICATE_EXCLUDED_DIRS = ["node_modules", ".git", "__pycache__", "venv", "bin", "obj"]
 MAX_FILE_BYTES = 100 * 1024 * 1024
 # What counts as source code, and the folders a source export leaves out.
 SOURCE_EXTENSIONS = [
