@@ -27,7 +27,9 @@ def join_leaders(
     ``leaders`` is unique on ``keys`` and knows each group's size in ``size_col``. The hot keys are the (at most
     MAX_HOT_KEYS) biggest groups, so the broadcast list is bounded whatever the data. Rows of a hot key get a slice
     number from a hash of the ``spread`` columns and its leader is repeated once per slice; all other keys have slice 0.
+    The leaders are cut once, since both their hot part and the whole are read.
     """
+    leaders = durable(leaders)
     hot = (
         leaders.filter(F.col(size_col) > rows_per_slice)
         .orderBy(F.desc(size_col), *keys)

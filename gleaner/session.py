@@ -38,12 +38,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the checkpoint folder: lineage is cut and lost executors cannot change it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame, force: bool = False) -> DataFrame:
     """Rows of a small input over all cores before heavy per-row work; an input with enough partitions stays as it is,
     so a large scan is never shuffled for this. ``force`` is for aggregated frames whose shuffle partitions adaptive
@@ -58,3 +52,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, reachable from every executor."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a frame to a table in the shared folder and go on from there: lineage is cut, a lost executor cannot change
+    the rows, later readers get only the columns they use, and the optimizer knows the size."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
