@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["ingest", "statements", "dedups", "findings", "files", "compare", "inventory", "web", "lines", "artifacts", "events"]
+FAMILIES = [
+    "ingest",
+    "statements",
+    "dedups",
+    "findings",
+    "files",
+    "compare",
+    "inventory",
+    "web",
+    "lines",
+    "artifacts",
+    "events",
+    "sinks",
+]
 
 
 def all_queries() -> list:

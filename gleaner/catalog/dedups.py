@@ -22,8 +22,8 @@ _EXACT = f"""SELECT *, first_value(stmt_id) OVER (PARTITION BY fingerprint {_ORD
 _KEPT = f"SELECT *, sha256({D.template('raw_sql')}) AS template FROM exact WHERE stmt_id = first_id"
 _TEMPLATE = f"""SELECT * EXCLUDE (first_id, group_size),
   first_value(stmt_id) OVER (PARTITION BY template {_ORDER}) AS first_id,
-  count(*) OVER (PARTITION BY template) AS group_size FROM kept"""
-TIERS = {**FEATURES, "exact": _EXACT, "kept": _KEPT, "tmpl": _TEMPLATE}
+  count(*) OVER (PARTITION BY template) AS group_size FROM first_seen"""
+TIERS = {**FEATURES, "exact": _EXACT, "first_seen": _KEPT, "tmpl": _TEMPLATE}
 
 # The leader rule, one record per recursion step: the state is the list of leaders so far.
 _REPS = f"""SELECT stmt_id, query_type, source_file, ordinal, list_distinct({D.tokens('raw_sql')}) AS form,

@@ -45,8 +45,12 @@ QUERIES = [
     Query("st1_arrivals", _arrivals),
     Query(
         "st2_label_bands",
-        lambda s, d: SE.label_bands(fixture(s, d, "f10")),
-        oracle("SELECT key, ts, label_order, label FROM labels_seen", **FRAMES),
+        lambda s, d: SE.label_bands(fixture(s, d, "f10")).withColumn(
+            "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        ),
+        oracle(
+            "SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, label_order, label FROM labels_seen", **FRAMES
+        ),
     ),
     Query(
         "st3_first_occurrences",

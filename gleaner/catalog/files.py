@@ -79,9 +79,13 @@ QUERIES = [
     Query("fd5_similar_names_indel", lambda s, d: FD.similar_names(fixture(s, d, "names"), 90, "indel")),
     Query(
         "fd6_latest_hash",
-        lambda s, d: FD.latest_hash(_history(s, d)),
+        lambda s, d: FD.latest_hash(_history(s, d)).withColumn(
+            "scan_date", F.date_format("scan_date", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        ),
         oracle(
-            "SELECT path, arg_max(hash, scan_date) AS hash, max(scan_date) AS scan_date FROM h GROUP BY 1", h=_HISTORY
+            """SELECT path, arg_max(hash, scan_date) AS hash, strftime(max(scan_date), '%Y-%m-%d %H:%M:%S.%f') AS scan_date
+              FROM h GROUP BY 1""",
+            h=_HISTORY,
         ),
     ),
 ]

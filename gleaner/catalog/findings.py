@@ -60,7 +60,7 @@ _TIDY = (
     f"regexp_replace(regexp_replace(CASE WHEN ends_with({_BARE}, ';') THEN {_BARE} ELSE {_BARE} || ';' END, "
     r"',(\S)', ', \1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 )
-_RUN = """SELECT 'Total Queries Found' AS metric, count(*)::VARCHAR AS value FROM tagged
+RUN_SUMMARY = """SELECT 'Total Queries Found' AS metric, count(*)::VARCHAR AS value FROM tagged
   UNION ALL SELECT 'Unique Queries', count(*) FILTER (tier = 'UNIQUE')::VARCHAR FROM tagged
   UNION ALL SELECT 'Duplicates Removed', count(*) FILTER (tier <> 'UNIQUE')::VARCHAR FROM tagged
   UNION ALL SELECT 'Deduplication Rate',
@@ -69,6 +69,8 @@ _RUN = """SELECT 'Total Queries Found' AS metric, count(*)::VARCHAR AS value FRO
   UNION ALL SELECT 'Critical Risk', count(*) FILTER (risk_level = 'CRITICAL')::VARCHAR FROM u
   UNION ALL SELECT 'High Risk', count(*) FILTER (risk_level = 'HIGH')::VARCHAR FROM u"""
 
+UNIQUE = "SELECT s.* FROM s JOIN tagged t USING (stmt_id) WHERE t.tier = 'UNIQUE'"
+
 
 def _run_summary(spark, d):
     rows = durable(tagged(spark, d))
@@ -133,7 +135,7 @@ QUERIES = [
     Query(
         "an10_run_summary",
         _run_summary,
-        _recursive(_RUN, **TAGGED, u="SELECT s.* FROM s JOIN tagged t USING (stmt_id) WHERE t.tier = 'UNIQUE'"),
+        _recursive(RUN_SUMMARY, **TAGGED, u=UNIQUE),
     ),
     Query(
         "an11_browse",

@@ -36,7 +36,7 @@ SPLIT = {"f2": "f2", "pieces": _PIECES, "split": _SPLIT, "lines": _LINES, "kept"
 _STARTERS = "SELECT|INSERT|UPDATE|DELETE|MERGE|CREATE|ALTER|DROP|TRUNCATE|EXEC|EXECUTE|WITH|BEGIN|DECLARE|CALL"
 
 
-def _runs(source: str) -> dict[str, str]:
+def line_runs(source: str) -> dict[str, str]:
     exploded = f"""SELECT source_file, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no,
       unnest(string_split(content, chr(10))) AS line FROM {source}"""
     marked = rf"""SELECT *, regexp_matches(line, '(?i)^\s*(?:{_STARTERS})\b') AS starts,
@@ -92,10 +92,10 @@ QUERIES = [
     ),
     Query(
         "sq2_line_runs",
-        lambda s, d: ST.extract_line_runs(fixture(s, d, "f2")).select(*_PICK),
-        oracle(f"SELECT {', '.join(_PICK)} FROM runs", f2="f2", **_runs("f2")),
+        lambda s, d: ST.extract_lineline_runs(fixture(s, d, "f2")).select(*_PICK),
+        oracle(f"SELECT {', '.join(_PICK)} FROM runs", f2="f2", **line_runs("f2")),
     ),
-    Query("sq2_line_runs_compat", lambda s, d: ST.extract_line_runs(fixture(s, d, "f2"), "compat").select(*_PICK)),
+    Query("sq2_line_runs_compat", lambda s, d: ST.extract_lineline_runs(fixture(s, d, "f2"), "compat").select(*_PICK)),
     Query(
         "sq3_extract_statements",
         lambda s, d: ST.extract_statements(fixture(s, d, "f2")).select(*_PICK, "extractor"),
@@ -104,7 +104,7 @@ QUERIES = [
             f"SELECT {', '.join(_PICK)}, 'lines' AS extractor FROM runs",
             **SPLIT,
             rest="SELECT * FROM f2 WHERE source_file NOT IN (SELECT source_file FROM kept)",
-            **_runs("rest"),
+            **line_runs("rest"),
         ),
     ),
     Query(

@@ -279,8 +279,14 @@ QUERIES = [
     ),
     Query(
         "wb14_run_log",
-        lambda s, d: WB.parse_run_log(fixture(s, d, "f8")),
-        oracle("SELECT event_id, logged_at, event, url, host, message FROM hosted", **LOG),
+        lambda s, d: WB.parse_run_log(fixture(s, d, "f8")).withColumn(
+            "logged_at", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss.SSS")
+        ),
+        oracle(
+            """SELECT event_id, strftime(logged_at, '%Y-%m-%d %H:%M:%S.%g') AS logged_at, event, url, host, message
+              FROM hosted""",
+            **LOG,
+        ),
     ),
     Query(
         "wb14_log_rejects",

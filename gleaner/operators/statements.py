@@ -21,6 +21,14 @@ def _is_statement(sql: Column) -> Column:
     )
 
 
+def _starts(line: Column) -> Column:
+    return line.rlike(r"(?i)^\s*(?:" + "|".join(S.LINE_STARTERS) + r")\b")
+
+
+def _closes(line: Column) -> Column:
+    return F.contains(line, F.lit(";")) | line.rlike(r"^\s*$")
+
+
 def split_statements(files: DataFrame) -> DataFrame:
     """Split texts at semicolons outside quotes and comments; row-local, no shuffle."""
     pieces = files.select(
@@ -67,9 +75,7 @@ def extract_line_runs(files: DataFrame, mode: str = "default") -> DataFrame:
     lines = files.select(
         *others, F.posexplode(F.split("content", "\n")).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no") + 1)
-    lines = lines.withColumn(
-        "starts", F.col("line").rlike(r"(?i)^\s*(?:" + "|".join(S.LINE_STARTERS) + r")\b")
-    ).withColumn("closes", F.contains("line", F.lit(";")) | F.col("line").rlike(r"^\s*$"))
+    lines = lines.withColumn("starts", _starts(F.col("line"))).withColumn("closes", _closes(F.col("line")))
     ordered = W.partitionBy("source_file").orderBy("line_no")
     if mode == "default":
         # A closing line ends whatever is open, so a block is fixed by the first starter after the last close.
@@ -131,14 +137,65 @@ def extract_line_runs(files: DataFrame, mode: str = "default") -> DataFrame:
 def extract_statements(files: DataFrame, mode: str = "default") -> DataFrame:
     """Statement split with exact lines, and the line scanner only for files where the split yields nothing.
 
-    The test is a row-local array predicate, so the two branches need no join between files and statements.
+    One scan and one shuffle: each text becomes either its statement pieces or its lines, and both kinds of units pass
+    the same window and the same grouping by file (a piece is a block of its own).
     """
-    yields = F.exists(S.statement_pieces(F.col("content")), lambda p: _is_statement(trim_ws(p)))
-    tagged = files.withColumn("splits", F.coalesce(yields, F.lit(False)))
-    by_split = statement_lines(tagged.filter("splits").drop("splits"))
-    by_lines = extract_line_runs(tagged.filter(~F.col("splits")).drop("splits"), mode)
-    return by_split.withColumn("extractor", F.lit("split")).unionByName(
-        by_lines.withColumn("extractor", F.lit("lines"))
+    others = [c for c in files.columns if c != "content"]
+    cut = pinned(files, {"_pieces": S.statement_pieces(F.col("content"))})
+    cut = pinned(
+        cut, {"_splits": F.coalesce(F.exists("_pieces", lambda p: _is_statement(trim_ws(p))), F.lit(False))}
+    )
+    if mode == "compat":
+        by_split = statement_lines(cut.filter("_splits").select(*files.columns))
+        by_lines = extract_line_runs(cut.filter(~F.col("_splits")).select(*files.columns), mode)
+        return by_split.withColumn("extractor", F.lit("split")).unionByName(
+            by_lines.withColumn("extractor", F.lit("lines"))
+        )
+    units = cut.select(
+        *others,
+        "_splits",
+        F.posexplode(F.when(F.col("_splits"), F.col("_pieces")).otherwise(F.split("content", "\n"))).alias("pos", "unit"),
+    )
+    before = W.partitionBy("source_file").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    newlines = F.when(F.col("_splits"), count_lines(F.col("unit")) - 1)
+    counted = (
+        units.withColumn("closes", ~F.col("_splits") & _closes(F.col("unit")))
+        .withColumn("starts", ~F.col("_splits") & _starts(F.col("unit")))
+        .withColumn("above", F.coalesce(F.sum(newlines).over(before), F.lit(0)))
+        .withColumn("cell", F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)))
+    )
+    in_cell = W.partitionBy("source_file", "cell")
+    opened = F.min(F.when(F.col("starts"), F.col("pos"))).over(in_cell)
+    blocks = (
+        counted.withColumn("block", F.when(F.col("_splits"), F.col("pos")).otherwise(opened))
+        .filter(F.col("pos") >= F.col("block"))
+        .groupBy(*others, "_splits", "block")
+        .agg(
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("pos", "unit"))), lambda u: u["unit"]), "\n"
+            ).alias("text"),
+            F.max("pos").alias("last"),
+            F.max("above").alias("above"),
+        )
+    )
+    texts = pinned(blocks, {"raw_sql": trim_ws(F.col("text"))}).filter(F.length("raw_sql") >= S.MIN_LENGTH)
+    texts = with_type(texts.filter(~F.col("_splits") | ~S.is_comment_only(F.col("raw_sql"))))
+    first = F.when(
+        F.col("_splits"), F.col("above") + count_lines(F.regexp_extract("text", r"^(\s*)", 1))
+    ).otherwise(F.col("block") + 1)
+    last = F.when(F.col("_splits"), F.col("line_start") + count_lines(F.col("raw_sql")) - 1).otherwise(F.col("last") + 1)
+    return (
+        texts.filter(F.col("query_type") != "UNKNOWN")
+        .withColumn("line_start", first.cast("int"))
+        .select(
+            *others,
+            F.col("block").alias("ordinal"),
+            "raw_sql",
+            "query_type",
+            "line_start",
+            last.cast("int").alias("line_end"),
+            F.when(F.col("_splits"), "split").otherwise("lines").alias("extractor"),
+        )
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,10 @@ def statement_features(files: DataFrame, options: ConsolidateOptions | None = No
     return ST.filter_scores(found, o.min_complexity, o.min_importance)
 
 
-def consolidate(files: DataFrame, options: ConsolidateOptions | None = None) -> dict[str, DataFrame]:
-    """Text corpus to report frames. The tagged statements are cut durably once and feed every report."""
+def consolidate(
+    files: DataFrame, options: ConsolidateOptions | None = None, only: set[str] | None = None
+) -> dict[str, DataFrame]:
+    """Text corpus to report frames, all or the named ones. The tagged statements are cut once and feed every report."""
     o = options or ConsolidateOptions()
     found = durable(statement_features(files, o))
     tagged = durable(
@@ -46,22 +49,23 @@ def consolidate(files: DataFrame, options: ConsolidateOptions | None = None) ->
     )
     unique = tagged.filter("tier = 'UNIQUE'")
     stats = D.dedup_stats(tagged)
-    return {
-        "statements": unique,
-        "dedup_stats": stats,
-        "duplicate_edges": D.duplicate_edges(tagged),
-        "type_distribution": A.type_distribution(unique),
-        "risk_summary": A.risk_summary(unique),
-        "high_risk": A.high_risk(unique),
-        "top_complexity": A.top_by(unique, "complexity_score", 20),
-        "top_importance": A.top_by(unique, "importance_score", 50),
-        "table_ranks": A.table_ranks(unique),
-        "findings": A.findings(unique),
-        "summary": A.summary_lines(unique),
-        "run_summary": A.run_summary(stats, unique),
-        "listing": A.listing(unique),
-        "consolidated": A.consolidated(unique),
+    reports: dict[str, Callable[[], DataFrame]] = {
+        "statements": lambda: unique,
+        "dedup_stats": lambda: stats,
+        "duplicate_edges": lambda: D.duplicate_edges(tagged),
+        "type_distribution": lambda: A.type_distribution(unique),
+        "risk_summary": lambda: A.risk_summary(unique),
+        "high_risk": lambda: A.high_risk(unique),
+        "top_complexity": lambda: A.top_by(unique, "complexity_score", 20),
+        "top_importance": lambda: A.top_by(unique, "importance_score", 50),
+        "table_ranks": lambda: A.table_ranks(unique),
+        "findings": lambda: A.findings(unique),
+        "summary": lambda: A.summary_lines(unique),
+        "run_summary": lambda: A.run_summary(stats, unique),
+        "listing": lambda: A.listing(unique),
+        "consolidated": lambda: A.consolidated(unique),
     }
+    return {name: build() for name, build in reports.items() if only is None or name in only}
 
 
 def consolidate_tree(
