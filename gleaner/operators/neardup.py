@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from gleaner.functions import sqltext as S
+from gleaner.functions.frames import pinned
 from gleaner.operators.skew import ROWS_PER_SLICE, join_leaders
 from gleaner.session import durable
 
@@ -63,8 +64,9 @@ def similarity(left_tokens: Column, right_tokens: Column, metric: str = "jaccard
 
 def pair_similarity(pairs: DataFrame, left: str, right: str, metric: str = "jaccard") -> DataFrame:
     """Add ``similarity`` of two statement text columns."""
-    tokens = [S.tokens(S.template_key(F.col(c))) for c in (left, right)]
-    return pairs.withColumn("similarity", similarity(*tokens, metric=metric))
+    tokens = {name: S.tokens(S.template_key(F.col(c))) for name, c in (("_left", left), ("_right", right))}
+    scored = pinned(pairs, tokens)
+    return scored.withColumn("similarity", similarity(F.col("_left"), F.col("_right"), metric)).drop("_left", "_right")
 
 
 def size_bands(threshold: float) -> list[tuple[int, int, int]]:

@@ -284,14 +284,20 @@ def with_first_match_lines(statements: DataFrame, files: DataFrame) -> DataFrame
     """
     needle = F.substring(trim_ws(F.split_part("raw_sql", F.lit("\n"), F.lit(1))), 1, 50)
     joined = statements.join(files.select("source_file", "content"), "source_file")
-    at = F.when(needle != "", F.instr(F.col("content"), needle)).otherwise(F.lit(0))
-    start = F.when(at > 0, count_lines(F.substr(F.col("content"), F.lit(1), at - 1))).otherwise(F.lit(1))
-    end = F.when(
-        at > 0, F.least(start + count_lines(F.col("raw_sql")) - 1, count_lines(F.col("content")))
-    ).otherwise(F.lit(1))
-    return joined.withColumns(
-        {"line_first_match": start.cast("int"), "line_first_match_end": end.cast("int")}
-    ).drop("content")
+    found = pinned(joined, {"_at": F.when(needle != "", F.instr(F.col("content"), needle)).otherwise(F.lit(0))})
+    hit = F.col("_at") > 0
+    above = count_lines(F.substr(F.col("content"), F.lit(1), F.col("_at") - 1))
+    located = pinned(
+        found,
+        {
+            "line_first_match": F.when(hit, above).otherwise(F.lit(1)).cast("int"),
+            "_length": count_lines(F.col("content")),
+        },
+    )
+    last = F.least(F.col("line_first_match") + count_lines(F.col("raw_sql")) - 1, F.col("_length"))
+    return located.withColumn("line_first_match_end", F.when(hit, last).otherwise(F.lit(1)).cast("int")).drop(
+        "content", "_at", "_length"
+    )
 
 
 def filter_scores(statements: DataFrame, min_complexity: int = 0, min_importance: int = 0) -> DataFrame:
