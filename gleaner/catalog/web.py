@@ -28,7 +28,7 @@ def _canon(url: str) -> str:
     )
 
 
-_TAG = r"""'(?i)<(a|img)\b[^>]*?\s(?:href|src)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
+_TAG = r"""'(?i)<(?:(a)\b[^>]*?\shref|(img)\b[^>]*?\ssrc)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
 _BARE = r"regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g')"
 
 
@@ -42,7 +42,8 @@ def _clean(raw: str) -> str:
 def _links(source: str) -> str:
     return f"""SELECT page_id, url, link_no, lower(tag) AS tag, {_clean('raw')} AS href FROM (
       SELECT page_id, url, (generate_subscripts(regexp_extract_all(bare, {_TAG}, 1), 1) - 1)::INT AS link_no,
-        unnest(regexp_extract_all(bare, {_TAG}, 1)) AS tag, unnest(regexp_extract_all(bare, {_TAG}, 2)) AS raw
+        concat(unnest(regexp_extract_all(bare, {_TAG}, 1)), unnest(regexp_extract_all(bare, {_TAG}, 2))) AS tag,
+        unnest(regexp_extract_all(bare, {_TAG}, 3)) AS raw
       FROM (SELECT page_id, url, {_BARE} AS bare FROM {source})) WHERE {_clean('raw')} <> ''"""
 
 

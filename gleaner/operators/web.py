@@ -13,7 +13,7 @@ MAX_PAGES = 1000
 
 # Scripts, styles and comments are no page content; tags are matched outside them.
 HIDDEN_MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-TAG = r"(?i)<(a|img)\b[^>]*?\s(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+TAG = r"(?i)<(?:(a)\b[^>]*?\shref|(img)\b[^>]*?\ssrc)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 # Fixed value: log line layout of the download tools.
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (.*)$"
@@ -26,13 +26,14 @@ def extract_links(pages: DataFrame, media: bool = True) -> DataFrame:
         *[c for c in pages.columns if c != "html"],
         F.posexplode(
             F.arrays_zip(
-                F.regexp_extract_all("html", F.lit(TAG), F.lit(1)).alias("tag"),
-                F.regexp_extract_all("html", F.lit(TAG), F.lit(2)).alias("raw"),
+                F.regexp_extract_all("html", F.lit(TAG), F.lit(1)).alias("anchor"),
+                F.regexp_extract_all("html", F.lit(TAG), F.lit(2)).alias("image"),
+                F.regexp_extract_all("html", F.lit(TAG), F.lit(3)).alias("raw"),
             )
         ).alias("link_no", "hit"),
     )
     links = tagged.select(
-        "*", F.lower("hit.tag").alias("tag"), U.clean_href(F.col("hit.raw")).alias("href")
+        "*", F.lower(F.concat("hit.anchor", "hit.image")).alias("tag"), U.clean_href(F.col("hit.raw")).alias("href")
     ).drop("hit")
     links = links.filter(F.col("href") != "")
     return links if media else links.filter(F.col("tag") == "a")

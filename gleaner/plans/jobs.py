@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import base_name
+from gleaner.functions.urls import canon_url
 from gleaner.operators import dedup as D
 from gleaner.operators import files as FD
 from gleaner.operators import findings as A
@@ -106,7 +107,19 @@ def plan_downloads(
     existing: DataFrame | None = None,
     layout: str = "tree",
 ) -> DataFrame:
-    """Fetched pages (url, html) and seed URLs to a plan of document downloads."""
+    """Fetched pages (url, html) and seed URLs to a plan of document downloads.
+
+    With a ``content_type`` column only HTML responses are parsed, and reached URLs that served a file are documents too.
+    """
+    served = None
+    if "content_type" in pages.columns:
+        typed = WB.with_content_class(pages)
+        served = typed.filter("content_class = 'file'").select(canon_url(F.col("url")).alias("page"), "url")
+        pages = typed.filter("content_class = 'page'").drop("content_type", "content_class")
     links = durable(WB.with_file_category(WB.resolve_links(WB.extract_links(pages))))
     frontier = WB.expand_frontier(durable(WB.page_edges(links)), seeds, max_depth, max_pages)
-    return WB.download_plan(WB.file_links(frontier, links), existing, layout)
+    targets = WB.file_links(frontier, links).select("target")
+    if served is not None:
+        reached = frontier.select(F.col("url").alias("page")).distinct()
+        targets = targets.unionByName(served.join(reached, "page").select(F.col("url").alias("target"))).distinct()
+    return WB.download_plan(targets, existing, layout)

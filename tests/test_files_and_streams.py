@@ -167,6 +167,20 @@ def test_plan_downloads(spark):
     assert {r.target_path for r in deeper} == {"a/docs/h.docx", "a/deep.zip"}
 
 
+def test_plan_downloads_by_content_type(spark):
+    pages = spark.createDataFrame(
+        [
+            ("http://a.org/", "text/html; charset=utf-8", "<a href='/get?id=1'>x</a><img href='/n.pdf' src='/i.png'>"),
+            ("http://a.org/get?id=1", "application/pdf", "<a href='/never.pdf'>binary</a>"),
+            ("http://a.org/away?id=2", "application/pdf", ""),
+        ],
+        "url string, content_type string, html string",
+    )
+    seeds = spark.createDataFrame([("http://a.org/",)], "url string")
+    plan = {r.target_path: r.url for r in plan_downloads(pages, seeds).collect()}
+    assert plan == {"a/get": "http://a.org/get?id=1"}
+
+
 def run_stream(df, mode, name):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -21,7 +21,7 @@ from gleaner.operators import lines as TX
 from gleaner.operators import snapshots as SN
 from gleaner.operators import statements as ST
 from gleaner.operators import web as WB
-from gleaner.operators.neardup import near_dup
+from gleaner.operators.neardup import near_dup, pair_similarity
 from gleaner.operators.skew import number_rows
 
 
@@ -80,6 +80,26 @@ def test_near_dup_is_the_leader_rule(spark, metric, threshold, length, pivots):
     assert len(set(want.values())) < len(rows)
 
 
+def test_pair_scores(spark):
+    words = [f"w{i}" for i in range(30)]
+    texts = [r[3] for r in random_statements(21, 60, words, 40)]
+    pairs = list(zip(texts, texts[1:])) + [("a b", "a b c d e"), ("", "a"), ("x = 'v' and y = 1", "x = 'w' and y = 2")]
+    df = spark.createDataFrame(pairs, "l string, r string")
+
+    def key(text):
+        return re.findall(r"\w+", re.sub(r"\b\d+\b", "?", re.sub(r"'[^']*'", "'?'", text.upper())))
+
+    for row in pair_similarity(df, "l", "r", "difflib").collect():
+        a, b = key(row.l), key(row.r)
+        short = not a or not b or min(len(a), len(b)) / max(len(a), len(b)) < 0.5
+        want = 0.0 if short else difflib.SequenceMatcher(None, " ".join(a), " ".join(b)).ratio()
+        assert abs(row.similarity - want) < 1e-12
+    for row in pair_similarity(df, "l", "r", "levenshtein").collect():
+        a, b = " ".join(key(row.l)), " ".join(key(row.r))
+        if row.similarity:
+            assert abs(row.similarity - (1 - edit_distance(a, b, 1) / max(len(a), len(b)))) < 1e-12
+
+
 def test_hot_cluster_needs_no_pair_table(spark):
     """A third of all rows are copies with one changed token; they collapse onto the first of them."""
     rng = random.Random(5)
