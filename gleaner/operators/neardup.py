@@ -219,7 +219,7 @@ def near_dup(
     order = order or ["source_file", "ordinal"]
     tokens = S.tokens(S.template_key(F.col(text)))
     form = F.array_sort(F.array_distinct(tokens)) if metric == "jaccard" else tokens
-    keyed = df.withColumn("_form", form).withColumn(
+    keyed = pinned(df, {"_form": form}).withColumn(
         "_form_key",
         F.when(F.size("_form") == 0, F.concat_ws("\u0001", *order)).otherwise(
             F.sha2(F.concat_ws("\u0001", F.col(block), F.array_join("_form", " ")), 256)

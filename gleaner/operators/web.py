@@ -100,13 +100,13 @@ def expand_frontier(
     start = U.canon_url(F.col("url"))
     frontier = seeds.select(start.alias("seed"), start.alias("url")).distinct().withColumn("depth", F.lit(0))
     frontier = visited = durable(frontier)
-    edges = edges.withColumn("dst_host", U.host(F.col("dst"))) if same_host else edges
+    if same_host:
+        # Everything reached so far lies on its seed's host, so the test needs the edge alone.
+        edges = edges.filter(U.host(F.col("src")) == U.host(F.col("dst")))
     depth = 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
         found = frontier.join(edges, frontier["url"] == edges["src"])
-        if same_host:
-            found = found.filter(U.host(F.col("seed")) == F.col("dst_host"))
         fresh = (
             found.select("seed", F.col("dst").alias("url"))
             .distinct()
