@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, near_dups, packing, quality_model, quality_rules, token_files
+from gleaner.llm import ann, language, lm_scoring, mixing, near_dups, packing, quality_model, quality_rules, token_files, warc
 from gleaner.llm.common import table, tokenizer_path
 from gleaner.session import shared_folder
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
@@ -25,11 +29,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_column().alias("size"))
     return mixing.mix(units).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_model.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -65,7 +83,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE payload_bytes >= {warc.REVISIT_BYTES}
+  GROUP BY ALL HAVING count(*) > 1 AND max(page_id) IS NOT NULL
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates, op3_quality_rules, op4_packing, op6_mixing, op9_quality_model, op10_token_files)
+    f.__name__: f
+    for f in (
+        op1_lm_scoring,
+        op2_near_duplicates,
+        op3_quality_rules,
+        op4_packing,
+        op5_warc,
+        op6_mixing,
+        op7_language,
+        op8_nearest_neighbours,
+        op9_quality_model,
+        op10_token_files,
+    )
 }
-SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op5_warc": OP5_SQL}
