@@ -73,7 +73,7 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
         while low < top:
             width = float(1 << strip)
             own = weights > low
-            seed = mixed(elements[own] + np.uint64(strip + 1) * GOLDEN)
+            seed = mixed(elements[own] + np.full(1, strip + 1, np.uint64) * GOLDEN)
             limit, rank = weights[own] - low, np.zeros(len(seed))
             number, block = 0, max(1, math.ceil(reach * width))
             while len(seed):
