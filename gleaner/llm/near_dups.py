@@ -26,10 +26,13 @@ THRESHOLD = 0.8
 #: 25 bands of 4: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 25 < 2e-6.
 BANDS = 25
 ROWS = 4
-#: Turns in which the nodes of a bucket meet its pivots only, before the few left meet all of another group.
-STAR_TURNS = 2
-#: Pairs up to this number (16 MB of node ids) are broadcast to pick their texts.
-MAX_BROADCAST_PAIRS = 1_000_000
+#: Nodes of one bucket that meet in one place at a time.
+BLOCK = 4000
+#: Nodes of a family, outside its largest group and in all, whose texts meet in one place at a time.
+FEW_BLOCK = 250
+ALL_BLOCK = 500
+#: Nodes up to this number (8 MB of ids) are broadcast to pick their texts.
+MAX_BROADCAST_NODES = 1_000_000
 RESULT = ("class_id", "class_size", "stays")
 
 M1, M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -109,49 +112,108 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(total + np.arange(1, bands + 1, dtype=np.uint64) * M2).view(np.int64)
 
 
-def banded(texts: DataFrame, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, text) to (band, node, mass): one row per band of each text with a word; mass is the total weight."""
+def signed(rows: DataFrame, weighted: bool = False, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """(node, text) to (node, mass, sketch, bands): total weight, one byte of each coordinate, and the band keys of each text
+    with a word."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in remade(batches, 512):
-            out_node, out_band, out_mass = [], [], []
+            found = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 elements, counts = shingles(text)
                 if len(elements):
                     weights = counts.astype(np.float64) if weighted else np.ones(len(elements))
-                    out_band.append(band_keys(signature(elements, weights, bands * rows), bands, rows))
-                    out_node.append(np.full(bands, node, np.int64))
-                    out_mass.append(np.full(bands, int(weights.sum()), np.int64))
-            if out_node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_band, out_node, out_mass)], names=["band", "node", "mass"])
+                    sig = signature(elements, weights, bands * per_band)
+                    found.append((node, int(weights.sum()), sig.astype(np.uint8).tobytes(), band_keys(sig, bands, per_band)))
+            if found:
+                node, mass, sketch, keys = zip(*found)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(keys) + 1, bands, dtype=np.int32)), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node, pa.int64()), pa.array(mass, pa.int64()), pa.array(sketch, pa.binary()), lists], names=["node", "mass", "sketch", "bands"]
+                )
 
-    return texts.select("node", "text").mapInArrow(sign, "band long, node long, mass long")
+    return rows.select("node", "text").mapInArrow(sign, "node long, mass long, sketch binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float, weighted: bool = False) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have at least the similarity, computed exactly.
+def likely(sides: DataFrame, threshold: float, least: int) -> DataFrame:
+    """Pairs (a, b) of a node asked and a node of the same bucket and another group that may reach the threshold: their
+    masses allow it and their sketches agree in at least ``least`` bytes.
 
-    ``rows`` (node, text) may repeat a node; copies are merged in the map tasks, so a text that many rows share is shuffled
-    once per task. Few pairs (counted) pick their texts by a broadcast of their nodes; else all texts are shuffled once,
-    for both sides.
+    ``sides`` has band, few, node, root, mass, sketch: rows of a bucket that ask (few) and rows that are asked. Both are cut
+    into blocks of bounded size; each block that asks meets each block that is asked, sorted next to it in one partition.
+    Pairs are compared as bytes and only likely ones leave the task.
     """
-    if pairs.count() <= MAX_BROADCAST_PAIRS:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        rows = rows.join(F.broadcast(nodes), "node", "left_semi")
-    texts = rows.groupBy("node").agg(F.first("text").alias("text"))
+    counts = sides.groupBy("band", "few").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    blocks = counts.groupBy("band").agg(F.max(F.when(F.col("few"), F.col("n"))).alias("n_few"), F.max(F.when(~F.col("few"), F.col("n"))).alias("n_all"))
+    own = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = sides.join(blocks.where("n_few is not null and n_all is not null"), "band")
+    dealt = dealt.withColumn("x", F.explode(F.when(F.col("few"), own("n_few")).otherwise(every("n_few"))))
+    dealt = dealt.withColumn("y", F.explode(F.when(F.col("few"), every("n_all")).otherwise(own("n_all"))))
+    key = ["band", "x", "y"]
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, F.desc("few")).select(*key, "few", "node", "root", "mass", "sketch")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, asking = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            sketches = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keys = np.stack([c.astype(np.int64) for c in (*columns[:3], columns[3])])
+            edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]]))
+            out = []
+            for at, to in zip(edges[:-1], edges[1:]):
+                part = (columns[4][at:to], columns[5][at:to], columns[6][at:to], sketches[at:to])
+                bucket = tuple(keys[:3, at])
+                if keys[3, at]:
+                    asking = tuple(np.concatenate([a, b]) for a, b in zip(asking, part)) if bucket == last and asking else part
+                    last = bucket
+                elif bucket == last:
+                    for start in range(0, to - at, 256):
+                        asked = [c[start : start + 256] for c in part]
+                        low, high = np.minimum(asking[2][:, None], asked[2]), np.maximum(asking[2][:, None], asked[2])
+                        i, j = np.nonzero((asking[1][:, None] != asked[1]) & (low >= threshold * high))
+                        for cut in range(0, len(i), 100_000):
+                            x, y = i[cut : cut + 100_000], j[cut : cut + 100_000]
+                            good = (asking[3][x] == asked[3][y]).sum(1) >= least
+                            out.append((asking[0][x[good]], asked[0][y[good]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def texts_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) once for each of the nodes. ``rows`` may repeat a node; copies are merged in the map tasks, so a text that
+    many rows share is shuffled once per task. Few nodes (counted) pick their rows by a broadcast, more by a join."""
+    nodes = durable(nodes.distinct())
+    wanted = F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_NODES else nodes
+    return rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, threshold: float, weighted: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have at least the similarity, computed exactly. Texts of the pairs are shuffled
+    once, for both sides."""
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), rows)
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, None
+        met: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def of(node: int, text: pa.StringScalar) -> tuple[np.ndarray, np.ndarray]:
+            if node not in met:
+                if len(met) >= 1000:
+                    met.clear()
+                met[node] = shingles(text.as_py())
+            return met[node]
+
         for batch in remade(batches, 256):
             good = []
-            b_texts = batch.column(3)
-            for i, (b, text_a) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if b != last:
-                    last, of_last = b, shingles(b_texts[i].as_py())
-                good.append(similarity(shingles(text_a), of_last, weighted) >= threshold)
+            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                good.append(similarity(of(a, text_a), of(b, text_b), weighted) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return met.mapInArrow(compare, "a long, b long")
@@ -171,8 +233,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node reachable. Alternates the large-star and the
     small-star step until nothing changes, each result a written table; the driver sees two numbers per round."""
     pairs = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
     while True:
+        role = lambda c, is_u: pairs.select(F.col(c).alias("n"), F.lit(is_u).alias("is_u"))
+        nodes = role("u", 1).unionByName(role("v", 0)).groupBy("n").agg(F.sum("is_u").alias("out"), F.count_if(F.col("is_u") == 0).alias("in"))
+        # Done once every edge leads from a node with no other edge to a root.
+        if nodes.where("out > 1 or (out > 0 and in > 0)").isEmpty():
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -180,11 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         earlier = pairs
         pairs = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-        state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         release(earlier)
-        if state == before:
-            break
-        before = state
     roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -192,61 +254,115 @@ def components(edges: DataFrame) -> DataFrame:
 def links(rows: DataFrame, threshold: float = THRESHOLD, weighted: bool = False, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
     """Verified links (a, b) between different texts (node, text; nodes may repeat) that suffice for the classes.
 
-    The nodes of a bucket meet two pivots, not each other: the node with the most neighbours over all buckets, which is
-    near the middle of its group, and one by hash. Nodes already linked then count as one group, and buckets of one
-    group are done. The next turn takes its pivots outside each bucket's largest group. What is still open is compared in
-    full: nodes outside their bucket's largest group meet every node of another group. No bucket is capped, and no pair
-    between groups is left out.
+    First the nodes of a bucket meet two pivots, not each other: the node with the most neighbours over all buckets, which is
+    near the middle of its group, and one by hash. Nodes linked by then count as one group, and buckets of one group are
+    done. In the others all nodes outside the bucket's largest group meet every node of another group. No bucket is
+    capped. A pair is left unverified only if its sketches differ so much that a similarity at the threshold would show
+    them so with a probability below 1e-8, far below that of never sharing a band.
     """
-    shared = durable(banded(rows, weighted, bands, per_band).distinct())
+    least = least_agreement(threshold, bands * per_band)
+    table = durable(signed(rows, weighted, bands, per_band).dropDuplicates(["node"]))
+    shared = table.select("node", F.explode("bands").alias("band"))
     sizes = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = durable(shared.join(sizes, "band"))
     degrees = grouped.groupBy("node").agg(F.sum("n").alias("degree"))
-    open_rows = durable(grouped.drop("n").join(degrees, "node"))
-    release(shared)
+    known = table.select("node", "mass", "sketch").join(degrees, "node")
+    open_rows = durable(grouped.drop("n").join(known, "node").withColumn("root", F.col("node")))
     release(grouped)
 
-    def fits(x: str, y: str) -> Column:
-        return F.least(x, y) >= threshold * F.greatest(x, y)
-
-    found = None
-    for turn in range(STAR_TURNS + 1):
-        if found is None:
-            labelled = open_rows.withColumns({"root": F.col("node"), "main": F.lit(None).cast("long")})
-        else:
-            roots = durable(components(found))
-            joined = open_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            by_root = joined.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-            main = by_root.groupBy("band").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "root"))["root"].alias("main")).where("groups > 1")
-            labelled = durable(joined.join(main.select("band", "main"), "band"))
-            release(roots)
-            if labelled.isEmpty():
-                break
-        if turn < STAR_TURNS:
-            outside = F.col("main").isNull() | (F.col("root") != F.col("main"))
-            seen = F.struct("node", "root", "mass")
-            pivots = labelled.where(outside).groupBy("band").agg(
-                F.array(F.max_by(seen, F.struct("degree", "node")), F.min_by(seen, F.xxhash64("node", F.lit(turn)))).alias("pivots")
-            )
-            met = labelled.join(pivots.select("band", F.explode(F.array_distinct("pivots")).alias("p")), "band")
-            met = met.where((F.col("root") != F.col("p.root")) & fits("mass", "p.mass"))
-            pairs = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("p.node").alias("pivot"))
-            # The pivot is the side that many pairs share; it comes second.
-            pairs = pairs.groupBy("a", "b").agg(F.max("pivot").alias("p"))
-            pairs = pairs.select(F.when(F.col("a") == F.col("p"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("p").alias("b"))
-        else:
-            few = labelled.where("root != main").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("mass").alias("mass_a"))
-            full = few.join(labelled, "band").where((F.col("root_a") != F.col("root")) & fits("mass", "mass_a"))
-            full = full.where((F.col("root") == F.col("main")) | (F.col("a") < F.col("node")))
-            pairs = full.select("a", F.col("node").alias("b")).distinct()
-        pairs = durable(pairs)
-        new = durable(verified(pairs, rows, threshold, weighted))
-        release(pairs)
-        if found is not None:
-            release(labelled)
-        found = new if found is None else found.unionByName(new)
-    release(open_rows)
-    return found
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Each pair once, with the side that more pairs share in second place."""
+        shares = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("b").alias("b"))
+        once = durable(shares.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b"))
+        new = durable(verified(once, rows, threshold, weighted))
+        release(once)
+        return new
+
+    side = ["band", "node", "root", "mass", "sketch"]
+    whole = F.struct(*side[1:])
+    pivots = open_rows.groupBy("band").agg(F.array(F.max_by(whole, F.struct("degree", "node")), F.min_by(whole, F.xxhash64("node"))).alias("p"))
+    asking = pivots.select("band", F.explode(F.array_distinct("p")).alias("p")).select("band", "p.*", F.lit(True).alias("few"))
+    found = confirmed(likely(asking.unionByName(open_rows.select(*side, F.lit(False).alias("few"))), threshold, least))
+
+    roots = durable(components(found))
+    joined = durable(open_rows.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed_bands = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first")).where("low != high")
+    unsettled = durable(joined.join(mixed_bands.select("band", "first"), "band").select("node", "root", "first"))
+    families = components(unsettled.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "family")
+    members = unsettled.select("node", "root").distinct().join(families, "node").join(table.select("node", "mass", "sketch"), "node")
+    more = durable(settled(durable(members), rows, threshold, least, weighted))
+    for cut in (table, open_rows, roots, joined, unsettled):
+        release(cut)
+    return found.unionByName(more)
+
+
+def settled(members: DataFrame, rows: DataFrame, threshold: float, least: int, weighted: bool = False) -> DataFrame:
+    """Links between the groups of each family, found exactly.
+
+    ``members`` has node, root (its group), family, mass and sketch. In a family every node outside its largest group meets
+    every node of another group. Both sides are cut into blocks of bounded size with the texts of their nodes; a pair
+    whose sketches agree in ``least`` bytes is compared shingle by shingle where it meets. Of the pairs that are linked only
+    those leave the task that join two groups not yet joined there, so no family gives more links than nodes per block.
+    """
+    by_root = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = by_root.groupBy("family").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    sizes = main.select(
+        "family",
+        F.col("m.root").alias("main"),
+        F.greatest(F.ceil((F.col("n") - F.col("m.n")) / FEW_BLOCK), F.lit(1)).cast("int").alias("n_x"),
+        F.ceil(F.col("n") / ALL_BLOCK).cast("int").alias("n_y"),
+    )
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = members.join(sizes, "family")
+    few = sized.where("root != main").withColumn("x", block("n_x")).withColumn("y", every("n_y")).withColumn("few", F.lit(True))
+    whole = sized.withColumn("y", block("n_y")).withColumn("x", every("n_x")).withColumn("few", F.lit(False))
+    texts = texts_of(members.select("node"), rows)
+    columns = ["family", "x", "y", "few", "node", "root", "mass", "sketch"]
+    dealt = few.select(*columns).unionByName(whole.select(*columns)).join(texts, "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        flags = group.column("few").to_numpy(zero_copy_only=False)
+        node, root, mass = (group.column(c).to_numpy() for c in ("node", "root", "mass"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        text, sets = group.column("text"), {}
+        joined: dict[int, int] = {}
+
+        def group_of(r: int) -> int:
+            while r in joined:
+                r = joined[r]
+            return r
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = shingles(text[i].as_py())
+            return sets[i]
+
+        asked, out = np.flatnonzero(~flags), []
+        for i in np.flatnonzero(flags).tolist():
+            fits = np.minimum(mass[i], mass[asked]) >= threshold * np.maximum(mass[i], mass[asked])
+            near = asked[fits & (root[asked] != root[i])]
+            agree = (sketch[near] == sketch[i]).sum(1)
+            order = np.argsort(-agree, kind="stable")
+            for j in near[order[agree[order] >= least]].tolist():
+                a, b = group_of(int(root[i])), group_of(int(root[j]))
+                if a != b and similarity(of(i), of(j), weighted) >= threshold:
+                    joined[max(a, b)] = min(a, b)
+                    out.append((int(node[i]), int(node[j])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def least_agreement(threshold: float, k: int) -> int:
+    """The largest number that k coordinates agreeing with probability ``threshold`` stay below with probability < 1e-8."""
+    total = 0.0
+    for n in range(k + 1):
+        total += math.comb(k, n) * threshold**n * (1 - threshold) ** (k - n)
+        if total >= 1e-8:
+            return n
+    return k
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:

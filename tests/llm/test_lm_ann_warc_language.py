@@ -209,7 +209,7 @@ def test_languages_fuse_weak_evidence(spark):
     docs = spark.createDataFrame([("en", "the house and the garden of the town " * 20), ("de", "das haus und der garten der stadt " * 20), (None, "x"), ("en", None)], "lang string, text string")
     rows = [(i, f"http://www.ort.example.de/{i}", '<html lang="de"><script>the the</script>das haus und der garten</html>') for i in range(20)]
     rows += [(100 + i, f"http://a.example.com/{i}", "<html lang=en-GB>the house and the garden") for i in range(20)]
-    rows += [(200, "http://www.ort.example.de/x", "<p>1234</p>"), (201, "http://new.example.com/", '<html lang="de"> 99 '), (202, None, None), (None, "nonsense", ""), (None, "nonsense", "")]
+    rows += [(200, "http://www.ort.example.de/x", "<p>1234</p>"), (201, "http://new.other.net/", '<html lang="de"> 99 '), (202, None, None), (None, "nonsense", ""), (None, "nonsense", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS lang", "2 AS host")
     got = language.identify(pages, docs).toPandas().drop_duplicates("page_id").set_index("page_id")
     assert got.lang[0] == "de" and got.lang[100] == "en" and got.lang[200] == "de" and got.lang[201] == "de" and len(language.identify(pages, docs).collect()) == len(rows)
