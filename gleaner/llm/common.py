@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -80,20 +81,31 @@ class MemoTokenizer:
 
     Both pre-tokenizers in use always cut between a character that is no blank and a following space or line feed, so the
     stretches `blanks + non-blanks` of a text are encoded apart, and equal ones once. A text with any other blank is
-    encoded whole. The memo holds at most ``max_entries`` stretches and starts anew when full; that changes no id.
+    encoded whole. The memo holds two generations of at most ``max_entries`` stretches: the older one is dropped when the
+    younger is full, and what is used again moves to the younger one. That changes no id.
     """
 
     PIECE = re.compile(r"[ \n]*\S+")
     LONGEST = 200
+    JOINED = 256
 
-    def __init__(self, path: str, max_entries: int = 300_000):
+    def __init__(self, path: str, max_entries: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.max_entries = max_entries
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # Bytes that each token stands for (a byte-level vocabulary has one character per byte), to tell which ids of a
+        # joined text belong to which stretch.
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token.removesuffix(suffix)) if suffix else len(token)
+        self.keeps_blanks = int(self.sizes[self.tokenizer.encode(" a", add_special_tokens=False).ids].sum()) == 2
 
     def pieces(self, text: str) -> list[str]:
         found = self.PIECE.findall(text)
@@ -105,24 +117,55 @@ class MemoTokenizer:
             found.append(tail)
         return found
 
+    def plain(self, pieces: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+
+    def size(self, piece: str) -> int:
+        """Bytes of a stretch that starts with one space, as its tokens hold them."""
+        if self.keeps_blanks:
+            return len(piece.encode("utf-8", "surrogatepass"))
+        if piece.isascii():
+            return len(piece) - 1
+        return len(unicodedata.normalize("NFC", piece[1:]).lower().encode("utf-8", "surrogatepass"))
+
+    def many(self, pieces: list[str]) -> list[bytes]:
+        """Ids of stretches. Those that start with a single space are encoded as joined texts and told apart by the bytes of
+        their tokens; where the ends do not fit exactly, one by one."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if len(p) < 2 or p[0] != " " or p[1] in " \n"]
+        joined = [p for p in pieces if not (len(p) < 2 or p[0] != " " or p[1] in " \n")]
+        groups = [joined[at : at + self.JOINED] for at in range(0, len(joined), self.JOINED)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([self.size(p) for p in group])
+            at = np.searchsorted(ends, wanted)
+            if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == wanted).all():
+                raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+                out.update(zip(group, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts)]))
+            else:
+                out.update(zip(group, self.plain(group)))
+        out.update(zip(plain, self.plain(plain)))
+        return [out[p] for p in pieces]
+
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        missing = set()
+        wanted: set[str] = set()
         for pieces in cut:
-            missing.update(pieces)
-        if len(self.memo) + len(missing) > self.max_entries:
-            self.memo.clear()
-        missing = [p for p in missing if p not in self.memo]
+            wanted.update(pieces)
+        if len(self.young) + len(wanted) > self.max_entries:
+            self.old, self.young = self.young, {}
+        missing = wanted.difference(self.young)
+        again = missing.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        missing = list(missing - again)
         own: dict[str, bytes] = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = np.array(coded.ids, dtype="<u4").tobytes()
-                (self.memo if len(piece) <= self.LONGEST else own)[piece] = ids
+        for piece, ids in zip(missing, self.many(missing) if missing else []):
+            (self.young if len(piece) <= self.LONGEST else own)[piece] = ids
         if own:
-            return [b"".join([own[p] if p in own else self.memo[p] for p in pieces]) for pieces in cut]
-        get = self.memo.__getitem__
+            return [b"".join([own[p] if p in own else self.young[p] for p in pieces]) for pieces in cut]
+        get = self.young.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:

@@ -33,8 +33,8 @@ CLASSES = 32
 MEMBERS = 32
 #: Of all windows of the learning texts, the share that training steps use over all rounds. It grows with the input;
 #: small inputs use at least MIN_TOKENS tokens, several times over if need be.
-SHARE = 0.1
-MIN_TOKENS = 4_000_000
+SHARE = 0.05
+MIN_TOKENS = 2_000_000
 ROUNDS = 4
 BATCH = 64
 RATE = 0.01
@@ -200,23 +200,26 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(len(lengths)), n_windows)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     totals = np.zeros(len(lengths))
-    table, places = p["E"] @ p["Wqkv"], p["P"] @ p["Wqkv"]
-    mask, d = causal(), WIDTH
+    d = WIDTH
+    # One layer: what a token and a place send into attention are rows of small tables.
+    weights = p["Wqkv"].copy()
+    weights[:, :d] /= math.sqrt(d)
+    table, places = p["E"] @ weights, p["P"] @ weights
+    open_cells = np.tril(np.ones((WINDOW, WINDOW), np.float32))
     place = np.arange(WINDOW)
-    for at in range(0, len(owner), 512):
-        own, num = owner[at : at + 512], number[at : at + 512]
+    for at in range(0, len(owner), 256):
+        own, num = owner[at : at + 256], number[at : at + 256]
         cells = (base[own] + num * STRIDE)[:, None] + place
         inputs = joined[cells]
         # The end entry stands in for the goal of another sequence's cells; ``real`` leaves those out.
-        goals = joined[cells + 1]
         spot = num[:, None] * STRIDE + place
         real = (spot < lengths[own][:, None]) & ((num[:, None] == 0) | (place >= WINDOW - STRIDE))
-        qkv = table[inputs] + places
-        _, o = attend(qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :], mask)
+        qkv = table[inputs]
+        qkv += places
         x = (p["E"][inputs] + p["P"])[real]
-        h = x + o[real] @ p["Wo"]
+        h = x + attended(qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :], open_cells)[real] @ p["Wo"]
         h += np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
-        goal = goals[real]
+        goal = joined[cells + 1][real]
         c, m = goal // MEMBERS, goal % MEMBERS
         lc = h @ p["Uc"].T + p["bc"]
         logp = lc[np.arange(len(goal)), c] - log_sum(lc)
@@ -227,7 +230,22 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
     return totals
 
 
+def attended(q: np.ndarray, k: np.ndarray, v: np.ndarray, open_cells: np.ndarray) -> np.ndarray:
+    """Masked attention without the running maximum: an added column of ones sums the weights in the same product. Should
+    the plain exponentials leave the range of floats, the slower way is taken."""
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    if s.max() > 80:
+        return attend(q * math.sqrt(WIDTH), k, v, causal())[1]
+    np.exp(s, out=s)
+    s *= open_cells
+    o = np.matmul(s, np.concatenate([v, np.ones((*v.shape[:2], 1), v.dtype)], -1))
+    return o[..., :-1] / np.maximum(o[..., -1:], 1e-30)
+
+
 def log_sum(x: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) of each row; the maximum is taken off only where needed, as it costs more than the rest."""
+    if abs(x).max(initial=0) < 80:
+        return np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
     top = x.max(1, keepdims=True)
     return np.log(np.exp(x - top).sum(1)) + top[:, 0]
 
@@ -324,6 +342,7 @@ def fit(learning: DataFrame, to_entry: np.ndarray, by_entry: np.ndarray) -> Para
         rate = 2 * RATE / 2**turn
 
         def run(batches: Iterable[pa.RecordBatch], turn: int = turn, rate: float = rate) -> Iterator[pa.RecordBatch]:
+            memo_tokenizer.cache_clear()  # a reused worker may still hold it
             flat, entry_of = shared.value
             kept = []
             for batch in batches:
@@ -374,6 +393,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     unseen = float(np.log(0.5 / max((counts[to_entry == 1] + 0.5).sum(), 0.5)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo_tokenizer.cache_clear()
         flat, entry_of, share_of, known = shared.value
         p = unpacked(flat)
         for batch in remade(batches, 64):
