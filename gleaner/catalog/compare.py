@@ -97,7 +97,6 @@ QUERIES = [
             net=_LINES,
         ),
     ),
-    Query("cp5_diff_hunks", lambda s, d: CP.diff_hunks(_files(s, d), _pairs(s, d))),
     Query("st5_snapshot_diff", _diff, oracle(_DIFF, **CTES)),
     Query(
         "st5_dirty",

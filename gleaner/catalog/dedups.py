@@ -127,24 +127,59 @@ def _near(metric: str):
 
 
 def _edges_sql() -> str:
-    """Group numbers over all tiers, the first duplicate's preview, then the flat edges of the first 1000 groups."""
+    """Group numbers over all tiers, the first duplicate's preview, then the flat edges of all groups."""
     keyed = """SELECT t.stmt_id, t.tier, t.original_id, s.source_file, s.ordinal, s.line_start, s.raw_sql,
       CASE t.tier WHEN 'EXACT' THEN 1 WHEN 'NORMALIZED' THEN 2 ELSE 3 END AS tier_order,
       CASE WHEN t.tier = 'EXACT' THEN s.fingerprint ELSE t.stmt_id::VARCHAR END AS group_key
       FROM tagged t JOIN s USING (stmt_id) WHERE t.tier <> 'UNIQUE'"""
     groups = """SELECT tier_order, group_key, min(stmt_id) AS first_dup FROM keyed GROUP BY ALL"""
     numbered = """SELECT group_key, tier_order, first_dup,
-      row_number() OVER (ORDER BY tier_order, first_dup)::INT AS group_no FROM groups QUALIFY group_no <= 1000"""
+      row_number() OVER (ORDER BY tier_order, first_dup) AS group_no FROM groups"""
     return _recursive(
         """SELECT n.group_no, CASE WHEN k.tier = 'NORMALIZED' THEN 'FORMATTING' ELSE k.tier END AS duplicate_type,
           o.source_file AS original_file, o.line_start AS original_line, k.source_file AS duplicate_file,
-          k.line_start AS duplicate_line, k.tier AS match_type, substring(p.raw_sql, 1, 100) AS preview
+          k.line_start AS duplicate_line, k.tier AS match_type, substring(p.raw_sql, 1, 100) AS preview,
+          CASE WHEN k.tier = 'SEMANTIC' THEN round(sim.score, 6) END AS similarity
         FROM keyed k JOIN numbered n USING (tier_order, group_key) JOIN f1 o ON o.stmt_id = k.original_id
-        JOIN f1 p ON p.stmt_id = n.first_dup""",
+        JOIN f1 p ON p.stmt_id = n.first_dup LEFT JOIN sim ON sim.stmt_id = k.stmt_id""",
         **TAGGED,
         keyed=keyed,
         groups=groups,
         numbered=numbered,
+        sim=f"""SELECT stmt_id, CASE WHEN least(len(t1), len(t2)) * 2 < greatest(len(t1), len(t2)) THEN 0.0
+          ELSE {D.jaccard('list_distinct(t1)', 'list_distinct(t2)')} END AS score FROM (
+          SELECT t.stmt_id, {D.tokens('a.raw_sql')} AS t1, {D.tokens('b.raw_sql')} AS t2 FROM tagged t
+          JOIN f1 a USING (stmt_id) JOIN f1 b ON b.stmt_id = t.original_id WHERE t.tier = 'SEMANTIC')""",
+    )
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return DD.duplicate_edges(durable(tagged(spark, d))).withColumn("similarity", F.round("similarity", 6))
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    rows = durable(tagged(spark, d))
+    return DD.edge_report_lines(DD.dedup_stats(rows), durable(DD.duplicate_edges(rows))).select("group_no", "line_no", "text")
+
+
+def _report_sql() -> str:
+    titles = """SELECT group_no, min({'a': duplicate_type, 'b': original_file, 'c': original_line, 'd': preview}) AS g
+      FROM edges GROUP BY 1"""
+    counts = """SELECT count(*) AS n, count(*) FILTER (tier = 'UNIQUE') AS u, count(*) FILTER (tier IN ('EXACT', 'NORMALIZED')) AS e,
+      count(*) FILTER (tier = 'SEMANTIC') AS m FROM tagged"""
+    head = """SELECT unnest([repeat('=', 80), 'DEDUPLICATION REPORT', repeat('=', 80), printf('Total queries processed : %d', n),
+      printf('Unique queries retained : %d', u), printf('Total duplicates removed: %d', n - u), printf('  - Exact duplicates    : %d', e),
+      printf('  - Semantic duplicates : %d', m), printf('Deduplication rate      : %.1f%%', round((n - u) * 100.0::DOUBLE / greatest(n, 1), 1)),
+      '', 'DUPLICATE GROUPS:', repeat('-', 80)]) AS text, generate_subscripts(range(12), 1) - 1 AS line_no FROM counts"""
+    body, _, select = _edges_sql().rpartition("SELECT n.group_no")
+    return (
+        f"{body.rstrip()}, edges AS (SELECT n.group_no{select}), titles AS ({titles}), counts AS ({counts}), head AS ({head}) "
+        """SELECT 0::BIGINT AS group_no, line_no::INT AS line_no, text FROM head
+        UNION ALL SELECT group_no, 0, '' FROM titles
+        UNION ALL SELECT group_no, 1, printf('Group #%d (%s)', group_no, g.a) FROM titles
+        UNION ALL SELECT group_no, 2, printf('  Original : %s (Line %d)', g.b, g.c) FROM titles
+        UNION ALL SELECT group_no, 3, '  Preview  : ' || substring(g.d, 1, 80) FROM titles
+        UNION ALL SELECT group_no, 4, printf('  Duplicate: %s (Line %d) [%s]', duplicate_file, duplicate_line, match_type) FROM edges"""
     )
 
 
@@ -192,7 +227,6 @@ QUERIES = [
         _similarity("levenshtein"),
         _similarity_sql(f"1 - levenshtein({_T1}, {_T2}) / greatest(length({_T1}), length({_T2}))"),
     ),
-    Query("dd4_similarity_difflib", _similarity("difflib")),
     Query(
         "dd5_near_dup",
         _near("jaccard"),
@@ -202,7 +236,6 @@ QUERIES = [
             **NEAR,
         ),
     ),
-    Query("dd5_near_dup_difflib", _near("difflib")),
     Query(
         "dd6_stats",
         lambda s, d: DD.dedup_stats(tagged(s, d)),
@@ -216,5 +249,6 @@ QUERIES = [
             **TAGGED,
         ),
     ),
-    Query("dd7_duplicate_edges", lambda s, d: DD.duplicate_edges(durable(tagged(s, d))), _edges_sql()),
+    Query("dd7_duplicate_edges", _edges, _edges_sql()),
+    Query("dd7_edge_report", _report, _report_sql()),
 ]

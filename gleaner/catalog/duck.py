@@ -26,7 +26,9 @@ def strip_comments(x: str) -> str:
     return rf"regexp_replace({x}, '^(?:\s|--[^\n]*(?:\n|$)|/\*(?s:.*?)\*/)*', '')"
 
 
-def comment_only(x: str) -> str:
+def comment_only(x: str, strict: bool = False) -> str:
+    if not strict:
+        return f"{strip_comments(x)} = ''"
     lines = f"list_transform(string_split({x}, chr(10)), lambda l: {trim_ws('l')})"
     return (
         f"len(list_filter({lines}, lambda l: l <> '' AND NOT starts_with(l, '--') AND NOT starts_with(l, '/*') "
@@ -51,8 +53,9 @@ def valid(x: str, strict: bool) -> str:
     head = f"upper({text})" if strict else strip_comments(f"upper({text})")
     extra = "" if strict else "|COMMIT|ROLLBACK|DECLARE"
     words = "SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|TRUNCATE|MERGE|EXEC|WITH|BEGIN|CALL" + extra
+    longest = f"AND length({text}) <= 500000 " if strict else ""
     return (
-        f"length({text}) BETWEEN 10 AND 500000 AND NOT ({comment_only(text)}) "
+        f"length({text}) >= 10 {longest}AND NOT ({comment_only(text, strict)}) "
         f"AND regexp_matches({head}, '^(?:{words})')"
     )
 

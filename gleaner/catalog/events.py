@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.catalog.base import Query, fixture, oracle
+from gleaner.catalog.base import Query, fixture, oracle, table
+from gleaner.catalog.fixtures import FIXTURES
 from gleaner.operators import sequences as SE
 from gleaner.session import shared_folder
-from gleaner.streaming.streams import arrivals
+from gleaner.streaming.streams import arrivals, validate_sequence_stream
 
 _BANDS = """SELECT DISTINCT key, ts, b.label_order, b.label FROM f10 JOIN (VALUES
   (0, 'red', 0, 10), (1, 'green', 35, 85), (2, 'blue', 100, 130)) b(label_order, label, low, high)
@@ -41,8 +42,36 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _validated(spark: SparkSession, d: str, expected: list[str]) -> DataFrame:
+    """The event table arrives as a stream; every update is written with its batch, the last one of each key is read back."""
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    source.createOrReplaceTempView("events")
+    updates = validate_sequence_stream(spark.sql(FIXTURES["event_labels"].sql), expected)
+    out = shared_folder(spark, "sequences")
+    query = (
+        updates.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n}"))
+        .option("checkpointLocation", out + "-state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    found = spark.read.schema("key long, valid boolean, batch long").parquet(out)
+    return found.groupBy("key").agg(F.max_by("valid", "batch").alias("valid"))
+
+
 QUERIES = [
     Query("st1_arrivals", _arrivals),
+    Query(
+        "st4_validate_stream",
+        lambda s, d: _validated(s, d, EXPECTED_EVENTS),
+        oracle("SELECT key, detected = 'view,click,purchase' AS valid FROM found", **EVENTS),
+    ),
+    Query(
+        "st4_validate_stream_part",
+        lambda s, d: _validated(s, d, EXPECTED_EVENTS[:2]),
+        oracle("SELECT key, detected = 'view,click' AS valid FROM found", **EVENTS),
+    ),
     Query(
         "st2_label_bands",
         lambda s, d: SE.label_bands(fixture(s, d, "f10")).withColumn(

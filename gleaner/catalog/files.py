@@ -76,7 +76,6 @@ QUERIES = [
             uniq=_DISTINCT,
         ),
     ),
-    Query("fd5_similar_names_indel", lambda s, d: FD.similar_names(fixture(s, d, "names"), 90, "indel")),
     Query(
         "fd6_latest_hash",
         lambda s, d: FD.latest_hash(_history(s, d)).withColumn(

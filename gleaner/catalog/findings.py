@@ -12,6 +12,7 @@ from gleaner.operators import dedup as DD
 from gleaner.operators import findings as A
 from gleaner.session import durable
 from gleaner.sinks.reports import as_line
+from gleaner.sources.files import scan_metrics
 
 _SECTIONS = """CASE query_type WHEN 'CREATE' THEN 'DDL - CREATE' WHEN 'ALTER' THEN 'DDL - ALTER'
   WHEN 'DROP' THEN 'DDL - DROP' WHEN 'TRUNCATE' THEN 'DDL - TRUNCATE' WHEN 'VIEW' THEN 'VIEWS'
@@ -40,7 +41,14 @@ _RULES = f"""SELECT 1 AS rule_no, 'critical' AS rule, critical AS metric, printf
   UNION ALL SELECT 6, 'ddl', ddl, printf('%d DDL statements found. Ensure schema changes are version-controlled.', ddl) FROM c"""
 RULES = {**FEATURES, "c": _COUNTS, "rules": _RULES, "found": "SELECT * FROM rules WHERE metric > 0"}
 _SUMMARY = f"""SELECT 1 AS section_no, 1 AS line_no, 'NATURAL LANGUAGE SUMMARY' AS text
-  UNION ALL SELECT 1, 2, printf('This consolidated document contains %d unique SQL queries.', total) FROM c
+  UNION ALL SELECT 1, 2, repeat('=', 60)
+  UNION ALL SELECT 1, 3, printf('This consolidated document contains %d unique SQL queries.', total) FROM c
+  UNION ALL SELECT 1, 4, ''
+  UNION ALL SELECT 2, 0, 'Query Breakdown:' FROM c WHERE total > 0 UNION ALL SELECT 2, 1000, '' FROM c WHERE total > 0
+  UNION ALL SELECT 3, 0, 'Risk Profile:' UNION ALL SELECT 3, 1000, '' UNION ALL SELECT 4, 1000, ''
+  UNION ALL SELECT 5, 0, 'Top Referenced Tables:' FROM ({_TOP.format(k=1)})
+  UNION ALL SELECT 5, 1000, '' FROM ({_TOP.format(k=1)})
+  UNION ALL SELECT DISTINCT 6, 0, 'Key Recommendations:' FROM found
   UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, query_type)::INT, printf('  * %d %s queries', n, query_type)
     FROM (SELECT query_type, count(*) AS n FROM s GROUP BY 1)
   UNION ALL SELECT 3, 1, printf('  * %d CRITICAL risk (DELETE/UPDATE without WHERE)', critical) FROM c
@@ -74,7 +82,7 @@ UNIQUE = "SELECT s.* FROM s JOIN tagged t USING (stmt_id) WHERE t.tier = 'UNIQUE
 
 def _run_summary(spark, d):
     rows = durable(tagged(spark, d))
-    return A.run_summary(DD.dedup_stats(rows), rows.filter("tier = 'UNIQUE'"))
+    return A.run_summary(DD.dedup_stats(rows), rows.filter("tier = 'UNIQUE'"), scan_metrics(fixture(spark, d, "files")))
 
 
 _LISTING = [
@@ -135,7 +143,12 @@ QUERIES = [
     Query(
         "an10_run_summary",
         _run_summary,
-        _recursive(RUN_SUMMARY, **TAGGED, u=UNIQUE),
+        _recursive(
+            RUN_SUMMARY + " UNION ALL SELECT 'Files Scanned', count(*)::VARCHAR FROM files",
+            **TAGGED,
+            u=UNIQUE,
+            files="files",
+        ),
     ),
     Query(
         "an11_browse",

@@ -43,7 +43,11 @@ STATEMENT_TEXT = f"""CASE o_orderkey % 16
   WHEN 13 THEN concat('-- note ', {O}, chr(10), 'ALTER TABLE customer ADD COLUMN c', {K}, ' INT;')
   WHEN 14 THEN concat('SELECT {WIDE_COLUMNS}, RANK() OVER (ORDER BY a.v_', {K}, ') /* rank; */', chr(10),
     'FROM wide a UNION SELECT * FROM wide_old;')
-  ELSE concat('GARBAGE TEXT ', {O}, ';') END"""
+  ELSE CASE cast(floor(o_orderkey / 16) as bigint) % 4
+    WHEN 0 THEN concat('/* one line */ SELECT s_name FROM supplier WHERE s_suppkey = ', {K}, ';')
+    WHEN 1 THEN concat('/* several', chr(10), '   lines */', chr(10), 'DELETE FROM /* inner */ log_', {K}, ' WHERE id > 0;')
+    WHEN 2 THEN concat('/* only a comment ', {O}, ' */;')
+    ELSE concat('GARBAGE TEXT ', {O}, ';') END END"""
 
 F1 = f"""SELECT o_orderkey AS stmt_id,
   concat('src/f', lpad(cast(cast(floor(o_orderkey / 64) as bigint) as string), 10, '0'), '.sql') AS source_file,
@@ -164,6 +168,10 @@ F8 = """SELECT event_id, CASE
     ' - Error fetching https://h', cast(user_id as string), '.example.com/p: timed out')
   WHEN event_id % 20 = 9 THEN concat('2024-01-02 03:04:05,', lpad(cast(event_id % 1000 as string), 3, '0'),
     ' - Failed to download https://h', cast(user_id as string), '.example.com/d', cast(event_id as string), '.pdf - 404')
+  WHEN event_id % 20 = 10 THEN concat('2024-01-02 03:04:05,', lpad(cast(event_id % 1000 as string), 3, '0'),
+    ' - ERROR - Failed to download https://h', cast(user_id as string), '.example.com/e.pdf: timed out')
+  WHEN event_id % 20 = 11 THEN concat('2024-01-02 03:04:05,', lpad(cast(event_id % 1000 as string), 3, '0'),
+    ' - INFO - Downloaded https://h', cast(user_id as string), '.example.com/e.pdf -> out/e', cast(event_id as string))
   ELSE concat('2024-01-02 03:04:05,', lpad(cast(event_id % 1000 as string), 3, '0'), ' - Downloaded: https://h',
     cast(user_id as string), '.example.com/d', cast(event_id as string), '.pdf') END AS line FROM events"""
 

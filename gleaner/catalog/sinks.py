@@ -9,7 +9,7 @@ from gleaner.catalog.base import Query, fixture, oracle
 from gleaner.catalog.dedups import TAGGED
 from gleaner.catalog.duck import features
 from gleaner.catalog.files import HASHED
-from gleaner.catalog.findings import _CATEGORIZED, RUN_SUMMARY, UNIQUE
+from gleaner.catalog.findings import _CATEGORIZED, _HEADER, _TIDY, RUN_SUMMARY, UNIQUE
 from gleaner.catalog.statements import FEATURES, SPLIT, featured, line_runs
 from gleaner.catalog.web import _FOUND, GRAPH, _recursive, _seeds, _target_path
 from gleaner.operators import files as FD
@@ -66,13 +66,11 @@ def _bundle(spark: SparkSession, d: str) -> DataFrame:
 
 def _script(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "script")
-    SK.write_consolidated(A.consolidated(featured(spark, d)), path)
-    lines = spark.read.schema("value string, section_no int").text(path)
-    return lines.groupBy("section_no").agg(
-        F.count_if(F.startswith("value", F.lit("-- Query Type  : "))).alias("n_entries"),
-        F.count_if(F.col("value") == "GO").alias("n_separators"),
-        F.count_if(F.startswith("value", F.lit("||  Total: "))).alias("n_headers"),
-    )
+    rows = durable(featured(spark, d))
+    facts = spark.createDataFrame([("Files Scanned", "7"), ("High Risk", "1")], "metric string, value string")
+    frame = SK.document_frame(facts, A.type_distribution(rows), "2024-01-02 03:04:05", "in")
+    SK.write_consolidated(A.consolidated(rows), path, frame=frame)
+    return spark.read.schema("value string, section_no int").text(path).groupBy("section_no", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _consolidate(spark: SparkSession, d: str) -> DataFrame:
@@ -114,10 +112,22 @@ QUERIES = [
         "sk6_consolidated_text",
         _script,
         oracle(
-            """SELECT section_no, count(*) AS n_entries, count(*) - 1 AS n_separators, 1::BIGINT AS n_headers
-              FROM k GROUP BY section_no""",
+            """SELECT section_no, value, count(*) AS n FROM (
+                SELECT section_no, unnest(string_split(text, chr(10))) AS value FROM texts
+                UNION ALL SELECT section_no, value FROM fixed
+                UNION ALL SELECT 0, format('    {:<30} : {}', query_type, count(*)) FROM s GROUP BY query_type) GROUP BY ALL""",
             **FEATURES,
             k=_CATEGORIZED,
+            texts=f"""SELECT section_no, CASE WHEN row_number() OVER (PARTITION BY section_no ORDER BY source_file, ordinal) = 1
+              THEN concat_ws(chr(10), '', '/' || repeat('=', 79), '||  ' || rpad(upper(category), 74, ' ') || ' ||',
+                '||  Total: ' || rpad((count(*) OVER (PARTITION BY section_no))::VARCHAR, 70, ' ') || ' ||', repeat('=', 79) || '/')
+              ELSE 'GO' END || chr(10) || chr(10) || repeat('-', 80) || chr(10) || {_HEADER} || chr(10) || repeat('-', 80)
+                || chr(10) || {_TIDY} || chr(10) AS text FROM k""",
+            fixed="""SELECT 0 AS section_no, unnest(['/*', repeat('=', 76), '  SQL QUERY CONSOLIDATION MASTER DOCUMENT', repeat('=', 76), '',
+                '  Generated On      : 2024-01-02 03:04:05', '  Input Directory   : in', '  Files Scanned     : 7', '',
+                '  QUERY DISTRIBUTION:', '', repeat('=', 76), '*/', '']) AS value
+              UNION ALL SELECT 99, unnest(['', '/*', repeat('=', 76), '  END OF MASTER SQL DOCUMENT', '  Generated: 2024-01-02 03:04:05',
+                repeat('=', 76), '*/'])""",
         ),
     ),
     Query("job_consolidate", _consolidate, _recursive(RUN_SUMMARY, **CORPUS)),

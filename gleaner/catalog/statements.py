@@ -112,10 +112,11 @@ QUERIES = [
         lambda s, d: fixture(s, d, "f1").select(
             "stmt_id",
             S.is_comment_only(F.col("raw_sql")).alias("whole"),
+            S.is_comment_only(F.col("raw_sql"), strict=True).alias("whole_by_lines"),
             S.is_comment_only(F.split_part("raw_sql", F.lit("\n"), F.lit(1))).alias("first_line"),
         ),
         oracle(
-            f"SELECT stmt_id, {D.comment_only('raw_sql')} AS whole, "
+            f"SELECT stmt_id, {D.comment_only('raw_sql')} AS whole, {D.comment_only('raw_sql', True)} AS whole_by_lines, "
             f"{D.comment_only('split_part(raw_sql, chr(10), 1)')} AS first_line FROM f1",
             f1="f1",
         ),

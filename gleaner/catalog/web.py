@@ -108,7 +108,7 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "sites").filter(F.endswith("url", F.lit("/p/0.html"))).select("url")
 
 
-def frontier(spark: SparkSession, d: str, max_depth: int | None = DEPTH, max_pages: int | None = WB.MAX_PAGES):
+def frontier(spark: SparkSession, d: str, max_depth: int | None = DEPTH, max_pages: int | None = None):
     edges = durable(WB.page_edges(classed(spark, d)))
     return WB.expand_frontier(edges, _seeds(spark, d), max_depth, max_pages)
 
@@ -159,15 +159,14 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.expr(_HEADERS).alias("content_type"))
 
 
-_LINE = r"'^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (.*)$'"
+_LINE = r"'^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (?:(?:DEBUG|INFO|WARNING|ERROR|CRITICAL) - )?(.*)$'"
 _MSG = f"regexp_extract(line, {_LINE}, 3)"
-_EVENT = f"""CASE WHEN starts_with({_MSG}, 'Downloaded: ') THEN 'downloaded'
+_EVENT = f"""CASE WHEN starts_with({_MSG}, 'Downloaded: ') OR starts_with({_MSG}, 'Downloaded ') THEN 'downloaded'
   WHEN starts_with({_MSG}, 'Failed to download ') THEN 'failed'
   WHEN starts_with({_MSG}, 'Error fetching ') THEN 'fetch_error' ELSE 'other' END"""
 _PARSED = f"""SELECT event_id, strptime(regexp_extract(line, {_LINE}, 1) || '.' || regexp_extract(line, {_LINE}, 2),
     '%Y-%m-%d %H:%M:%S.%g') AS logged_at, {_EVENT} AS event,
-  CASE WHEN {_EVENT} = 'fetch_error' THEN regexp_replace(regexp_extract({_MSG}, '([A-Za-z][A-Za-z0-9+.\\-]*://\\S+)', 1), ':$', '')
-    ELSE regexp_extract({_MSG}, '([A-Za-z][A-Za-z0-9+.\\-]*://\\S+)', 1) END AS url, {_MSG} AS message
+  regexp_replace(regexp_extract({_MSG}, '([A-Za-z][A-Za-z0-9+.\\-]*://\\S+)', 1), ':$', '') AS url, {_MSG} AS message
   FROM f8 WHERE regexp_matches(line, {_LINE})"""
 LOG = {"f8": "f8", "parsed": _PARSED, "hosted": f"SELECT *, {_part('url', 2)} AS host FROM parsed"}
 

@@ -119,6 +119,7 @@ TYPE_WEIGHTS = {
     "WITH": 6,
 }
 DEFAULT_WEIGHT = 3
+# Shortest statement, and the longest one a sequential tool accepts (no bound here unless asked for).
 MIN_LENGTH = 10
 MAX_LENGTH = 500000
 
@@ -139,9 +140,12 @@ def statement_pieces(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(STATEMENT), F.lit(0))
 
 
-def is_comment_only(sql: Column) -> Column:
-    """Every non-blank line looks like a comment line."""
-    return ~sql.rlike(r"(?m)^[ \t\r\f]*+(?!--|/\*|\*)\S")
+def is_comment_only(sql: Column, strict: bool = False) -> Column:
+    """Nothing but comments and blanks. ``strict`` looks at lines: every non-blank one starts like a comment line, even
+    where a statement follows the closing mark."""
+    if strict:
+        return ~sql.rlike(r"(?m)^[ \t\r\f]*+(?!--|/\*|\*)\S")
+    return strip_leading_comments(sql) == ""
 
 
 def statement_type(sql: Column) -> Column:
@@ -160,18 +164,22 @@ def statement_type(sql: Column) -> Column:
     )
 
 
-def is_valid_statement(sql: Column, strict: bool = False) -> Column:
-    """Length bounds, not only comments, known first keyword.
+def is_valid_statement(sql: Column, strict: bool = False, max_length: int | None = None) -> Column:
+    """At least MIN_LENGTH characters and at most ``max_length`` (MAX_LENGTH with ``strict``), not only comments, known
+    first keyword.
 
     ``strict`` tests the raw text, so a statement behind a comment fails, as do COMMIT, ROLLBACK and DECLARE;
     otherwise comments in front are skipped and the three are accepted.
     """
+    max_length = MAX_LENGTH if strict and max_length is None else max_length
     text = trim_ws(sql)
     head = F.upper(text) if strict else strip_leading_comments(F.upper(text))
     starts = VALID_STARTS if strict else VALID_STARTS + EXTRA_VALID_STARTS
+    short_enough = F.lit(True) if max_length is None else F.length(text) <= max_length
     return (
-        F.length(text).between(MIN_LENGTH, MAX_LENGTH)
-        & ~is_comment_only(text)
+        (F.length(text) >= MIN_LENGTH)
+        & short_enough
+        & ~is_comment_only(text, strict)
         & head.rlike("^(?:" + "|".join(starts) + ")")
     )
 

@@ -154,18 +154,20 @@ def sanitize_part(part: Column) -> Column:
     return F.regexp_replace(part, r"[^a-zA-Z0-9._-]", "_")
 
 
-def target_path(url: Column, layout: str = "tree") -> Column:
+def target_path(url: Column, layout: str = "tree", site: Column | None = None) -> Column:
     """Where a file would be stored.
 
     ``tree``: second-level host label / sanitised folders / file name;
-    ``flat``: host / whole path with separators replaced; ``name``: host / file name.
+    ``flat``: host / whole path with separators replaced; ``name``: host / file name. ``site`` is the host of the page
+    (or start address) under which ``flat`` and ``name`` keep a file, also one of another host; without it the file's own.
     """
+    home = host(url) if site is None else F.lower(site)
     bare = F.regexp_replace(path(url), r"^/+", "")
     if layout == "flat":
-        return F.concat(host(url), F.lit("/"), F.regexp_replace(bare, r'[\\/*?:"<>|]', "_"))
+        return F.concat(home, F.lit("/"), F.regexp_replace(bare, r'[\\/*?:"<>|]', "_"))
     if layout == "name":
         name = F.regexp_extract(path(url), r"([^/]*)$", 1)
-        return F.concat(host(url), F.lit("/"), F.regexp_replace(name, r'[\\/*?:"<>|]', "_"))
+        return F.concat(home, F.lit("/"), F.regexp_replace(name, r'[\\/*?:"<>|]', "_"))
     if layout != "tree":
         raise ValueError(f"unknown layout {layout!r}")
     labels = F.split(host(url), r"\.")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import sqltext as S
-from gleaner.operators.neardup import near_dup
-from gleaner.operators.skew import ROWS_PER_SLICE, join_leaders
-from gleaner.session import durable
+from gleaner.operators.neardup import near_dup, pair_similarity
+from gleaner.operators.skew import ROWS_PER_SLICE, join_leaders, join_same, number_rows
+from gleaner.session import durable, release
 
-MAX_REPORTED_GROUPS = 1000
+PLACE = ["source_file", "ordinal"]
 
 
 def dedup_by_key(
@@ -54,7 +54,6 @@ def dedup(
 
     ``statements`` needs source_file, ordinal, raw_sql, query_type, fingerprint and line_start.
     """
-    columns = statements.columns
     nothing = {
         "tier": F.lit("UNIQUE"),
         "original_file": F.lit(None).cast("string"),
@@ -66,27 +65,35 @@ def dedup(
 
     def edges(tagged: DataFrame, tier: str) -> DataFrame:
         return tagged.filter("is_duplicate").select(
-            *columns,
+            *PLACE,
             F.lit(tier).alias("tier"),
             F.col("survivor.source_file").alias("original_file"),
             F.col("survivor.ordinal").alias("original_ordinal"),
             F.col("survivor.line_start").alias("original_line"),
         )
 
-    # Every tier feeds its edges and the next tier, so each is cut once instead of being computed twice.
-    first = durable(exact_tier(statements))
-    second = durable(template_tier(survivors(first)))
-    kept = survivors(second).select(*columns)
+    # Texts stay where they are: the tiers run on places and hashes, near-dup reads the texts of the few template
+    # survivors, and the verdicts meet the statements once at the end. Every tier feeds its edges and the next one, so
+    # each is cut.
+    template = F.sha2(S.template_key(F.col("raw_sql")), 256)
+    narrow = durable(statements.select(*PLACE, "line_start", "fingerprint", template.alias("template")))
+    first = durable(dedup_by_key(narrow, "fingerprint", PLACE, ["line_start"]))
+    second = durable(dedup_by_key(survivors(first), "template", PLACE, ["line_start"]))
     parts = [edges(first, "EXACT"), edges(second, "NORMALIZED")]
+    done = [narrow, first, second]
     if near:
-        third = near_dup(kept, threshold=threshold, metric=metric, carry=["line_start"])
-        third = durable(third)
+        kept = join_same(survivors(second).select(*PLACE), statements.select(*PLACE, "query_type", "raw_sql", "line_start"), PLACE)
+        third = durable(near_dup(durable(kept), threshold=threshold, metric=metric, carry=["line_start"]).drop("raw_sql"))
         parts.append(edges(third, "SEMANTIC"))
-        kept = survivors(third).select(*columns)
-    out = kept.withColumns(nothing)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+        done.append(third)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = durable(found)
+    for cut in done:
+        release(cut)
+    verdict = {name: F.coalesce(name, F.lit("UNIQUE")) if name == "tier" else F.col(name) for name in nothing}
+    return join_same(statements, found, PLACE, "left").withColumns(verdict)
 
 
 def dedup_stats(tagged: DataFrame) -> DataFrame:
@@ -104,11 +111,12 @@ def dedup_stats(tagged: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_edges(tagged: DataFrame, max_groups: int = MAX_REPORTED_GROUPS) -> DataFrame:
-    """Flat report of the first groups: number, kind, original and duplicate place, preview of the first duplicate.
+def duplicate_edges(tagged: DataFrame, max_groups: int | None = None) -> DataFrame:
+    """Flat report: group number, kind, original and duplicate place, preview of the group's first duplicate, and for
+    SEMANTIC edges the token similarity of both statements.
 
-    An exact group is one fingerprint; the other tiers form one group per duplicate. Only the (at most ``max_groups``)
-    group rows are numbered in one place; the edges themselves are joined to them by broadcast.
+    An exact group is one fingerprint; the other tiers form one group per duplicate. All groups are numbered, by range
+    partitions; ``max_groups`` keeps the first ones only.
     """
     edges = tagged.filter(F.col("tier") != "UNIQUE").withColumn(
         "tier_order", F.when(F.col("tier") == "EXACT", 1).when(F.col("tier") == "NORMALIZED", 2).otherwise(3)
@@ -119,19 +127,20 @@ def duplicate_edges(tagged: DataFrame, max_groups: int = MAX_REPORTED_GROUPS) ->
             F.concat_ws(":", "tier", "source_file", "ordinal")
         ),
     )
-    groups = (
-        edges.groupBy("tier_order", "group_key")
-        .agg(F.min(F.struct("source_file", "ordinal", F.substring("raw_sql", 1, 100).alias("preview"))).alias("first"))
-        .orderBy("tier_order", "first.source_file", "first.ordinal")
-        .limit(max_groups)
+    first = F.min(F.struct(*PLACE, F.substring("raw_sql", 1, 100).alias("preview")))
+    groups = edges.groupBy("tier_order", "group_key").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    flat = groups.select("tier_order", "group_key", "group_size", "first.*")
+    numbered = number_rows(flat, [], ["tier_order", *PLACE], "group_no").select("group_no", "group_key", "group_size", "preview")
+    if max_groups is not None:
+        numbered = numbered.filter(F.col("group_no") <= max_groups)
+    originals = tagged.select(
+        F.col("source_file").alias("original_file"), F.col("ordinal").alias("original_ordinal"), F.col("raw_sql").alias("original_sql")
     )
-    listed = groups.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct("tier_order", "first", "group_key"))).alias("gs")
-    )
-    numbered = listed.select(F.posexplode("gs").alias("pos", "g")).select(
-        (F.col("pos") + 1).alias("group_no"), F.col("g.group_key").alias("group_key"), F.col("g.first.preview").alias("preview")
-    )
-    return edges.join(F.broadcast(numbered), "group_key").select(
+    semantic = edges.filter("tier = 'SEMANTIC'").select(*PLACE, "original_file", "original_ordinal", "raw_sql")
+    scored = pair_similarity(join_same(semantic, originals, ["original_file", "original_ordinal"]), "raw_sql", "original_sql", "jaccard")
+    narrow = edges.select("group_key", "tier", *PLACE, "line_start", "original_file", "original_line")
+    joined = join_leaders(narrow, numbered, ["group_key"], "group_size", PLACE)
+    return join_same(joined, scored.select(*PLACE, "similarity"), PLACE, "left").select(
         "group_no",
         F.when(F.col("tier") == "NORMALIZED", "FORMATTING").otherwise(F.col("tier")).alias("duplicate_type"),
         "original_file",
@@ -140,4 +149,50 @@ def duplicate_edges(tagged: DataFrame, max_groups: int = MAX_REPORTED_GROUPS) ->
         F.col("line_start").alias("duplicate_line"),
         F.col("tier").alias("match_type"),
         "preview",
+        "similarity",
+    )
+
+
+# The texts of the report.
+REPORT_HEAD = ("=" * 80, "DEDUPLICATION REPORT", "=" * 80)
+REPORT_COUNTS = {
+    "Total queries processed : %d": "total_input",
+    "Unique queries retained : %d": "total_unique",
+    "Total duplicates removed: %d": "total_duplicates",
+    "  - Exact duplicates    : %d": "exact_duplicates",
+    "  - Semantic duplicates : %d": "semantic_duplicates",
+    "Deduplication rate      : %.1f%%": "dedup_rate",
+}
+
+
+def edge_report_lines(stats: DataFrame, edges: DataFrame) -> DataFrame:
+    """The report as text: (group_no, line_no, duplicate_file, duplicate_line, text), to be read in that order. Group 0 is
+    the head; a group has its title, original and preview (80 characters, as such reports show) and a line per duplicate."""
+
+    def line(no: int | Column, text: Column) -> Column:
+        return F.struct((F.lit(no) if isinstance(no, int) else no).alias("line_no"), text.alias("text"))
+
+    head = [F.lit(x) for x in REPORT_HEAD] + [F.format_string(form, F.col(c)) for form, c in REPORT_COUNTS.items()]
+    head += [F.lit(""), F.lit("DUPLICATE GROUPS:"), F.lit("-" * 80)]
+    top = stats.select(
+        F.lit(0).cast("bigint").alias("group_no"), F.lit(None).cast("string").alias("duplicate_file"), F.lit(None).cast("int").alias("duplicate_line"),
+        F.inline(F.array(*[line(i, x) for i, x in enumerate(head)])),
+    )
+    opening = ["duplicate_type", "original_file", "original_line", "preview"]
+    groups = edges.groupBy("group_no").agg(F.min(F.struct(*opening)).alias("g")).select("group_no", "g.*")
+    titles = groups.select(
+        "group_no", F.lit(None).cast("string").alias("duplicate_file"), F.lit(None).cast("int").alias("duplicate_line"),
+        F.inline(
+            F.array(
+                line(0, F.lit("")),
+                line(1, F.format_string("Group #%d (%s)", "group_no", "duplicate_type")),
+                line(2, F.format_string("  Original : %s (Line %d)", "original_file", "original_line")),
+                line(3, F.concat(F.lit("  Preview  : "), F.substring("preview", 1, 80))),
+            )
+        ),
+    )
+    members = edges.select(
+        "group_no", "duplicate_file", "duplicate_line", F.lit(4).alias("line_no"),
+        F.format_string("  Duplicate: %s (Line %d) [%s]", "duplicate_file", "duplicate_line", "match_type").alias("text"),
     )
+    return top.unionByName(titles).unionByName(members).select("group_no", "line_no", "duplicate_file", "duplicate_line", "text")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -41,31 +44,38 @@ def content_hash(content: Column, algorithm: str = "sha256") -> Column:
 
 
 def hash_paths(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    """Add the content hash of files known by path only, streamed in chunks where the task runs.
+    """Add ``hash`` and ``error`` to files known by path only, streamed in chunks where the task runs.
 
-    For file trees: metadata decides the candidates first, and only their bytes are ever opened, of any size.
-    Files that cannot be read are dropped.
+    For file trees: metadata decides the candidates first, and only their bytes are ever opened, of any size. A file that
+    cannot be read keeps its row, with a NULL hash and the reason in ``error``.
     """
 
-    def digest(path: str) -> str | None:
+    def opened(path: str):
+        scheme, found, rest = path.partition("://")
+        if not found or scheme == "file":
+            # Bare and file: paths are local or a mounted share; their names are taken as they are.
+            return fs.LocalFileSystem(), rest if found else re.sub(r"^file:", "", path)
+        scheme = re.sub(r"^s3[an]$", "s3", scheme)
+        return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/@:%')}")
+
+    def digest(path: str) -> tuple[str | None, str | None]:
         try:
-            # The store's own name for the scheme; a bare or file: path is local or a mounted share.
-            uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "/", path))
-            system, inner = fs.FileSystem.from_uri(uri)
+            system, inner = opened(path)
             hasher = hashlib.new(algorithm)
             with system.open_input_stream(inner) as stream:
                 while chunk := stream.read(CHUNK_BYTES):
                     hasher.update(chunk)
-            return hasher.hexdigest()
-        except (OSError, ValueError):
-            return None
+            return hasher.hexdigest(), None
+        except (OSError, ValueError) as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(hash=[digest(p) for p in pdf["path"]])
+            found = [digest(p) for p in pdf["path"]]
+            yield pdf.assign(hash=[h for h, _ in found], error=[e for _, e in found])
 
-    schema = T.StructType([*files.schema.fields, T.StructField("hash", T.StringType())])
-    return files.mapInPandas(batches, schema).filter(F.col("hash").isNotNull())
+    schema = T.StructType([*files.schema.fields, T.StructField("hash", T.StringType()), T.StructField("error", T.StringType())])
+    return files.mapInPandas(batches, schema)
 
 
 def with_hash(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
@@ -73,11 +83,12 @@ def with_hash(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
 
 def identical_groups(files: DataFrame, key: str = "name", algorithm: str = "sha256") -> DataFrame:
-    """(key, hash, number of files, first path) of every group of identical files; hashed are the candidates only."""
+    """(key, hash, number of files, first path) of every group of identical files. Contents that are in the table are
+    hashed in the scan and never shuffled; for files known by path only, see ``candidate_files`` and ``hash_paths``."""
     keys = {"name": ["name", "size"], "content": ["size"]}[key]
-    hashed = with_hash(candidate_files(files, key), algorithm)
     return (
-        hashed.groupBy(*keys, "hash")
+        with_hash(files, algorithm)
+        .groupBy(*keys, "hash")
         .agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"))
         .filter("n_files > 1")
     )
@@ -86,14 +97,15 @@ def identical_groups(files: DataFrame, key: str = "name", algorithm: str = "sha2
 def duplicate_rows(files: DataFrame, key: str = "name", algorithm: str = "sha256") -> DataFrame:
     """Flat report: hash, file, path and size of every member of every identical group."""
     keys = {"name": ["name", "size"], "content": ["size"]}[key]
-    return duplicate_members(with_hash(candidate_files(files, key), algorithm), keys)
+    return duplicate_members(with_hash(files, algorithm), keys)
 
 
 def duplicate_members(hashed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose (keys, hash) occurs more than once. The narrow hash rows are cut, so no content is read twice."""
-    hashed = durable(hashed.select("hash", "name", "path", "size"))
+    hashed = durable(hashed.filter("hash is not null").select("hash", "name", "path", "size"))
     groups = hashed.groupBy(*keys, "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return hashed.join(groups, [*keys, "hash"], "left_semi")
+    same = reduce(and_, [hashed[k].eqNullSafe(groups[k]) for k in [*keys, "hash"]])
+    return hashed.join(groups, same, "left_semi")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -179,6 +179,9 @@ def findings(statements: DataFrame) -> DataFrame:
     return by_counter.unionByName(by_table)
 
 
+CLOSING = 1000  # line number of the blank line that ends a section
+
+
 def _line(section: int, line: Column | int, text: Column) -> Column:
     return F.struct(
         F.lit(section).alias("section_no"),
@@ -188,7 +191,8 @@ def _line(section: int, line: Column | int, text: Column) -> Column:
 
 
 def summary_lines(statements: DataFrame) -> DataFrame:
-    """Narrative summary as ordered (section_no, line_no, text) rows; one pass for counters, one for tables."""
+    """Narrative summary as ordered (section_no, line_no, text) rows, with the headings of its sections; one pass for
+    counters, one for tables. The sentences are fixed values."""
     frequent = F.array_sort(
         F.filter("types", lambda t: t["n"] > 0),
         lambda a, b: F.when(a["n"] > b["n"], -1)
@@ -200,28 +204,41 @@ def summary_lines(statements: DataFrame) -> DataFrame:
     total = F.format_string("This consolidated document contains %d unique SQL queries.", F.col("total"))
     average = F.format_string("Average complexity score: %.1f", F.coalesce("average_complexity", F.lit(0.0)))
     risks = [F.format_string("  * %d " + RISK_TEXTS[r], F.col(r.lower())) for r in RISK_LEVELS]
+    none = F.array().cast("array<struct<section_no:int,line_no:int,text:string>>")
     counted = F.concat(
-        F.array(_line(1, 1, F.lit("NATURAL LANGUAGE SUMMARY")), _line(1, 2, total)),
+        F.array(
+            _line(1, 1, F.lit("NATURAL LANGUAGE SUMMARY")), _line(1, 2, F.lit("=" * 60)), _line(1, 3, total), _line(1, 4, F.lit(""))
+        ),
+        F.when(F.size(frequent) > 0, F.array(_line(2, 0, F.lit("Query Breakdown:")), _line(2, CLOSING, F.lit("")))).otherwise(none),
         F.transform(
             frequent, lambda t, i: _line(2, i + 1, F.format_string("  * %d %s queries", t["n"], t["query_type"]))
         ),
-        F.array(*[_line(3, i, text) for i, text in enumerate(risks, 1)], _line(4, 1, average)),
+        F.array(
+            _line(3, 0, F.lit("Risk Profile:")), *[_line(3, i, text) for i, text in enumerate(risks, 1)], _line(3, CLOSING, F.lit("")),
+            _line(4, 1, average), _line(4, CLOSING, F.lit("")),
+        ),
+        F.when(F.size(_counter_findings()) > 0, F.array(_line(6, 0, F.lit("Key Recommendations:")))).otherwise(none),
         F.transform(_counter_findings(), lambda r: _line(6, r["rule_no"], F.concat(F.lit("  "), r["message"]))),
     )
     referenced = F.format_string("  * %s: referenced %d times", F.col("table_name"), F.col("n"))
     ranked = F.array(
         _line(5, F.col("rank"), referenced),
+        F.when(F.col("rank") == 1, _line(5, 0, F.lit("Top Referenced Tables:"))),
+        F.when(F.col("rank") == 1, _line(5, CLOSING, F.lit(""))),
+        F.when(F.col("rank") == 1, _line(6, 0, F.lit("Key Recommendations:"))),
         F.when(F.col("rank") == 1, _line(6, 5, F.concat(F.lit("  "), _table_finding()))),
     )
     return (
         profile(statements)
         .select(F.inline(counted))
         .unionByName(table_ranks(statements, 5).select(F.inline(F.array_compact(ranked))))
+        .distinct()
     )
 
 
-def run_summary(stats: DataFrame, statements: DataFrame, files: int | None = None) -> DataFrame:
-    """Metric and value rows of a whole run, from ``dedup_stats`` and the surviving statements."""
+def run_summary(stats: DataFrame, statements: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """Metric and value rows of a whole run, from ``dedup_stats``, the surviving statements and, if given, the one row of
+    ``scan_metrics``."""
     counters = profile(statements)
     first = stats.select(
         F.inline(
@@ -251,9 +268,8 @@ def run_summary(stats: DataFrame, statements: DataFrame, files: int | None = Non
         )
     )
     out = first.unionByName(second)
-    if files is not None:
-        spark = statements.sparkSession
-        out = out.unionByName(spark.createDataFrame([("Files Scanned", str(files))], "metric string, value string"))
+    if scanned is not None:
+        out = out.unionByName(scanned.select(F.lit("Files Scanned").alias("metric"), F.col("scanned").cast("string").alias("value")))
     return out
 
 

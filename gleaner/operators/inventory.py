@@ -11,7 +11,6 @@ from gleaner.functions.text import all_values, join_desc, labelled_value, trim_w
 
 # Fixed value: version in a registry line of an installed product.
 VERSION_PATTERN = r"ORACLE_HOME\s+REG_SZ\s+.*?product\\([\d\.]+)\\"
-MAX_SHEET_NAME = 31
 
 
 def inventory(files: DataFrame, numeric_versions: bool = False) -> DataFrame:
@@ -29,8 +28,8 @@ def inventory(files: DataFrame, numeric_versions: bool = False) -> DataFrame:
 
 
 def grouped_inventory(files: DataFrame) -> DataFrame:
-    """Inventory with a sheet label per collection, ready for ``write.partitionBy``."""
-    return inventory(files).withColumn("sheet", F.substring("collection", 1, MAX_SHEET_NAME))
+    """Inventory with the collection as sheet, ready for ``write.partitionBy``; labels are never cut."""
+    return inventory(files).withColumn("sheet", F.col("collection"))
 
 
 def missing_audit(records: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gleaner.functions.text import trim_ws
+from gleaner.operators.skew import join_same
 
 MARKER = r"^(\d{1,3})[.)]\s*(.*)$"
 LINES_PER_BLOCK = 65536
@@ -49,8 +50,7 @@ def carry_marker(lines: DataFrame, lines_per_block: int = LINES_PER_BLOCK) -> Da
     carried = ends.select("doc_id", "_block", F.last("_end", ignorenulls=True).over(above).alias("_above"))
     inside = W.partitionBy("doc_id", "_block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     return (
-        blocks.withColumn("_inside", F.last("marker", ignorenulls=True).over(inside))
-        .join(carried, ["doc_id", "_block"])
+        join_same(blocks.withColumn("_inside", F.last("marker", ignorenulls=True).over(inside)), carried, ["doc_id", "_block"])
         .withColumn("number", F.coalesce("_inside", "_above"))
         .drop("_block", "_inside", "_above")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,11 +12,16 @@ from pyspark.sql import Window as W
 from gleaner.session import durable
 
 ROWS_PER_SLICE = 1_000_000
-MAX_HOT_KEYS = 10_000
-MAX_SLICES = 1_000
 MAX_BROADCAST_ROWS = 100_000
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` in which NULL keys meet NULL keys, so that no row is lost for its key."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_leaders(
     rows: DataFrame,
     leaders: DataFrame,
@@ -24,37 +32,25 @@ def join_leaders(
 ) -> DataFrame:
     """Join rows to one leader row per key; keys larger than ``rows_per_slice`` are sliced over many tasks.
 
-    ``leaders`` is unique on ``keys`` and knows each group's size in ``size_col``. The hot keys are the (at most
-    MAX_HOT_KEYS) biggest groups, so the broadcast list is bounded whatever the data. Rows of a hot key get a slice
-    number from a hash of the ``spread`` columns and its leader is repeated once per slice; all other keys have slice 0.
-    The leaders are cut once, since both their hot part and the whole are read.
+    ``leaders`` is unique on ``keys`` and knows each group's size in ``size_col``. There are at most rows /
+    ``rows_per_slice`` hot keys; their list is broadcast up to MAX_BROADCAST_ROWS (counted) and joined beyond that. Rows of
+    a hot key get a slice number from a hash of the ``spread`` columns and its leader is repeated once per slice; all
+    other keys have slice 0. NULL is a key like others. The leaders are cut once, since both their hot part and the whole
+    are read.
     """
     leaders = durable(leaders)
-    hot = (
-        leaders.filter(F.col(size_col) > rows_per_slice)
-        .orderBy(F.desc(size_col), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(
-            *keys,
-            F.least(F.ceil(F.col(size_col) / rows_per_slice), F.lit(MAX_SLICES)).cast("int").alias("n_slices"),
-        )
-    )
-    sliced_rows = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "slice",
-            F.when(F.col("n_slices").isNull(), F.lit(0)).otherwise(
-                F.pmod(F.xxhash64(*spread), F.col("n_slices")).cast("int")
-            ),
-        )
-        .drop("n_slices")
+    hot = leaders.filter(F.col(size_col) > rows_per_slice).select(
+        *keys, F.ceil(F.col(size_col) / rows_per_slice).cast("int").alias("n_slices")
     )
+    hot = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_ROWS else hot
+    slice_of = F.when(F.col("n_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("n_slices")).cast("int"))
+    sliced_rows = join_same(rows, hot, keys, "left").withColumn("slice", slice_of).drop("n_slices")
     sliced_leaders = (
-        leaders.join(F.broadcast(hot), keys, "left")
+        join_same(leaders, hot, keys, "left")
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_slices"), F.lit(1)) - 1)))
         .drop("n_slices")
     )
-    return sliced_rows.join(sliced_leaders, [*keys, "slice"]).drop("slice")
+    return join_same(sliced_rows, sliced_leaders, [*keys, "slice"]).drop("slice")
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[str | Column], number_col: str = "number") -> DataFrame:
@@ -82,7 +78,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[str | Column], number_
     )
     # One row per partition and group border; broadcast only after counting them.
     offsets = F.broadcast(offsets) if counts.count() <= MAX_BROADCAST_ROWS else offsets
-    joined = cut.join(offsets, ["_part", *by])
+    joined = join_same(cut, offsets, ["_part", *by])
     return joined.withColumn(number_col, F.col("_before") + F.col("_pos") - F.col("_first") + 1).drop(
         "_part", "_pos", "_first", "_before"
     )

@@ -199,8 +199,8 @@ def extract_statements(files: DataFrame, mode: str = "default") -> DataFrame:
     )
 
 
-def filter_valid(statements: DataFrame, strict: bool = False) -> DataFrame:
-    return statements.filter(S.is_valid_statement(F.col("raw_sql"), strict))
+def filter_valid(statements: DataFrame, strict: bool = False, max_length: int | None = None) -> DataFrame:
+    return statements.filter(S.is_valid_statement(F.col("raw_sql"), strict, max_length))
 
 
 def with_type(statements: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def with_flags(statements: DataFrame) -> DataFrame:
 
 
 def with_complexity(statements: DataFrame) -> DataFrame:
-    """Integer score: joins, subqueries, CTE, aggregation, windows, unions, HAVING, length."""
+    """Integer score: joins, subqueries, CTE, aggregation, windows, unions, HAVING, length. The points are fixed values."""
     sql = F.upper("raw_sql")
     points = (
         F.lit(1)
@@ -283,21 +283,30 @@ def with_first_match_lines(statements: DataFrame, files: DataFrame) -> DataFrame
     Repeated statements all report the first occurrence; (1, 1) when it is nowhere.
     """
     needle = F.substring(trim_ws(F.split_part("raw_sql", F.lit("\n"), F.lit(1))), 1, 50)
-    joined = statements.join(files.select("source_file", "content"), "source_file")
-    found = pinned(joined, {"_at": F.when(needle != "", F.instr(F.col("content"), needle)).otherwise(F.lit(0))})
-    hit = F.col("_at") > 0
-    above = count_lines(F.substr(F.col("content"), F.lit(1), F.col("_at") - 1))
-    located = pinned(
-        found,
+    keyed = pinned(statements, {"_needle": needle})
+    # A text meets the distinct first lines of its own statements once; line numbers, not texts, go back to statements.
+    wanted = keyed.groupBy("source_file").agg(F.collect_set("_needle").alias("_needles"))
+    met = files.select("source_file", "content").join(wanted, "source_file")
+
+    def place(n: Column) -> Column:
+        at = F.when(n != "", F.instr(F.col("content"), n)).otherwise(F.lit(0))
+        line = F.transform(
+            F.array(at), lambda i: F.when(i > 0, count_lines(F.substr(F.col("content"), F.lit(1), i - 1))).otherwise(F.lit(0))
+        )
+        return F.struct(n.alias("_needle"), F.get(line, 0).cast("int").alias("_line"))
+
+    places = met.select(
+        "source_file", count_lines(F.col("content")).alias("_length"), F.explode(F.transform("_needles", place)).alias("_p")
+    ).select("source_file", "_length", "_p._needle", "_p._line")
+    located = keyed.join(places, ["source_file", "_needle"])
+    hit = F.col("_line") > 0
+    last = F.least(F.col("_line") + count_lines(F.col("raw_sql")) - 1, F.col("_length"))
+    return located.withColumns(
         {
-            "line_first_match": F.when(hit, above).otherwise(F.lit(1)).cast("int"),
-            "_length": count_lines(F.col("content")),
-        },
-    )
-    last = F.least(F.col("line_first_match") + count_lines(F.col("raw_sql")) - 1, F.col("_length"))
-    return located.withColumn("line_first_match_end", F.when(hit, last).otherwise(F.lit(1)).cast("int")).drop(
-        "content", "_at", "_length"
-    )
+            "line_first_match": F.when(hit, F.col("_line")).otherwise(F.lit(1)).cast("int"),
+            "line_first_match_end": F.when(hit, last).otherwise(F.lit(1)).cast("int"),
+        }
+    ).drop("_needle", "_line", "_length")
 
 
 def filter_scores(statements: DataFrame, min_complexity: int = 0, min_importance: int = 0) -> DataFrame:

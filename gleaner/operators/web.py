@@ -9,14 +9,13 @@ from pyspark.sql import Window as W
 from gleaner.functions import urls as U
 from gleaner.session import durable
 
-MAX_PAGES = 1000
-
 # Scripts, styles and comments are no page content; tags are matched outside them.
 HIDDEN_MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 TAG = r"(?i)<(?:(a)\b[^>]*?\shref|(img)\b[^>]*?\ssrc)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
-# Fixed value: log line layout of the download tools.
-LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (.*)$"
+# Log line layout of the download tools (some write a level), and how each kind of message starts.
+LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (?:(?:DEBUG|INFO|WARNING|ERROR|CRITICAL) - )?(.*)$"
+LOG_EVENTS = {"downloaded": r"^Downloaded:? ", "failed": r"^Failed to download ", "fetch_error": r"^Error fetching "}
 
 
 def extract_links(pages: DataFrame, media: bool = True) -> DataFrame:
@@ -87,7 +86,7 @@ def expand_frontier(
     edges: DataFrame,
     seeds: DataFrame,
     max_depth: int | None = 2,
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     same_host: bool = True,
 ) -> DataFrame:
     """Pages reached from each seed with their smallest depth: (seed, url, depth).
@@ -141,9 +140,13 @@ def file_links(frontier: DataFrame, links: DataFrame, same_host: bool = True) ->
     return reached.select("target", "suffix", "category").distinct()
 
 
-def download_plan(targets: DataFrame, existing: DataFrame | None = None, layout: str = "tree") -> DataFrame:
-    """One URL (the smallest) per target path, paths already present left out; counts what collided."""
-    planned = targets.withColumn("target_path", U.target_path(F.col("target"), layout))
+def download_plan(
+    targets: DataFrame, existing: DataFrame | None = None, layout: str = "tree", site_col: str | None = None
+) -> DataFrame:
+    """One URL (the smallest) per target path, paths already present left out; counts what collided. ``site_col`` names the
+    column with the host of the page that links to the target, see ``target_path``."""
+    site = F.col(site_col) if site_col else None
+    planned = targets.withColumn("target_path", U.target_path(F.col("target"), layout, site))
     plan = planned.groupBy("target_path").agg(
         F.min("target").alias("url"), (F.count(F.lit(1)) - 1).alias("n_collisions")
     )
@@ -168,14 +171,9 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
         F.concat_ws(".", F.regexp_extract(line, LOG_LINE, 1), F.regexp_extract(line, LOG_LINE, 2)),
         F.lit("yyyy-MM-dd HH:mm:ss.SSS"),
     )
-    event = (
-        F.when(F.startswith(message, F.lit("Downloaded: ")), "downloaded")
-        .when(F.startswith(message, F.lit("Failed to download ")), "failed")
-        .when(F.startswith(message, F.lit("Error fetching ")), "fetch_error")
-        .otherwise("other")
-    )
-    url = F.regexp_extract(message, r"([A-Za-z][A-Za-z0-9+.\-]*://\S+)", 1)
-    url = F.when(event == "fetch_error", F.regexp_replace(url, ":$", "")).otherwise(url)
+    event = F.coalesce(*[F.when(message.rlike(start), name) for name, start in LOG_EVENTS.items()], F.lit("other"))
+    # A colon ends the address where a reason follows; "Downloaded <url> -> <path>" leaves the path to ``message``.
+    url = F.regexp_replace(F.regexp_extract(message, r"([A-Za-z][A-Za-z0-9+.\-]*://\S+)", 1), ":$", "")
     return lines.filter(line.rlike(LOG_LINE)).select(
         *[c for c in lines.columns if c != "line"],
         logged_at.alias("logged_at"),

@@ -17,7 +17,18 @@ from gleaner.operators import statements as ST
 from gleaner.operators import web as WB
 from gleaner.session import durable, spread
 from gleaner.sinks.reports import write_reports
-from gleaner.sources.files import DUPLICATE_EXCLUDED_DIRS, ScanOptions, list_files, prune_dirs, scan_files
+from gleaner.sources.files import (
+    DUPLICATE_EXCLUDED_DIRS,
+    ScanOptions,
+    decode_text,
+    filter_extension,
+    filter_size,
+    list_files,
+    prune_dirs,
+    scan_failures,
+    scan_files,
+    scan_metrics,
+)
 
 
 @dataclass
@@ -40,9 +51,13 @@ def statement_features(files: DataFrame, options: ConsolidateOptions | None = No
 
 
 def consolidate(
-    files: DataFrame, options: ConsolidateOptions | None = None, only: set[str] | None = None
+    files: DataFrame,
+    options: ConsolidateOptions | None = None,
+    only: set[str] | None = None,
+    scanned: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Text corpus to report frames, all or the named ones. The tagged statements are cut once and feed every report."""
+    """Text corpus to report frames, all or the named ones. The tagged statements are cut once and feed every report.
+    ``scanned`` is the row of ``scan_metrics`` that the run summary quotes."""
     o = options or ConsolidateOptions()
     found = durable(statement_features(files, o))
     tagged = durable(
@@ -54,6 +69,7 @@ def consolidate(
         "statements": lambda: unique,
         "dedup_stats": lambda: stats,
         "duplicate_edges": lambda: D.duplicate_edges(tagged),
+        "edge_report": lambda: D.edge_report_lines(stats, D.duplicate_edges(tagged)),
         "type_distribution": lambda: A.type_distribution(unique),
         "risk_summary": lambda: A.risk_summary(unique),
         "high_risk": lambda: A.high_risk(unique),
@@ -62,7 +78,7 @@ def consolidate(
         "table_ranks": lambda: A.table_ranks(unique),
         "findings": lambda: A.findings(unique),
         "summary": lambda: A.summary_lines(unique),
-        "run_summary": lambda: A.run_summary(stats, unique),
+        "run_summary": lambda: A.run_summary(stats, unique, scanned),
         "listing": lambda: A.listing(unique),
         "consolidated": lambda: A.consolidated(unique),
     }
@@ -78,11 +94,17 @@ def consolidate_tree(
     options: ConsolidateOptions | None = None,
     formats: dict[str, str] | None = None,
 ) -> dict[str, str]:
-    """Scan trees, consolidate, write the reports; no files give no reports."""
+    """Scan trees, consolidate, write the reports, with the scan's metrics and its failures; no files give these alone."""
+    scan = scan or ScanOptions()
+    chosen = prune_dirs(
+        filter_extension(list_files(spark, roots), scan.extensions, scan.exclude_extensions), scan.exclude_dirs, scan.drop_hidden
+    )
+    metrics = durable(scan_metrics(decode_text(filter_size(chosen, scan.max_bytes)).drop("raw"), scan.keywords))
+    frames = {"scan_metrics": metrics, "failures": scan_failures(chosen, scan.max_bytes)}
     files = scan_files(spark, roots, scan).withColumn("source_file", F.col("path"))
-    if files.isEmpty():
-        return {}
-    return write_reports(consolidate(files, options), output, run_id, formats)
+    if not files.isEmpty():
+        frames |= consolidate(files, options, scanned=metrics)
+    return write_reports(frames, output, run_id, formats)
 
 
 def find_duplicate_files(
@@ -91,11 +113,15 @@ def find_duplicate_files(
     key: str = "name",
     exclude_dirs: list[str] | None = None,
     algorithm: str = "sha256",
+    skip_unreadable: bool = False,
 ) -> DataFrame:
-    """Identical files below the roots as flat report rows; only the candidates are opened, and once."""
+    """Identical files below the roots as flat report rows; only the candidates are opened, and once. Candidates that
+    cannot be read raise an error, or are left out with ``skip_unreadable``."""
     listed = prune_dirs(list_files(spark, roots), exclude_dirs or DUPLICATE_EXCLUDED_DIRS, drop_hidden=False)
     files = listed.select("path", base_name(F.col("path")).alias("name"), "size")
-    hashed = FD.hash_paths(spread(FD.candidate_files(files, key), force=True), algorithm)
+    hashed = durable(FD.hash_paths(spread(FD.candidate_files(files, key), force=True), algorithm))
+    if not skip_unreadable and (bad := hashed.filter("hash is null").limit(3).collect()):
+        raise OSError("; ".join(f"{r['path']}: {r['error']}" for r in bad))
     return FD.duplicate_members(hashed, ["name", "size"] if key == "name" else ["size"])
 
 
@@ -103,7 +129,7 @@ def plan_downloads(
     pages: DataFrame,
     seeds: DataFrame,
     max_depth: int | None = 2,
-    max_pages: int | None = 800,
+    max_pages: int | None = None,
     existing: DataFrame | None = None,
     layout: str = "tree",
 ) -> DataFrame:

@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
@@ -60,3 +60,12 @@ def durable(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(cut: DataFrame) -> None:
+    """Delete the table behind a cut that nothing reads any more; other frames are left alone."""
+    spark = cut.sparkSession
+    for folder in {name.rpartition("/")[0] for name in cut.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("cut-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

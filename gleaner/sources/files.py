@@ -1,16 +1,21 @@
 """File trees and file tables as sources.
 
-File frames carry ``path``, ``relative_path``, ``size`` and, once read, ``content``. Spark's file listing skips names
-that start with ``_`` or ``.``, and files without any byte.
+File frames carry ``path``, ``relative_path``, ``size`` and, once read, ``content``. Spark's own listing skips names that
+start with ``_`` or ``.`` and files without any byte; ``list_files`` adds them.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import paths as P
 from gleaner.functions.text import contains_any, count_lines, trim_ws
@@ -20,7 +25,7 @@ DEFAULT_EXTENSIONS = [".sql", ".txt", ".log", ".bak"]
 EXCLUDED_EXTENSIONS = [".exe", ".dll", ".bin", ".jpg", ".png"]
 EXCLUDED_DIRS = [".git", "__pycache__", "node_modules"]
 DUPLICATE_EXCLUDED_DIRS = ["node_modules", ".git", "__pycache__", "venv", "bin", "obj"]
-MAX_FILE_BYTES = 100 * 1024 * 1024
+MAX_FILE_BYTES = 100 * 1024 * 1024  # of a sequential tool; no cap here unless asked for
 # What counts as source code, and the folders a source export leaves out.
 SOURCE_EXTENSIONS = [
     ".py", ".js", ".ts", ".jsx", ".tsx", ".html", ".css", ".cpp", ".c", ".cs", ".java",
@@ -38,7 +43,7 @@ class ScanOptions:
     exclude_extensions: list[str] = field(default_factory=lambda: list(EXCLUDED_EXTENSIONS))
     exclude_dirs: list[str] = field(default_factory=lambda: list(EXCLUDED_DIRS))
     drop_hidden: bool = True
-    max_bytes: int | None = MAX_FILE_BYTES
+    max_bytes: int | None = None
     keywords: list[str] = field(default_factory=list)
 
 
@@ -50,14 +55,55 @@ def _exists(spark: SparkSession, root: str) -> bool:
         return False
 
 
+def _unlisted(spark: SparkSession, roots: list[str]) -> list[tuple]:
+    """(path, modified, size) of the files that Spark's own listing skips: below or with a name that starts with ``_`` or
+    ``.``, and files without bytes. Metadata of these few alone is gathered here, from the session's file system."""
+    jvm, found = spark._jvm, []
+    for root in roots:
+        start = jvm.org.apache.hadoop.fs.Path(root)
+        system = start.getFileSystem(spark._jsc.hadoopConfiguration())
+        base = system.getFileStatus(start).getPath().toString().rstrip("/")
+        entries = system.listFiles(start, True)
+        while entries.hasNext():
+            entry = entries.next()
+            name, size = entry.getPath().toString(), entry.getLen()
+            if size == 0 or any(part[:1] in ("_", ".") for part in name[len(base) :].split("/") if part):
+                found.append((name, datetime.fromtimestamp(entry.getModificationTime() / 1000, UTC), size))
+    return found
+
+
+@F.pandas_udf(T.BinaryType())
+def _bytes_at(paths: pd.Series) -> pd.Series:
+    """Bytes of files by path; NULL where a file cannot be opened."""
+
+    def read(path: str) -> bytes | None:
+        try:
+            scheme, found, rest = path.partition("://")
+            local = not found or scheme == "file"
+            inner = re.sub("^file:", "", rest if found else path)
+            system, inner = (fs.LocalFileSystem(), inner) if local else fs.FileSystem.from_uri(path)
+            with system.open_input_stream(inner) as stream:
+                return stream.read()
+        except (OSError, ValueError):
+            return None
+
+    return paths.map(read)
+
+
 def list_files(spark: SparkSession, roots: list[str] | str) -> DataFrame:
-    """All files below the roots, one scan; bytes are read only where ``raw`` is used. Missing roots add nothing."""
+    """All files below the roots, whatever their names, empty ones included; bytes are read only where ``raw`` is used.
+    Missing roots add nothing. A file that vanishes or turns out corrupt during the scan does not end it."""
     roots = [roots] if isinstance(roots, str) else roots
     present = [r for r in roots if _exists(spark, r)]
     if present:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(present)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+        files = reader.option("ignoreMissingFiles", "true").load(present)
     else:
         files = spark.createDataFrame([], BINARY_SCHEMA)
+    if unlisted := _unlisted(spark, present):
+        more = spark.createDataFrame(unlisted, "path string, modificationTime timestamp, length long")
+        raw = F.when(F.col("length") == 0, F.lit(b"")).otherwise(_bytes_at("path"))
+        files = files.unionByName(more.withColumn("content", raw))
     relative = F.coalesce(F.lit(None).cast("string"), *[P.strip_root(F.col("path"), r) for r in present])
     root = F.coalesce(
         F.lit(None).cast("string"), *[F.when(P.strip_root(F.col("path"), r).isNotNull(), F.lit(r)) for r in present]
@@ -86,8 +132,8 @@ def prune_dirs(files: DataFrame, deny: list[str] | None = None, drop_hidden: boo
     )
 
 
-def filter_size(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    return files.filter(F.col("size") <= max_bytes)
+def filter_size(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    return files if max_bytes is None else files.filter(F.col("size") <= max_bytes)
 
 
 def filter_keywords(files: DataFrame, keywords: list[str]) -> DataFrame:
@@ -165,12 +211,13 @@ def scan_metrics(files: DataFrame, keywords: list[str] | None = None) -> DataFra
     )
 
 
-def scan_failures(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, reason) of raw files that are oversize, empty or not valid UTF-8; the scan itself goes on."""
-    oversize = F.col("size") > max_bytes
+def scan_failures(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(path, reason) of raw files that are oversize, empty, unreadable or not valid UTF-8; the scan itself goes on."""
+    oversize = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     reason = (
         F.when(oversize, "oversize")
         .when(F.col("size") == 0, "empty")
+        .when(F.col("raw").isNull(), "unreadable")
         .when(~F.is_valid_utf8(F.col("raw").cast("string")), "invalid_utf8")
     )
     return files.select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())

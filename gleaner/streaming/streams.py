@@ -36,10 +36,13 @@ def validate_sequence_stream(labels: DataFrame, expected: list[str] | None = Non
     """(key, valid) from the first time of each expected label, in update mode.
 
     A first time only ever moves earlier, so the aggregate is exact without a watermark; the state is one row per key.
-    ``expected`` must list labels in declaration order, which settles equal times as the batch form does.
+    ``expected`` must list labels in declaration order, which settles equal times as the batch form does. As there, a label
+    that is not expected makes the sequence invalid.
     """
     expected = expected or EXPECTED
     firsts = labels.groupBy("key").agg(
-        *[F.min(F.when(F.col("label") == label, F.col("ts"))).alias(f"t{i}") for i, label in enumerate(expected)]
+        *[F.min(F.when(F.col("label") == label, F.col("ts"))).alias(f"t{i}") for i, label in enumerate(expected)],
+        F.min(F.when(~F.col("label").isin(expected), F.col("ts"))).alias("other"),
     )
-    return firsts.select("key", _valid([F.col(f"t{i}") for i in range(len(expected))]).alias("valid"))
+    valid = _valid([F.col(f"t{i}") for i in range(len(expected))]) & F.col("other").isNull()
+    return firsts.select("key", valid.alias("valid"))

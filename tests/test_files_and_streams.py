@@ -62,7 +62,7 @@ def test_scan(spark, tree):
 
 
 def test_size_test_reaches_the_scan(spark, tree):
-    plan = IN.scan_files(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
+    plan = IN.scan_files(spark, str(tree), IN.ScanOptions(max_bytes=1000))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "LessThanOrEqual(length" in plan
 
 
@@ -110,7 +110,10 @@ def test_consolidate_tree(spark, tree):
     assert (stats.total_input, stats.total_unique) == (5, 5)
     listed = spark.read.parquet(written["listing"])
     assert sorted(r.number for r in listed.collect()) == [1, 2, 3, 4, 5]
-    assert consolidate_tree(spark, str(tree / "nowhere"), out, "r2") == {}
+    assert spark.read.parquet(written["scan_metrics"]).first().scanned == 4
+    failures = {Path(r.path).name: r.reason for r in spark.read.parquet(written["failures"]).collect()}
+    assert failures.get("latin.log") == "invalid_utf8"
+    assert set(consolidate_tree(spark, str(tree / "nowhere"), out, "r2")) == {"scan_metrics", "failures"}
 
 
 def test_consolidated_text(spark, scratch):
@@ -215,3 +218,49 @@ def test_arrivals(spark, scratch):
     put(scratch, "in/sub/b.txt", "22")
     rows = run_stream(SS.arrivals(spark, str(scratch / "in")), "append", "arrivals_out").collect()
     assert {(Path(r.path).name, r.size) for r in rows} == {("a.txt", 1), ("b.txt", 2)}
+
+
+def test_scan_keeps_every_name_and_empty_files(spark, scratch):
+    names = ["_init.sql", "pkg/__init__.py", "_arch/x.sql", "a b.sql", "plain.sql", "sub/.env"]
+    for name in names:
+        put(scratch, name, f"SELECT '{name}' FROM t;")
+    put(scratch, "empty.sql", "")
+    put(scratch, "pkg/empty.py", b"")
+    listed = IN.list_files(spark, str(scratch))
+    found = {r.relative_path: bytes(r.raw) for r in listed.collect()}
+    assert found == {**{n: f"SELECT '{n}' FROM t;".encode() for n in names}, "empty.sql": b"", "pkg/empty.py": b""}
+    scanned = IN.scan_files(spark, str(scratch), IN.ScanOptions(extensions=None))
+    assert {r.relative_path for r in scanned.collect()} == set(found) - {"sub/.env"} | {"sub/.env"} and scanned.count() == 8
+    assert {r.reason for r in IN.scan_failures(listed).collect()} == {"empty"}
+
+
+def test_unreadable_files_keep_their_rows(spark, scratch):
+    put(scratch, "a.txt", "same")
+    put(scratch, "b c.txt", "same")
+    paths = [f"file:{scratch}/a.txt", f"file://{scratch}/b c.txt", "dbfs:/mnt/x.txt", f"{scratch}/gone.txt", "s3n://b/k x.txt"]
+    rows = FD.hash_paths(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert len(rows) == 5
+    assert rows[0].hash == rows[1].hash and rows[0].hash and rows[0].error is None
+    assert all(r.hash is None and r.error for r in rows[2:])
+
+
+def test_null_keys_lose_no_row(spark):
+    from gleaner.operators.dedup import dedup_by_key
+    from gleaner.operators.lines import carry_marker
+    from gleaner.operators.skew import number_rows
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, n int")
+    tagged = {r.n: (r.is_duplicate, r.group_size) for r in dedup_by_key(rows, "k", ["n"], rows_per_slice=1).collect()}
+    assert tagged == {1: (False, 2), 2: (True, 2), 3: (False, 2), 4: (True, 2)}
+    numbered = {r.n: (r.number, r.number_total) for r in number_rows(rows, ["k"], ["n"]).collect()}
+    assert numbered == {1: (1, 2), 2: (2, 2), 3: (1, 2), 4: (2, 2)}
+    lines = spark.createDataFrame([(None, 1, "7"), (None, 2, None), (5, 1, None)], "doc_id long, line_no int, marker string")
+    assert {(r.doc_id, r.line_no): r.number for r in carry_marker(lines).collect()} == {(None, 1): "7", (None, 2): "7", (5, 1): None}
+
+
+def test_sequence_stream_equals_batch_with_other_labels(spark):
+    rows = [("k", "red", 1), ("k", "green", 2), ("k", "blue", 3), ("l", "red", 1), ("l", "green", 2), ("m", "green", 1), ("m", "red", 2)]
+    order = {"red": 0, "green": 1, "blue": 2}
+    labels = spark.createDataFrame([(k, x, t, order[x]) for k, x, t in rows], "key string, label string, ts int, label_order int")
+    batch = {r.key: r.valid for r in SE.validate_sequence(labels, ["red", "green"]).collect()}
+    assert {r.key: r.valid for r in SS.validate_sequence_stream(labels, ["red", "green"]).collect()} == batch == {"k": False, "l": True, "m": False}

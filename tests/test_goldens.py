@@ -170,7 +170,7 @@ def test_findings_and_summary(spark):
         ("critical", 1), ("high", 1), ("unfiltered", 1), ("top_table", 3), ("ddl", 1)
     }
     lines = [r.text for r in A.summary_lines(df).orderBy("section_no", "line_no").collect()]
-    assert lines[1] == "This consolidated document contains 4 unique SQL queries."
+    assert lines[2] == "This consolidated document contains 4 unique SQL queries."
     assert "  * 2 SELECT queries" in lines and "  * users: referenced 3 times" in lines
 
 
