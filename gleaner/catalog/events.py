@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.catalog.base import Query, fixture, oracle, table
 from gleaner.catalog.fixtures import FIXTURES
+from gleaner.catalog.ingest import TREE_SQL, document_tree
 from gleaner.operators import sequences as SE
 from gleaner.session import shared_folder
 from gleaner.streaming.streams import arrivals, validate_sequence_stream
@@ -29,7 +30,7 @@ EXPECTED_EVENTS = ["view", "click", "purchase"]
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     out = shared_folder(spark, "arrivals")
     query = (
-        arrivals(spark, d)
+        arrivals(spark, document_tree(spark, d))
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", out + "-state")
@@ -38,7 +39,7 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema("path string, modified timestamp, size long").parquet(out).select(
-        F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), "size"
+        F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1).alias("folder"), "size"
     )
 
 
@@ -61,7 +62,7 @@ def _validated(spark: SparkSession, d: str, expected: list[str]) -> DataFrame:
 
 
 QUERIES = [
-    Query("st1_arrivals", _arrivals),
+    Query("st1_arrivals", _arrivals, f"SELECT folder, size FROM ({TREE_SQL})"),
     Query(
         "st4_validate_stream",
         lambda s, d: _validated(s, d, EXPECTED_EVENTS),

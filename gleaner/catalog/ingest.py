@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.catalog import duck as D
-from gleaner.catalog.base import Query, fixture, oracle
+from gleaner.catalog.base import Query, fixture, oracle, table
 from gleaner.catalog.fixtures import FIXTURES
 from gleaner.functions import paths as P
+from gleaner.session import shared_folder
 from gleaner.sources import files as IN
 
 FILES = {"files": "files"}
@@ -46,15 +47,42 @@ def _spoiled(spark: SparkSession, d: str) -> DataFrame:
 _NON_ASCII = "regexp_matches(content, '[^\\x00-\\x7F]')"
 
 
-def _listed(spark: SparkSession, d: str) -> DataFrame:
-    """The table files themselves as a tree; their bytes are never read."""
-    return IN.list_files(spark, [d, f"{d}/no-such-folder"])
+def document_tree(spark: SparkSession, d: str) -> str:
+    """The documents as a tree of text files in the shared folder: one file per language and source, one line each."""
+    path = shared_folder(spark, "tree")
+    lines = table(spark, d, "documents").select("lang", "source", F.translate("text", "\n", " ").alias("value"))
+    lines.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    return path
+
+
+TREE_SQL = """SELECT concat('lang=', lang, '/source=', source) AS folder, lang, sum(strlen(text) + 1)::BIGINT AS size
+  FROM documents GROUP BY lang, source"""
+ROOTS = ["lang=en", "lang=fr", "lang=none"]
+SIZE_CAP = 20000
+
+
+def _listed(spark: SparkSession, d: str, roots: list[str] | None = None) -> DataFrame:
+    """The text files of the tree; what the writer leaves beside them is hidden or has another suffix."""
+    tree = document_tree(spark, d)
+    listed = IN.list_files(spark, [f"{tree}/{r}" for r in roots] if roots else tree)
+    return IN.filter_extension(IN.prune_dirs(listed), [".txt"])
 
 
 QUERIES = [
     Query(
         "in1_list_files",
-        lambda s, d: _listed(s, d).select("relative_path", P.extension(F.col("path")).alias("extension"), "size"),
+        lambda s, d: _listed(s, d).select(
+            P.parent_dir(F.col("relative_path")).alias("folder"), P.extension(F.col("path")).alias("extension"), "size"
+        ),
+        f"SELECT folder, '.txt' AS extension, size FROM ({TREE_SQL})",
+    ),
+    Query(
+        "in1_scan_text",
+        lambda s, d: IN.scan_files(s, document_tree(s, d)).select(
+            P.parent_dir(F.col("relative_path")).alias("folder"), "size", "encoding", "line_count"
+        ),
+        """SELECT concat('lang=', lang, '/source=', source) AS folder, sum(strlen(text) + 1)::BIGINT AS size, 'utf-8' AS encoding,
+          (count(*) + 1)::INT AS line_count FROM documents GROUP BY lang, source""",
     ),
     Query(
         "in2_filter_extension",
@@ -111,7 +139,11 @@ QUERIES = [
     ),
     Query(
         "in9_roots",
-        lambda s, d: _listed(s, d).groupBy(F.col("root").isNotNull().alias("has_root")).agg(F.count("*").alias("n")),
+        lambda s, d: _listed(s, d, ROOTS)
+        .groupBy(F.regexp_extract("root", "([^/]*)$", 1).alias("root"))
+        .agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("size")),
+        f"""SELECT 'lang=' || lang AS root, count(*) AS n_files, sum(size)::BIGINT AS size FROM ({TREE_SQL})
+          WHERE lang IN ('en', 'fr') GROUP BY lang""",
     ),
     Query(
         "in10_scan_metrics",
@@ -133,6 +165,13 @@ QUERIES = [
             **FILES,
         ),
     ),
+    Query(
+        "in11_tree_failures",
+        lambda s, d: IN.scan_failures(_listed(s, d), SIZE_CAP).select(
+            F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1).alias("folder"), "reason"
+        ),
+        f"SELECT folder, 'oversize' AS reason FROM ({TREE_SQL}) WHERE size > {SIZE_CAP}",
+    ),
     Query(
         "in12_filter_name",
         lambda s, d: IN.filter_name(fixture(s, d, "f3"), "Oracle_info.txt").select("path"),

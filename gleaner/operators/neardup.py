@@ -24,6 +24,10 @@ from gleaner.session import durable
 MAX_BANDS_SIZE = 1_000_000_000
 
 
+# Records that a signature nominates in one round, at most.
+MAX_PIVOTS = 256
+
+
 def token_set(sql: Column) -> Column:
     return F.array_distinct(S.tokens(S.template_key(sql)))
 
@@ -128,7 +132,8 @@ def ordered_leaders(reps: DataFrame, signatures: DataFrame, similar: Column, piv
     lets every signature nominate its first ``pivots`` undecided records, and records are compared with nominated ones
     only, never with all of their group. A record nominated by all its signatures has met every earlier undecided
     candidate; with no similar one among them it is a leader, and records similar to it are decided too. The first
-    undecided record of all is always decided, so the loop ends; ``pivots`` grows so that it ends soon.
+    undecided record of all is always decided, so the loop ends; ``pivots`` grows to MAX_PIVOTS so that it ends soon, and
+    no further, so that what a signature nominates stays bounded and Spark prunes the ranking before the shuffle.
     Returns (ord, leader) for the records that are no leaders.
     """
     many = signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("signature")
@@ -175,7 +180,7 @@ def ordered_leaders(reps: DataFrame, signatures: DataFrame, similar: Column, piv
         undecided = durable(
             undecided.join(leaders, "ord", "left_anti").join(joined.select("ord"), "ord", "left_anti")
         )
-        pivots *= 4
+        pivots = min(pivots * 4, MAX_PIVOTS)
     if not leader_parts:
         return reps.select("ord", F.col("ord").alias("leader")).filter(F.lit(False))
     leaders, joined = leader_parts[0], joined_parts[0]
