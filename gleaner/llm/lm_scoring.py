@@ -204,7 +204,7 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
     # One layer: what a token and a place send into attention are rows of small tables.
     weights = p["Wqkv"].copy()
     weights[:, :d] /= math.sqrt(d)
-    table, places = p["E"] @ weights, p["P"] @ weights
+    table, places = (np.hstack([p[k] @ weights, p[k]]) for k in ("E", "P"))
     open_cells = np.tril(np.ones((WINDOW, WINDOW), np.float32))
     place = np.arange(WINDOW)
     for at in range(0, len(owner), 256):
@@ -214,19 +214,20 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
         # The end entry stands in for the goal of another sequence's cells; ``real`` leaves those out.
         spot = num[:, None] * STRIDE + place
         real = (spot < lengths[own][:, None]) & ((num[:, None] == 0) | (place >= WINDOW - STRIDE))
-        qkv = table[inputs]
-        qkv += places
-        x = (p["E"][inputs] + p["P"])[real]
-        h = x + attended(qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :], open_cells)[real] @ p["Wo"]
+        cell = np.flatnonzero(real)
+        sent = np.take(table, inputs, axis=0)
+        sent += places
+        o = attended(sent[..., :d], sent[..., d : 2 * d], sent[..., 2 * d : 3 * d], open_cells)
+        h = np.take(sent.reshape(-1, 4 * d), cell, axis=0)[:, 3 * d :] + np.take(o.reshape(-1, d), cell, axis=0) @ p["Wo"]
         h += np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
-        goal = joined[cells + 1][real]
+        goal = joined[cells.ravel()[cell] + 1]
         c, m = goal // MEMBERS, goal % MEMBERS
         lc = h @ p["Uc"].T + p["bc"]
         logp = lc[np.arange(len(goal)), c] - log_sum(lc)
         for i, idx in by_class(c):
             lm = h[idx] @ p["Um"][i].T + p["bm"][i]
             logp[idx] += lm[np.arange(len(idx)), m[idx]] - log_sum(lm)
-        totals += np.bincount(np.broadcast_to(own[:, None], real.shape)[real], logp, minlength=len(totals))
+        totals += np.bincount(own[cell // WINDOW], logp, minlength=len(totals))
     return totals
 
 
@@ -234,12 +235,12 @@ def attended(q: np.ndarray, k: np.ndarray, v: np.ndarray, open_cells: np.ndarray
     """Masked attention without the running maximum: an added column of ones sums the weights in the same product. Should
     the plain exponentials leave the range of floats, the slower way is taken."""
     s = np.matmul(q, k.transpose(0, 2, 1))
-    if s.max() > 80:
-        return attend(q * math.sqrt(WIDTH), k, v, causal())[1]
     np.exp(s, out=s)
     s *= open_cells
     o = np.matmul(s, np.concatenate([v, np.ones((*v.shape[:2], 1), v.dtype)], -1))
-    return o[..., :-1] / np.maximum(o[..., -1:], 1e-30)
+    if not np.isfinite(o).all() or o[..., -1].min() < 1e-30:
+        return attend(q * math.sqrt(WIDTH), k, v, causal())[1]
+    return o[..., :-1] / o[..., -1:]
 
 
 def log_sum(x: np.ndarray) -> np.ndarray:

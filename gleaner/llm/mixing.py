@@ -131,6 +131,7 @@ def mix(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     if "row" not in units.columns:
         same = units.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
         units = same.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("row"))
+    units = durable(units.select("doc_id", "source", "size", "row"))  # read twice, without texts
     wanted = durable(targets(units, weights, max_copies))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = units.select("doc_id", "source", "size", "row").join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")

@@ -60,9 +60,13 @@ def with_types(pages: DataFrame) -> DataFrame:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary of the pages, or none if they are too few to train one. Only compression depends on it."""
-    order = F.xxhash64("html", "page_id")
-    sample = pages.where("length(html) > 0").orderBy(order).limit(SAMPLE_PAGES).select(F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-    texts = [r["html"].encode() for r in sample.collect()]
+    known = pages.where("length(html) > 0").withColumn("h", F.xxhash64("html", "page_id"))
+    # The largest hash of the sample is found on hashes alone, so that only sampled pages reach the driver.
+    last = known.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    sample = known.where(F.col("h") <= last).select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_PAGES)
+    texts = [r["html"].encode("utf-8", "surrogatepass") for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except (zstandard.ZstdError, ValueError):
