@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +83,13 @@ class MemoTokenizer:
     Both pre-tokenizers in use always cut between a character that is no blank and a following space or line feed, so the
     stretches `blanks + non-blanks` of a text are encoded apart, and equal ones once. A text with any other blank is
     encoded whole. The memo holds two generations of at most ``max_entries`` stretches: the older one is dropped when the
-    younger is full, and what is used again moves to the younger one. That changes no id.
+    younger is full, and what is used again moves to the younger one. That changes no id. Where the tokenizer drops blanks,
+    the stretches are the words alone, whatever the blanks between them.
     """
 
     PIECE = re.compile(r"[ \n]*\S+")
+    #: Blanks to str.split(), symbols to the tokenizers.
+    SEPARATORS = re.compile("[\\x1c-\\x1f]")
     LONGEST = 200
     JOINED = 256
 
@@ -108,6 +112,8 @@ class MemoTokenizer:
         self.keeps_blanks = int(self.sizes[self.tokenizer.encode(" a", add_special_tokens=False).ids].sum()) == 2
 
     def pieces(self, text: str) -> list[str]:
+        if not self.keeps_blanks and not self.SEPARATORS.search(text):
+            return text.split()
         found = self.PIECE.findall(text)
         rest = len(text) - sum(map(len, found))
         if rest:
@@ -121,42 +127,43 @@ class MemoTokenizer:
         coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
 
-    def size(self, piece: str) -> int:
-        """Bytes of a stretch that starts with one space, as its tokens hold them."""
-        if self.keeps_blanks:
-            return len(piece.encode("utf-8", "surrogatepass"))
-        if piece.isascii():
-            return len(piece) - 1
-        return len(unicodedata.normalize("NFC", piece[1:]).lower().encode("utf-8", "surrogatepass"))
+    def size_in_tokens(self, pieces: list[str]) -> list[int]:
+        """Bytes of stretches as their tokens hold them."""
+        if not self.keeps_blanks:
+            pieces = [p if p.isascii() else unicodedata.normalize("NFC", p).lower() for p in pieces]
+        return [len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces]
 
     def many(self, pieces: list[str]) -> list[bytes]:
-        """Ids of stretches. Those that start with a single space are encoded as joined texts and told apart by the bytes of
-        their tokens; where the ends do not fit exactly, one by one."""
+        """Ids of stretches: words, or in a tokenizer that keeps blanks those that start with a single space, are encoded as
+        joined texts and told apart by the bytes of their tokens; the rest, and a text whose ends do not fit exactly, one by
+        one."""
         out: dict[str, bytes] = {}
-        plain = [p for p in pieces if len(p) < 2 or p[0] != " " or p[1] in " \n"]
-        joined = [p for p in pieces if not (len(p) < 2 or p[0] != " " or p[1] in " \n")]
+        if self.keeps_blanks:
+            joined = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1] not in " \n"]
+            glue = ""
+        else:
+            joined = [p for p in pieces if not p.isspace() and p.strip() == p]
+            glue = " "
+        rest = list(set(pieces).difference(joined))
         groups = [joined[at : at + self.JOINED] for at in range(0, len(joined), self.JOINED)]
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(coded.ids, dtype="<u4")
-            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([self.size(p) for p in group])
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum(self.size_in_tokens(group))
             at = np.searchsorted(ends, wanted)
             if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == wanted).all():
                 raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
                 out.update(zip(group, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts)]))
             else:
                 out.update(zip(group, self.plain(group)))
-        out.update(zip(plain, self.plain(plain)))
+        out.update(zip(rest, self.plain(rest)))
         return [out[p] for p in pieces]
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        wanted: set[str] = set()
-        for pieces in cut:
-            wanted.update(pieces)
-        if len(self.young) + len(wanted) > self.max_entries:
+        if len(self.young) > self.max_entries:
             self.old, self.young = self.young, {}
-        missing = wanted.difference(self.young)
+        missing = set(filterfalse(self.young.__contains__, chain.from_iterable(cut)))
         again = missing.intersection(self.old)
         self.young.update((p, self.old[p]) for p in again)
         missing = list(missing - again)
@@ -172,7 +179,7 @@ class MemoTokenizer:
         return [np.frombuffer(b, dtype="<u4") for b in self.encode_bytes(texts)]
 
 
-@lru_cache(maxsize=2)
-def memo_tokenizer(path: str) -> MemoTokenizer:
+@lru_cache(maxsize=1)
+def memo_tokenizer(path: str, max_entries: int = 250_000) -> MemoTokenizer:
     """One per Python worker, kept between its tasks."""
-    return MemoTokenizer(path)
+    return MemoTokenizer(path, max_entries)

@@ -22,6 +22,8 @@ from gleaner.session import durable
 
 CAPACITY = 1024
 END_ID = 2
+#: Stretches of text that a worker remembers the ids of, in each of two generations (about 100 MB).
+MEMO_ENTRIES = 450_000
 #: Nodes of the branch-and-bound before the best filling plan found so far is taken.
 MAX_NODES = 200
 #: Fillings tried at a node, least waste first.
@@ -178,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     first piece takes the remainder. Null text is empty: a document of the end id alone."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = memo_tokenizer(tokenizer)
+        coder = memo_tokenizer(tokenizer, MEMO_ENTRIES)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in remade(batches, 256):
             rows: list[tuple[int, int, int, int, int]] = []

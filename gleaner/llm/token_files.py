@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 from gleaner.llm.common import memo_tokenizer, remade
 
 END_ID = 2
+#: Stretches of text that a worker remembers the ids of, in each of two generations (about 100 MB).
+MEMO_ENTRIES = 450_000
 #: Bytes of a row group and of a page, and rows of a page: the page index has one entry per page.
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
@@ -33,7 +35,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     first, ties by the text's hash. Only doc_id and text are read of ``docs``. An empty table gives files without rows."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = memo_tokenizer(tokenizer)
+        coder = memo_tokenizer(tokenizer, MEMO_ENTRIES)
         end = np.array([end_id], dtype="<u4").tobytes()
         at = 0
         for batch in remade(batches, 256):
