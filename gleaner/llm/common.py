@@ -6,6 +6,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, filterfalse
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import durable
+from gleaner.session import durable, release  # noqa: F401  release is part of what operators share
 
 #: Words of the contracts: runs of anything but the six ASCII blanks.
 WORD_BREAKS = "\\x20\\x09-\\x0D"
@@ -24,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(cut: DataFrame) -> None:
-    """Delete the table behind a written cut that nothing reads any more."""
-    spark = cut.sparkSession
-    for name in {f.rpartition("/")[0] for f in cut.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        if "/cut-" in name:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that the frame does not have yet (names differ without case)."""
     taken = {c.lower() for c in df.columns}
@@ -64,6 +56,19 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While a written cut is made: hand rows to Python in batches of so many bytes, since buffers on both sides of the pipe
+    hold whole batches. The session's own value comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remade(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, to bound what a task holds as Python objects."""
     for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import memo_tokenizer, release, remade, word_bytes
+from gleaner.llm.common import memo_tokenizer, release, remade, small_batches, word_bytes
 from gleaner.session import durable
 
 WINDOW = 32
@@ -33,7 +33,7 @@ CLASSES = 32
 MEMBERS = 32
 #: Of all windows of the learning texts, the share that training steps use over all rounds. It grows with the input;
 #: small inputs use at least MIN_TOKENS tokens, several times over if need be.
-SHARE = 0.05
+SHARE = 0.03
 MIN_TOKENS = 2_000_000
 ROUNDS = 4
 BATCH = 64
@@ -42,7 +42,7 @@ SEED = 5
 #: Words in the broadcast table: the most frequent ones, at most so many.
 HOT_WORDS = 100_000
 #: Distinct words that a task counts before it hands on what it has.
-MAX_COUNTED = 200_000
+MAX_COUNTED = 150_000
 END_WORD = b"\n"  # no word holds a line feed
 ADD, FOLDS, HELD_OUT_FOLD = 0.1, 10, 0
 
@@ -274,7 +274,8 @@ def entries(counts: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def coded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, row, held_out, text and ids (little-endian unsigned 32-bit) of every whole text, as a written table."""
+    """doc_id, row, held_out, text and ids (little-endian unsigned 32-bit) of every whole text, as a written table: the same
+    rows, in the same order, for counts, training and scores."""
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +286,8 @@ def coded(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = rows.mapInArrow(code, f"doc_id {kind}, held_out boolean, text string, ids binary")
-    return durable(done.withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        return durable(done.withColumn("row", F.monotonically_increasing_id()))
 
 
 def word_counts(learning: DataFrame) -> DataFrame:
@@ -382,13 +384,15 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     table = coded(docs, tokenizer)
     learning = table.where("not held_out")
-    vocabulary = durable(word_counts(learning))
+    with small_batches(spark):
+        vocabulary = durable(word_counts(learning))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot = {bytes(r["word"]): r["c"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()}
     below = math.log10(n + ADD * (v + 1))
-    counts, n_docs = id_counts(learning)
-    to_entry, by_entry, share = entries(counts, n_docs)
-    params = fit(learning, to_entry, by_entry)
+    with small_batches(spark):
+        counts, n_docs = id_counts(learning)
+        to_entry, by_entry, share = entries(counts, n_docs)
+        params = fit(learning, to_entry, by_entry)
     shared = spark.sparkContext.broadcast((packed(params), to_entry, share, {w: math.log10(c + ADD) - below for w, c in hot.items()}))
     kind = docs.schema["doc_id"].dataType
     unseen = float(np.log(0.5 / max((counts[to_entry == 1] + 0.5).sum(), 0.5)))
@@ -443,7 +447,8 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("word", T.BinaryType()),
         ]
     )
-    found = durable(table.select("row", "doc_id", "held_out", "text", "ids").mapInArrow(run, schema))
+    with small_batches(spark):
+        found = durable(table.select("row", "doc_id", "held_out", "text", "ids").mapInArrow(run, schema))
     release(table)
     rare = found.where("word is not null").select("row", "word", "n").join(vocabulary, "word", "left")
     each = F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD)) - F.lit(below)

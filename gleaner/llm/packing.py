@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import memo_tokenizer, remade
+from gleaner.llm.common import memo_tokenizer, remade, small_batches
 from gleaner.operators.skew import number_rows
 from gleaner.session import durable
 
@@ -210,7 +210,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     ``docs`` needs doc_id and text; further columns are not read, whatever their names. Null or repeated ids are documents
     like others; ties among equal lengths go by doc_id, piece and start. An empty table gives an empty result.
     """
-    cut = durable(pieces(docs, tokenizer, capacity, end_id))
+    with small_batches(docs.sparkSession):
+        cut = durable(pieces(docs, tokenizer, capacity, end_id))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     plan = fill(histogram, capacity, max_nodes)
 
