@@ -208,26 +208,29 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
     open_cells = np.tril(np.ones((WINDOW, WINDOW), np.float32))
     place = np.arange(WINDOW)
     for at in range(0, len(owner), 256):
-        own, num = owner[at : at + 256], number[at : at + 256]
-        cells = (base[own] + num * STRIDE)[:, None] + place
-        inputs = joined[cells]
-        # The end entry stands in for the goal of another sequence's cells; ``real`` leaves those out.
-        spot = num[:, None] * STRIDE + place
-        real = (spot < lengths[own][:, None]) & ((num[:, None] == 0) | (place >= WINDOW - STRIDE))
-        cell = np.flatnonzero(real)
-        sent = np.take(table, inputs, axis=0)
-        sent += places
-        o = attended(sent[..., :d], sent[..., d : 2 * d], sent[..., 2 * d : 3 * d], open_cells)
-        h = np.take(sent.reshape(-1, 4 * d), cell, axis=0)[:, 3 * d :] + np.take(o.reshape(-1, d), cell, axis=0) @ p["Wo"]
+        hidden, goals, owners = [], [], []
+        for part in range(at, min(at + 256, len(owner)), 64):  # few windows at a time: their scores stay in the cache
+            own, num = owner[part : min(part + 64, at + 256)], number[part : min(part + 64, at + 256)]
+            cells = (base[own] + num * STRIDE)[:, None] + place
+            # The end entry stands in for the goal of another sequence's cells; ``real`` leaves those out.
+            spot = num[:, None] * STRIDE + place
+            real = (spot < lengths[own][:, None]) & ((num[:, None] == 0) | (place >= WINDOW - STRIDE))
+            cell = np.flatnonzero(real)
+            sent = np.take(table, joined[cells], axis=0)
+            sent += places
+            o = attended(sent[..., :d], sent[..., d : 2 * d], sent[..., 2 * d : 3 * d], open_cells)
+            hidden.append(np.take(sent.reshape(-1, 4 * d), cell, axis=0)[:, 3 * d :] + np.take(o.reshape(-1, d), cell, axis=0) @ p["Wo"])
+            goals.append(joined[cells.ravel()[cell] + 1])
+            owners.append(own[cell // WINDOW])
+        h, goal = np.concatenate(hidden), np.concatenate(goals)
         h += np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
-        goal = joined[cells.ravel()[cell] + 1]
         c, m = goal // MEMBERS, goal % MEMBERS
         lc = h @ p["Uc"].T + p["bc"]
         logp = lc[np.arange(len(goal)), c] - log_sum(lc)
         for i, idx in by_class(c):
             lm = h[idx] @ p["Um"][i].T + p["bm"][i]
             logp[idx] += lm[np.arange(len(idx)), m[idx]] - log_sum(lm)
-        totals += np.bincount(own[cell // WINDOW], logp, minlength=len(totals))
+        totals += np.bincount(np.concatenate(owners), logp, minlength=len(totals))
     return totals
 
 
