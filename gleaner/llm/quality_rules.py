@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.frames import pinned
 from gleaner.llm.common import free_name, replaced, words_of
 
 WINDOW = 5
@@ -50,6 +51,12 @@ RULES = (
 )
 
 
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "repeat_percent", "mean_word_chars",
+    "symbols_per_word", "stop_word_share", "dup_line_share", "base_failed", "failed_rules", "kept",
+)
+
+
 def window_hashes(words: Column, size: int = WINDOW) -> Column:
     """A 64-bit hash of each window of ``size`` words, in order; none for shorter texts."""
     n = F.size(words)
@@ -148,4 +155,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ..
     measured = with_measures(docs, text)
     named = F.filter(F.array(*[F.when(fails(r), r.name) for r in (*base, *rules)]), lambda x: x.isNotNull())
     judged = replaced(measured, {"base_failed": F.coalesce(F.greatest(F.lit(False), *[fails(r) for r in base]), F.lit(False)), "failed_rules": named})
-    return replaced(judged, {"kept": F.size("failed_rules") == 0})
+    judged = replaced(judged, {"kept": F.size("failed_rules") == 0})
+    # Pinned: a later filter on a result must not be pushed into the measures, where it would be evaluated per element.
+    own = [c for c in judged.columns if c not in docs.columns or c in RESULTS]
+    named = judged.withColumnsRenamed({c: f"_rule_{c}" for c in own})
+    return pinned(named, {c: F.col(f"_rule_{c}") for c in own}).drop(*[f"_rule_{c}" for c in own])
