@@ -31,12 +31,13 @@ STRIDE = 24
 WIDTH = 16
 CLASSES = 32
 MEMBERS = 32
-#: Of all windows of the learning texts, the share that training steps use over all rounds. It grows with the input;
-#: small inputs use at least MIN_TOKENS tokens, several times over if need be.
-SHARE = 0.03
+#: Training steps use every window of the learning texts once, a part of them in each round. Inputs of fewer than
+#: MIN_TOKENS tokens are gone over again, at most once in every round.
 MIN_TOKENS = 2_000_000
 ROUNDS = 4
 BATCH = 64
+#: Windows that a task holds, and takes its mini-batches from in random order, at a time.
+HELD_WINDOWS = 8192
 RATE = 0.01
 SEED = 5
 #: Words in the broadcast table: the most frequent ones, at most so many.
@@ -161,19 +162,25 @@ def gradients(p: Params, inputs: np.ndarray, goals: np.ndarray, real: np.ndarray
     return float(loss) / n, g
 
 
-def train(p: Params, inputs: np.ndarray, goals: np.ndarray, real: np.ndarray, rate: float, seed: int) -> Params:
-    """One pass of Adam over the windows."""
+def train(p: Params, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tuple[Params, float]:
+    """One pass of Adam over a stream of blocks of windows (inputs, goals, and 1 where the goal counts); returns also the
+    number of goals."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(inputs))
-    for step, at in enumerate(range(0, len(order), BATCH), 1):
-        part = order[at : at + BATCH]
-        _, g = gradients(p, inputs[part], goals[part], real[part])
-        for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.001 * (g[k] ** 2 - v[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
-    return p
+    rng = np.random.default_rng(seed)
+    step, weight = 0, 0.0
+    for block in blocks:
+        weight += float(block[:, 2].sum())
+        order = rng.permutation(len(block))
+        for at in range(0, len(order), BATCH):
+            step += 1
+            part = block[order[at : at + BATCH]].astype(np.int64)
+            _, g = gradients(p, part[:, 0], part[:, 1], part[:, 2] > 0)
+            for k in p:
+                m[k] += 0.1 * (g[k] - m[k])
+                v[k] += 0.001 * (g[k] ** 2 - v[k])
+                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
+    return p, weight
 
 
 def packed(p: Params) -> np.ndarray:
@@ -337,11 +344,33 @@ def id_counts(learning: DataFrame) -> tuple[np.ndarray, int]:
     return counts, n_docs
 
 
+def windows_of(batches: Iterable[pa.RecordBatch], entry_of: np.ndarray, turn: int, share: float) -> Iterator[np.ndarray]:
+    """Blocks of the windows of (row, ids) that a round takes: inputs, goals and whether a goal counts, as entries."""
+    kept, held = [], 0
+    for batch in batches:
+        for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n = len(ids) // 4 + 1
+            windows = np.arange(-(-n // WINDOW))
+            draw = ((row * 1_000_003 + windows) * 2_654_435_761 >> 8) % 65_536 / 65_536
+            chosen = windows[((draw + turn / ROUNDS) % 1.0) < share]
+            line = np.zeros(len(windows) * WINDOW + 1, np.int16)
+            line[1:n] = entry_of[np.minimum(np.frombuffer(ids, "<u4"), len(entry_of) - 1)]
+            for at in range(0, len(chosen), HELD_WINDOWS):  # a long text has many blocks
+                cells = chosen[at : at + HELD_WINDOWS, None] * WINDOW + np.arange(WINDOW)
+                kept.append(np.stack([line[cells], line[cells + 1], cells < n], 1).astype(np.int16))
+                held += len(cells)
+                if held >= HELD_WINDOWS:
+                    yield np.concatenate(kept)
+                    kept, held = [], 0
+    if kept:
+        yield np.concatenate(kept)
+
+
 def fit(learning: DataFrame, to_entry: np.ndarray, by_entry: np.ndarray) -> Params:
-    """Rounds of local steps and averaging. Of each round's windows a task keeps the entries only, 2 bytes a token."""
+    """Rounds of local steps and averaging; every window has its round. A task holds a block of windows at a time."""
     spark = learning.sparkSession
     total = max(float(by_entry.sum()), 1.0)
-    share = min(1.0, max(SHARE, MIN_TOKENS / total) / ROUNDS)
+    share = min(1.0, max(1.0, MIN_TOKENS / total) / ROUNDS)
     p = start(by_entry)
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((packed(p), to_entry))
@@ -350,29 +379,15 @@ def fit(learning: DataFrame, to_entry: np.ndarray, by_entry: np.ndarray) -> Para
         def run(batches: Iterable[pa.RecordBatch], turn: int = turn, rate: float = rate) -> Iterator[pa.RecordBatch]:
             memo_tokenizer.cache_clear()  # a reused worker may still hold it
             flat, entry_of = shared.value
-            kept = []
-            for batch in batches:
-                for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    n = len(ids) // 4 + 1
-                    windows = np.arange(-(-n // WINDOW))
-                    draw = ((row * 1_000_003 + windows) * 2_654_435_761 >> 8) % 65_536 / 65_536
-                    chosen = windows[((draw + turn / ROUNDS) % 1.0) < share]
-                    if len(chosen):
-                        line = np.zeros(len(windows) * WINDOW + 1, np.int64)
-                        line[1:n] = entry_of[np.minimum(np.frombuffer(ids, "<u4"), len(entry_of) - 1)]
-                        cells = chosen[:, None] * WINDOW + np.arange(WINDOW)
-                        kept.append(np.stack([line[cells], line[cells + 1], cells < n], 1).astype(np.int16))
-            if kept:
-                data = np.concatenate(kept).astype(np.int64)
-                p = train(unpacked(flat), data[:, 0], data[:, 1], data[:, 2] > 0, rate, SEED + turn)
-                weight = float(data[:, 2].sum())
+            p, weight = train(unpacked(flat), windows_of(batches, entry_of, turn, share), rate, SEED + turn)
+            if weight:
                 yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(packed(p) * weight).astype("<f8").tobytes()], pa.binary())], names=["w", "p"])
 
         rows = learning.select("row", "ids").mapInArrow(run, "w double, p binary").rdd.map(lambda r: (r["w"], np.frombuffer(r["p"], "<f8")))
         weight, summed = rows.treeAggregate((0.0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]))
         shared.unpersist()
-        if not weight:
-            break
+        if not weight:  # a round of a tiny input may have no window
+            continue
         p = unpacked(summed / weight)
     return p
 

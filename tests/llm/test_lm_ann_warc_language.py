@@ -93,6 +93,26 @@ def test_lm_takes_odd_rows(spark, monkeypatch):
     assert lm_scoring.score_documents(docs.limit(0), WORD).count() == 0
 
 
+def test_every_window_is_learned_from(spark, monkeypatch):
+    """Also where the input is above the floor: each window of each text in just one round."""
+    monkeypatch.setattr(lm_scoring, "MIN_TOKENS", 1000)
+    monkeypatch.setattr(lm_scoring, "HELD_WINDOWS", 40)
+    goals = spark.sparkContext.accumulator(0)
+    whole = lm_scoring.train
+
+    def counted(p, blocks, rate, seed):
+        p, weight = whole(p, blocks, rate, seed)
+        goals.add(int(weight))
+        return p, weight
+
+    monkeypatch.setattr(lm_scoring, "train", counted)
+    ids = [np.arange(n, dtype="<u4").tobytes() for n in (0, 31, 32, 900, 5000)]
+    learning = spark.createDataFrame([(i, b) for i, b in enumerate(ids)], "row long, ids binary")
+    to_entry, by_entry, _ = lm_scoring.entries(np.ones(5000), len(ids))
+    lm_scoring.fit(learning, to_entry, by_entry)
+    assert goals.value == sum(len(b) // 4 + 1 for b in ids)
+
+
 def brute(rows, every, k):
     out = {}
     for q in range(len(rows)):
