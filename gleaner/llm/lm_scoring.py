@@ -344,6 +344,12 @@ def id_counts(learning: DataFrame) -> tuple[np.ndarray, int]:
     return counts, n_docs
 
 
+def draws(row: int, n: int) -> np.ndarray:
+    """Numbers in [0, 1) of the first ``n`` windows of a row, spread evenly; 64-bit arithmetic that wraps, for any row number."""
+    mixed = np.full(n, row, np.int64).astype(np.uint64) * np.uint64(1_000_003) + np.arange(n, dtype=np.uint64)
+    return (mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) / 65_536
+
+
 def windows_of(batches: Iterable[pa.RecordBatch], entry_of: np.ndarray, turn: int, share: float) -> Iterator[np.ndarray]:
     """Blocks of the windows of (row, ids) that a round takes: inputs, goals and whether a goal counts, as entries."""
     kept, held = [], 0
@@ -351,8 +357,7 @@ def windows_of(batches: Iterable[pa.RecordBatch], entry_of: np.ndarray, turn: in
         for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             n = len(ids) // 4 + 1
             windows = np.arange(-(-n // WINDOW))
-            draw = ((row * 1_000_003 + windows) * 2_654_435_761 >> 8) % 65_536 / 65_536
-            chosen = windows[((draw + turn / ROUNDS) % 1.0) < share]
+            chosen = windows[((draws(row, len(windows)) + turn / ROUNDS) % 1.0) < share]
             line = np.zeros(len(windows) * WINDOW + 1, np.int16)
             line[1:n] = entry_of[np.minimum(np.frombuffer(ids, "<u4"), len(entry_of) - 1)]
             for at in range(0, len(chosen), HELD_WINDOWS):  # a long text has many blocks

@@ -113,6 +113,14 @@ def test_every_window_is_learned_from(spark, monkeypatch):
     assert goals.value == sum(len(b) // 4 + 1 for b in ids)
 
 
+def test_training_takes_rows_of_any_partition(spark):
+    rows = [0, 1073 << 33, 1074 << 33, (5000 << 33) + 7, 2**63 - 1]
+    learning = spark.createDataFrame([(r, np.arange(100, dtype="<u4").tobytes()) for r in rows], "row long, ids binary")
+    to_entry, by_entry, _ = lm_scoring.entries(np.ones(100), len(rows))
+    params = lm_scoring.fit(learning, to_entry, by_entry)
+    assert all(np.isfinite(v).all() for v in params.values())
+
+
 def brute(rows, every, k):
     out = {}
     for q in range(len(rows)):
