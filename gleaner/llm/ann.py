@@ -2,7 +2,9 @@
 
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) is applied to the unit vector, and the hash
 is the nearest signed axis. Each row is indexed once per table; a query looks into the buckets of its few largest
-components. Candidates meet their queries bucket by bucket, in blocks of bounded size, and are ranked by the exact
+components. As directions alone do not tell near from far where norms differ, each row is also indexed by the nearest of
+some pivots, vectors of the table itself, and a query looks into the cells of its nearest pivots: Euclidean, whatever the
+norms. Candidates meet their queries bucket by bucket, in blocks of bounded size, and are ranked by the exact
 Euclidean distance of the original vectors.
 """
 
@@ -18,9 +20,13 @@ from pyspark.sql import Window as W
 
 from gleaner.session import durable
 
-#: On vectors spread almost evenly over the sphere in 64 dimensions this finds 98 % of the ten nearest.
 TABLES = 16
 PROBES = 4
+#: Cells of the pivots, and how many of them a query looks into. Hashes and cells together found at least 97 % of the ten
+#: nearest in a numpy trial: 64 dimensions, 2000 and 10000 rows, unit, Gaussian and log-normal norms (sigma 0.3 to 1.5).
+PIVOTS = 128
+PIVOT_PROBES = 32
+PIVOT_TABLE = -1
 NEIGHBOURS = 10
 QUERY_EVERY = 100
 #: Vectors and queries of a bucket that one task compares at a time.
@@ -64,8 +70,29 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & ~bad & F.exists(embedding, lambda x: x != 0)
 
 
-def hashed(rows: DataFrame, tables: list[int], probes: int) -> DataFrame:
-    """(row, vec_id, v) to one line per table and probe: dim, tbl, bucket, row, vec_id, v (64-bit floats)."""
+def pivots_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """At most PIVOTS different vectors by length, those of the rows with the smallest hashes."""
+    drawn = rows.orderBy(F.xxhash64("row"), "row").limit(4 * PIVOTS).select("v").collect()
+    picked = list(dict.fromkeys(tuple(r["v"]) for r in drawn))[:PIVOTS]
+    return {dim: np.array([v for v in picked if len(v) == dim]) for dim in {len(v) for v in picked}}
+
+
+def cells(x: np.ndarray, pivots: np.ndarray | None, probes: int) -> np.ndarray:
+    """The ``probes`` nearest pivots of each row. A length without pivots is one cell."""
+    if pivots is None:
+        return np.zeros((len(x), 1), np.int64)
+    # Squares of pivots less twice the products order like distances; both sides are scaled, so that nothing overflows.
+    top = np.abs(pivots).max()
+    scale = np.maximum(np.abs(x).max(1, keepdims=True), top)
+    order = (pivots / top) ** 2 @ np.ones(pivots.shape[1]) * (top / scale) - 2 * (x / scale) @ (pivots / top).T
+    return np.argsort(order, axis=1, kind="stable")[:, :probes]
+
+
+def hashed(rows: DataFrame, tables: list[int], probes: int, pivots: dict[int, np.ndarray] | None = None, pivot_probes: int = 1) -> DataFrame:
+    """(row, vec_id, v) to one line per table and probe: dim, tbl, bucket, row, vec_id, v (64-bit floats). With ``pivots``
+    their cells are one more table."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    tables = tables if pivots is None else [*tables, PIVOT_TABLE]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +107,7 @@ def hashed(rows: DataFrame, tables: list[int], probes: int) -> DataFrame:
                 kept = batch.select(["row", "vec_id"]).take(pa.array(at))
                 binary = pa.array([x[i].tobytes() for i in range(len(x))], pa.binary())
                 for t in tables:
-                    found = buckets(unit, t, probes)
+                    found = cells(x, shared.value.get(int(dim)), pivot_probes) if t == PIVOT_TABLE else buckets(unit, t, probes)
                     times, n = found.shape[1], len(at)
                     again = pa.array(np.repeat(np.arange(n), times))
                     yield pa.RecordBatch.from_arrays(
@@ -149,8 +176,9 @@ def neighbours(
     clean = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = durable(clean.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")))
     asked = rows.where(F.col("vec_id") % every == 0)
-    index = durable(hashed(rows, list(range(tables)), 1))
-    found = durable(met(durable(hashed(asked, list(range(tables)), probes)), index, k))
+    pivots = pivots_of(rows)
+    index = durable(hashed(rows, list(range(tables)), 1, pivots))
+    found = durable(met(durable(hashed(asked, list(range(tables)), probes, pivots, PIVOT_PROBES)), index, k))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     have = found.groupBy("query_row").agg(F.count_distinct("row").alias("found"))
     wanted = asked.withColumn("dim", F.size("v")).join(sizes, "dim").join(have, F.col("row") == F.col("query_row"), "left")

@@ -153,6 +153,26 @@ def test_neighbours_recall_and_order(spark):
     assert all(np.isclose(r.score, np.linalg.norm(vectors[r.query_id] - vectors[r.vec_id]), rtol=1e-12) for r in got.itertuples())
 
 
+@pytest.mark.parametrize("sigma", [0.3, 0.7])
+def test_neighbours_recall_where_norms_vary(spark, sigma):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((2000, 64))
+    x *= np.exp(sigma * rng.standard_normal((2000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(frame, every=20).toPandas().groupby("query_id").vec_id.agg(set)
+    want = brute(list(enumerate(x)), 20, 10)
+    assert set(got.index) == set(want) and sum(len(got[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_cells_of_any_scale():
+    rng = np.random.default_rng(0)
+    x, pivots = rng.standard_normal((50, 8)), rng.standard_normal((6, 8))
+    want = np.argsort(((x[:, None] - pivots) ** 2).sum(-1), axis=1)
+    for scale in (1e-250, 1.0, 1e250):
+        assert (ann.cells(x * scale, pivots * scale, 6) == want).all()
+    assert (ann.cells(x, None, 6) == 0).all() and np.isfinite(ann.cells(x * 1e300, pivots * 1e-300, 6)).all()
+
+
 def test_neighbours_of_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     vectors = [(0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (100, [0.0, 1.0, 1e-3]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [1.0, None, 0.0]), (6, [nan, 1.0, 1.0]), (7, [inf, 0.0, 0.0]), (8, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (9, []), (200, [5.0, 5.0])]
