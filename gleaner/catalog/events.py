@@ -38,9 +38,9 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema("path string, modified timestamp, size long").parquet(out).select(
-        F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1).alias("folder"), "size"
-    )
+    arrived = spark.read.schema("path string, modified timestamp, size long").parquet(out)
+    folder = F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1).alias("folder")
+    return arrived.groupBy(folder).agg(F.sum("size").alias("size"))
 
 
 def _validated(spark: SparkSession, d: str, expected: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.catalog import duck as D
@@ -47,11 +47,16 @@ def _spoiled(spark: SparkSession, d: str) -> DataFrame:
 _NON_ASCII = "regexp_matches(content, '[^\\x00-\\x7F]')"
 
 
+#: Lines of a file of the tree; a folder has as many files as it takes.
+FILE_LINES = 10_000
+
+
 def document_tree(spark: SparkSession, d: str) -> str:
-    """The documents as a tree of text files in the shared folder: one file per language and source, one line each."""
+    """The documents as a tree of text files in the shared folder: a folder per language and source, one line each. A hot
+    source is dealt over tasks and files."""
     path = shared_folder(spark, "tree")
     lines = table(spark, d, "documents").select("lang", "source", F.translate("text", "\n", " ").alias("value"))
-    lines.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    lines.hint("rebalance", "lang", "source").write.option("maxRecordsPerFile", FILE_LINES).partitionBy("lang", "source").text(path)
     return path
 
 
@@ -68,18 +73,37 @@ def _listed(spark: SparkSession, d: str, roots: list[str] | None = None) -> Data
     return IN.filter_extension(IN.prune_dirs(listed), [".txt"])
 
 
+def _folder() -> Column:
+    return F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1).alias("folder")
+
+
+def _tree_failures(spark: SparkSession, d: str) -> DataFrame:
+    """(folder, reason): a folder is oversize as a whole; else the reasons of its files count, each once."""
+    files = _listed(spark, d)
+    sizes = files.groupBy(_folder()).agg(F.sum("size").alias("size"))
+    whole = IN.scan_failures(sizes.select(F.col("folder").alias("path"), "size", F.lit(b"").alias("raw")), SIZE_CAP)
+    whole = whole.withColumnRenamed("path", "folder")
+    single = IN.scan_failures(files).select(_folder(), "reason").distinct().join(whole, "folder", "left_anti")
+    return whole.unionByName(single)
+
+
 QUERIES = [
     Query(
         "in1_list_files",
-        lambda s, d: _listed(s, d).select(
-            P.parent_dir(F.col("relative_path")).alias("folder"), P.extension(F.col("path")).alias("extension"), "size"
-        ),
+        lambda s, d: _listed(s, d)
+        .groupBy(P.parent_dir(F.col("relative_path")).alias("folder"), P.extension(F.col("path")).alias("extension"))
+        .agg(F.sum("size").alias("size")),
         f"SELECT folder, '.txt' AS extension, size FROM ({TREE_SQL})",
     ),
     Query(
         "in1_scan_text",
-        lambda s, d: IN.scan_files(s, document_tree(s, d)).select(
-            P.parent_dir(F.col("relative_path")).alias("folder"), "size", "encoding", "line_count"
+        # Every file ends with a line feed, behind which an empty line counts: once for a folder. "latin-1" sorts first.
+        lambda s, d: IN.scan_files(s, document_tree(s, d))
+        .groupBy(P.parent_dir(F.col("relative_path")).alias("folder"))
+        .agg(
+            F.sum("size").alias("size"),
+            F.min("encoding").alias("encoding"),
+            (F.sum(F.col("line_count") - 1) + 1).cast("int").alias("line_count"),
         ),
         """SELECT concat('lang=', lang, '/source=', source) AS folder, sum(strlen(text) + 1)::BIGINT AS size, 'utf-8' AS encoding,
           (count(*) + 1)::INT AS line_count FROM documents GROUP BY lang, source""",
@@ -140,7 +164,9 @@ QUERIES = [
     Query(
         "in9_roots",
         lambda s, d: _listed(s, d, ROOTS)
-        .groupBy(F.regexp_extract("root", "([^/]*)$", 1).alias("root"))
+        .groupBy(F.regexp_extract("root", "([^/]*)$", 1).alias("root"), _folder())
+        .agg(F.sum("size").alias("size"))
+        .groupBy("root")
         .agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("size")),
         f"""SELECT 'lang=' || lang AS root, count(*) AS n_files, sum(size)::BIGINT AS size FROM ({TREE_SQL})
           WHERE lang IN ('en', 'fr') GROUP BY lang""",
@@ -167,9 +193,7 @@ QUERIES = [
     ),
     Query(
         "in11_tree_failures",
-        lambda s, d: IN.scan_failures(_listed(s, d), SIZE_CAP).select(
-            F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/", 1).alias("folder"), "reason"
-        ),
+        _tree_failures,
         f"SELECT folder, 'oversize' AS reason FROM ({TREE_SQL}) WHERE size > {SIZE_CAP}",
     ),
     Query(

@@ -264,3 +264,21 @@ def test_sequence_stream_equals_batch_with_other_labels(spark):
     labels = spark.createDataFrame([(k, x, t, order[x]) for k, x, t in rows], "key string, label string, ts int, label_order int")
     batch = {r.key: r.valid for r in SE.validate_sequence(labels, ["red", "green"]).collect()}
     assert {r.key: r.valid for r in SS.validate_sequence_stream(labels, ["red", "green"]).collect()} == batch == {"k": False, "l": True, "m": False}
+
+
+@pytest.mark.parametrize("name", ["in1_list_files", "in1_scan_text", "in9_roots", "in11_tree_failures", "st1_arrivals"])
+def test_tree_queries_over_many_bounded_files(spark, monkeypatch, name):
+    import duckdb
+
+    from gleaner.catalog import all_queries, ingest
+    from tools.check import canonical
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ingest, "FILE_LINES", 5, raising=False)
+    tree = spark.read.text(ingest.document_tree(spark, sf)).groupBy("lang", "source", F.input_file_name().alias("file")).count()
+    assert tree.agg(F.max("count")).first()[0] <= 5
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    query = next(q for q in all_queries() if q.name == name)
+    got, want = query.run(spark, sf).toPandas(), con.execute(query.sql).df()
+    assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
