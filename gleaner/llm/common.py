@@ -90,6 +90,9 @@ class MemoTokenizer:
     encoded whole. The memo holds two generations of at most ``max_entries`` stretches: the older one is dropped when the
     younger is full, and what is used again moves to the younger one. That changes no id. Where the tokenizer drops blanks,
     the stretches are the words alone, whatever the blanks between them.
+
+    ``special`` says what becomes of the string of a special token within a text: "text" encodes it like other characters,
+    "token" gives its id, as the library's plain call does; such texts are encoded whole.
     """
 
     PIECE = re.compile(r"[ \n]*\S+")
@@ -98,12 +101,17 @@ class MemoTokenizer:
     LONGEST = 200
     JOINED = 256
 
-    def __init__(self, path: str, max_entries: int = 250_000):
+    def __init__(self, path: str, max_entries: int = 250_000, special: str = "text"):
+        if special not in ("text", "token"):
+            raise ValueError(f"unknown special {special!r}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special == "text"
+        # Without case, as some tokenizers fold it before they look for tokens; a text too many is only encoded whole.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(added), re.IGNORECASE) if added and special == "token" else None
         self.max_entries = max_entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -117,6 +125,8 @@ class MemoTokenizer:
         self.keeps_blanks = int(self.sizes[self.tokenizer.encode(" a", add_special_tokens=False).ids].sum()) == 2
 
     def pieces(self, text: str) -> list[str]:
+        if self.whole and self.whole.search(text):
+            return [text]
         if not self.keeps_blanks and not self.SEPARATORS.search(text):
             return text.split()
         found = self.PIECE.findall(text)
@@ -149,6 +159,8 @@ class MemoTokenizer:
         else:
             joined = [p for p in pieces if not p.isspace() and p.strip() == p]
             glue = " "
+        if self.whole:
+            joined = [p for p in joined if not self.whole.search(p)]
         rest = list(set(pieces).difference(joined))
         groups = [joined[at : at + self.JOINED] for at in range(0, len(joined), self.JOINED)]
         for group, coded in zip(groups, self.tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
@@ -185,6 +197,6 @@ class MemoTokenizer:
 
 
 @lru_cache(maxsize=1)
-def memo_tokenizer(path: str, max_entries: int = 250_000) -> MemoTokenizer:
+def memo_tokenizer(path: str, max_entries: int = 250_000, special: str = "text") -> MemoTokenizer:
     """One per Python worker, kept between its tasks."""
-    return MemoTokenizer(path, max_entries)
+    return MemoTokenizer(path, max_entries, special)

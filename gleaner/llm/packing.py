@@ -175,12 +175,12 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_
     return [(times, filling) for filling, times in sorted(merged.items(), reverse=True)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, special: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents over ``capacity`` tokens are cut; their
     first piece takes the remainder. Null text is empty: a document of the end id alone."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = memo_tokenizer(tokenizer, MEMO_ENTRIES)
+        coder = memo_tokenizer(tokenizer, MEMO_ENTRIES, special)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in remade(batches, 256):
             rows: list[tuple[int, int, int, int, int]] = []
@@ -204,14 +204,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, max_nodes: int = MAX_NODES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, max_nodes: int = MAX_NODES, special: str = "text") -> DataFrame:
     """Pieces of all documents with sequence_id and offset, in as few sequences of ``capacity`` tokens as found.
 
     ``docs`` needs doc_id and text; further columns are not read, whatever their names. Null or repeated ids are documents
     like others; ties among equal lengths go by doc_id, piece and start. An empty table gives an empty result.
     """
     with small_batches(docs.sparkSession):
-        cut = durable(pieces(docs, tokenizer, capacity, end_id))
+        cut = durable(pieces(docs, tokenizer, capacity, end_id, special))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     plan = fill(histogram, capacity, max_nodes)
 

@@ -30,12 +30,12 @@ PAGE_ROWS = 1000
 MAX_BROADCAST_FILES = 1_000_000
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, special: str = "text") -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write the files in ascending doc_id order, null ids
-    first, ties by the text's hash. Only doc_id and text are read of ``docs``. An empty table gives files without rows."""
+    first, ties by the text's hash; ``special`` as in MemoTokenizer. Only doc_id and text are read of ``docs``. An empty table gives files without rows."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = memo_tokenizer(tokenizer, MEMO_ENTRIES)
+        coder = memo_tokenizer(tokenizer, MEMO_ENTRIES, special)
         end = np.array([end_id], dtype="<u4").tobytes()
         at = 0
         for batch in remade(batches, 256):

@@ -42,6 +42,31 @@ def test_memo_gives_the_ids_of_whole_texts(path):
             assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_memo_gives_the_ids_of_the_plain_library_call(path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    texts = [*ODD, "x <|endoftext|> y", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> x", "it's <|endoftext|>\n\n  two", "x <|endoftext|>\u0338"]
+    memo = MemoTokenizer(path, max_entries=5, special="token")
+    for _ in range(2):
+        for text, ids in zip(texts, memo.encode(texts)):
+            assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_queries_take_special_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "x <|endoftext|> y")], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    word, byte = ([*Tokenizer.from_file(p).encode("x <|endoftext|> y", add_special_tokens=False).ids, 2] for p in (WORD, BYTE))
+    assert QUERIES["op10_token_files"](spark, str(tmp_path)).first()["ids_crc32"] == crc(word)
+    assert QUERIES["op4_packing"](spark, str(tmp_path)).first()["ids_crc32"] == crc(byte)
+    assert corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).first()["ids_crc32"] == crc(byte)
+
+
 def test_token_files_round_trip(spark):
     rows = [(i * 7 % 19, t) for i, t in enumerate(ODD)] + [(None, "none"), (5, "again"), (5, "again")]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS ids", "2 AS file_no").repartition(3)
