@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, language, lm_scoring, mixing, near_dups, packing, quality_model, quality_rules, token_files, warc
+from gleaner.llm import ann, byte_pairs, conversations, language, lexical, lm_scoring, mixing, near_dups, packing, quality_model, quality_rules, token_files, warc
 from gleaner.llm.common import table, tokenizer_path
 from gleaner.session import shared_folder
 
@@ -59,6 +59,28 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc(token_files.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    coded = byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    decoded = byte_pairs.decode(coded.select("doc_id", "ids"), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 OP3_SQL = rf"""
 WITH d AS (
@@ -95,6 +117,29 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents WHERE text IS NOT NULL
+), d AS (SELECT *, len(words)::BIGINT AS n FROM t WHERE len(words) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+i AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS words
+  FROM benchmark WHERE text IS NOT NULL
+), it AS (SELECT q, item_id, unnest(words) AS word FROM i),
+f AS (SELECT r, doc_id, n, word, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(words) AS word FROM d) GROUP BY ALL),
+w AS (
+  SELECT word, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT word, count(*) AS df FROM f GROUP BY word), c
+), s AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM it JOIN f USING (word) JOIN w USING (word), c GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_neighbours,
         op9_quality_model,
         op10_token_files,
+        op11_conversation_repair,
+        op12_lexical_search,
+        op13_byte_pairs,
     )
 }
-SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op5_warc": OP5_SQL}
+SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op5_warc": OP5_SQL, "op12_lexical_search": OP12_SQL}
