@@ -21,10 +21,9 @@ from gleaner.llm.common import remade, replaced
 #: Documented bounds: positives and unlabelled texts that the model is fitted on. Everything else covers all rows.
 MAX_POSITIVES = 8_000
 MAX_UNLABELLED = 8_000
-EPOCHS = 40
-BATCH = 1024
-RATE = 0.02
+#: Weakest ridge of the weights, and Newton steps of a fit at most (it ends when a step changes nothing).
 RIDGE = 1e-2
+MAX_STEPS = 100
 CUT = 0.7
 FOLDS, HELD_OUT_FOLD = 4, 2
 SCORE_BINS = 200
@@ -131,39 +130,55 @@ class Model:
     center: np.ndarray
     scale: np.ndarray
     prior: float
+    ridge: float = RIDGE
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.center) / self.scale @ self.weights + self.bias
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64))), 12)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Model:
-    """Minimise the non-negative risk by Adam over batches of both kinds. Where the estimated negative risk of a batch is
-    below zero, the step goes the other way on that part, which is what keeps the estimator from overfitting."""
+def softplus(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, z)
+
+
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float, w: np.ndarray) -> np.ndarray:
+    """Newton steps to the least unbiased risk with this ridge. With the logistic loss the risk is convex,
+    ``mean_u softplus(z) - prior * mean_p z``; the bias (last) has no ridge, so that the mean score of the unlabelled is the
+    prior."""
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 0
+    pull = prior * positive.mean(0)
+    risk = lambda v: softplus(unlabelled @ v).mean() - pull @ v + 0.5 * (penalty * v * v).sum()
+    now = risk(w)
+    for _ in range(MAX_STEPS):
+        s = 1 / (1 + np.exp(-np.clip(unlabelled @ w, -30, 30)))
+        gradient = s @ unlabelled / len(s) - pull + penalty * w
+        curvature = (unlabelled * (s * (1 - s) / len(s))[:, None]).T @ unlabelled + np.diag(penalty + 1e-9)
+        step, size = np.linalg.solve(curvature, gradient), 1.0
+        while (after := risk(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if not after < now - 1e-12:
+            break
+        w, now = w - size * step, after
+    return w
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """The least non-negative risk, prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), with a ridge.
+
+    Where the least unbiased risk has a non-negative second part, it is the least non-negative risk too, since that is never
+    smaller. A negative one is a sign of too free a model, so the ridge is doubled until it is not (without weights the part is
+    (1 - prior) * softplus(bias)). The outcome depends on no order, batch or number of steps."""
     both = np.concatenate([positive, unlabelled])
     center, scale = both.mean(0), both.std(0) + 0.02
-    p, u = ((m - center) / scale for m in (positive, unlabelled))
-    rng = np.random.default_rng(seed)
-    w = np.zeros(p.shape[1] + 1)
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    p, u = (np.hstack([a, np.ones((len(a), 1), a.dtype)]) for a in (p, u))
-    rounds = max(1, max(len(p), len(u)) // BATCH)
-    for epoch in range(EPOCHS):
-        order_p, order_u = rng.permutation(len(p)), rng.permutation(len(u))
-        for part_p, part_u in zip(np.array_split(order_p, rounds), np.array_split(order_u, rounds)):
-            xp, xu = p[part_p], u[part_u]
-            if not len(xp) or not len(xu):
-                continue
-            sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (xp, xu))
-            negative = float(-np.log1p(-su + 1e-12).mean() - prior * -np.log1p(-sp + 1e-12).mean())
-            grad_plus = -prior * (xp * (1 - sp)[:, None]).mean(0)
-            grad_minus = (xu * su[:, None]).mean(0) - prior * (xp * sp[:, None]).mean(0)
-            grad = grad_plus + grad_minus if negative >= 0 else -grad_minus
-            grad[:-1] += RIDGE * w[:-1]
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(w[:-1].astype(np.float32), float(w[-1]), center, scale, prior)
+    p, u = (np.hstack([(m - center) / scale, np.ones((len(m), 1))]).astype(np.float64) for m in (positive, unlabelled))
+    w, ridge = np.zeros(p.shape[1]), RIDGE
+    w[-1] = np.log(prior / (1 - prior))
+    while True:
+        w = minimise(p, u, prior, ridge, w)
+        if softplus(u @ w).mean() >= prior * softplus(p @ w).mean() or ridge > 1e6:
+            return Model(w[:-1].astype(np.float32), float(w[-1]), center, scale, prior, ridge)
+        ridge *= 2
 
 
 def prior_from_bins(bins: list[tuple[int, int, int]], delta: float = 0.1) -> float:
@@ -207,14 +222,22 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text_")).mapInArrow(run, schema)
 
 
+def least_hashes(ids: DataFrame, seed: int, bound: int) -> DataFrame:
+    """The ``bound`` ids with the smallest hashes. Those that can't be among them are left out before the order is made, by a
+    threshold somewhat above the share that is wanted; were it too low, which is next to impossible, a few fewer are taken."""
+    h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
+    share = (1.2 * bound + 500) / max(1, ids.count())
+    near = ids if share >= 1 else ids.where(h < int(share * (1 << 40)))
+    return near.orderBy(h, "doc_id").limit(bound)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the learning folds (crc32 of the id, mod 4, not 2). A label counts as positive if all labels of the id are 1.
     Without positives or texts every score is the prior, 0.5."""
     learning = F.coalesce(remainder() != HELD_OUT_FOLD, F.lit(False))
-    shuffled = F.xxhash64(F.lit(SEED), "doc_id")
     good = labels.where(learning & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    positives = good.orderBy(shuffled).limit(MAX_POSITIVES).withColumn("positive", F.lit(True))
-    others = docs.where(learning).select("doc_id").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id")).limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
+    positives = least_hashes(good, SEED, MAX_POSITIVES).withColumn("positive", F.lit(True))
+    others = least_hashes(docs.where(learning).select("doc_id"), SEED + 1, MAX_UNLABELLED).withColumn("positive", F.lit(False))
     # At most MAX_POSITIVES + MAX_UNLABELLED ids: a broadcast of bounded size.
     sample = docs.select("doc_id", "text").join(F.broadcast(positives.union(others)), "doc_id").select("doc_id", "positive", "text")
 

@@ -102,6 +102,48 @@ def test_learning_uses_no_label_of_the_held_out_fold(spark):
     assert np.array_equal(a.weights, b.weights) and a.prior == b.prior
 
 
+@pytest.mark.parametrize("rows", [30, 200, 2000, 8000])
+@pytest.mark.parametrize("prior", [0.5, 0.9, 0.99])
+def test_features_without_meaning_give_the_prior_at_any_size(rows, prior):
+    rng = np.random.default_rng(rows)
+    positive, unlabelled = (rng.random((rows, 24)).astype(np.float32) for _ in range(2))
+    model = quality_model.fit(positive, unlabelled, prior)
+    assert model.score(unlabelled).mean() == pytest.approx(prior, abs=0.02)
+
+
+def test_fit_is_the_least_non_negative_risk():
+    rng = np.random.default_rng(3)
+    positive = rng.normal(1, 1, (400, 3)).astype(np.float32)
+    unlabelled = np.concatenate([rng.normal(1, 1, (600, 3)), rng.normal(-1, 1, (300, 3))]).astype(np.float32)
+    model = quality_model.fit(positive, unlabelled, 2 / 3)
+
+    def risk(weights, bias):
+        z_p, z_u = ((m - model.center) / model.scale @ weights + bias for m in (positive, unlabelled))
+        soft = lambda z: np.logaddexp(0, z).mean()
+        rest = soft(z_u) - 2 / 3 * soft(z_p)
+        return 2 / 3 * soft(-z_p) + max(0, rest) + 0.5 * model.ridge * (weights**2).sum()
+
+    least = risk(model.weights, model.bias)
+    for _ in range(300):
+        assert risk(model.weights + rng.normal(0, 0.05, 3), model.bias + rng.normal(0, 0.05)) >= least - 1e-6
+    assert (model.score(unlabelled[:600]) > 0.5).mean() > 0.9 and (model.score(unlabelled[600:]) < 0.5).mean() > 0.9
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", SF_DIR])
+def test_labels_that_are_all_good_keep_nearly_all(spark, sf_dir):
+    docs = quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("kept").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    got = quality_model.classify(docs, labels).join(labels, "doc_id").toPandas()
+    assert len(got) and got.predicted.mean() >= 0.95
+
+
+def test_sample_by_hash_is_that_of_the_whole_order(spark):
+    ids = spark.range(20000).withColumnRenamed("id", "doc_id")
+    some = {r[0] for r in quality_model.least_hashes(ids, 5, 300).collect()}
+    assert len(some) == 300 and {r[0] for r in quality_model.least_hashes(ids, 5, 50000).collect()} == set(range(20000))
+    assert some < {r[0] for r in quality_model.least_hashes(ids, 5, 600).collect()}
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(0)
     n = quality_model.SCORE_BINS
