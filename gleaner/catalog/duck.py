@@ -15,11 +15,26 @@ def count(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, '{pattern}'))"
 
 
+_NO_CODE = r"''[^'']*''|\"[^\"]*\"|--[^\n]*|/\*(?s:.*?)\*/|\$\$(?s:.*?)\$\$"
+
+
 def pieces(x: str) -> str:
-    pattern = (
-        r"(?:[^;''\"/\-]+|''[^'']*''|\"[^\"]*\"|--[^\n]*|/\*(?s:.*?)\*/|[''\"/\-])+;?|;"
+    return rf"regexp_extract_all({x}, '(?:[^;''\"/\-$]+|{_NO_CODE}|[''\"/\-$])+;?|;')"
+
+
+def block_change(x: str) -> str:
+    code = f"upper(regexp_replace({x}, '{_NO_CODE}', ' ', 'g'))"
+    opened = (
+        rf"{count(code, r'\b(BEGIN|CASE)\b')} - {count(code, r'\bEND\s+CASE\b')} - "
+        + count(code, r"\bBEGIN\s*(?:;|(?:TRAN|TRANSACTION|WORK|DEFERRED|IMMEDIATE|EXCLUSIVE|ISOLATION|READ)\b)")
+    )
+    ended = rf"{count(code, r'\bEND\b')} - {count(code, r'\bEND\s+(?:IF|LOOP|WHILE|REPEAT|FOR|TRAN|TRANSACTION)\b')}"
+    opening = (
+        r"^\s*(?:(?:CREATE|ALTER)\s+(?:\S+\s+){0,5}?(?:PROCEDURE|PROC|FUNCTION|TRIGGER|PACKAGE|EVENT)\b"
+        r"|(?:BEGIN|DECLARE|IF|ELSE|ELSEIF|ELSIF|WHILE|FOR|FOREACH|LOOP|REPEAT|WHEN|CASE|EXCEPTION|END|AS|IS)\b|\w+\s*:|<<)"
     )
-    return f"regexp_extract_all({x}, '{pattern}')"
+    change = f"(({opened}) - ({ended}))"
+    return f"CASE WHEN regexp_matches({code}, '{opening}') THEN {change} ELSE least({change}, 0) END"
 
 
 def strip_comments(x: str) -> str:

@@ -63,8 +63,28 @@ _LOG = f"""SELECT concat('src/log', lpad(cast(o_orderkey as string), 10, '0'), '
 FROM orders WHERE o_orderstatus = 'P'"""
 
 
+# Scripts of procedural code: bodies with CASE and nested blocks, a trigger, transactions, a dollar-quoted body, a block that
+# nothing closes, and prose that talks of beginnings and ends.
+_N = "chr(10)"
+_BODIES = f"""SELECT concat('src/proc', lpad(cast(o_orderkey as string), 10, '0'), '.sql') AS source_file,
+  concat('SELECT c', {K}, ' FROM t', {O}, ';', {_N}, CASE o_orderkey % 6
+    WHEN 0 THEN concat('CREATE OR REPLACE PROCEDURE p', {K}, '(a INT)', {_N}, 'BEGIN', {_N}, '  UPDATE t SET x = CASE WHEN a > ', {K},
+      ' THEN 1 ELSE 0 END;', {_N}, '  INSERT INTO log VALUES (a, ''BEGIN;'');', {_N}, 'END;')
+    WHEN 1 THEN concat('create trigger trg', {K}, ' after insert on t for each row begin', {_N}, '  if new.x = ', {K},
+      ' then begin delete from u where id = 1; end; end if;', {_N}, '  case new.y when 1 then delete from v; end case;', {_N}, 'end;')
+    WHEN 2 THEN concat('BEGIN TRANSACTION;', {_N}, 'DELETE FROM q WHERE id = ', {O}, ';', {_N}, 'COMMIT;', {_N}, 'BEGIN;', {_N},
+      'UPDATE q SET a = 1;', {_N}, 'END;')
+    WHEN 3 THEN concat('CREATE FUNCTION f', {K}, '() RETURNS INT AS $$ BEGIN RETURN 1; END; $$ LANGUAGE plpgsql;')
+    WHEN 4 THEN concat('CREATE PROC open', {K}, ' AS BEGIN SELECT a FROM b;', {_N}, 'DELETE FROM c WHERE d = ', {O}, ';')
+    ELSE concat('we begin here; the case is open; -- BEGIN', {_N}, 'BEGIN TRY', {_N}, '  DELETE FROM w', {K}, '; BEGIN x; END', {_N},
+      'END TRY BEGIN CATCH ROLLBACK; END CATCH;') END,
+    {_N}, {_N}, 'DROP TABLE last_', {K}, ';') AS content
+FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 4 = 0"""
+
+
 def _texts(aggregate: str) -> str:
-    return f"SELECT source_file, {aggregate} AS content FROM ({F1}) GROUP BY source_file UNION ALL {_LOG}"
+    files = f"SELECT source_file, {aggregate} AS content FROM ({F1}) GROUP BY source_file"
+    return f"{files} UNION ALL {_LOG} UNION ALL {_BODIES}"
 
 
 F2 = _texts("string_agg(raw_sql, chr(10) ORDER BY ordinal)")

@@ -23,7 +23,15 @@ FEATURES = {"f1": "f1", "s": D.features("f1")}
 
 _PIECES = f"""SELECT source_file, (generate_subscripts({D.pieces('content')}, 1) - 1)::INT AS ordinal,
   unnest({D.pieces('content')}) AS piece FROM f2"""
-_SPLIT = f"""SELECT source_file, ordinal, {D.trim_ws('piece')} AS raw_sql, piece FROM pieces"""
+_SUMS = f"""SELECT *, sum({D.block_change('piece')}) OVER (PARTITION BY source_file ORDER BY ordinal) AS s FROM pieces"""
+_DEPTHS = """SELECT *, s - least(0, min(s) OVER (PARTITION BY source_file ORDER BY ordinal)) AS depth FROM sums"""
+_ENDS = """SELECT *, depth = 0 OR ordinal > coalesce(max(CASE WHEN depth = 0 THEN ordinal END) OVER (PARTITION BY source_file), -1)
+  AS ends FROM depths"""
+_NUMBERED = """SELECT source_file, ordinal, piece, coalesce(sum(ends::INT) OVER (PARTITION BY source_file ORDER BY ordinal
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS statement FROM ends"""
+_WHOLE = """SELECT source_file, min(ordinal) AS ordinal, string_agg(piece, '' ORDER BY ordinal) AS piece FROM numbered
+  GROUP BY source_file, statement"""
+_SPLIT = f"""SELECT source_file, ordinal, {D.trim_ws('piece')} AS raw_sql, piece FROM whole"""
 _LINES = f"""SELECT *, {D.statement_type('raw_sql')} AS query_type,
   (coalesce(sum({D.n_lines('piece')} - 1) OVER (PARTITION BY source_file ORDER BY ordinal
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -31,7 +39,18 @@ _LINES = f"""SELECT *, {D.statement_type('raw_sql')} AS query_type,
 _KEPT = f"""SELECT source_file, ordinal, raw_sql, query_type, line_start,
   (line_start + {D.n_lines('raw_sql')} - 1)::INT AS line_end
   FROM lines WHERE length(raw_sql) >= 10 AND NOT ({D.comment_only('raw_sql')}) AND query_type <> 'UNKNOWN'"""
-SPLIT = {"f2": "f2", "pieces": _PIECES, "split": _SPLIT, "lines": _LINES, "kept": _KEPT}
+SPLIT = {
+    "f2": "f2",
+    "pieces": _PIECES,
+    "sums": _SUMS,
+    "depths": _DEPTHS,
+    "ends": _ENDS,
+    "numbered": _NUMBERED,
+    "whole": _WHOLE,
+    "split": _SPLIT,
+    "lines": _LINES,
+    "kept": _KEPT,
+}
 
 _STARTERS = "SELECT|INSERT|UPDATE|DELETE|MERGE|CREATE|ALTER|DROP|TRUNCATE|EXEC|EXECUTE|WITH|BEGIN|DECLARE|CALL"
 

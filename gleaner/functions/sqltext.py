@@ -123,10 +123,18 @@ DEFAULT_WEIGHT = 3
 MIN_LENGTH = 10
 MAX_LENGTH = 500000
 
-# One statement: everything up to a semicolon that is outside quotes and comments. Possessive quantifiers keep the
-# matcher iterative, so a statement of any length fits the thread stack.
-STATEMENT = (
-    r"(?:[^;'\"/\-]++|'[^']*+'|\"[^\"]*+\"|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|['\"/\-])++;?|;"
+# One piece: everything up to a semicolon that is outside quotes, dollar quotes and comments. Possessive quantifiers keep
+# the matcher iterative, so a piece of any length fits the thread stack.
+NO_CODE = r"'[^']*+'|\"[^\"]*+\"|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|\$\$(?:[^$]|\$(?!\$))*+\$\$"
+PIECE = rf"(?:[^;'\"/\-$]++|{NO_CODE}|['\"/\-$])++;?|;"
+# Blocks of procedural code. BEGIN and CASE open one, END closes one; not so where they belong to a transaction, or to a
+# closing END CASE, END IF or END of a loop. Only a piece that starts like procedural code can open blocks.
+BLOCK_WORD = r"(?i)\b(?:BEGIN|CASE|END)\b"
+TRANSACTION_BEGIN = r"\bBEGIN\s*(?:;|(?:TRAN|TRANSACTION|WORK|DEFERRED|IMMEDIATE|EXCLUSIVE|ISOLATION|READ)\b)"
+NO_BLOCK_END = r"\bEND\s+(?:IF|LOOP|WHILE|REPEAT|FOR|TRAN|TRANSACTION)\b"
+OPENING_PIECE = (
+    r"^\s*(?:(?:CREATE|ALTER)\s+(?:\S+\s+){0,5}?(?:PROCEDURE|PROC|FUNCTION|TRIGGER|PACKAGE|EVENT)\b"
+    r"|(?:BEGIN|DECLARE|IF|ELSE|ELSEIF|ELSIF|WHILE|FOR|FOREACH|LOOP|REPEAT|WHEN|CASE|EXCEPTION|END|AS|IS)\b|\w+\s*:|<<)"
 )
 LEADING_COMMENTS = r"^(?:\s|--[^\n]*+(?:\n|$)|/\*(?:[^*]|\*(?!/))*+\*/)*+"
 
@@ -136,8 +144,19 @@ def strip_leading_comments(sql: Column) -> Column:
 
 
 def statement_pieces(content: Column) -> Column:
-    """All statements of a text, in order, untrimmed: their concatenation is the text."""
-    return F.regexp_extract_all(content, F.lit(STATEMENT), F.lit(0))
+    """The text cut behind every semicolon of its code, in order, untrimmed: their concatenation is the text. A statement is
+    one piece, or several where it has a body of statements."""
+    return F.regexp_extract_all(content, F.lit(PIECE), F.lit(0))
+
+
+def block_change(piece: Column) -> Column:
+    """How many blocks a piece leaves open (or closes, if negative)."""
+    code = F.upper(F.regexp_replace(piece, NO_CODE, " "))
+    found = lambda pattern: F.regexp_count(code, F.lit(pattern))
+    opened = found(r"\bBEGIN\b") - found(TRANSACTION_BEGIN) + found(r"\bCASE\b") - found(r"\bEND\s+CASE\b")
+    change = opened - (found(r"\bEND\b") - found(NO_BLOCK_END))
+    kept = F.when(code.rlike(OPENING_PIECE), change).otherwise(F.least(change, F.lit(0)))
+    return F.when(piece.rlike(BLOCK_WORD), kept).otherwise(F.lit(0))
 
 
 def is_comment_only(sql: Column, strict: bool = False) -> Column:

@@ -29,13 +29,57 @@ def _closes(line: Column) -> Column:
     return F.contains(line, F.lit(";")) | line.rlike(r"^\s*$")
 
 
-def split_statements(files: DataFrame) -> DataFrame:
-    """Split texts at semicolons outside quotes and comments; row-local, no shuffle."""
-    pieces = files.select(
+def _with_starts(pieces: DataFrame, counts: Column | None = None) -> DataFrame:
+    """``start``: place of the first piece of the statement that a piece (``pos``, ``unit``) of a file belongs to.
+
+    A running sum of opened and closed blocks, kept from falling below zero, gives the depth behind every piece; a statement
+    ends where it is zero. A block that nothing closes is none: behind the last piece at depth zero every piece ends a
+    statement. ``counts`` tells which rows are pieces at all. A file's pieces are one text value exploded, hence a window
+    per file holds no more than that value did.
+    """
+    ordered = W.partitionBy("source_file").orderBy("pos")
+    so_far = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    change = S.block_change(F.col("unit"))
+    summed = pieces.withColumn("_change", change if counts is None else F.when(counts, change).otherwise(F.lit(0)))
+    summed = summed.withColumn("_sum", F.sum("_change").over(so_far))
+    deep = summed.withColumn("_depth", F.col("_sum") - F.least(F.min("_sum").over(so_far), F.lit(0)))
+    closed = F.max(F.when(F.col("_depth") == 0, F.col("pos"))).over(W.partitionBy("source_file"))
+    ends = (F.col("_depth") == 0) | (F.col("pos") > F.coalesce(closed, F.lit(-1)))
+    marked = deep.withColumn("_ends", ends)
+    first = F.coalesce(F.lag("_ends").over(ordered), F.lit(True))
+    return (
+        marked.withColumn("_first", first)
+        .withColumn("start", F.max(F.when(F.col("_first"), F.col("pos"))).over(so_far))
+        .drop("_change", "_sum", "_depth", "_ends", "_first")
+    )
+
+
+def _in_order(column: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda u: u[column])
+
+
+def _pieces(files: DataFrame) -> DataFrame:
+    return files.select(
         *[c for c in files.columns if c != "content"],
-        F.posexplode(S.statement_pieces(F.col("content"))).alias("ordinal", "piece"),
+        F.posexplode(S.statement_pieces(F.col("content"))).alias("pos", "unit"),
+    )
+
+
+def split_statements(files: DataFrame) -> DataFrame:
+    """Split texts into statements: at semicolons outside quotes and comments, but not within the blocks of a body.
+
+    Texts without the word BEGIN have no blocks and are split where they lie; only those that have it meet the other pieces
+    of their file again.
+    """
+    others = [c for c in files.columns if c != "content"]
+    bodies = F.coalesce(F.col("content").rlike(r"(?i)\bBEGIN\b"), F.lit(False))
+    plain = _pieces(files.filter(~bodies)).select(*others, F.col("pos").alias("ordinal"), F.col("unit").alias("text"))
+    joined = (
+        _with_starts(_pieces(files.filter(bodies)))
+        .groupBy(*others, F.col("start").alias("ordinal"))
+        .agg(F.array_join(_in_order("unit"), "").alias("text"))
     )
-    trimmed = pinned(pieces, {"raw_sql": trim_ws(F.col("piece"))}).drop("piece")
+    trimmed = pinned(plain.unionByName(joined), {"raw_sql": trim_ws(F.col("text"))}).drop("text")
     long_enough = trimmed.filter((F.length("raw_sql") >= S.MIN_LENGTH) & ~S.is_comment_only(F.col("raw_sql")))
     return with_type(long_enough).filter(F.col("query_type") != "UNKNOWN")
 
@@ -43,15 +87,14 @@ def split_statements(files: DataFrame) -> DataFrame:
 def statement_lines(files: DataFrame) -> DataFrame:
     """SQ1 with the exact line range of every statement, counted over the pieces of its own file."""
     others = [c for c in files.columns if c != "content"]
-    pieces = files.select(
-        *others, F.posexplode(S.statement_pieces(F.col("content"))).alias("ordinal", "piece")
+    before = W.partitionBy("source_file").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    counted = _with_starts(_pieces(files)).withColumn("above", F.coalesce(F.sum(count_lines(F.col("unit")) - 1).over(before), F.lit(0)))
+    texts = counted.groupBy(*others, F.col("start").alias("ordinal")).agg(
+        F.array_join(_in_order("unit"), "").alias("text"), F.min("above").alias("above")
     )
-    before = W.partitionBy("source_file").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
-    lead = F.regexp_extract("piece", r"^(\s*)", 1)
     located = (
-        pinned(pieces, {"raw_sql": trim_ws(F.col("piece"))})
-        .withColumn("above", F.coalesce(F.sum(count_lines(F.col("piece")) - 1).over(before), F.lit(0)))
-        .withColumn("line_start", (F.col("above") + count_lines(lead)).cast("int"))
+        pinned(texts, {"raw_sql": trim_ws(F.col("text"))})
+        .withColumn("line_start", (F.col("above") + count_lines(F.regexp_extract("text", r"^(\s*)", 1))).cast("int"))
         .withColumn("line_end", (F.col("line_start") + count_lines(F.col("raw_sql")) - 1).cast("int"))
     )
     long_enough = located.filter((F.length("raw_sql") >= S.MIN_LENGTH) & ~S.is_comment_only(F.col("raw_sql")))
@@ -138,7 +181,7 @@ def extract_statements(files: DataFrame, mode: str = "default") -> DataFrame:
     """Statement split with exact lines, and the line scanner only for files where the split yields nothing.
 
     One scan and one shuffle: each text becomes either its statement pieces or its lines, and both kinds of units pass
-    the same window and the same grouping by file (a piece is a block of its own).
+    the same window and the same grouping by file.
     """
     others = [c for c in files.columns if c != "content"]
     cut = pinned(files, {"_pieces": S.statement_pieces(F.col("content"))})
@@ -166,17 +209,15 @@ def extract_statements(files: DataFrame, mode: str = "default") -> DataFrame:
     )
     in_cell = W.partitionBy("source_file", "cell")
     opened = F.min(F.when(F.col("starts"), F.col("pos"))).over(in_cell)
+    pieces = F.col("_splits")
     blocks = (
-        counted.withColumn("block", F.when(F.col("_splits"), F.col("pos")).otherwise(opened))
+        _with_starts(counted, counts=pieces)
+        .withColumn("block", F.when(pieces, F.col("start")).otherwise(opened))
         .filter(F.col("pos") >= F.col("block"))
         .groupBy(*others, "_splits", "block")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("pos", "unit"))), lambda u: u["unit"]), "\n"
-            ).alias("text"),
-            F.max("pos").alias("last"),
-            F.max("above").alias("above"),
-        )
+        .agg(_in_order("unit").alias("units"), F.max("pos").alias("last"), F.min("above").alias("above"))
+        .withColumn("text", F.when(pieces, F.array_join("units", "")).otherwise(F.array_join("units", "\n")))
+        .drop("units")
     )
     texts = pinned(blocks, {"raw_sql": trim_ws(F.col("text"))}).filter(F.length("raw_sql") >= S.MIN_LENGTH)
     texts = with_type(texts.filter(~F.col("_splits") | ~S.is_comment_only(F.col("raw_sql"))))

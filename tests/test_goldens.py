@@ -115,10 +115,61 @@ def test_split_keeps_quotes_and_comments(spark):
     assert rows[1].raw_sql.startswith("-- a; b\nupdate") and rows[2].raw_sql.endswith("'it''s;'")
 
 
+PROCEDURE = """CREATE OR REPLACE PROCEDURE pay(a INT)
+BEGIN
+  UPDATE t SET x = CASE WHEN a > 1 THEN 'END;' ELSE 'b' END; -- BEGIN
+  IF a > 2 THEN BEGIN DELETE FROM u WHERE id = a; END; END IF;
+END;"""
+
+
+def split(spark, text):
+    """The statements by all three extractors, which must agree; lines from the two that tell them."""
+    files = spark.createDataFrame([("a.sql", text)], "source_file string, content string")
+    found = [(r.ordinal, r.raw_sql) for r in ST.split_statements(files).orderBy("ordinal").collect()]
+    for extract in (ST.statement_lines, ST.extract_statements):
+        rows = extract(files).orderBy("ordinal").collect()
+        assert [(r.ordinal, r.raw_sql) for r in rows] == found
+        for r in rows:
+            assert "\n".join(text.split("\n")[r.line_start - 1 : r.line_end]).find(r.raw_sql.split("\n")[0]) >= 0
+    return [sql for _, sql in found]
+
+
+def test_bodies_stay_whole(spark):
+    assert split(spark, f"SELECT a FROM b;\n\n{PROCEDURE}\nDROP TABLE last_one;") == ["SELECT a FROM b;", PROCEDURE, "DROP TABLE last_one;"]
+    nested = "create trigger g after insert on t for each row begin\n case new.y when 1 then begin delete from v; end; end case;\nend;"
+    assert split(spark, f"{nested} DELETE FROM w;") == [nested, "DELETE FROM w;"]
+    tsql = "CREATE PROC p AS BEGIN TRY SELECT a FROM b; END TRY BEGIN CATCH ROLLBACK TRANSACTION; END CATCH;"
+    assert split(spark, f"{tsql}\nSELECT 2 FROM c;") == [tsql, "SELECT 2 FROM c;"]
+    loop = "BEGIN FOR i IN 1..3 LOOP DELETE FROM a; END LOOP; WHILE x DO UPDATE b SET c = 1; END WHILE; END;"
+    assert split(spark, f"{loop} SELECT 2 FROM c;") == [loop, "SELECT 2 FROM c;"]
+    dollar = "CREATE FUNCTION f() RETURNS INT AS $$ BEGIN DELETE FROM x; RETURN 1; END; $$ LANGUAGE plpgsql;"
+    assert split(spark, f"{dollar} SELECT '$$' FROM c;") == [dollar, "SELECT '$$' FROM c;"]
+
+
+def test_transactions_and_prose_open_no_block(spark):
+    text = "BEGIN TRANSACTION;\nDELETE FROM a;\nCOMMIT WORK;BEGIN ;UPDATE b SET c = 1;END;DELETE FROM d;"
+    assert split(spark, text) == ["BEGIN TRANSACTION;", "DELETE FROM a;", "COMMIT WORK;", "UPDATE b SET c = 1;", "DELETE FROM d;"]
+    assert split(spark, "we begin in this case; SELECT a FROM b; the end; begin_x; DELETE FROM end_of;") == ["SELECT a FROM b;", "DELETE FROM end_of;"]
+    assert split(spark, "SELECT CASE WHEN a THEN 1 END FROM t; DELETE FROM u; -- BEGIN") == ["SELECT CASE WHEN a THEN 1 END FROM t;", "DELETE FROM u;"]
+
+
+def test_block_without_end_is_no_block(spark):
+    text = f"{PROCEDURE}\nCREATE PROC q AS BEGIN SELECT a FROM b;\nDELETE FROM c;\nDROP TABLE dd;"
+    assert split(spark, text) == [PROCEDURE, "CREATE PROC q AS BEGIN SELECT a FROM b;", "DELETE FROM c;", "DROP TABLE dd;"]
+
+
+def test_features_of_a_body(spark):
+    row = statements(spark, [PROCEDURE], None).first()
+    assert (row.query_type, row.risk_level, row.table_names) == ("STORED_PROCEDURE", "LOW", ["t", "u"])
+
+
 def test_long_texts_fit_the_stack(spark):
     text = "/*" + "x*y\n" * 200000 + "*/" + "-- c\n" * 50000 + "select 1 from t;" + "select ';;' from u;\n" * 20000
     files = spark.createDataFrame([("big.sql", text)], "source_file string, content string")
     assert ST.split_statements(files).count() == 20001
+    body = "CREATE PROC p AS BEGIN " + "BEGIN DELETE FROM t; END;\n" * 20000 + "END;"
+    files = spark.createDataFrame([("big.sql", body + "SELECT 1 FROM u;")], "source_file string, content string")
+    assert [len(r.raw_sql) for r in ST.split_statements(files).orderBy("ordinal").collect()] == [len(body), 16]
 
 
 def test_fallback_only_where_split_finds_nothing(spark):
