@@ -1,15 +1,103 @@
-"""Structured Streaming forms: arrivals of files, first-wins de-duplication, sequence validation."""
+"""Structured Streaming forms: arrivals and changes of files, first-wins de-duplication, sequence validation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleaner.operators.sequences import EXPECTED
 
+LISTING = "path string, modified timestamp, size long, listed timestamp"
+CHANGES = "path string, change string, modified long, size long, at long"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """While a query with arbitrary state is started: the state store that such queries need. A running query keeps it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class _Changes(StatefulProcessor):
+    """Per path what the last listing said of it, with times in microseconds. A timer, moved by every listing that has the
+    path, tells that it is gone."""
+
+    def __init__(self, keep: timedelta):
+        self.keep = keep // timedelta(milliseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "modified long, size long, listed long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        seen = last
+        for row in sorted(rows, key=lambda r: (r.listed_us, r.modified_us is not None, r.modified_us or 0, r.size or 0)):
+            if seen is not None and row.listed_us <= seen[2]:
+                continue  # a listing that comes late, or says the same path twice
+            if seen is None or (row.modified_us, row.size) != seen[:2]:
+                yield Row(path=key[0], change="modified" if seen else "created", modified=row.modified_us, size=row.size, at=row.listed_us)
+            seen = (row.modified_us, row.size, row.listed_us)
+        if seen is not None and seen is not last:
+            if last is not None:
+                self.handle.deleteTimer(self._ends(last[2]))
+            self.last.update(seen)
+            self.handle.registerTimer(self._ends(seen[2]))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if self.last.exists():
+            modified, size, _ = self.last.get()
+            self.last.clear()
+            yield Row(path=key[0], change="deleted", modified=modified, size=size, at=expiredTimerInfo.getExpiryTimeInMs() * 1000)
+
+    def _ends(self, listed_us: int) -> int:
+        return listed_us // 1000 + self.keep
+
+    def close(self) -> None:
+        pass
+
+
+def file_changes(listings: DataFrame, keep: timedelta, delay: str = "0 seconds") -> DataFrame:
+    """created, modified and deleted files out of a stream of listings (path, modified, size, listed): (path, change,
+    modified, size, at).
+
+    ``listed`` is the event time, the same for all rows of a listing. A path is modified when its time or size differs from the
+    listing before; it is deleted, and forgotten, when no listing had it for ``keep`` of event time, so the state has a row for
+    every path that still exists. An unchanged path gives nothing, nor does a restart from the same checkpoint. The query has
+    to be started within ``keyed_state``.
+    """
+    timed = listings.withWatermark("listed", delay).select(
+        "path", "listed", "size", F.unix_micros("modified").alias("modified_us"), F.unix_micros("listed").alias("listed_us")
+    )
+    changes = timed.groupBy("path").transformWithState(
+        _Changes(keep), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime"
+    )
+    return changes.withColumns({c: F.timestamp_micros(c) for c in ("modified", "at")})
+
+
+def append_listing(files: DataFrame, folder: str, listed: Column) -> None:
+    """One listing (path, modified, size) as a new table in the folder that a stream of listings reads."""
+    files.select("path", "modified", "size", listed.cast("timestamp").alias("listed")).write.mode("append").parquet(folder)
+
+
+def listing_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The listings that ``append_listing`` writes, oldest first."""
+    return spark.readStream.schema(LISTING).option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder)
+
 
 def arrivals(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Stream with one row per new file below ``path``. In-place edits show up in snapshot_diff, not here."""
+    """Stream with one row per new file below ``path``; ``file_changes`` also tells of edits in place and of deletions."""
     return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
@@ -46,3 +134,21 @@ def validate_sequence_stream(labels: DataFrame, expected: list[str] | None = Non
     )
     valid = _valid([F.col(f"t{i}") for i in range(len(expected))]) & F.col("other").isNull()
     return firsts.select("key", valid.alias("valid"))
+
+
+def validate_sessions(labels: DataFrame, gap: str, expected: list[str] | None = None) -> DataFrame:
+    """(key, first, last, valid) of each run of labels of a key without a pause of ``gap``, in batch and as a stream.
+
+    On a stream with a watermark on ``ts``, in append mode, a run is given out when the watermark has passed its last label by
+    ``gap``, and its state is dropped then: the state has a row per open run, however many keys there have been. Validity is
+    that of ``validate_sequence``, taken over the labels of the run.
+    """
+    expected = expected or EXPECTED
+    runs = labels.groupBy("key", F.session_window("ts", gap).alias("run")).agg(
+        *[F.min(F.when(F.col("label") == label, F.col("ts"))).alias(f"t{i}") for i, label in enumerate(expected)],
+        F.min(F.when(~F.col("label").isin(expected), F.col("ts"))).alias("other"),
+        F.min("ts").alias("first"),
+        F.max("ts").alias("last"),
+    )
+    valid = _valid([F.col(f"t{i}") for i in range(len(expected))]) & F.col("other").isNull()
+    return runs.select("key", "first", "last", valid.alias("valid"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import json
+import random
 import tempfile
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -282,3 +284,82 @@ def test_tree_queries_over_many_bounded_files(spark, monkeypatch, name):
     query = next(q for q in all_queries() if q.name == name)
     got, want = query.run(spark, sf).toPandas(), con.execute(query.sql).df()
     assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
+
+
+def listed(spark, scratch, hour, files):
+    rows = [(p, f"2024-05-01 00:00:{m:02d}", s) for p, m, s in files]
+    df = spark.createDataFrame(rows, "path string, modified string, size long").withColumn("modified", F.col("modified").cast("timestamp"))
+    SS.append_listing(df, str(scratch / "listings"), F.lit(f"2024-05-01 {hour:02d}:00:00"))
+
+
+def new_changes(spark, scratch):
+    """What a restarted stream adds to the changes known so far."""
+    out = scratch / "changes"
+    before = set(spark.read.parquet(str(out)).collect()) if out.exists() else set()
+    with SS.keyed_state(spark):
+        query = (
+            SS.file_changes(SS.listing_stream(spark, str(scratch / "listings")), timedelta(minutes=90))
+            .writeStream.format("parquet")
+            .option("path", str(out))
+            .option("checkpointLocation", str(scratch / "state"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    rows = set(spark.read.parquet(str(out)).collect()) - before
+    state = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    return sorted((r.path, r.change, r.size, r.at.strftime("%H:%M")) for r in rows), state[-1] if state else None
+
+
+def test_file_changes_over_restarts(spark, scratch):
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        listed(spark, scratch, 10, [("a", 1, 5), ("b", 1, 5), ("b", 1, 5), ("c", 1, 0)])
+        assert new_changes(spark, scratch)[0] == [("a", "created", 5, "10:00"), ("b", "created", 5, "10:00"), ("c", "created", 0, "10:00")]
+        listed(spark, scratch, 11, [("a", 1, 5), ("b", 2, 5), ("c", 1, 9)])  # b is touched, c grows
+        assert new_changes(spark, scratch)[0] == [("b", "modified", 5, "11:00"), ("c", "modified", 9, "11:00")]
+        assert new_changes(spark, scratch)[0] == []  # nothing arrived
+        listed(spark, scratch, 9, [("a", 0, 1)])  # comes late
+        listed(spark, scratch, 12, [("a", 1, 5)])
+        assert new_changes(spark, scratch)[0] == []
+        listed(spark, scratch, 13, [("a", 1, 5), ("d", 1, 1)])
+        found, state = new_changes(spark, scratch)
+        assert found == [("b", "deleted", 5, "12:30"), ("c", "deleted", 9, "12:30"), ("d", "created", 1, "13:00")]
+        listed(spark, scratch, 14, [("a", 1, 5), ("c", 3, 3), ("d", 1, 1)])
+        assert new_changes(spark, scratch)[0] == [("c", "created", 3, "14:00")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_sessions_close_and_leave_the_state(spark, scratch):
+    """A stream in ten parts gives the closed runs of the batch form, and its state holds open runs only."""
+    rng = random.Random(7)
+    rows = []
+    for part in range(10):
+        for key in range(part * 20, part * 20 + 20):  # every key is active in one part
+            at = part * 1000
+            for _ in range(rng.randrange(1, 9)):
+                at += rng.randrange(1, 90)
+                rows.append((part, key, at, rng.choice(["view", "click", "purchase", "other"])))
+    df = spark.createDataFrame(rows, "part int, key int, at int, label string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+    for part in range(10):
+        df.where(F.col("part") == part).coalesce(1).write.mode("append").parquet(str(scratch / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(scratch / "in")).withWatermark("ts", "0 seconds")
+    expected = ["view", "click", "purchase"]
+    query = (
+        SS.validate_sessions(stream, "60 seconds", expected)
+        .writeStream.format("parquet")
+        .option("path", str(scratch / "out"))
+        .option("checkpointLocation", str(scratch / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(str(scratch / "out")).collect()}
+    whole = {tuple(r) for r in SS.validate_sessions(df, "60 seconds", expected).collect()}
+    end = max(r[2] for r in whole)
+    assert got == {r for r in whole if (end - r[2]).total_seconds() >= 60}
+    assert any(r[3] for r in got) and len(got) > 150
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) <= 60 and held[-1] < 20 < len({r[1] for r in rows})
