@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gleaner.functions import urls as U
-from gleaner.session import durable
+from gleaner.operators.skew import MAX_BROADCAST_ROWS, number_rows
+from gleaner.session import durable, laid_out, release
 
 # Scripts, styles and comments are no page content; tags are matched outside them.
 HIDDEN_MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -82,51 +83,99 @@ def page_edges(links: DataFrame) -> DataFrame:
     )
 
 
+#: Seeds that share a row of the search: bits of a long. Links of a page that lie in one slice of the edges.
+SEEDS_PER_ROW = 64
+LINKS_PER_SLICE = 10_000
+
+
+def _numbered_seeds(seeds: DataFrame, same_host: bool) -> DataFrame:
+    """(seed, host, block, bit): seeds of a host (or all) in blocks of SEEDS_PER_ROW."""
+    start = U.canon_url(F.col("url"))
+    host = U.host(F.col("seed")) if same_host else F.lit("")
+    roots = seeds.select(start.alias("seed")).distinct().withColumn("host", F.coalesce(host, F.lit("")))
+    place = F.col("n") - 1
+    return number_rows(roots, ["host"], ["seed"], "n").select(
+        "seed", "host", F.floor(place / SEEDS_PER_ROW).alias("block"), (place % SEEDS_PER_ROW).cast("int").alias("bit")
+    )
+
+
+def _one_bit(bit: str) -> Column:
+    return F.expr(f"shiftleft(1L, {bit})")
+
+
+def _per_seed(rows: DataFrame) -> DataFrame:
+    """One row per seed in place of the bits."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(SEEDS_PER_ROW - 1)), lambda b: F.getbit(F.col("bits"), b) == 1)
+    return rows.withColumn("bit", F.explode(bits)).drop("bits")
+
+
+def _first_pages(fresh: DataFrame, visited: DataFrame, max_pages: int) -> DataFrame:
+    """Of each seed the first fresh pages by URL, up to what its pages so far leave of ``max_pages``."""
+    seed = ["host", "block", "bit"]
+    room = _per_seed(visited).groupBy(*seed).agg((F.lit(max_pages) - F.count(F.lit(1))).alias("room"))
+    place = F.row_number().over(W.partitionBy(*seed).orderBy("url"))
+    kept = (
+        _per_seed(fresh)
+        .withColumn("place", place)
+        .filter(F.col("place") <= max_pages)
+        .join(room, seed)
+        .filter(F.col("place") <= F.col("room"))
+    )
+    return kept.groupBy("url", "host", "block").agg(F.bit_or(_one_bit("bit")).alias("bits"))
+
+
 def expand_frontier(
     edges: DataFrame,
     seeds: DataFrame,
     max_depth: int | None = 2,
     max_pages: int | None = None,
     same_host: bool = True,
+    links_per_slice: int = LINKS_PER_SLICE,
 ) -> DataFrame:
     """Pages reached from each seed with their smallest depth: (seed, url, depth).
 
-    ``edges`` is (src, dst) in canonical form, ``seeds`` a column ``url``. One level is one join; a page already
-    visited is dropped by an anti join, and each level is cut durably. ``max_depth=None`` runs until nothing new is
-    found. ``max_pages`` keeps the first pages of each seed by (depth, url); every level is trimmed to it by a top-k
-    per seed, which Spark prunes before the shuffle, so a page deep below a full seed is never expanded.
+    ``edges`` is (src, dst) in canonical form, ``seeds`` a column ``url``. All seeds are followed together: a row of the
+    search is a page with the seeds that reach it as bits, 64 seeds (of a host, with ``same_host``) to a row, so a level
+    shuffles a page once for all of them. The edges are laid out by source once, the links of a page with more than
+    ``links_per_slice`` of them in slices; a level moves only the pages it starts from and those it finds. ``max_depth=None``
+    runs until nothing new is found. ``max_pages`` keeps the first pages of each seed by (depth, url); every level is
+    trimmed to it by a top-k per seed, so a page deep below a full seed is never expanded.
     """
-    start = U.canon_url(F.col("url"))
-    frontier = seeds.select(start.alias("seed"), start.alias("url")).distinct().withColumn("depth", F.lit(0))
-    frontier = visited = durable(frontier)
+    page = ["url", "host", "block"]
     if same_host:
         # Everything reached so far lies on its seed's host, so the test needs the edge alone.
         edges = edges.filter(U.host(F.col("src")) == U.host(F.col("dst")))
+    numbered = durable(_numbered_seeds(seeds, same_host))
+    first = numbered.groupBy(F.col("seed").alias("url"), "host", "block").agg(F.bit_or(_one_bit("bit")).alias("bits"))
+    frontier = visited = durable(first.withColumn("depth", F.lit(0)))
+    edges = durable(edges.select("src", "dst"))
+    slices = edges.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / links_per_slice).cast("int").alias("slices"))
+    # At most edges / links_per_slice hubs; broadcast only after counting them.
+    hubs = durable(slices.filter("slices > 1"))
+    hubs = F.broadcast(hubs) if hubs.count() <= MAX_BROADCAST_ROWS else hubs
+    slice_of = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("slices")), F.lit(0)).cast("int")
+    sliced = edges.join(hubs, "src", "left").select("src", slice_of.alias("slice"), "dst")
     depth = 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        found = frontier.join(edges, frontier["url"] == edges["src"])
-        fresh = (
-            found.select("seed", F.col("dst").alias("url"))
-            .distinct()
-            .join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        if max_pages is not None:
-            room = visited.groupBy("seed").agg((F.lit(max_pages) - F.count(F.lit(1))).alias("room"))
-            place = F.row_number().over(W.partitionBy("seed").orderBy("url"))
-            fresh = (
-                fresh.withColumn("place", place)
-                .filter(F.col("place") <= max_pages)
-                .join(room, "seed")
-                .filter(F.col("place") <= F.col("room"))
-                .drop("place", "room")
-            )
-        frontier = durable(fresh)
-        visited = visited.unionByName(frontier)
-        if depth % 8 == 0:
-            visited = durable(visited)
-    return visited
+    with laid_out(sliced, ["src", "slice"]) as links:
+        while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+            depth += 1
+            places = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1))
+            starts = frontier.select(F.col("url").alias("src"), "host", "block", "bits").join(hubs, "src", "left").withColumn("slice", places)
+            found = starts.join(links, ["src", "slice"]).groupBy(F.col("dst").alias("url"), "host", "block")
+            found = durable(found.agg(F.bit_or("bits").alias("bits")))
+            # The few pages found are looked up among all visited ones, which stay where they are.
+            seen = visited.join(found.select(*page), page).groupBy(*page).agg(F.bit_or("bits").alias("seen"))
+            new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.col("seen"), F.lit(0).cast("long"))))
+            fresh = found.join(seen, page, "left").select(*page, new.alias("bits")).filter("bits <> 0")
+            if max_pages is not None:
+                fresh = _first_pages(fresh, visited, max_pages)
+            frontier = durable(fresh.withColumn("depth", F.lit(depth)))
+            release(found)
+            visited = visited.unionByName(frontier)
+            if depth % 8 == 0:
+                visited = durable(visited)
+    release(edges)
+    return _per_seed(visited).join(numbered, ["host", "block", "bit"]).select("seed", "url", "depth")
 
 
 def file_links(frontier: DataFrame, links: DataFrame, same_host: bool = True) -> DataFrame:

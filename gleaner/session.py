@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,10 +64,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def laid_out(df: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
+    """The frame as a table in the shared folder, bucketed and sorted by ``keys``: joins on them shuffle the other side only,
+    as often as they are made. The table is gone behind the block."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"laid_out_{uuid.uuid4().hex}", shared_folder(spark, "laid-out")
+    # One task per bucket, hence one file.
+    rows = df.repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(cut: DataFrame) -> None:
     """Delete the table behind a cut that nothing reads any more; other frames are left alone."""
     spark = cut.sparkSession
     for folder in {name.rpartition("/")[0] for name in cut.inputFiles()}:
         if folder.rpartition("/")[2].startswith("cut-"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(spark, folder)

@@ -249,26 +249,55 @@ def test_snapshot_statuses_partition_the_union(spark):
     assert SN.dirty(SN.snapshot_diff(old, old)).first().dirty is False
 
 
-@pytest.mark.parametrize(("depth", "cap"), [(2, None), (3, 7), (None, None)])
-def test_frontier_is_breadth_first(spark, depth, cap):
-    rng = random.Random(13)
-    urls = [f"http://h{i % 3}.com/p{i}" for i in range(60)]
-    edges = {(a, rng.choice(urls)) for a in urls for _ in range(3)}
-    seeds = urls[:4]
-    got = {
-        (r.seed, r.url): r.depth
-        for r in WB.expand_frontier(
-            spark.createDataFrame(list(edges), "src string, dst string"),
-            spark.createDataFrame([(s,) for s in seeds], "url string"), depth, cap,
-        ).collect()
-    }
+def reach(edges, seeds, depth, cap, same_host):
     want = {}
     for seed in seeds:
-        host, level, seen = seed.split("/")[2], [seed], {seed: 0}
-        while level and (depth is None or max(seen.values()) < depth):
-            fresh = {b for a, b in edges if a in level and b.split("/")[2] == host and b not in seen}
-            seen.update({b: max(seen.values()) + 1 for b in fresh})
-            level = list(fresh)
-        ordered = sorted(seen.items(), key=lambda x: (x[1], x[0]))[:cap]
-        want.update({(seed, u): d for u, d in ordered})
-    assert got == want
+        host, level, seen, at = seed.split("/")[2], {seed}, {seed: 0}, 0
+        while level and (depth is None or at < depth):
+            at += 1
+            level = {b for a, b in edges if a in level and (b.split("/")[2] == host or not same_host) and b not in seen}
+            seen.update({b: at for b in level})
+            if cap:
+                kept = sorted(seen.items(), key=lambda x: (x[1], x[0]))[:cap]
+                level &= {u for u, _ in kept}
+                seen = dict(kept)
+        want.update({(seed, u): d for u, d in seen.items()})
+    return want
+
+
+@pytest.mark.parametrize(
+    ("depth", "cap", "n_seeds", "same_host"),
+    [(2, None, 4, True), (3, 7, 4, True), (None, None, 4, True), (2, None, 70, False), (None, 5, 80, True), (1, 3, 90, False)],
+)
+def test_frontier_is_breadth_first(spark, depth, cap, n_seeds, same_host):
+    rng = random.Random(13)
+    urls = [f"http://h{i % 3}.com/p{i}" for i in range(90)]
+    edges = {(a, rng.choice(urls)) for a in urls for _ in range(3)} | {(urls[0], u) for u in urls[::2]}
+    rows = WB.expand_frontier(
+        spark.createDataFrame(list(edges), "src string, dst string"),
+        spark.createDataFrame([(s,) for s in urls[:n_seeds] + urls[:2]], "url string"), depth, cap, same_host, links_per_slice=10,
+    ).collect()
+    got = {(r.seed, r.url): r.depth for r in rows}
+    assert len(got) == len(rows) and got == reach(edges, urls[:n_seeds], depth, cap, same_host)
+
+
+def test_frontier_without_seeds_or_links(spark):
+    none = spark.createDataFrame([], "src string, dst string")
+    seeds = spark.createDataFrame([("http://a.com/x",)], "url string")
+    assert [tuple(r) for r in WB.expand_frontier(none, seeds, None).collect()] == [("http://a.com/x", "http://a.com/x", 0)]
+    assert WB.expand_frontier(none, seeds.limit(0)).count() == 0
+
+
+def test_a_level_moves_each_page_once(spark):
+    """64 seeds of a host that reach the same pages are one row per page; links are not moved again."""
+    pages = [f"http://h.com/p{i}" for i in range(64)]
+    edges = spark.createDataFrame([(a, f"http://h.com/q{i}") for a in pages for i in range(5)], "src string, dst string")
+    from gleaner.session import laid_out
+
+    numbered = WB._numbered_seeds(spark.createDataFrame([(p,) for p in pages], "url string"), True)
+    assert numbered.select("block").distinct().count() == 1 and numbered.select("bit").distinct().count() == 64
+    with laid_out(edges, ["src"]) as links:
+        joined = numbered.join(links.hint("merge"), links["src"] == numbered["seed"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning(src" not in plan
+    assert WB.expand_frontier(edges, spark.createDataFrame([(p,) for p in pages], "url string")).count() == 64 * 6
