@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gleaner.catalog.base import Query, fixture, oracle
 from gleaner.catalog.fixtures import COLLECTIONS
 from gleaner.operators import compare as CP
+from gleaner.operators import hunks as HU
 from gleaner.operators import snapshots as SN
+from gleaner.session import durable
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +56,13 @@ _DIFF = """SELECT coalesce(o.name, n.name) AS path, CASE WHEN o.name IS NULL THE
   FROM (SELECT * FROM hashed WHERE collection = 'old') o
   FULL JOIN (SELECT * FROM hashed WHERE collection = 'test') n ON o.name = n.name"""
 
+def _patched(spark: SparkSession, d: str) -> DataFrame:
+    """The hunks between two versions of every document, applied to the old one, give the new one."""
+    files = durable(fixture(spark, d, "versions").withColumn("hash", F.sha2("content", 256)))
+    found = HU.hunks(files, CP.collection_pairs(files, ["old", "new"]))
+    return HU.apply_hunks(files, found).select("name", F.sha2("patched", 256).alias("patched"))
+
+
 QUERIES = [
     Query(
         "cp1_common_names",
@@ -97,6 +106,27 @@ QUERIES = [
             net=_LINES,
         ),
     ),
+    Query(
+        "cp5_hunks",
+        lambda s, d: HU.hunks(_files(s, d), _pairs(s, d)).select(
+            *HU.PAIR, "hunk", "left_start", "right_start", HU.unified().alias("diff")
+        ),
+        oracle(
+            """SELECT name, left_collection, right_collection, 1 AS hunk, 5 AS left_start, 5 AS right_start,
+              '@@ -5,1 +5,1 @@' || chr(10) || '-copy of ' || left_collection || chr(10) || '+copy of ' || right_collection AS diff
+              FROM pairs WHERE left_hash <> right_hash""",
+            **CTES,
+        ),
+    ),
+    Query(
+        "cp5_patched_versions",
+        _patched,
+        oracle(
+            """SELECT n.name, sha256(n.content) AS patched FROM versions n JOIN versions o USING (name)
+              WHERE n.collection = 'new' AND o.collection = 'old' AND n.content <> o.content""",
+            versions="versions",
+        ),
+    ),
     Query("st5_snapshot_diff", _diff, oracle(_DIFF, **CTES)),
     Query(
         "st5_dirty",

@@ -205,6 +205,30 @@ _HELD = {"main": "true", "old": "p_size > 10", "alt": "p_type <> 'ECONOMY'", "te
 F9 = " UNION ALL ".join(_COPY.format(c=f"'{c}'", m=m) for c, m in _HELD.items())
 COLLECTIONS = ["main", "old", "alt", "test"]
 
+# Two versions of every document, a line per sentence: in the new one some lines are gone, changed, repeated or moved down by
+# three, and some have a line in front.
+def _versions(lines: str, aggregate: str) -> str:
+    old = "replace(text, '. ', concat('.', chr(10)))"
+    edited = """CASE WHEN (pos + doc_id) % 13 = 5 THEN concat(line, ' (edited)') WHEN (pos + doc_id) % 17 = 6 THEN
+      concat('in front ', cast(pos % 3 as string), chr(10), line) WHEN (pos + doc_id) % 23 = 7 THEN concat(line, chr(10), line) ELSE line END"""
+    return f"""SELECT concat('d', cast(doc_id as string), '.txt') AS name, 'old' AS collection, {old} AS content
+      FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT concat('d', cast(doc_id as string), '.txt') AS name, 'new' AS collection, {aggregate} AS content
+      FROM (SELECT doc_id, pos, {edited} AS edit, CASE WHEN (pos + doc_id) % 11 = 2 THEN pos * 10 + 35 ELSE pos * 10 END AS place
+        FROM ({lines.format(old=old)}) WHERE (pos + doc_id) % 9 <> 4) GROUP BY doc_id"""
+
+
+VERSIONS = _versions(
+    """SELECT doc_id, unnest(string_split({old}, chr(10))) AS line,
+      generate_subscripts(string_split({old}, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL""",
+    "string_agg(edit, chr(10) ORDER BY place)",
+)
+VERSIONS_SPARK = _versions(
+    """SELECT doc_id, p + 1 AS pos, line FROM (SELECT doc_id, posexplode(split({old}, chr(10))) AS (p, line) FROM documents
+      WHERE text IS NOT NULL)""",
+    "string_agg(edit, chr(10)) WITHIN GROUP (ORDER BY place)",
+)
+
 # Frames: three channel values per event; three events of a user share one frame time.
 F10 = """SELECT user_id AS key, ts, cast(event_id % 3 * 45 + event_id % 11 as int) AS h,
   cast(90 + event_id % 160 as int) AS s, cast(80 + event_id % 170 as int) AS v FROM events"""
@@ -229,6 +253,7 @@ FIXTURES = {
     "sites": Fixture(["pages"], SITES, text="html"),
     "f8": Fixture(["events"], F8, text="line"),
     "f9": Fixture(["part"], F9, text="content"),
+    "versions": Fixture(["documents"], VERSIONS, VERSIONS_SPARK),
     "f10": Fixture(["events"], F10),
     "event_labels": Fixture(["events"], LABELS),
     "names": Fixture(["part"], NAMES),

@@ -17,6 +17,7 @@ from gleaner.functions import urls as U
 from gleaner.operators import compare as CP
 from gleaner.operators import dedup as DD
 from gleaner.operators import files as FD
+from gleaner.operators import hunks as HU
 from gleaner.operators import lines as TX
 from gleaner.operators import snapshots as SN
 from gleaner.operators import statements as ST
@@ -240,6 +241,49 @@ def test_line_changes_balance(spark):
         assert r.diff == "\n".join(want)
 
 
+def test_increasing_run_is_longest():
+    rng = random.Random(0)
+    for _ in range(200):
+        places = rng.sample(range(40), rng.randrange(9))
+        run = [places[i] for i in HU.increasing_run(places)]
+        assert run == sorted(run) and len(run) == max(
+            n for n in range(len(places) + 1) if n == 0 or any(list(c) == sorted(c) for c in combinations(places, n))
+        )
+
+
+def test_hunks_turn_one_side_into_the_other(spark):
+    rng = random.Random(9)
+    texts = {}
+    for i in range(40):
+        a = [rng.choice("abcdefgh{}") + rng.choice(["", "1", "2"]) for _ in range(rng.randrange(0, 25))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(3)] = [rng.choice("xyz{}ab") for _ in range(rng.randrange(3))]
+        texts[f"n{i}"] = ("\n".join(a), "\n".join(b if i % 8 else rng.sample(b, len(b))))
+    texts |= {"empty": ("", "a\nb"), "gone": ("a\nb", ""), "same": ("q", "q"), "none": ("a\nb", "x\ny\nz")}
+    rows = [(n, side, t) for n, both in texts.items() for side, t in zip(("l", "r"), both)] + [("alone", "l", "x")]
+    files = spark.createDataFrame(rows, "name string, collection string, content string").withColumn("hash", F.sha2("content", 256))
+    found = HU.hunks(files, CP.collection_pairs(files, ["l", "r"]))
+    patched = {r.name: r.patched for r in HU.apply_hunks(files, found).collect()}
+    assert patched == {n: r for n, (l, r) in texts.items() if l != r}
+    for name, group in found.toPandas().groupby("name"):
+        left, right = (t.split("\n") for t in texts[name])
+        group = group.sort_values("hunk")
+        kept, at, on = [], 0, 0
+        for h in group.itertuples():
+            assert list(h.removed) == left[h.left_start - 1 : h.left_start - 1 + len(h.removed)]
+            assert list(h.added) == right[h.right_start - 1 : h.right_start - 1 + len(h.added)]
+            assert left[at : h.left_start - 1] == right[on : h.right_start - 1] and len(h.removed) + len(h.added)
+            kept += left[at : h.left_start - 1]
+            at, on = h.left_start - 1 + len(h.removed), h.right_start - 1 + len(h.added)
+        assert left[at:] == right[on:]
+        # A line that is unique on both sides and in order with all others like it is kept.
+        once = [x for x in left if left.count(x) == 1 and right.count(x) == 1]
+        if once == [x for x in right if x in once]:
+            assert set(once) <= set(kept + left[at:])
+
+
 def test_snapshot_statuses_partition_the_union(spark):
     old = spark.createDataFrame([(f"p{i}", str(i % 3)) for i in range(40)], "path string, hash string")
     new = spark.createDataFrame([(f"p{i}", str(i % 2)) for i in range(20, 60)], "path string, hash string")
