@@ -106,22 +106,26 @@ class BytePairs:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece. A piece that is a token is that token."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
         size, shorter, known, text = self.size, self.shorter, self.known.get, piece.decode("latin-1")
         # Longest matches one after the other are the answer if all neighbours among them go together.
-        longest: dict[int, int] = {}
-        at, last, fits = 0, -1, True
+        out: list[int] = []
+        at, last = 0, -1
         for _, token in self.matches.iter_long(text):
-            longest[at] = token
+            if last >= 0:
+                good = known((last, token))
+                if not good and (good is not None or not self.follows(last, token)):
+                    break
+            out.append(token)
             at += size[token]
-            fits = fits and (last < 0 or known((last, token)) or self.follows(last, token))
             last = token
-        if fits:
-            return [*longest.values()]
-        out: list[int] = []
+        else:
+            return out
+        # Up to here this is what backtracking would have found as well.
         closed: set[int] = set()
-        at, last, token = 0, -1, longest[0]
+        token = shorter[token]
         while True:
             while token >= 0:
                 if at + size[token] not in closed:
@@ -134,10 +138,8 @@ class BytePairs:
                 at += size[token]
                 if at == len(piece):
                     return out
-                if at not in longest:
-                    # The automaton copies what it is given, so a long piece is handed over in parts.
-                    longest[at] = next(self.matches.iter_long(text[at : at + self.widest]))[1]
-                last, token = token, longest[at]
+                # The automaton copies what it is given, so a long piece is handed over in parts.
+                last, token = token, next(self.matches.iter_long(text[at : at + self.widest]))[1]
             else:
                 closed.add(at)
                 token = out.pop()
@@ -207,11 +209,17 @@ class BytePairEncoder:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def fresh(self, stretch: str) -> bytes:
-        ids = array("i")
-        for piece in self.pattern.pieces(stretch):
-            ids.extend(self.pairs.encode(piece.encode("utf-8", "surrogatepass")))
-        return ids.tobytes()
+    def fresh(self, stretches: list[str]) -> Iterator[bytes]:
+        """Ids of stretches of one text. They are cut by the pattern as one text, in which no match goes from one to the next:
+        all begin with a blank but one that may be first, all end otherwise but one that may be last."""
+        pieces = iter(self.pattern.pieces("".join(stretches)))
+        for stretch in stretches:
+            ids, left = array("i"), len(stretch)
+            while left:
+                piece = next(pieces)
+                left -= len(piece)
+                ids.extend(self.pairs.encode(piece.encode("utf-8", "surrogatepass")))
+            yield ids.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids; null is empty."""
@@ -219,8 +227,13 @@ class BytePairEncoder:
         stretches = (self.stretch if self.CONTROLS.search(text) else self.quick).findall(text)
         if len(self.memo) > MAX_STRETCHES:
             self.older, self.memo = self.memo, {}
-        missing = set(filterfalse(self.memo.__contains__, stretches))
-        self.memo.update((s, self.older.get(s) or self.fresh(s)) for s in missing)
+        # In the order of the text, each once.
+        missing = dict.fromkeys(filterfalse(self.memo.__contains__, stretches))
+        again = [s for s in missing if s in self.older]
+        for s in again:
+            self.memo[s] = self.older[s]
+            del missing[s]
+        self.memo.update(zip(missing, self.fresh(list(missing))))
         ids = b"".join(map(self.memo.__getitem__, stretches))
         for s in missing:
             if len(s) > LONGEST_STRETCH:
