@@ -66,10 +66,10 @@ ROOTS = ["lang=en", "lang=fr", "lang=none"]
 SIZE_CAP = 20000
 
 
-def _listed(spark: SparkSession, d: str, roots: list[str] | None = None) -> DataFrame:
+def _listed(spark: SparkSession, d: str, roots: list[str] | None = None, contents: bool = False) -> DataFrame:
     """The text files of the tree; what the writer leaves beside them is hidden or has another suffix."""
     tree = document_tree(spark, d)
-    listed = IN.list_files(spark, [f"{tree}/{r}" for r in roots] if roots else tree)
+    listed = IN.list_files(spark, [f"{tree}/{r}" for r in roots] if roots else tree, contents)
     return IN.filter_extension(IN.prune_dirs(listed), [".txt"])
 
 
@@ -79,7 +79,7 @@ def _folder() -> Column:
 
 def _tree_failures(spark: SparkSession, d: str) -> DataFrame:
     """(folder, reason): a folder is oversize as a whole; else the reasons of its files count, each once."""
-    files = _listed(spark, d)
+    files = _listed(spark, d, contents=True)
     sizes = files.groupBy(_folder()).agg(F.sum("size").alias("size"))
     whole = IN.scan_failures(sizes.select(F.col("folder").alias("path"), "size", F.lit(b"").alias("raw")), SIZE_CAP)
     whole = whole.withColumnRenamed("path", "folder")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from gleaner.functions import sqltext as S
 from gleaner.functions.frames import pinned
 from gleaner.functions.text import count_lines, literal_map, trim_ws
+from gleaner.session import durable, release
 
 
 def _is_statement(sql: Column) -> Column:
@@ -105,6 +106,31 @@ def statement_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def _openers(marked: DataFrame) -> DataFrame:
+    """(source_file, line_no, end_at) of the starters that open a block: the first of a file, and from each the first one
+    below the end of its block.
+
+    These jumps are followed by pointer doubling: in round k the openers known so far reach those 2^k jumps further on, and
+    every jump becomes one twice as long, so a file with n blocks takes log2(n) rounds. Only file and line numbers are moved.
+    """
+    starters = marked.filter("starts").select("source_file", "line_no", F.coalesce("end_at", F.lit(2**31 - 1)).alias("end_at"))
+    starters = durable(starters)
+    ends = marked.select("source_file", F.col("line_no").alias("end_at"), F.col("next_start").alias("to"))
+    jumps = starters.join(ends, ["source_file", "end_at"]).filter("to IS NOT NULL").select("source_file", "line_no", "to")
+    jumps = durable(jumps)
+    known = durable(starters.groupBy("source_file").agg(F.min("line_no").alias("line_no")))
+    while not jumps.isEmpty():
+        further = known.join(jumps, ["source_file", "line_no"]).select("source_file", F.col("to").alias("line_no"))
+        # What is 2^k jumps further on has not been reached in fewer, so nothing comes twice.
+        reached = durable(known.unionByName(further))
+        second = jumps.select("source_file", F.col("line_no").alias("to"), F.col("to").alias("_to"))
+        longer = durable(jumps.join(second, ["source_file", "to"]).select("source_file", "line_no", F.col("_to").alias("to")))
+        release(known)
+        release(jumps)
+        known, jumps = reached, longer
+    return known.join(starters, ["source_file", "line_no"])
+
+
 def extract_line_runs(files: DataFrame, mode: str = "default") -> DataFrame:
     """Line scanner: a starter word opens a block, a semicolon or a blank line closes it.
 
@@ -128,24 +154,13 @@ def extract_line_runs(files: DataFrame, mode: str = "default") -> DataFrame:
         opened = cells.withColumn("open_at", F.min(F.when(F.col("starts"), F.col("line_no"))).over(in_cell))
     else:
         # The opening line cannot close its own block: from each starter the next closing line below ends it, and
-        # starters up to there belong to it. Openers are found by following that jump through the starters.
+        # starters up to there belong to it.
         after = ordered.rowsBetween(1, W.unboundedFollowing)
-        marked = lines.withColumn(
-            "end_at", F.min(F.when(F.col("closes"), F.col("line_no"))).over(after)
-        ).withColumn("end_at", F.coalesce("end_at", F.lit(2**31 - 1)))
-        jumps = marked.filter("starts").groupBy("source_file").agg(
-            F.array_sort(F.collect_list(F.struct("line_no", "end_at"))).alias("jumps")
-        )
-        kept = F.aggregate(
-            "jumps",
-            F.array().cast("array<struct<line_no:int,end_at:int>>"),
-            lambda acc, j: F.when(
-                (F.size(acc) == 0) | (j["line_no"] > F.element_at(acc, -1)["end_at"]), F.concat(acc, F.array(j))
-            ).otherwise(acc),
-        )
-        openers = jumps.select("source_file", F.explode(kept).alias("j")).select(
-            "source_file", F.col("j.line_no").alias("line_no"), F.col("j.line_no").alias("opener"), F.col("j.end_at").alias("last")
-        )
+        below = lambda flag: F.min(F.when(F.col(flag), F.col("line_no"))).over(after)
+        marked = lines.withColumns({"end_at": below("closes"), "next_start": below("starts")})
+        openers = _openers(marked)
+        marked = marked.drop("next_start").withColumn("end_at", F.coalesce("end_at", F.lit(2**31 - 1)))
+        openers = openers.select("source_file", "line_no", F.col("line_no").alias("opener"), F.col("end_at").alias("last"))
         opened = (
             marked.drop("end_at")
             .join(openers, ["source_file", "line_no"], "left")

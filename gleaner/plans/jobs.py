@@ -117,7 +117,7 @@ def find_duplicate_files(
 ) -> DataFrame:
     """Identical files below the roots as flat report rows; only the candidates are opened, and once. Candidates that
     cannot be read raise an error, or are left out with ``skip_unreadable``."""
-    listed = prune_dirs(list_files(spark, roots), exclude_dirs or DUPLICATE_EXCLUDED_DIRS, drop_hidden=False)
+    listed = prune_dirs(list_files(spark, roots, contents=False), exclude_dirs or DUPLICATE_EXCLUDED_DIRS, drop_hidden=False)
     files = listed.select("path", base_name(F.col("path")).alias("name"), "size")
     hashed = durable(FD.hash_paths(spread(FD.candidate_files(files, key), force=True), algorithm))
     if not skip_unreadable and (bad := hashed.filter("hash is null").limit(3).collect()):

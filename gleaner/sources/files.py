@@ -6,19 +6,23 @@ start with ``_`` or ``.`` and files without any byte; ``list_files`` adds them.
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import paths as P
 from gleaner.functions.text import contains_any, count_lines, trim_ws
+from gleaner.session import durable
 
 # Default suffixes, pruned folders, size cap.
 DEFAULT_EXTENSIONS = [".sql", ".txt", ".log", ".bak"]
@@ -55,9 +59,92 @@ def _exists(spark: SparkSession, root: str) -> bool:
         return False
 
 
-def _unlisted(spark: SparkSession, roots: list[str]) -> list[tuple]:
-    """(path, modified, size) of the files that Spark's own listing skips: below or with a name that starts with ``_`` or
-    ``.``, and files without bytes. Metadata of these few alone is gathered here, from the session's file system."""
+#: Hadoop's names of schemes, and those of pyarrow.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+TREE = "root string, path string, kind string, size long, modified timestamp"
+
+
+def _arrow_system(path: str) -> tuple[fs.FileSystem, str, str]:
+    """(file system, path within it, what stands in front of that path in names of files)."""
+    scheme, found, rest = path.partition("://")
+    if not found or scheme == "file":
+        return fs.LocalFileSystem(), re.sub("^file:", "", rest if found else path), "file:"
+    system, inner = fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
+    # An object store's paths begin with the bucket, others leave the host out.
+    return system, inner, f"{scheme}://" + (rest.split("/")[0] if inner.startswith("/") else "")
+
+
+def _leads_back(path: str) -> bool:
+    """A link to one of the folders that it lies in."""
+    return os.path.islink(path) and os.path.realpath(os.path.dirname(path)).startswith(os.path.realpath(path))
+
+
+def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of folders (root, path): files, folders, and a row of kind error for a folder that can't be read."""
+    names = ["root", "path", "kind", "size", "modified"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+
+    for batch in batches:
+        for root, folder in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            try:
+                system, inner, front = _arrow_system(folder)
+                itself = system.get_file_info(inner)
+                found = [itself] if itself.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner))
+            except (OSError, ValueError) as error:
+                yield made([(root, f"{folder}: {error}"[:1000], "error", None, None)])
+                continue
+            local = isinstance(system, fs.LocalFileSystem)
+            rows = [
+                (root, front + e.path, "folder" if e.type == fs.FileType.Directory else "file", e.size, e.mtime)
+                for e in found
+                if e.type != fs.FileType.NotFound and not (local and _leads_back(e.path))
+            ]
+            for at in range(0, len(rows), 10_000):
+                yield made(rows[at : at + 10_000])
+
+
+def list_tree(spark: SparkSession, roots: list[str] | str) -> DataFrame:
+    """(root, path, kind, size, modified) of everything below the roots: files, folders, and folders that can't be read
+    (kind error, with the reason in the path).
+
+    Tasks list the folders of one level, which are a table; the folders found are the next one. The driver asks whether there
+    is a next level and holds no names. A root that is a file is listed itself; a missing one is an error row. File systems are
+    those that pyarrow opens, with its settings of credentials.
+    """
+    roots = [roots] if isinstance(roots, str) else roots
+    level = spark.createDataFrame([(r, r) for r in dict.fromkeys(roots)], "root string, path string")
+    whole: DataFrame | None = None
+    depth = 0
+    while whole is None or not level.isEmpty():
+        # Folders are dealt by a hash, so that those of one parent do not stay together.
+        found = durable(level.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(_entries, TREE))
+        level = found.filter("kind = 'folder'").select("root", "path")
+        whole = found if whole is None else whole.unionByName(found)
+        depth += 1
+        if depth % 16 == 0:
+            whole = durable(whole)
+    return whole
+
+
+def _hidden_below(root: Column, path: Column) -> Column:
+    """A name below the root that starts with an underscore or a dot, which Spark's own listing skips."""
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substr(bare(path), F.length(F.regexp_replace(bare(root), "/+$", "")) + 1).rlike(r"/[_.]")
+
+
+def _unlisted(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, modificationTime, length) of the files that Spark's own listing skips: below or with a name that starts with
+    ``_`` or ``.``, and files without bytes."""
+    files = list_tree(spark, roots).filter("kind = 'file'")
+    skipped = files.filter((F.col("size") == 0) | _hidden_below(F.col("root"), F.col("path")))
+    return skipped.select("path", F.col("modified").alias("modificationTime"), F.col("size").alias("length"))
+
+
+def _unlisted_by_driver(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The same where only the session's own file system can open the roots: their names go through the driver."""
     jvm, found = spark._jvm, []
     for root in roots:
         start = jvm.org.apache.hadoop.fs.Path(root)
@@ -69,7 +156,16 @@ def _unlisted(spark: SparkSession, roots: list[str]) -> list[tuple]:
             name, size = entry.getPath().toString(), entry.getLen()
             if size == 0 or any(part[:1] in ("_", ".") for part in name[len(base) :].split("/") if part):
                 found.append((name, datetime.fromtimestamp(entry.getModificationTime() / 1000, UTC), size))
-    return found
+    return spark.createDataFrame(found, "path string, modificationTime timestamp, length long")
+
+
+def _opens(root: str) -> bool:
+    """Whether pyarrow has a file system for the root."""
+    try:
+        _arrow_system(root)
+    except (OSError, ValueError):
+        return False
+    return True
 
 
 @F.pandas_udf(T.BinaryType())
@@ -78,10 +174,7 @@ def _bytes_at(paths: pd.Series) -> pd.Series:
 
     def read(path: str) -> bytes | None:
         try:
-            scheme, found, rest = path.partition("://")
-            local = not found or scheme == "file"
-            inner = re.sub("^file:", "", rest if found else path)
-            system, inner = (fs.LocalFileSystem(), inner) if local else fs.FileSystem.from_uri(path)
+            system, inner, _ = _arrow_system(path)
             with system.open_input_stream(inner) as stream:
                 return stream.read()
         except (OSError, ValueError):
@@ -90,18 +183,24 @@ def _bytes_at(paths: pd.Series) -> pd.Series:
     return paths.map(read)
 
 
-def list_files(spark: SparkSession, roots: list[str] | str) -> DataFrame:
+def list_files(spark: SparkSession, roots: list[str] | str, contents: bool = True) -> DataFrame:
     """All files below the roots, whatever their names, empty ones included; bytes are read only where ``raw`` is used.
-    Missing roots add nothing. A file that vanishes or turns out corrupt during the scan does not end it."""
+    Missing roots add nothing. A file that vanishes or turns out corrupt during the scan does not end it.
+
+    Without ``contents`` there is no ``raw``, and the listing is that of ``list_tree`` alone: no list of names on the driver.
+    """
     roots = [roots] if isinstance(roots, str) else roots
     present = [r for r in roots if _exists(spark, r)]
-    if present:
+    by_tasks = all(map(_opens, present))
+    if not present:
+        files = spark.createDataFrame([], BINARY_SCHEMA)
+    elif not contents and by_tasks:
+        found = list_tree(spark, present).filter("kind = 'file'")
+        files = found.select("path", F.col("modified").alias("modificationTime"), F.col("size").alias("length"))
+    else:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
         files = reader.option("ignoreMissingFiles", "true").load(present)
-    else:
-        files = spark.createDataFrame([], BINARY_SCHEMA)
-    if unlisted := _unlisted(spark, present):
-        more = spark.createDataFrame(unlisted, "path string, modificationTime timestamp, length long")
+        more = _unlisted(spark, present) if by_tasks else _unlisted_by_driver(spark, present)
         raw = F.when(F.col("length") == 0, F.lit(b"")).otherwise(_bytes_at("path"))
         files = files.unionByName(more.withColumn("content", raw))
     relative = F.coalesce(F.lit(None).cast("string"), *[P.strip_root(F.col("path"), r) for r in present])
@@ -114,7 +213,7 @@ def list_files(spark: SparkSession, roots: list[str] | str) -> DataFrame:
         relative.alias("relative_path"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"),
-        F.col("content").alias("raw"),
+        *([F.col("content").alias("raw")] if contents else []),
     )
 
 

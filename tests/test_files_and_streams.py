@@ -236,6 +236,30 @@ def test_scan_keeps_every_name_and_empty_files(spark, scratch):
     assert {r.reason for r in IN.scan_failures(listed).collect()} == {"empty"}
 
 
+def test_list_tree_level_by_level(spark, scratch):
+    names = ["a.txt", "_x/.y/z.sql", "deep/" * 20 + "end.txt", "sp ace/ü.txt", "empty.dat"]
+    for name in names:
+        put(scratch, name, "" if name == "empty.dat" else "text")
+    (scratch / "void").mkdir()
+    (scratch / "deep" / "back").symlink_to(scratch)
+    (scratch / "other").symlink_to(scratch / "_x")
+    rows = IN.list_tree(spark, [str(scratch), f"file://{scratch}/sp ace", f"{scratch}/a.txt", f"{scratch}/gone"]).collect()
+    files = {(r.root, r.path): r.size for r in rows if r.kind == "file"}
+    below = {(str(scratch), f"file:{scratch}/{n}"): 0 if n == "empty.dat" else 4 for n in [*names, "other/.y/z.sql"]}
+    extra = {(f"file://{scratch}/sp ace", f"file:{scratch}/sp ace/ü.txt"): 4, (f"{scratch}/a.txt", f"file:{scratch}/a.txt"): 4}
+    assert files == below | extra
+    assert {r.path for r in rows if r.kind == "folder" and r.path.endswith("void")} == {f"file:{scratch}/void"}
+    assert [r.root for r in rows if r.kind == "error"] == [f"{scratch}/gone"]
+    (scratch / "deep" / "back").unlink()  # Spark's own listing goes round it until the name is too long
+    spark_names = {r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(scratch)).select("path").collect()}
+    listed = IN.list_files(spark, str(scratch), contents=False)
+    assert listed.columns == ["path", "root", "relative_path", "size", "modified"]
+    found = {r.path: (r.relative_path, r.size, r.modified) for r in listed.collect()}
+    assert spark_names <= set(found) == {p for _, p in below}
+    with_bytes = {r.path: (r.relative_path, r.size, r.modified) for r in IN.list_files(spark, str(scratch)).drop("raw").collect()}
+    assert {p: v[:2] for p, v in with_bytes.items()} == {p: v[:2] for p, v in found.items()}
+
+
 def test_unreadable_files_keep_their_rows(spark, scratch):
     put(scratch, "a.txt", "same")
     put(scratch, "b c.txt", "same")
