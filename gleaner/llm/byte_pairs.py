@@ -13,6 +13,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, filterfalse
 
@@ -50,8 +51,9 @@ class BytePairs:
         if min(self.bytes_of) < 0 or max(self.bytes_of) >= 2**31 or len(self.bytes_of) < len(ranks):
             raise ValueError("ranks must be distinct and below 2^31")
         self.matches = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.matches.add_word(token.decode("latin-1"), rank)
+        self.whole = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        for token, rank in self.whole.items():
+            self.matches.add_word(token, rank)
         self.matches.make_automaton()
         self.widest = max(map(len, ranks))
         self.size = dict(zip(ranks.values(), map(len, ranks)))
@@ -59,7 +61,7 @@ class BytePairs:
         #: The two tokens that each token is merged from, and the other way round.
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         for rank in sorted(self.bytes_of):
             if len(self.bytes_of[rank]) > 1 and not self._learn(rank):
                 raise ValueError(f"token {rank} is no merge of two tokens of lower rank")
@@ -97,25 +99,25 @@ class BytePairs:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens as they are, one after the other."""
-        pair = left, right
+        pair = left << 32 | right
         if pair not in self.known:
             if len(self.known) >= MAX_PAIRS:
                 self.known.clear()
             self.known[pair] = self._follows(left, right)
         return self.known[pair]
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece. A piece that is a token is that token."""
-        whole = self.ranks.get(piece)
+    def encode(self, text: str) -> list[int]:
+        """Ids of one piece, given as Latin-1. A piece that is a token is that token."""
+        whole = self.whole.get(text)
         if whole is not None:
             return [whole]
-        size, shorter, known, text = self.size, self.shorter, self.known.get, piece.decode("latin-1")
+        size, shorter, known = self.size, self.shorter, self.known.get
         # Longest matches one after the other are the answer if all neighbours among them go together.
         out: list[int] = []
         at, last = 0, -1
         for _, token in self.matches.iter_long(text):
             if last >= 0:
-                good = known((last, token))
+                good = known(last << 32 | token)
                 if not good and (good is not None or not self.follows(last, token)):
                     break
             out.append(token)
@@ -129,14 +131,14 @@ class BytePairs:
         while True:
             while token >= 0:
                 if at + size[token] not in closed:
-                    good = last < 0 or known((last, token))
+                    good = last < 0 or known(last << 32 | token)
                     if good or good is None and self.follows(last, token):
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                if at == len(piece):
+                if at == len(text):
                     return out
                 # The automaton copies what it is given, so a long piece is handed over in parts.
                 last, token = token, next(self.matches.iter_long(text[at : at + self.widest]))[1]
@@ -212,13 +214,13 @@ class BytePairEncoder:
     def fresh(self, stretches: list[str]) -> Iterator[bytes]:
         """Ids of stretches of one text. They are cut by the pattern as one text, in which no match goes from one to the next:
         all begin with a blank but one that may be first, all end otherwise but one that may be last."""
-        pieces = iter(self.pattern.pieces("".join(stretches)))
+        pieces, encode = iter(self.pattern.pieces("".join(stretches))), self.pairs.encode
         for stretch in stretches:
             ids, left = array("i"), len(stretch)
             while left:
                 piece = next(pieces)
                 left -= len(piece)
-                ids.extend(self.pairs.encode(piece.encode("utf-8", "surrogatepass")))
+                ids.extend(encode(piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")))
             yield ids.tobytes()
 
     def encode(self, text: str | None) -> bytes:
@@ -247,9 +249,34 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
     return BytePairEncoder(path, pattern)
 
 
+@dataclass(frozen=True)
+class TokenBytes:
+    """The bytes of all tokens in one array, and where those of each id lie."""
+
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(ranks: dict[bytes, int]) -> TokenBytes:
+        size = np.full(max(ranks.values()) + 1, -1)
+        by_rank = sorted(ranks, key=ranks.__getitem__)
+        size[[ranks[t] for t in by_rank]] = [len(t) for t in by_rank]
+        return TokenBytes(np.frombuffer(b"".join(by_rank), np.uint8), np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), size)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0:
+            raise ValueError("an id is no token")
+        size = self.size[ids]
+        first = self.start[ids] - (np.cumsum(size) - size)
+        return self.data[np.repeat(first, size) + np.arange(size.sum())].tobytes()
+
+
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes.of(read_ranks(path))
 
 
 def _column(df: DataFrame, source: str, name: str, kind: T.DataType, run) -> DataFrame:
@@ -287,7 +314,9 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", decoded: str = "decode
     null) are no bytes; an id that is no token, or null, is an error."""
 
     def run(column: pa.Array) -> pa.Array:
-        part = token_bytes(path).__getitem__
-        return pa.array([b"".join(map(part, i.values.to_pylist())) if i.is_valid else b"" for i in column], pa.binary())
+        back = token_bytes(path).decode
+        if column.flatten().null_count:
+            raise ValueError("an id is null")
+        return pa.array([back(i.values.to_numpy()) if i.is_valid else b"" for i in column], pa.binary())
 
     return _column(coded, ids, decoded, T.BinaryType(), run)

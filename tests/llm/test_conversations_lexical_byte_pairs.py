@@ -245,6 +245,16 @@ def test_ids_are_those_of_the_library(both):
         assert np.frombuffer(own.encode(text), "<i4").tolist() == library.encode_ordinary(text)
 
 
+def test_ids_back_to_bytes(both):
+    own, library = both
+    table = byte_pairs.TokenBytes.of(own.pairs.ranks)
+    ids = np.array(random.Random(1).choices(sorted(own.pairs.bytes_of), k=5000), np.int32)
+    assert table.decode(ids) == library.decode_bytes(ids.tolist()) and table.decode(ids[:0]) == b""
+    for wrong in (-1, len(table.size)):
+        with pytest.raises(ValueError):
+            table.decode(np.array([0, wrong], np.int32))
+
+
 def test_every_token_comes_from_its_parts(both):
     own, _ = both
     assert len(own.pairs.parts) == len(own.pairs.ranks) - 256
@@ -260,7 +270,7 @@ def test_long_pieces_take_time_in_proportion(both):
     own, _ = both
     rng = random.Random(0)
     for letters in ("ab", "etaoinshr"):
-        piece = "".join(rng.choices(letters, k=400_000)).encode()
+        piece = "".join(rng.choices(letters, k=400_000))
         began = time.time()
         own.pairs.encode(piece)
         assert time.time() - began < 30
