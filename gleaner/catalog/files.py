@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.catalog.base import Query, fixture, oracle, table
 from gleaner.operators import files as FD
+from gleaner.session import shared_folder
 
 NAMED = {"named": "named"}
 _CANDIDATES = """SELECT * FROM named SEMI JOIN
@@ -22,6 +23,24 @@ def _history(spark, d):
     )
 
 
+def _from_batches(spark, d):
+    """Four batches, the second written twice, a snapshot of the first two, one of these written again."""
+    history, rows = FD.ScanHistory(spark, shared_folder(spark, "history")), _history(spark, d)
+    batch = lambda i: rows.filter(F.pmod(F.dayofyear("scan_date"), F.lit(4)) == i)
+    for i in (0, 1, 1):
+        history.add(batch(i), f"scan-{i}")
+    history.compact()
+    for i in (1, 2, 3):
+        history.add(batch(i), f"scan-{i}")
+    return history.latest().withColumn("scan_date", F.date_format("scan_date", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+_LATEST = oracle(
+    """SELECT path, arg_max(hash, scan_date) AS hash, strftime(max(scan_date), '%Y-%m-%d %H:%M:%S.%f') AS scan_date
+      FROM h GROUP BY 1""",
+    h=_HISTORY,
+)
+
 QUERIES = [
     Query(
         "fd1_candidates",
@@ -81,10 +100,7 @@ QUERIES = [
         lambda s, d: FD.latest_hash(_history(s, d)).withColumn(
             "scan_date", F.date_format("scan_date", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         ),
-        oracle(
-            """SELECT path, arg_max(hash, scan_date) AS hash, strftime(max(scan_date), '%Y-%m-%d %H:%M:%S.%f') AS scan_date
-              FROM h GROUP BY 1""",
-            h=_HISTORY,
-        ),
+        _LATEST,
     ),
+    Query("fd6_latest_from_batches", _from_batches, _LATEST),
 ]

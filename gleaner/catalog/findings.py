@@ -138,6 +138,7 @@ QUERIES = [
         ),
     ),
     Query("an7_top_tables", lambda s, d: A.top_tables(featured(s, d)), oracle(_TOP.format(k=20), **FEATURES)),
+    Query("an7_heavy_tables", lambda s, d: A.heavy_tables(featured(s, d)), oracle(_TOP.format(k=20), **FEATURES)),
     Query("an8_findings", lambda s, d: A.findings(featured(s, d)), oracle("SELECT * FROM found", **RULES)),
     Query("an9_summary_lines", lambda s, d: A.summary_lines(featured(s, d)), oracle(_SUMMARY, **RULES)),
     Query(

@@ -11,11 +11,11 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import durable, spread
+from gleaner.session import delete_folder, durable, spread
 
 CHUNK_BYTES = 1 << 20
 
@@ -217,6 +217,71 @@ def append_history(files: DataFrame, path: str, scan_date: Column | None = None)
 
 def latest_hash(history: DataFrame) -> DataFrame:
     """Last known hash of every path."""
-    return history.groupBy("path").agg(
-        F.max_by("hash", "scan_date").alias("hash"), F.max("scan_date").alias("scan_date")
-    )
+    last = F.max(F.struct("scan_date", "hash"))
+    return history.groupBy("path").agg(last.alias("last")).select("path", "last.hash", "last.scan_date")
+
+
+HISTORY = "path string, hash string, scan_date timestamp"
+
+
+class ScanHistory:
+    """Hashes of paths over scans, in a folder of batches and a snapshot of the last hash of every path.
+
+    A batch is a folder of its own, written over when the batch is run again, so a second run adds nothing. ``compact`` makes a
+    new snapshot from the last one and the batches that it does not cover yet, whose names it keeps; a covered batch is not
+    written again. A snapshot counts once it is whole, so an interrupted one changes nothing. The last hash of a path is that
+    of the latest scan date, of equal dates the greatest hash. Frames of ``latest`` are to be read before the next ``compact``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def add(self, files: DataFrame, batch: str, scan_date: Column | None = None) -> None:
+        """Write (path, hash) of one scan; with a ``scan_date`` column of their own, rows keep it."""
+        if not re.fullmatch(r"[A-Za-z0-9-]+", batch):
+            raise ValueError(f"a batch is named by letters, digits and hyphens, not {batch!r}")
+        if batch in self._covered():
+            return
+        at = scan_date if scan_date is not None else F.col("scan_date") if "scan_date" in files.columns else F.current_timestamp()
+        rows = files.select("path", "hash", at.cast("timestamp").alias("scan_date"))
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}")
+
+    def latest(self) -> DataFrame:
+        """(path, hash, scan_date): the snapshot and what batches after it say."""
+        return latest_hash(self._known())
+
+    def compact(self) -> None:
+        """A new snapshot of all whole batches; the ones before it are deleted."""
+        found, before = self._whole("batches"), self._whole("snapshots")
+        covered = self._covered()
+        path = f"{self.folder}/snapshots/{int(before[-1] if before else 0) + 1:09d}"
+        latest_hash(self._known()).write.mode("overwrite").parquet(f"{path}/state")
+        names = self.spark.createDataFrame([(b,) for b in sorted(covered | set(found))], "batch string")
+        names.coalesce(1).write.mode("overwrite").parquet(path + "/covered")
+        for old in before:
+            delete_folder(self.spark, f"{self.folder}/snapshots/{old}")
+        for batch in found:
+            delete_folder(self.spark, f"{self.folder}/batches/{batch}")
+
+    def _known(self) -> DataFrame:
+        snapshots, covered = self._whole("snapshots"), self._covered()
+        parts = [f"{self.folder}/snapshots/{snapshots[-1]}/state"] if snapshots else []
+        parts += [f"{self.folder}/batches/{b}" for b in self._whole("batches") if b not in covered]
+        if not parts:
+            return self.spark.createDataFrame([], HISTORY)
+        return self.spark.read.schema(HISTORY).parquet(*parts)
+
+    def _covered(self) -> set[str]:
+        """Names of all batches that went into the last snapshot; one name per scan ever made."""
+        snapshots = self._whole("snapshots")
+        if not snapshots:
+            return set()
+        return {r["batch"] for r in self.spark.read.parquet(f"{self.folder}/snapshots/{snapshots[-1]}/covered").collect()}
+
+    def _whole(self, kind: str) -> list[str]:
+        """Names of finished batches or snapshots, in order."""
+        mark = {"batches": "*/_SUCCESS", "snapshots": "*/covered/_SUCCESS"}[kind]
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/{mark}")
+        system = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        up = 1 if kind == "batches" else 2
+        return sorted(s.getPath().toString().split("/")[-1 - up] for s in system.globStatus(pattern) or [])

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from gleaner.functions import sqltext as S
 from gleaner.functions.text import literal_map
 from gleaner.operators.skew import number_rows
+from gleaner.session import durable
 
 PATH_ORDER = ["source_file", "ordinal"]
 
@@ -121,6 +122,33 @@ def top_tables(statements: DataFrame, k: int = 20) -> DataFrame:
     return counted.orderBy(F.desc("n"), "table_name").limit(k)
 
 
+#: Names that the sketch of ``heavy_tables`` tracks.
+TRACKED_NAMES = 10_000
+
+
+def heavy_tables(statements: DataFrame, k: int = 20, tracked: int = TRACKED_NAMES) -> DataFrame:
+    """The rows of ``top_tables`` where there are too many names to count them all.
+
+    A frequent-items sketch, merged from all tasks, gives up to ``tracked`` candidates; these alone are counted exactly. A name
+    that the sketch does not give occurs at most in a known share of all references, twice the sketch's error. If the k-th
+    candidate is above that, no other name can be among the first k; if not, the names are too even, and all are counted.
+    """
+    names = durable(statements.select(F.explode("table_names").alias("name")).select(F.lower("name").alias("table_name")))
+    seen = names.agg(F.count(F.lit(1)).alias("total"), F.expr(f"approx_top_k(table_name, {tracked}, {tracked})").alias("items")).first()
+    items = [i["item"] for i in seen["items"] or [] if i["item"] is not None]
+    # At most ``tracked`` names: a broadcast of bounded size.
+    wanted = statements.sparkSession.createDataFrame([(i,) for i in items], "table_name string")
+    counted = names.join(F.broadcast(wanted), "table_name").groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.orderBy(F.desc("n"), "table_name").limit(k)
+    slots = 1 << max(0, (-(-4 * tracked // 3) - 1).bit_length())  # places of the sketch: the next power of two
+    if seen["total"] > slots * 3 // 4:  # up to there the sketch holds every name
+        last = ranked.agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+        if last["rows"] < k or last["n"] <= 7 * seen["total"] / slots:
+            every = names.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+            return every.orderBy(F.desc("n"), "table_name").limit(k)
+    return ranked
+
+
 def table_ranks(statements: DataFrame, k: int = 20) -> DataFrame:
     """Rank, table, count; only the k ranked rows are numbered in one place."""
     ranked = top_tables(statements, k)

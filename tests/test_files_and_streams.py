@@ -155,6 +155,31 @@ def test_history(spark, scratch):
     assert latest == {"p": "h2", "q": "h1"}
 
 
+def test_history_of_batches(spark, scratch):
+    history = FD.ScanHistory(spark, str(scratch / "h"))
+    files = lambda rows: spark.createDataFrame(rows, "path string, hash string")
+    at = lambda day: F.lit(f"2024-01-{day:02d} 10:00:00").cast("timestamp")
+    state = lambda: {r.path: r.hash for r in history.latest().collect()}
+    folders = lambda kind: sorted(p.name for p in (scratch / "h" / kind).iterdir())
+    assert history.latest().count() == 0
+    history.add(files([("p", "h1"), ("q", "h1")]), "a", at(1))
+    history.add(files([("p", "h2")]), "b", at(2))
+    for _ in range(2):
+        history.add(files([("p", "h2")]), "b", at(2))
+    assert state() == {"p": "h2", "q": "h1"} and history.latest().count() == 2
+    history.compact()
+    assert folders("snapshots") == ["000000001"] and folders("batches") == [] and state() == {"p": "h2", "q": "h1"}
+    history.add(files([("p", "other")]), "a", at(9))  # covered, so it adds nothing
+    history.add(files([("r", "h3"), ("p", "h0")]), "c", at(1))
+    (scratch / "h" / "batches" / "broken").mkdir()  # a batch that did not end
+    assert state() == {"p": "h2", "q": "h1", "r": "h3"}
+    history.compact()
+    history.add(files([("q", "h4")]), "d", at(3))
+    assert folders("snapshots") == ["000000002"] and state() == {"p": "h2", "q": "h4", "r": "h3"}
+    with pytest.raises(ValueError):
+        history.add(files([]), "../x", at(1))
+
+
 def test_plan_downloads(spark):
     pages = spark.createDataFrame(
         [

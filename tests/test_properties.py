@@ -17,6 +17,7 @@ from gleaner.functions import urls as U
 from gleaner.operators import compare as CP
 from gleaner.operators import dedup as DD
 from gleaner.operators import files as FD
+from gleaner.operators import findings as A
 from gleaner.operators import hunks as HU
 from gleaner.operators import lines as TX
 from gleaner.operators import snapshots as SN
@@ -241,6 +242,22 @@ def test_line_changes_balance(spark):
         assert r.diff == "\n".join(want)
 
 
+@pytest.mark.parametrize("kind", ["heavy", "even", "few", "none"])
+def test_heavy_tables_are_the_top_tables(spark, kind):
+    rng = random.Random(4)
+    draw = {
+        "heavy": lambda: f"T{min(int(rng.paretovariate(0.7)), 5000)}",
+        "even": lambda: f"t{rng.randrange(3000)}",
+        "few": lambda: f"t{rng.randrange(3)}",
+        "none": None,
+    }[kind]
+    rows = [([draw() for _ in range(rng.randrange(4))],) for _ in range(6000)] if draw else [([],)]
+    df = spark.createDataFrame(rows, "table_names array<string>").repartition(7)
+    for tracked in (64, 10_000):
+        got = [tuple(r) for r in A.heavy_tables(df, 5, tracked).collect()]
+        assert got == [tuple(r) for r in A.top_tables(df, 5).collect()]
+
+
 def test_increasing_run_is_longest():
     rng = random.Random(0)
     for _ in range(200):
