@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.catalog import duck as D
 from gleaner.catalog.base import Query, fixture, oracle, table
 from gleaner.functions.text import trim_ws
+from gleaner.operators import language as LG
 from gleaner.operators import lines as TX
 
 _MARK = r"'^(\d{1,3})[.)]\s*(.*)$'"
@@ -48,7 +49,41 @@ def _carried(spark: SparkSession, d: str) -> DataFrame:
     return TX.carry_marker(TX.with_marker(_lines(spark, d)))
 
 
+def _gram_rows(source: str, keys: str, text: str) -> str:
+    """(keys, gram) for every three characters of the words; a text without any has no rows."""
+    return rf"""SELECT {keys}, c[i] || c[i + 1] || c[i + 2] AS gram FROM (SELECT {keys}, c, unnest(range(1, len(c) - 1)) AS i
+      FROM (SELECT {keys}, string_split(' ' || trim(regexp_replace(lower({text}), '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS c FROM {source}))"""
+
+
+_WEIGHT = "floor(1000 * ln(({n} + 0.5) / (total + 0.5 * (SELECT count(DISTINCT gram) FROM counted))))::BIGINT"
+GRAMS = {
+    **{name: CTES[name] for name in ("f5", "trimmed", "marked")},
+    "learnt": _gram_rows("documents", "lang", "text"),
+    "counted": "SELECT lang, gram, count(*) AS n FROM learnt WHERE lang IS NOT NULL GROUP BY ALL",
+    "totals": f"SELECT lang, {_WEIGHT.format(n=0)} AS unknown, total FROM (SELECT lang, sum(n)::BIGINT AS total FROM counted GROUP BY lang)",
+    "gains": f"SELECT lang, gram, {_WEIGHT.format(n='n')} - unknown AS gain FROM counted JOIN totals USING (lang)",
+    "asked": _gram_rows("marked", "doc_id, line_no", "rest"),
+    "sizes": "SELECT doc_id, line_no, count(*) AS n FROM asked GROUP BY ALL",
+    "sums": "SELECT doc_id, line_no, lang, sum(gain)::BIGINT AS gain FROM asked JOIN gains USING (gram) GROUP BY ALL",
+    "scores": """SELECT p.doc_id, p.line_no, p.lang, n * unknown + coalesce(gain, 0) AS score
+      FROM (SELECT doc_id, line_no, n, lang, unknown FROM sizes, totals) p LEFT JOIN sums s
+      ON p.doc_id = s.doc_id AND p.line_no = s.line_no AND p.lang = s.lang""",
+    "best": """SELECT doc_id, line_no, lang FROM scores
+      QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY score DESC, lang) = 1""",
+}
+
+
+def _line_languages(spark: SparkSession, d: str) -> DataFrame:
+    model = LG.learn_languages(table(spark, d, "documents"))
+    return LG.text_language(TX.with_marker(_lines(spark, d)), ["doc_id", "line_no"], model, "rest")
+
+
 QUERIES = [
+    Query(
+        "tx4_line_language_by_grams",
+        _line_languages,
+        oracle("SELECT doc_id, line_no, lang FROM marked LEFT JOIN best USING (doc_id, line_no)", **GRAMS),
+    ),
     Query(
         "tx1_explode_lines",
         lambda s, d: TX.explode_lines(table(s, d, "documents")),

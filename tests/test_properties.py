@@ -19,6 +19,7 @@ from gleaner.operators import dedup as DD
 from gleaner.operators import files as FD
 from gleaner.operators import findings as A
 from gleaner.operators import hunks as HU
+from gleaner.operators import language as LG
 from gleaner.operators import lines as TX
 from gleaner.operators import snapshots as SN
 from gleaner.operators import statements as ST
@@ -242,6 +243,25 @@ def test_line_changes_balance(spark):
         assert r.diff == "\n".join(want)
 
 
+def test_language_by_grams_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = LG.learn_languages(docs.filter("doc_id % 5 <> 0"))
+    asked = docs.filter("doc_id % 5 = 0").withColumnRenamed("lang", "told")
+    found = LG.text_language(asked, ["doc_id", "told"], model).filter("lang IS NOT NULL").toPandas()
+    assert len(found) > 150 and (found.lang == found.told).mean() > 0.95
+
+
+def test_language_of_odd_texts(spark):
+    known = spark.createDataFrame([("aa", "xyx xyx"), ("bb", "ééé zz"), (None, "qq"), ("cc", None)], "lang string, text string")
+    model = LG.learn_languages(known)
+    texts = ["xyx", "ÉÉÉ!", None, "", "12 -", "qqq", "xyx xyx zz"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    found = {r.k: r.lang for r in LG.text_language(asked, ["k"], model).collect()}
+    assert found == {0: "aa", 1: "bb", 2: None, 3: None, 4: None, 5: "bb", 6: "aa"}
+    nothing = LG.learn_languages(known.limit(0))
+    assert {r.lang for r in LG.text_language(asked, ["k"], nothing).collect()} == {None}
+
+
 @pytest.mark.parametrize("kind", ["heavy", "even", "few", "none"])
 def test_heavy_tables_are_the_top_tables(spark, kind):
     rng = random.Random(4)
