@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import sqltext as S
 from gleaner.operators.neardup import near_dup, pair_similarity
-from gleaner.operators.skew import ROWS_PER_SLICE, join_leaders, join_same, number_rows
+from gleaner.operators.skew import MAX_BROADCAST_ROWS, ROWS_PER_SLICE, join_leaders, join_same, number_rows
 from gleaner.session import durable, release
 
 PLACE = ["source_file", "ordinal"]
@@ -133,10 +133,14 @@ def duplicate_edges(tagged: DataFrame, max_groups: int | None = None) -> DataFra
     numbered = number_rows(flat, [], ["tier_order", *PLACE], "group_no").select("group_no", "group_key", "group_size", "preview")
     if max_groups is not None:
         numbered = numbered.filter(F.col("group_no") <= max_groups)
-    originals = tagged.select(
+    semantic = durable(edges.filter("tier = 'SEMANTIC'").select(*PLACE, "original_file", "original_ordinal", "raw_sql"))
+    # Only the texts of statements that a semantic duplicate points to are moved.
+    wanted = durable(semantic.select("original_file", "original_ordinal").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted
+    places = tagged.select(
         F.col("source_file").alias("original_file"), F.col("ordinal").alias("original_ordinal"), F.col("raw_sql").alias("original_sql")
     )
-    semantic = edges.filter("tier = 'SEMANTIC'").select(*PLACE, "original_file", "original_ordinal", "raw_sql")
+    originals = join_same(places, wanted, ["original_file", "original_ordinal"], "left_semi")
     scored = pair_similarity(join_same(semantic, originals, ["original_file", "original_ordinal"]), "raw_sql", "original_sql", "jaccard")
     narrow = edges.select("group_key", "tier", *PLACE, "line_start", "original_file", "original_line")
     joined = join_leaders(narrow, numbered, ["group_key"], "group_size", PLACE)
