@@ -6,9 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the cuts made in the innermost open ``scratch`` block.
+made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def build_session(app: str = "gleaner", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with adaptive execution on; every other choice stays with the cluster."""
@@ -61,9 +65,40 @@ def durable(df: DataFrame) -> DataFrame:
     the rows, later readers get only the columns they use, and the optimizer knows the size."""
     path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
+    if (cuts := made.get()) is not None:
+        cuts.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Cuts]:
+    """Delete the cuts made within the block behind it. A cut made by ``keep`` of what the block gets lives on, as one of
+    the block around this one if there is one."""
+    outer, cuts = made.get(), Cuts()
+    token = made.set(cuts)
+    try:
+        yield cuts
+    finally:
+        made.reset(token)
+        for folder in cuts:
+            delete_folder(spark, folder)
+        if outer is not None:
+            outer.extend(cuts.kept)
+
+
+class Cuts(list[str]):
+    """Folders of cuts; those of ``kept`` outlive the block."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kept: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        cut = durable(df)
+        self.kept.append(self.pop())
+        return cut
+
+
 @contextmanager
 def laid_out(df: DataFrame, keys: list[str]) -> Iterator[DataFrame]:
     """The frame as a table in the shared folder, bucketed and sorted by ``keys``: joins on them shuffle the other side only,
