@@ -12,6 +12,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,19 @@ def with_row_key(df: DataFrame, wish: str = "_row") -> tuple[DataFrame, str]:
     return durable(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
+def placed(df: DataFrame, wish: str = "_row") -> tuple[DataFrame, str]:
+    """The frame with a unique key per row, without a copy of it where it is read from files that number their rows: file
+    and row index. A frame whose rows don't stand for one row of a file each (counted) is written with numbers instead."""
+    name = free_name(df, wish)
+    place = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+    try:
+        found = df.withColumn(name, place)
+    except AnalysisException:
+        return with_row_key(df, wish)
+    once = found.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return (found, name) if once else with_row_key(df, wish)
+
+
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add result columns; an input column of the same name (in any case) gives way."""
     taken = {c.lower() for c in columns}

@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import release, with_row_key, words_of
+from gleaner.llm.common import placed, words_of
 from gleaner.operators.skew import number_rows
-from gleaner.session import durable
+from gleaner.session import durable, scratch
 
 #: Weights by rank of the source, repeating, and the most copies of a document.
 WEIGHTS = (5, 2, 1)
@@ -125,46 +125,50 @@ def mix(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     """units (doc_id, source, size, and optionally ``row``, unique) with source_size, target and taken.
 
     ``taken`` is size times the copies of the document. Without ``row``, rows that are equal in doc_id, source and size
-    are numbered among themselves, which needs no order. Null ids and sources are values like others; a document of size
-    0 takes nothing. The same rows give the same result, however they are laid out; an empty table gives none.
+    are numbered among themselves, which needs no order. A column ``tie`` tells rows of equal doc_id and size apart, and then
+    ``row`` decides only among rows that are equal in all three. Null ids and sources are values like others; a document of
+    size 0 takes nothing. The same rows give the same result, however they are laid out; an empty table gives none.
     """
-    if "row" not in units.columns:
-        same = units.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-        units = same.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("row"))
-    units = durable(units.select("doc_id", "source", "size", "row"))  # read twice, without texts
-    wanted = durable(targets(units, weights, max_copies))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = units.select("doc_id", "source", "size", "row").join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "row"))
-    rows = durable(rows.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)))
-    keys = ["doc_id", "source", "size", "row", "source_rank", "source_size", "target", "h", "whole"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", p double, block long"
-    most = wanted.agg(F.max("n_docs")).first()[0] or 0
-    n_blocks, done, open_rows = F.ceil(F.col("n_docs") / BLOCK_ROWS), [], rows
-    level = 0
-    while True:
-        last = most <= BLOCK_ROWS
-        dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), n_blocks)).select(*keys, "p", "block")
-        flown = durable(dealt.groupBy("source_rank", "block").applyInPandas(flight(level, seed, last), schema))
-        done.append(flown if last else flown.where("p = 0 or p = 1"))
-        if last:
-            break
-        left = flown.where("p > 0 and p < 1")
-        counts = left.groupBy("source_rank").agg(F.count(F.lit(1)).alias("n_docs"))
-        open_rows = left.drop("block").join(counts, "source_rank")
-        most = counts.agg(F.max("n_docs")).first()[0] or 0
-        level += 1
-    release(rows)
-    whole = done[0]
-    for part in done[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("doc_id", "source", "row", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))
+    with scratch(units.sparkSession) as cuts:
+        if "row" not in units.columns:
+            same = units.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+            units = same.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("row"))
+        own = F.xxhash64(F.lit(seed), "doc_id", "size", "tie" if "tie" in units.columns else "row")
+        units = durable(units.select("doc_id", "source", "size", "row", own.alias("h")))  # read twice, without texts
+        again = units.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.lit(True).alias("again"))
+        wanted = durable(targets(units, weights, max_copies))
+        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        rows = units.join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        rows = rows.join(again, "h", "left").withColumn("h", F.when(F.col("again"), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("again")
+        rows = durable(rows.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)))
+        keys = ["doc_id", "source", "size", "row", "source_rank", "source_size", "target", "h", "whole"]
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", p double, block long"
+        most = wanted.agg(F.max("n_docs")).first()[0] or 0
+        n_blocks, done, open_rows = F.ceil(F.col("n_docs") / BLOCK_ROWS), [], rows
+        level = 0
+        while True:
+            last = most <= BLOCK_ROWS
+            dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), n_blocks)).select(*keys, "p", "block")
+            flown = durable(dealt.groupBy("source_rank", "block").applyInPandas(flight(level, seed, last), schema))
+            done.append(flown if last else flown.where("p = 0 or p = 1"))
+            if last:
+                break
+            left = flown.where("p > 0 and p < 1")
+            counts = left.groupBy("source_rank").agg(F.count(F.lit(1)).alias("n_docs"))
+            open_rows = left.drop("block").join(counts, "source_rank")
+            most = counts.agg(F.max("n_docs")).first()[0] or 0
+            level += 1
+        whole = done[0]
+        for part in done[1:]:
+            whole = whole.unionByName(part)
+        taken = (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken")
+        return cuts.keep(whole.select("doc_id", "source", "row", "size", "source_size", "target", taken))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` (doc_id, text, source, more) as often as the mix takes it."""
-    keyed, row = with_row_key(docs)
-    units = keyed.select("doc_id", "source", size_column().alias("size"), F.col(row).alias("row"))
+    keyed, row = placed(docs)
+    units = keyed.select("doc_id", "source", size_column().alias("size"), F.col(row).alias("row"), F.xxhash64("text").alias("tie"))
     taken = mix(units, weights, max_copies, seed).where("taken > 0").select(F.col("row").alias(row), F.expr("taken div size").alias(f"{row}_n"))
-    repeated = keyed.join(taken, row).withColumn(f"{row}_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{row}_n"))))
+    repeated = keyed.join(taken.hint("shuffle_hash"), row).withColumn(f"{row}_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{row}_n"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import release, remade, replaced, with_row_key, word_bytes
-from gleaner.session import durable
+from gleaner.llm.common import placed, release, remade, replaced, word_bytes
+from gleaner.operators.skew import join_leaders
+from gleaner.session import durable, scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -33,6 +34,9 @@ FEW_BLOCK = 250
 ALL_BLOCK = 500
 #: Nodes up to this number (8 MB of ids) are broadcast to pick their texts.
 MAX_BROADCAST_NODES = 1_000_000
+#: Edges that one task contracts at a time, and neighbours of a node beyond which its edges are dealt over several tasks.
+CONTRACT_EDGES = 500_000
+HUB = 1000
 RESULT = ("class_id", "class_size", "stays")
 
 M1, M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -229,26 +233,70 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return common / (total - common) if total else 0.0
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node reachable) that join what the edges (a, b) join. Each turn hooks every root that has a
+    smaller neighbour below it, so at least half of the open roots go."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[i] != label[j]).any():
+        x, y = label[i], label[j]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    below = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[below], nodes[label[below]]
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Written pairs (u, v) as stars that join the same nodes: every task contracts the edges it reads, in bounded chunks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> pa.RecordBatch:
+            u, v = forest(*(np.concatenate(c) for c in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= CONTRACT_EDGES:
+                yield stars()
+                held, n = [], 0
+        if held:
+            yield stars()
+
+    tasks = max(1, math.ceil(pairs.count() / CONTRACT_EDGES))
+    return durable(pairs.select("u", "v").coalesce(tasks).mapInArrow(run, "u long, v long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): the smallest node reachable. Alternates the large-star and the
-    small-star step until nothing changes, each result a written table; the driver sees two numbers per round."""
-    pairs = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    while True:
-        role = lambda c, is_u: pairs.select(F.col(c).alias("n"), F.lit(is_u).alias("is_u"))
-        nodes = role("u", 1).unionByName(role("v", 0)).groupBy("n").agg(F.sum("is_u").alias("out"), F.count_if(F.col("is_u") == 0).alias("in"))
-        # Done once every edge leads from a node with no other edge to a root.
-        if nodes.where("out > 1 or (out > 0 and in > 0)").isEmpty():
-            break
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        earlier = pairs
-        pairs = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-        release(earlier)
-    roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    """(node, root) for every node of the edges (a, b): the smallest node reachable. Tasks contract the edges they hold to
+    stars; then the large-star and the small-star step join what tasks hold apart, until nothing changes. Each result is a
+    written table and the edges of a hub are dealt over tasks; the driver sees counts."""
+    with scratch(edges.sparkSession) as cuts:
+        pairs = contracted(durable(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u != v").distinct()))
+        while True:
+            role = lambda c, is_u: pairs.select(F.col(c).alias("n"), F.lit(is_u).alias("is_u"))  # noqa: E731, B023
+            nodes = role("u", 1).unionByName(role("v", 0)).groupBy("n").agg(F.sum("is_u").alias("out"), F.count_if(F.col("is_u") == 0).alias("in"))
+            # Done once every edge leads from a node with no other edge to a root.
+            if nodes.where("out > 1 or (out > 0 and in > 0)").isEmpty():
+                break
+            both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count(F.lit(1)).alias("n"))
+            large = join_leaders(both, least, ["u"], "n", ["v"], HUB).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+            large = durable(large.distinct())
+            # Nodes have few smaller neighbours by now, but for as many roots as a node may join.
+            least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+            small = join_leaders(large, least, ["u"], "n", ["v"], HUB).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            joined = small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            earlier = pairs
+            pairs = contracted(durable(joined.where("u != v").distinct()))
+            release(earlier)
+            release(large)
+        roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+        return cuts.keep(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))
 
 
 def links(rows: DataFrame, threshold: float = THRESHOLD, weighted: bool = False, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
@@ -284,14 +332,14 @@ def links(rows: DataFrame, threshold: float = THRESHOLD, weighted: bool = False,
     asking = pivots.select("band", F.explode(F.array_distinct("p")).alias("p")).select("band", "p.*", F.lit(True).alias("few"))
     found = confirmed(likely(asking.unionByName(open_rows.select(*side, F.lit(False).alias("few"))), threshold, least))
 
-    roots = durable(components(found))
+    roots = components(found)
     joined = durable(open_rows.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed_bands = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first")).where("low != high")
     unsettled = durable(joined.join(mixed_bands.select("band", "first"), "band").select("node", "root", "first"))
-    families = components(unsettled.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("root", "family")
-    members = unsettled.select("node", "root").distinct().join(families, "node").join(table.select("node", "mass", "sketch"), "node")
+    families = components(unsettled.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    members = unsettled.select("node", "root").distinct().join(families.withColumnRenamed("root", "family"), "node").join(table.select("node", "mass", "sketch"), "node")
     more = durable(settled(durable(members), rows, threshold, least, weighted))
-    for cut in (table, open_rows, roots, joined, unsettled):
+    for cut in (table, open_rows, roots, joined, unsettled, families):
         release(cut)
     return found.unionByName(more)
 
@@ -370,12 +418,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
 
     A class is a connected component of documents with equal texts or of at least the similarity; class_id is its
     smallest doc_id (null if all are null). ``stays`` marks one row per class: the smallest doc_id, nulls last, ties by
-    row. Null text counts as empty; texts without a word are alike only if equal. Texts are identified by a 64-bit hash.
+    row. Null text counts as empty; texts without a word are alike only if equal. Texts are told apart by 128 bits.
     Repeated rows fall into one class; an empty table stays empty; input columns named like a result are replaced.
     """
-    keyed, row = with_row_key(docs)
+    keyed, row = placed(docs)
     classed = classes(keyed.select("doc_id", "text", F.col(row).alias("row")), threshold, weighted)
-    joined = keyed.join(classed.select(F.col("row").alias(row), *[F.col(c).alias(f"{row}_{c}") for c in RESULT]), row)
+    found = classed.select(F.col("row").alias(row), *[F.col(c).alias(f"{row}_{c}") for c in RESULT])
+    joined = keyed.join(found.hint("shuffle_hash"), row)
     return replaced(joined, {c: F.col(f"{row}_{c}") for c in RESULT}).drop(row, *[f"{row}_{c}" for c in RESULT])
 
 
@@ -384,10 +433,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fals
     in ``docs``, or else a number given here."""
     text = F.coalesce("text", F.lit(""))
     row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
-    narrow = durable(docs.select("doc_id", F.xxhash64(text).alias("node"), row.alias("row")))
-    found = links(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), threshold, weighted)
-    roots = components(found)
-    classed = durable(narrow.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root")))
+    with scratch(docs.sparkSession) as cuts:
+        identity = [F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("other")]
+        narrow = durable(docs.select("doc_id", *identity, row.alias("row")))
+        rows = docs.select(*identity, text.alias("text"))
+        # A node is the hash of a text. Where two texts share it, a second hash parts them.
+        clashes = durable(narrow.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low != high").select("node"))
+        if not clashes.isEmpty():
+            shared = clashes.withColumn("shared", F.lit(True))
+            apart = F.when(F.col("shared"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+            narrow = narrow.join(shared, "node", "left").withColumn("node", apart).drop("shared")
+            rows = rows.join(shared, "node", "left").withColumn("node", apart).drop("shared")
+        found = links(rows.select("node", "text"), threshold, weighted)
+        roots = components(found)
+        classed = cuts.keep(narrow.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     heads = classed.groupBy("root").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("class_size"))
     return classed.join(heads, "root").select(
