@@ -24,10 +24,10 @@ CAPACITY = 1024
 END_ID = 2
 #: Stretches of text that a worker remembers the ids of, in each of two generations (about 100 MB).
 MEMO_ENTRIES = 450_000
-#: Nodes of the branch-and-bound before the best filling plan found so far is taken.
-MAX_NODES = 200
-#: Fillings tried at a node, least waste first.
-MAX_BRANCHES = 24
+#: Nodes of the branch-and-bound before the best filling plan found so far is taken, and fillings tried at a node, least
+#: waste first. None for both makes the search exact.
+MAX_NODES = 4000
+MAX_BRANCHES = 8
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 Plan = list[tuple[int, Filling]]  # (times, filling)
@@ -38,14 +38,14 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     each, and items from k up must fit into what the latter leave."""
     sizes = np.array(sorted(counts), dtype=np.int64)
     number = np.array([counts[s] for s in sizes.tolist()], dtype=np.int64)
-    best = -(-int((sizes * number).sum()) // capacity)
-    for k in [0, *[s for s in sizes.tolist() if 2 * s <= capacity]]:
-        alone, half = sizes > capacity - k, (sizes <= capacity - k) & (2 * sizes > capacity)
-        small = (2 * sizes <= capacity) & (sizes >= k)
-        room = int((number[half] * (capacity - sizes[half])).sum())
-        need = int((number[small] * sizes[small]).sum())
-        best = max(best, int(number[alone].sum() + number[half].sum()) + max(0, -(-(need - room) // capacity)))
-    return best
+    upto = lambda x: np.concatenate([[0], np.cumsum(x)])
+    many, load = upto(number), upto(number * sizes)
+    k = np.concatenate([[0], sizes[2 * sizes <= capacity]])
+    low, middle, high = np.searchsorted(sizes, k), np.searchsorted(2 * sizes, capacity, "right"), np.searchsorted(sizes, capacity - k, "right")
+    high = np.maximum(high, middle)
+    room = capacity * (many[high] - many[middle]) - (load[high] - load[middle])
+    more = -((room - (load[middle] - load[low])) // capacity)
+    return int(max(-(-load[-1] // capacity), (many[-1] - many[middle] + np.maximum(0, more)).max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -78,62 +78,78 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return sorted(plan, key=lambda x: (x[1], x[0]), reverse=True)
 
 
-def completions(counts: dict[int, int], first: int, capacity: int, limit: int = MAX_BRANCHES) -> list[Filling]:
-    """Undominated fillings around the longest item ``first``, least waste first.
+def completions(counts: dict[int, int], first: int, capacity: int, limit: int | None = MAX_BRANCHES, most_waste: int | None = None) -> list[Filling]:
+    """The undominated fillings around the longest item ``first`` that waste at most ``most_waste``, least waste first and
+    longer items first among equals; at most ``limit`` of them.
 
-    A filling is dominated if an unused length x could take the place of some of its items with sum(items) <= x <=
-    sum(items) + waste: the freed items are then easier to place than x. Search goes by falling length and stops at
-    ``limit * 8`` feasible sets, so the list may be a part; the plan stays feasible either way.
+    Which totals the shorter lengths reach is worked out first, as bits, so the search for fillings of a total has no dead
+    ends. A filling is dominated if an unused length x could take the place of some of its items with sum(items) <= x <=
+    sum(items) + waste: the freed items are then easier to place than x.
     """
-    sizes = [s for s in sorted(counts, reverse=True) if s <= capacity - first]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    have = dict(counts)
-    have[first] -= 1
-
-    def extend(start: int, room: int, chosen: tuple[int, ...]) -> None:
-        fits = False
-        for i in range(start, len(sizes)):
-            s = sizes[i]
-            if len(found) >= limit * 8:
+    room = capacity - first
+    have = {s: n - (s == first) for s, n in counts.items() if s <= room}
+    sizes = [s for s in sorted(have, reverse=True) if have[s]]
+    reach, bits, whole = [1], 1, (1 << (room + 1)) - 1
+    for s in reversed(sizes):
+        left, step = min(have[s], room // s), 1
+        while left:
+            step = min(step, left)
+            bits |= (bits << (s * step)) & whole
+            left -= step
+            step *= 2
+        reach.append(bits)
+    reach.reverse()  # reach[i]: totals of sizes[i:]
+
+    def fillings(at: int, total: int) -> Iterator[Filling]:
+        if not total:
+            yield ()
+            return
+        for i in range(at, len(sizes)):
+            if not reach[i] >> total & 1:
                 return
-            if s <= room and have[s] > 0:
-                fits = True
-                have[s] -= 1
-                extend(i, room - s, (*chosen, s))
-                have[s] += 1
-        if not fits and not any(s <= room and have[s] > 0 for s in sizes):
-            found.append((room, chosen))
+            s = sizes[i]
+            for each in range(min(have[s], total // s), 0, -1):
+                if reach[i + 1] >> (total - each * s) & 1:
+                    for rest in fillings(i + 1, total - each * s):
+                        yield ((s, each), *rest)
 
-    extend(0, capacity - first, ())
+    free = sum(1 << s for s in sizes)
 
-    def dominated(room: int, chosen: tuple[int, ...]) -> bool:
+    def dominated(filling: Filling, waste: int) -> bool:
+        unused = free & ~sum(1 << s for s, n in filling if n == have[s])
+        if unused & ((1 << (waste + 1)) - 1):
+            return True  # one more fits
         sums = {(0, 0)}
-        for s in chosen[:8]:
-            sums |= {(a + s, n + 1) for a, n in sums}
-        for total, n in sums:
-            if not n:
-                continue
-            for x in range(total + (n == 1), min(total + room, capacity - first) + 1):
-                if counts.get(x, 0) - (x == first) - chosen.count(x) > 0:
-                    return True
-        return False
-
-    kept = []
-    for room, chosen in sorted(set(found), key=lambda x: (x[0], [-s for s in x[1]])):
-        if not dominated(room, chosen):
-            whole = (first, *chosen)
-            kept.append(tuple((s, whole.count(s)) for s in sorted(set(whole), reverse=True)))
-            if len(kept) == limit:
-                break
+        for s in [s for s, n in filling for _ in range(n)][:8]:
+            sums |= {(a + s, min(n + 1, 2)) for a, n in sums}
+        # Lengths from a sum (for one item: above it) to the sum and the waste.
+        return any(n and unused >> (a + (n == 1)) & ((1 << (waste + (n > 1))) - 1) for a, n in sums)
+
+    kept: list[Filling] = []
+    tried = 0
+    for waste in range(0, min(room, room if most_waste is None else most_waste) + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        for filling in fillings(0, room - waste):
+            tried += 1
+            if not dominated(filling, waste):
+                used = dict(filling)
+                kept.append(((first, used.pop(first, 0) + 1), *sorted(used.items(), reverse=True)))
+                if len(kept) == limit:
+                    return kept
+            if limit and kept and tried >= 8 * limit:
+                return kept
     return kept
 
 
-def fill(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Plan:
+def fill(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES, max_branches: int | None = MAX_BRANCHES) -> Plan:
     """Fewest bins for a histogram of lengths: bin completion with best-fit solutions as incumbents.
 
-    Branches on the undominated fillings around the longest item left, each used as often as its contents allow; a
-    branch ends when its waste so far, added to the content, cannot beat the incumbent. At each node best fit completes
-    the rest, and a better total becomes the incumbent. The search stops at the lower bound or after ``max_nodes``.
+    Branches on the undominated fillings around the longest item left, least waste first, each used as often as its
+    contents allow and also once; a branch ends when its waste so far, added to the content, or the bound of what is left
+    cannot beat the incumbent. Best fit completes the root, the nodes whose number is a power of two and those with few
+    lengths left; a better total becomes the incumbent. The search stops at the lower bound, when nothing is left to
+    try, or after ``max_nodes``; with both limits None the result is the least number.
     """
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
@@ -143,31 +159,46 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_
     best_bins = sum(t for t, _ in best)
     content = sum(s * n for s, n in counts.items())
     nodes = 0
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
-    while stack and best_bins > bound and nodes < max_nodes:
+    # Plans are chains (times, filling, earlier), so that a node costs no copy of what leads to it.
+    stack: list[tuple[dict[int, int], tuple | None, int, int]] = [(counts, None, 0, 0)]
+
+    def chained(plan: tuple | None) -> Plan:
+        out = []
+        while plan:
+            out.append(plan[:2])
+            plan = plan[2]
+        return out
+
+    while stack and best_bins > bound and (max_nodes is None or nodes < max_nodes):
         left, plan, bins, waste = stack.pop()
-        nodes += 1
-        if bins + lower_bound(left, capacity) >= best_bins or -(-(content + waste) // capacity) >= best_bins:
+        if not left:
+            if bins < best_bins:
+                best, best_bins = chained(plan), bins
             continue
-        rest = best_fit(left, capacity)
-        total = bins + sum(t for t, _ in rest)
-        if total < best_bins:
-            best, best_bins = plan + rest, total
-            if best_bins <= bound:
-                break
-        longest = max(left)
+        slack = (best_bins - 1) * capacity - content - waste
+        if slack < 0 or bins + lower_bound(left, capacity) >= best_bins:
+            continue
+        nodes += 1
+        if nodes & (nodes - 1) == 0 or len(left) <= 16:
+            rest = best_fit(left, capacity)
+            total = bins + sum(t for t, _ in rest)
+            if total < best_bins:
+                best, best_bins = chained(plan) + rest, total
+                slack = (best_bins - 1) * capacity - content - waste
+                if slack < 0:
+                    continue
         branches = []
-        for filling in completions(left, longest, capacity):
-            times = min(left[s] // n for s, n in filling)
-            after = dict(left)
-            for s, n in filling:
-                after[s] -= n * times
-            lost = (capacity - sum(s * n for s, n in filling)) * times
-            branches.append(({s: n for s, n in after.items() if n}, [*plan, (times, filling)], bins + times, waste + lost))
-        stack.extend(b for b in reversed(branches) if b[0])
-        for b in branches:
-            if not b[0] and b[2] < best_bins:
-                best, best_bins = b[1], b[2]
+        for filling in completions(left, max(left), capacity, max_branches, slack):
+            most = min(left[s] // n for s, n in filling)
+            for times in dict.fromkeys((most, 1)):
+                after = dict(left)
+                for s, n in filling:
+                    after[s] -= n * times
+                    if not after[s]:
+                        del after[s]
+                lost = (capacity - sum(s * n for s, n in filling)) * times
+                branches.append((after, (times, filling, plan), bins + times, waste + lost))
+        stack.extend(reversed(branches))
     merged: dict[Filling, int] = {}
     for times, filling in best:
         key = tuple(sorted(filling, reverse=True))
@@ -204,7 +235,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, max_nodes: int = MAX_NODES, special: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, max_nodes: int | None = MAX_NODES, max_branches: int | None = MAX_BRANCHES, special: str = "text") -> DataFrame:
     """Pieces of all documents with sequence_id and offset, in as few sequences of ``capacity`` tokens as found.
 
     ``docs`` needs doc_id and text; further columns are not read, whatever their names. Null or repeated ids are documents
@@ -213,7 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     with small_batches(docs.sparkSession):
         cut = durable(pieces(docs, tokenizer, capacity, end_id, special))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
-    plan = fill(histogram, capacity, max_nodes)
+    plan = fill(histogram, capacity, max_nodes, max_branches)
 
     # Slots: for each length in order, ranges of global rank that lie in one filling. At most one per length and filling.
     before, slots, base = {}, [], 0

@@ -186,3 +186,35 @@ def test_search_beats_best_fit():
     counts = {6: 1, 5: 1, 4: 2, 3: 2, 2: 0, 7: 1}
     assert sum(t for t, _ in packing.fill({44: 1, 24: 1, 24: 2, 22: 1, 21: 1, 17: 2, 8: 2, 6: 2}, 61)) == 4
     assert sum(t for t, _ in packing.fill(counts, 16)) == 2
+
+
+def test_search_reaches_the_bound_where_best_fit_does_not():
+    rng = np.random.default_rng(1)
+    lengths = np.clip(rng.lognormal(5.5, 0.8, 3000).astype(int) + 1, 1, 1024)
+    counts = dict(Counter(lengths.tolist()))
+    plan = packing.fill(counts, 1024)
+    bound, plain = packing.lower_bound(counts, 1024), sum(t for t, _ in packing.best_fit(counts, 1024))
+    assert bound == sum(t for t, _ in plan) < plain
+    used = Counter()
+    for times, filling in plan:
+        assert sum(s * n for s, n in filling) <= 1024
+        used.update({s: n * times for s, n in filling})
+    assert used == Counter(counts)
+
+
+def test_exact_search_equals_brute_force():
+    rng = random.Random(5)
+
+    def least(items, rooms):
+        if not items:
+            return len(rooms)
+        s, rest = items[0], items[1:]
+        ways = [least(rest, [*rooms, 30 - s])]
+        for i in {r: i for i, r in enumerate(rooms) if r >= s}.values():
+            ways.append(least(rest, [*rooms[:i], rooms[i] - s, *rooms[i + 1 :]]))
+        return min(ways)
+
+    for _ in range(150):
+        items = sorted((rng.randrange(4, 24) for _ in range(rng.randrange(1, 9))), reverse=True)
+        plan = packing.fill(dict(Counter(items)), 30, None, None)
+        assert sum(t for t, _ in plan) == least(items, []), items
