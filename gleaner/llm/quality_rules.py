@@ -6,6 +6,8 @@ Every measure is a column over the whole text; a rule bounds one measure. Nothin
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +30,15 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes while ``low <= measure <= high``; the rule is asked only from ``from_words`` words on."""
+    """A document passes while ``low <= measure <= high``; the rule is asked only from ``from_words`` words on. With ``also``
+    it rejects only where one of those (measure, bound) is above its bound too: a weak sign that needs a second one."""
 
     name: str
     measure: str
     low: float | None = None
     high: float | None = None
     from_words: int = 0
+    also: tuple[tuple[str, float], ...] = ()
 
 
 #: The base rules are the first two; the others are the method's own verdict.
@@ -43,10 +47,10 @@ BASE_RULES = (
     Rule("repeated_windows", "repeat_percent", high=20),
 )
 RULES = (
-    Rule("too_long", "n_words", high=10_000_000),
     Rule("word_length", "mean_word_chars", low=1.5, high=25.0),
     Rule("symbols", "symbols_per_word", high=0.25),
-    Rule("no_stop_words", "stop_word_share", low=0.02, from_words=40),
+    # Good texts in languages that the list does not cover have no stop words of it either.
+    Rule("no_stop_words", "stop_word_share", low=0.02, from_words=40, also=(("symbols_per_word", 0.1), ("dup_line_share", 0.3))),
     Rule("duplicate_lines", "dup_line_share", high=0.5),
 )
 
@@ -143,7 +147,8 @@ def fails(rule: Rule) -> Column:
         broken = broken | (value < rule.low)
     if rule.high is not None:
         broken = broken | (value > rule.high)
-    return broken & (F.col("n_words") >= rule.from_words)
+    seconds = [F.col(measure) > bound for measure, bound in rule.also] or [F.lit(True)]
+    return broken & (F.col("n_words") >= rule.from_words) & reduce(or_, seconds)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:

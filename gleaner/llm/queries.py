@@ -100,8 +100,9 @@ m AS (
   FROM d LEFT JOIN c USING (r)
 ), b AS (SELECT *, n_words < 10 OR 100.0 * n_repeat_words > 20 * n_words AS base_failed, greatest(n_words, 1) AS n FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 10000000 AND word_chars >= 1.5 * n AND word_chars <= 25 * n AND 4 * n_symbols <= n
-  AND (n_words < 40 OR 50 * n_stop >= n) AND 2 * n_dup_lines <= greatest(n_lines, 1) AS kept
+  NOT base_failed AND word_chars >= 1.5 * n AND word_chars <= 25 * n AND 4 * n_symbols <= n
+  AND (n_words < 40 OR 50 * n_stop >= n OR (10 * n_symbols <= n AND 10 * n_dup_lines <= 3 * greatest(n_lines, 1)))
+  AND 2 * n_dup_lines <= greatest(n_lines, 1) AS kept
 FROM b
 """
 

@@ -157,3 +157,12 @@ def test_features_of_a_batch_equal_those_of_each_text():
     whole = quality_model.feature_matrix(texts)
     alone = np.concatenate([quality_model.feature_matrix([t]) for t in texts])
     assert np.allclose(whole, alone) and not whole[1].any() and not whole[2].any()
+
+
+def test_stop_words_alone_reject_nothing(spark):
+    polish = " ".join(f"słowo{i} dom{i} ogród{i} miasto{i}" for i in range(20))
+    menu = " ".join(f"słowo{i} dom{i} | ogród{i} miasto{i}" for i in range(20))
+    rows = [(1, polish, True), (2, menu + " | | |", False), (3, polish + " the and of", True)]
+    got = quality_rules.judge(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept) for r in got} == {(d, kept) for d, _, kept in rows}
+    assert [r.failed_rules for r in got if r.doc_id == 2] == [["no_stop_words"]]
