@@ -30,13 +30,31 @@ MAX_GRAMS = 60.0
 SMOOTH = 1.0
 PULL = 5.0
 
-# What a page shows is what is left without these.
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+# Elements whose content a page does not show.
+HIDDEN = re.compile(r"<(?:(!--)|(script|style|noscript|template)\b)?", re.I)
+CLOSING = {"!--": re.compile("-->"), "": re.compile(">")} | {
+    name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")
+}
 ENTITY = re.compile(r"&(#?\w{1,10});")
 
 
 def visible(html: str | None) -> str:
-    return ENTITY.sub(" ", HIDDEN.sub(" ", html)) if html else ""
+    """What is left without comments, hidden elements, tags and entities. What nothing closes is taken for a plain tag, and a
+    ``<`` without ``>`` for text. A closing mark that is not found is never looked for again, so time is linear."""
+    if not html:
+        return ""
+    out, at, missing = [], 0, set()
+    while opening := HIDDEN.search(html, at):
+        for kind in dict.fromkeys(((opening[1] or opening[2] or "").lower(), "")):
+            closing = None if kind in missing else CLOSING[kind].search(html, opening.end() if kind else opening.start() + 1)
+            if closing:
+                out += (html[at : opening.start()], " ")
+                at = closing.end()
+                break
+            missing.add(kind)
+        else:
+            break  # no > is left, hence no tag
+    return ENTITY.sub(" ", "".join(out) + html[at:])
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +106,9 @@ def host_of(url: Column) -> Column:
 
 
 def declared_in(html: Column) -> Column:
-    """Primary subtag of the lang attribute of the html element; empty where there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    """Primary subtag of the lang attribute of the first html element; empty where there is none."""
+    tag = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*", 0)
+    return F.lower(F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
 
 
 def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:

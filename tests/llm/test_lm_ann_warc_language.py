@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,6 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from gleaner.llm import ann, language, lm_scoring, warc
 from gleaner.llm.common import tokenizer_path
@@ -225,8 +229,35 @@ def test_archives_are_plain_zstandard_with_a_leading_dictionary(spark):
     size = int.from_bytes(content[4:8], "little")
     assert size > 1000
     whole = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(content[8 : 8 + size])))
-    text = b"".join(x for x in whole.read_to_iter(bytes(content[8 + size :]), read_across_frames=True)) if False else b"".join(warc.frames_of(bytes(content)))
-    assert text.count(b"WARC/1.1\r\n") == sum(1 for _ in warc.frames_of(bytes(content)))
+    rest, records = bytes(content[8 + size :]), []
+    while rest:  # one frame at a time, by the library's own decoder
+        one = whole.decompressobj()
+        records.append(one.decompress(rest))
+        rest = one.unused_data
+    assert all(r.startswith(b"WARC/1.1\r\n") and r.count(b"WARC/1.1\r\n") == 1 for r in records)
+    assert records == [bytes(r) for r in warc.frames_of(bytes(content))] and len(records) > 1
+
+
+def test_visible_text_equals_the_plain_pattern():
+    hidden = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+    rng = random.Random(4)
+    parts = ["<!--", "-->", "<script", "</SCRIPT >", "<style>", "</style>", ">", "<", "a", " b ", "<p>", "</p", "&amp;", "\n", "<scripted>", "<!-->", "İ"]
+    for _ in range(5000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert language.visible(html) == language.ENTITY.sub(" ", hidden.sub(" ", html)), html
+
+
+def test_unclosed_marks_of_a_long_page_take_no_time():
+    start = time.perf_counter()
+    for mark in ("<!--", "<script>", "<", "<style ", "</script ", "<html "):
+        language.visible(mark * ((10 << 20) // len(mark)))
+    assert time.perf_counter() - start < 60  # seconds in a quadratic scan: days
+
+
+def test_declared_language_of_a_long_page(spark):
+    pages = [("<html " * 500_000,), ("<html " * 9 + ' lang="de">',), ("<p><HTML x=1\nlang = 'FR-ca'>",), ("<html></html><p lang=en>",), (None,)]
+    found = spark.createDataFrame(pages, "html string").select(language.declared_in(F.col("html")).alias("d")).collect()
+    assert [r.d for r in found] == ["", "de", "fr", "", ""]
 
 
 @pytest.mark.parametrize("harm", ["cut", "magic", "late dictionary", "length", "digest", "version"])
