@@ -109,3 +109,32 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)]
     got = {r["node"]: r["root"] for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
+
+
+def test_components_by_rounds_with_hubs(spark, monkeypatch):
+    """Chunks and hubs so small that tasks join little and the star rounds do the rest."""
+    monkeypatch.setattr(N, "CONTRACT_EDGES", 5)
+    monkeypatch.setattr(N, "HUB", 3)
+    rng = random.Random(2)
+    edges = [(0, k) for k in range(1, 40)] + [(100 + k, 101 + k) for k in range(20)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)]
+    parent = {n: n for e in edges for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r["node"]: r["root"] for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in parent if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of four values only the second tells texts apart."""
+    real = N.F.xxhash64
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 or isinstance(c[0], str) else N.F.pmod(real(*c), N.F.lit(4)))
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(12)]
+    rows += [(100 + k, t) for k, t in rows[:6]]
+    assert classes_of(spark, rows) == plain_classes(rows)
