@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import csv
 import json
+import os
 import random
 import tempfile
 from datetime import timedelta
 from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -412,3 +414,17 @@ def test_sessions_close_and_leave_the_state(spark, scratch):
     assert any(r[3] for r in got) and len(got) > 150
     held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
     assert max(held) <= 60 and held[-1] < 20 < len({r[1] for r in rows})
+
+
+def test_scratch_deletes_all_cuts_but_those_kept(spark):
+    from gleaner import session
+
+    durable = session.durable
+    with session.scratch(spark) as outer:
+        a = durable(spark.range(3))
+        with session.scratch(spark) as inner:
+            b = durable(spark.range(4))
+            c = inner.keep(b.selectExpr("id + 1 AS id"))
+        assert not any(os.path.exists(urlparse(f).path) for f in inner) and c.count() == 4 and a.count() == 3
+        d = outer.keep(c)
+    assert d.count() == 4 and len(outer) == 2 and not any(os.path.exists(urlparse(f).path) for f in outer)
