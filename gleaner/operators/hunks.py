@@ -1,23 +1,27 @@
-"""Line diffs as hunks: a patience diff over tables of lines.
+"""Line diffs as hunks: a patience diff of the two texts of every pair.
 
-Both sides of every pair are lines with a place. A round matches equal lines at the two ends of every block, then the lines
-that occur once on either side, as far as they keep their order (a longest increasing run of places), and cuts the blocks at
-what it has matched. Rounds end when nothing new is matched. Lines between matched ones are the hunks. A block lies within one
-file, which is one text value, so no group outgrows that value.
+One shuffle by name brings the two sides of a pair together, as one row; tasks work on Arrow batches of such rows, with lines
+as numbers. A round matches equal lines at the two ends of every block, then the lines that occur once on either side, as far
+as they keep their order (a longest increasing run of places), and cuts the blocks at what it has matched. Rounds end when
+nothing new is matched. Lines between matched ones are the hunks. A block lies within one file, which is one text value, so no
+row outgrows the two values.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
+from gleaner.functions.frames import pinned
 from gleaner.operators.compare import pair_status
-from gleaner.session import durable, release
 
 PAIR = ["name", "left_collection", "right_collection"]
 LEFT, RIGHT = 0, 1
@@ -40,100 +44,126 @@ def increasing_run(places: list[int]) -> list[int]:
     return run[::-1]
 
 
-def _sides(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, side, place, line) of both sides of every different pair; places count from 1."""
-    different = pair_status(pairs).filter("status = 'different'").select(*PAIR)
-    sides = different.select(
-        *PAIR,
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(side).alias("side"), F.col(c).alias("collection")) for side, c in ((LEFT, PAIR[1]), (RIGHT, PAIR[2]))]
-            )
-        ),
-    )
-    texts = sides.join(files.select("name", "collection", "content"), ["name", "collection"])
-    lines = texts.select(*PAIR, "side", F.posexplode(F.split("content", "\n")).alias("place", "line"))
-    return lines.withColumn("place", F.col("place") + 1)
-
-
-def _equal_ends(rows: DataFrame, backwards: bool) -> DataFrame:
-    """(pair, place, partner), places of the left side, of equal lines from one end of every block on."""
-    order = F.col("place").desc() if backwards else F.col("place")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*PAIR, "block", "side").orderBy(order)))
-    on = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    met = ranked.groupBy(*PAIR, "block", "rank").agg(
-        on(LEFT, "hash").alias("a"), on(RIGHT, "hash").alias("b"), on(LEFT, "place").alias("place"), on(RIGHT, "place").alias("partner")
-    )
-    same = F.coalesce((F.col("a") == F.col("b")).cast("int"), F.lit(0))
-    run = W.partitionBy(*PAIR, "block").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return met.withColumn("run", F.min(same).over(run)).filter("run = 1").select(*PAIR, "place", "partner")
-
-
-def _unique_lines(rows: DataFrame) -> DataFrame:
-    """(pair, place, partner) of lines that occur once on both sides of a block, the most that keep their order."""
-    on = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    count = lambda side: F.count_if(F.col("side") == side)
-    once = (
-        rows.groupBy(*PAIR, "block", "hash")
-        .agg(count(LEFT).alias("a"), count(RIGHT).alias("b"), on(LEFT, "place").alias("place"), on(RIGHT, "place").alias("partner"))
-        .filter("a = 1 AND b = 1")
-    )
-
-    def longest(block: pa.Table) -> pa.Table:
-        block = block.sort_by("place")
-        return block.take(increasing_run(block.column("partner").to_pylist())).select([*PAIR, "place", "partner"])
+#: A line of one side: (place, code of its text); of a block, the lines of both sides.
+Line = tuple[int, int]
+Block = tuple[list[Line], list[Line]]
 
-    schema = T.StructType([once.schema[c] for c in (*PAIR, "place", "partner")])
-    return once.groupBy(*PAIR, "block").applyInArrow(longest, schema)
 
-
-def _cut(rows: DataFrame, matched: DataFrame) -> DataFrame:
-    """Rows without the matched ones; the matched lines before a line, on its own side, are its block."""
-    marks = matched.select(
-        *PAIR, F.inline(F.array(F.struct(F.lit(LEFT).alias("side"), F.col("place")), F.struct(F.lit(RIGHT).alias("side"), F.col("partner").alias("place"))))
-    )
-    marked = rows.join(marks.withColumn("is_matched", F.lit(True)), [*PAIR, "side", "place"], "left")
-    before = W.partitionBy(*PAIR, "side").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # Blocks of earlier rounds stay apart: their number counts on, a round's matches lie within them.
-    cut = marked.withColumn("step", F.count("is_matched").over(before))
-    return cut.filter("is_matched IS NULL").withColumn("block", F.struct(F.col("block"), F.col("step"))).drop("is_matched", "step")
-
-
-def _numbered_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks as numbers again, the same on both sides."""
-    number = F.dense_rank().over(W.partitionBy(*PAIR).orderBy("block"))
-    return rows.withColumn("block", number)
-
-
-def matched_lines(files: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines of both sides of all different pairs, matched places (pair, place, partner)); both are written tables."""
-    lines = durable(_sides(files, pairs))
-    rows = durable(lines.select(*PAIR, "side", "place", F.md5("line").alias("hash"), F.lit(1).alias("block")))
-    found: list[DataFrame] = []
-    ways = (lambda r: _equal_ends(r, False), lambda r: _equal_ends(r, True), _unique_lines)
-    while True:
-        fresh = 0
-        for match in ways:
-            matched = durable(match(rows))
-            n = matched.count()
-            if n:
-                fresh += n
-                found.append(matched)
-                cut = durable(_numbered_blocks(_cut(rows, matched)))
-                release(rows)
-                rows = cut
-        if not fresh:
+def _sides(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, texts) with the texts of both sides of every different pair."""
+    different = pair_status(pairs).filter("status = 'different'").select(*PAIR)
+    met = different.join(files.select("name", "collection", "content").filter("content IS NOT NULL"), "name")
+    is_left, is_right = F.col("collection") == F.col(PAIR[1]), F.col("collection") == F.col(PAIR[2])
+    text = F.struct(F.when(is_left, F.lit(LEFT)).otherwise(F.lit(RIGHT)).alias("side"), "content")
+    # Rows lie by name already, so this groups where they are.
+    return met.filter(is_left | is_right).groupBy(*PAIR).agg(F.collect_list(text).alias("texts"))
+
+
+def _equal_ends(block: Block, backwards: bool) -> list[tuple[int, int]]:
+    """Places of equal lines from one end of a block on."""
+    left, right = (side[::-1] if backwards else side for side in block)
+    found = []
+    for (place, a), (partner, b) in zip(left, right):
+        if a != b:
             break
-        if len(found) > 8:
-            whole = found[0]
-            for one in found[1:]:
-                whole = whole.unionByName(one)
-            found = [durable(whole)]
-    release(rows)
-    whole = lines.filter(F.lit(False)).select(*PAIR, "place", F.col("place").alias("partner"))
-    for one in found:
-        whole = whole.unionByName(one)
-    return lines, durable(whole)
+        found.append((place, partner))
+    return found
+
+
+def _unique_lines(block: Block) -> list[tuple[int, int]]:
+    """Places of lines that occur once on both sides of a block, the most that keep their order."""
+    left, right = block
+    seen, there = Counter(a for _, a in left), Counter(b for _, b in right)
+    partners = {b: partner for partner, b in right if there[b] == 1}
+    once = [(place, partners[a]) for place, a in left if seen[a] == 1 and a in partners]
+    return [once[i] for i in increasing_run([partner for _, partner in once])]
+
+
+def _cut(blocks: list[Block], found: list[list[tuple[int, int]]]) -> list[Block]:
+    """The blocks that are left: lines with the same number of matched ones before them on their own side."""
+    left, steps = [], [0, 0]
+    for block, pairs in zip(blocks, found, strict=True):
+        cut: dict[int, Block] = defaultdict(lambda: ([], []))
+        for side, lines in enumerate(block):
+            marks = Counter(pair[side] for pair in pairs)
+            for line in lines:
+                if marks[line[0]]:
+                    steps[side] += marks[line[0]]
+                else:
+                    cut[steps[side]][side].append(line)
+        left += [cut[step] for step in sorted(cut)]
+    # Lines of one side alone meet nothing.
+    return [block for block in left if block[LEFT] and block[RIGHT]]
+
+
+def matched_places(left: list[Line], right: list[Line]) -> list[tuple[int, int]]:
+    """(place, partner) of the lines that stay; both sides are in the order of their places."""
+    ways = (lambda b: _equal_ends(b, False), lambda b: _equal_ends(b, True), _unique_lines)
+    blocks, matched, before = [(left, right)], [], -1
+    while len(matched) > before:
+        before = len(matched)
+        for way in ways:
+            found = [way(block) for block in blocks]
+            if any(found):
+                matched += [pair for pairs in found for pair in pairs]
+                blocks = _cut(blocks, found)
+    return matched
+
+
+def _runs(lines: tuple[list[Line], list[Line]], matched: list[tuple[int, int]]) -> list[tuple[int, list[int], int, list[int]]]:
+    """(left_start, places in the left lines, right_start, places in the right lines) of every hunk, in order."""
+    changed: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+    for side, of_side in enumerate(lines):
+        marks = Counter(pair[side] for pair in matched)
+        kept = 0
+        for i, (place, _) in enumerate(of_side):
+            if marks[place]:
+                kept += marks[place]
+            else:
+                changed[kept][side].append(i)
+    runs, earlier = [], [0, 0]
+    for kept in sorted(changed):
+        # Without lines of its own a side starts behind the lines kept and those changed in the hunks before.
+        starts = [lines[s][run[0]][0] if run else kept + earlier[s] + 1 for s, run in enumerate(changed[kept])]
+        runs.append((starts[LEFT], changed[kept][LEFT], starts[RIGHT], changed[kept][RIGHT]))
+        earlier = [n + len(run) for n, run in zip(earlier, changed[kept], strict=True)]
+    return runs
+
+
+def _hunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hunks of a batch of pairs. Equal lines of the batch have equal codes; no line becomes a Python object."""
+    for batch in batches:
+        texts = batch.column("texts")
+        flat = texts.flatten()
+        split = pc.split_pattern(pc.struct_field(flat, "content"), "\n")
+        lines, sides = split.flatten(), pc.struct_field(flat, "side").to_pylist()
+        codes = lines.dictionary_encode().indices.to_numpy()
+        lengths = pc.list_value_length(split).to_numpy()
+        ends = np.cumsum(lengths)
+        row, hunk, starts, taken, sizes = [], [], ([], []), ([], []), ([0], [0])
+        text = 0
+        for i, n_texts in enumerate(pc.list_value_length(texts).to_pylist()):
+            # A name that comes twice in a collection has each of its lines twice.
+            of_side: tuple[list, list] = ([], [])
+            for t in range(text, text + n_texts):
+                first = int(ends[t] - lengths[t])
+                of_side[sides[t]].extend(zip(range(1, int(lengths[t]) + 1), codes[first:ends[t]].tolist(), range(first, int(ends[t]))))
+            text += n_texts
+            for one in of_side:
+                one.sort(key=lambda line: line[0])
+            both = tuple([line[:2] for line in one] for one in of_side)
+            for number, run in enumerate(_runs(both, matched_places(*both)), 1):
+                row.append(i)
+                hunk.append(number)
+                for s in (LEFT, RIGHT):
+                    starts[s].append(run[2 * s])
+                    taken[s].extend(of_side[s][place][2] for place in run[2 * s + 1])
+                    sizes[s].append(len(taken[s]))
+        number = lambda values: pa.array(values, pa.int32())
+        pairs = [batch.column(c).take(pa.array(row, pa.int64())) for c in PAIR]
+        changed = [pa.ListArray.from_arrays(number(sizes[s]), lines.take(pa.array(taken[s], pa.int64()))) for s in (LEFT, RIGHT)]
+        columns = [*pairs, number(hunk), number(starts[LEFT]), changed[LEFT], number(starts[RIGHT]), changed[RIGHT]]
+        yield pa.RecordBatch.from_arrays(columns, names=[*PAIR, "hunk", "left_start", "removed", "right_start", "added"])
 
 
 def hunks(files: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -143,55 +173,33 @@ def hunks(files: DataFrame, pairs: DataFrame) -> DataFrame:
     on that it has instead; either may be empty, and a start is then the place of the line behind. Lines end at line feeds,
     so a text has one line more than it has line feeds. Pairs that are equal or lack a side have no rows.
     """
-    lines, matched = matched_lines(files, pairs)
-    marks = matched.select(
-        *PAIR, F.inline(F.array(F.struct(F.lit(LEFT).alias("side"), F.col("place")), F.struct(F.lit(RIGHT).alias("side"), F.col("partner").alias("place"))))
-    )
-    marked = lines.join(marks.withColumn("same", F.lit(True)), [*PAIR, "side", "place"], "left")
-    before = W.partitionBy(*PAIR, "side").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = marked.withColumn("kept", F.count("same").over(before)).filter("same IS NULL")
-    side = lambda s: F.col("side") == s
-    text = lambda s: F.transform(
-        F.array_sort(F.collect_list(F.when(side(s), F.struct("place", "line")))), lambda x: x["line"]
-    )
-    runs = counted.groupBy(*PAIR, "kept").agg(
-        F.min(F.when(side(LEFT), F.col("place"))).alias("left_first"),
-        text(LEFT).alias("removed"),
-        F.min(F.when(side(RIGHT), F.col("place"))).alias("right_first"),
-        text(RIGHT).alias("added"),
-    )
-    # Without lines of its own a side starts behind the lines kept and those changed in the hunks before.
-    earlier = W.partitionBy(*PAIR).orderBy("kept").rowsBetween(W.unboundedPreceding, -1)
-    start = lambda first, column: F.coalesce(
-        F.col(first), (F.col("kept") + F.coalesce(F.sum(F.size(column)).over(earlier), F.lit(0)) + 1).cast("int")
-    )
-    return runs.select(
-        *PAIR,
-        F.row_number().over(W.partitionBy(*PAIR).orderBy("kept")).alias("hunk"),
-        start("left_first", "removed").alias("left_start"),
-        "removed",
-        start("right_first", "added").alias("right_start"),
-        "added",
-    )
+    sides = _sides(files, pairs)
+    lines = T.ArrayType(T.StringType())
+    fields = {"hunk": T.IntegerType(), "left_start": T.IntegerType(), "removed": lines, "right_start": T.IntegerType(), "added": lines}
+    schema = [sides.schema[c] for c in PAIR] + [T.StructField(name, kind) for name, kind in fields.items()]
+    return sides.mapInArrow(_hunk_batches, T.StructType(schema))
 
 
 def apply_hunks(files: DataFrame, found: DataFrame) -> DataFrame:
-    """(pair, patched): the left side of every pair that has hunks, with its removed lines replaced by the added ones."""
-    found = durable(found)
-    left = files.select("name", F.col("collection").alias("left_collection"), "content")
-    texts = found.select(*PAIR).distinct().join(left, ["name", "left_collection"])
-    lines = texts.select(*PAIR, F.posexplode(F.split("content", "\n")).alias("place", "line")).withColumn("place", F.col("place") + 1)
-    some = F.size("removed") > 0
-    gone = found.filter(some).select(
-        *PAIR, F.explode(F.sequence(F.col("left_start"), F.col("left_start") + F.size("removed") - 1)).alias("place")
+    """(pair, patched): the left side of every pair that has hunks, with its removed lines replaced by the added ones.
+    Only the left sides need be among ``files``."""
+    changes = found.groupBy(*PAIR).agg(F.collect_list(F.struct("left_start", F.size("removed").alias("n"), "added")).alias("hunks"))
+    left = files.groupBy("name", F.col("collection").alias("left_collection")).agg(F.collect_list("content").alias("texts"))
+    met = changes.join(left, ["name", "left_collection"], "left")
+    gone = F.flatten(F.transform(F.filter("hunks", lambda h: h["n"] > 0), lambda h: F.sequence(h["left_start"], h["left_start"] + h["n"] - 1)))
+    texts = F.transform(F.coalesce("texts", F.array().cast("array<string>")), lambda t: F.split(t, "\n"))
+    met = pinned(met, {"gone": gone, "lines": texts})
+    entry = lambda place, after, n, line: F.struct(
+        place.alias("place"), F.lit(after).alias("after"), n.alias("n"), line.alias("line")
+    )
+    stays = lambda lines: F.transform(
+        F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("gone")), lambda p: entry(p, 1, F.lit(0), F.get(lines, p - 1))
     )
-    stays = lines.join(gone, [*PAIR, "place"], "left_anti").select(*PAIR, "place", F.lit(1).alias("after"), F.lit(0).alias("n"), "line")
     # Added lines come before the line that they push back.
-    new = found.select(*PAIR, F.col("left_start").alias("place"), F.lit(0).alias("after"), F.posexplode("added").alias("n", "line"))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "after", "n", "line")))
-    rebuilt = stays.unionByName(new).groupBy(*PAIR).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("patched"))
+    new = lambda h: F.transform(h["added"], lambda line, n: entry(h["left_start"], 0, n, line))
+    ordered = F.array_sort(F.concat(F.flatten(F.transform("lines", stays)), F.flatten(F.transform("hunks", new))))
     # A text whose lines are all gone is empty.
-    return found.select(*PAIR).distinct().join(rebuilt, PAIR, "left").withColumn("patched", F.coalesce("patched", F.lit("")))
+    return met.select(*PAIR, F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("patched"))
 
 
 def unified() -> Column:

@@ -26,6 +26,7 @@ from gleaner.operators import statements as ST
 from gleaner.operators import web as WB
 from gleaner.operators.neardup import near_dup, pair_similarity
 from gleaner.operators.skew import number_rows
+from gleaner.session import scratch
 
 
 def random_statements(seed, n, words, length):
@@ -321,6 +322,17 @@ def test_hunks_turn_one_side_into_the_other(spark):
             assert set(once) <= set(kept + left[at:])
 
 
+def test_hunks_move_texts_once(spark):
+    """Nothing is written between rounds, and the texts of a name meet in one shuffle."""
+    rows = [(f"n{i}", side, "\n".join(f"{(j * j * (side == 'r') + j) % 7}{i}" for j in range(30))) for i in range(20) for side in "lr"]
+    files = spark.createDataFrame(rows, "name string, collection string, content string").withColumn("hash", F.sha2("content", 256))
+    with scratch(spark) as cuts:
+        found = HU.hunks(files, CP.collection_pairs(files, ["l", "r"]))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert HU.apply_hunks(files, found).count() == 20 and not cuts
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_snapshot_statuses_partition_the_union(spark):
     old = spark.createDataFrame([(f"p{i}", str(i % 3)) for i in range(40)], "path string, hash string")
     new = spark.createDataFrame([(f"p{i}", str(i % 2)) for i in range(20, 60)], "path string, hash string")
