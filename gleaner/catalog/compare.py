@@ -12,7 +12,6 @@ from gleaner.catalog.fixtures import COLLECTIONS
 from gleaner.operators import compare as CP
 from gleaner.operators import hunks as HU
 from gleaner.operators import snapshots as SN
-from gleaner.session import durable
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +57,9 @@ _DIFF = """SELECT coalesce(o.name, n.name) AS path, CASE WHEN o.name IS NULL THE
 
 def _patched(spark: SparkSession, d: str) -> DataFrame:
     """The hunks between two versions of every document, applied to the old one, give the new one."""
-    files = durable(fixture(spark, d, "versions").withColumn("hash", F.sha2("content", 256)))
+    files = fixture(spark, d, "versions").withColumn("hash", F.sha2("content", 256))
     found = HU.hunks(files, CP.collection_pairs(files, ["old", "new"]))
-    return HU.apply_hunks(files, found).select("name", F.sha2("patched", 256).alias("patched"))
+    return HU.apply_hunks(files.filter("collection = 'old'"), found).select("name", F.sha2("patched", 256).alias("patched"))
 
 
 QUERIES = [
