@@ -15,6 +15,8 @@ from gleaner.operators.sequences import EXPECTED
 
 LISTING = "path string, modified timestamp, size long, listed timestamp"
 CHANGES = "path string, change string, modified long, size long, at long"
+#: Groups of paths whose last listing is one entry of the state.
+BUCKETS = 1 << 14
 
 
 @contextmanager
@@ -30,57 +32,77 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 
 
 class _Changes(StatefulProcessor):
-    """Per path what the last listing said of it, with times in microseconds. A timer, moved by every listing that has the
-    path, tells that it is gone."""
+    """What the last listing said of every path of a bucket, with times in microseconds. A timer for every time at which one of
+    them was last listed tells that those not listed since are gone."""
 
     def __init__(self, keep: timedelta):
         self.keep = keep // timedelta(milliseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "modified long, size long, listed long")
+        self.last = handle.getValueState("last", "path array<string>, modified array<long>, size array<long>, listed array<long>")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        last = tuple(self.last.get()) if self.last.exists() else None
-        seen = last
+        known = self._known()
+        before, news = self._ends(known), False
         for row in sorted(rows, key=lambda r: (r.listed_us, r.modified_us is not None, r.modified_us or 0, r.size or 0)):
+            seen = known.get(row.path)
             if seen is not None and row.listed_us <= seen[2]:
                 continue  # a listing that comes late, or says the same path twice
             if seen is None or (row.modified_us, row.size) != seen[:2]:
-                yield Row(path=key[0], change="modified" if seen else "created", modified=row.modified_us, size=row.size, at=row.listed_us)
-            seen = (row.modified_us, row.size, row.listed_us)
-        if seen is not None and seen is not last:
-            if last is not None:
-                self.handle.deleteTimer(self._ends(last[2]))
-            self.last.update(seen)
-            self.handle.registerTimer(self._ends(seen[2]))
+                yield Row(path=row.path, change="modified" if seen else "created", modified=row.modified_us, size=row.size, at=row.listed_us)
+            known[row.path] = (row.modified_us, row.size, row.listed_us)
+            news = True
+        if news:
+            self._remember(known)
+            after = self._ends(known)
+            for end in before - after:
+                self.handle.deleteTimer(end)
+            for end in after - before:
+                self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.last.exists():
-            modified, size, _ = self.last.get()
+        end, known = expiredTimerInfo.getExpiryTimeInMs(), self._known()
+        for path in [path for path, (_, _, listed) in known.items() if self._end(listed) == end]:
+            modified, size, _ = known.pop(path)
+            yield Row(path=path, change="deleted", modified=modified, size=size, at=end * 1000)
+        self._remember(known)
+
+    def _known(self) -> dict[str | None, tuple[int | None, int | None, int]]:
+        held = self.last.get()
+        return {path: (modified, size, listed) for path, modified, size, listed in zip(*held, strict=True)} if held else {}
+
+    def _remember(self, known: dict[str | None, tuple[int | None, int | None, int]]) -> None:
+        if known:
+            self.last.update(([*known], *([*column] for column in zip(*known.values(), strict=True))))
+        else:
             self.last.clear()
-            yield Row(path=key[0], change="deleted", modified=modified, size=size, at=expiredTimerInfo.getExpiryTimeInMs() * 1000)
 
-    def _ends(self, listed_us: int) -> int:
+    def _end(self, listed_us: int) -> int:
         return listed_us // 1000 + self.keep
 
+    def _ends(self, known: dict[str | None, tuple[int | None, int | None, int]]) -> set[int]:
+        return {self._end(listed) for _, _, listed in known.values()}
+
     def close(self) -> None:
         pass
 
 
-def file_changes(listings: DataFrame, keep: timedelta, delay: str = "0 seconds") -> DataFrame:
+def file_changes(listings: DataFrame, keep: timedelta, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """created, modified and deleted files out of a stream of listings (path, modified, size, listed): (path, change,
     modified, size, at).
 
     ``listed`` is the event time, the same for all rows of a listing. A path is modified when its time or size differs from the
-    listing before; it is deleted, and forgotten, when no listing had it for ``keep`` of event time, so the state has a row for
-    every path that still exists. An unchanged path gives nothing, nor does a restart from the same checkpoint. The query has
-    to be started within ``keyed_state``.
+    listing before; it is deleted, and forgotten, when no listing had it for ``keep`` of event time, so the state has an entry
+    for every path that still exists. An unchanged path gives nothing, nor does a restart from the same checkpoint. Paths are
+    held in ``buckets`` by their hash, since a listing has all paths and a bucket is read and written as one; a checkpoint
+    stays with its number of buckets. The query has to be started within ``keyed_state``.
     """
     timed = listings.withWatermark("listed", delay).select(
-        "path", "listed", "size", F.unix_micros("modified").alias("modified_us"), F.unix_micros("listed").alias("listed_us")
+        F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"),
+        "path", "listed", "size", F.unix_micros("modified").alias("modified_us"), F.unix_micros("listed").alias("listed_us"),
     )
-    changes = timed.groupBy("path").transformWithState(
+    changes = timed.groupBy("bucket").transformWithState(
         _Changes(keep), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime"
     )
     return changes.withColumns({c: F.timestamp_micros(c) for c in ("modified", "at")})

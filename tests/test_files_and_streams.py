@@ -383,6 +383,26 @@ def test_file_changes_over_restarts(spark, scratch):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
+def test_file_changes_hold_buckets_of_paths(spark, scratch, monkeypatch):
+    """The state has an entry and a timer or two per bucket, not per path; every path has its own end."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    monkeypatch.setattr(SS.file_changes, "__defaults__", (*SS.file_changes.__defaults__[:-1], 2))
+    try:
+        listed(spark, scratch, 10, [(f"p{i:02d}", 1, i) for i in range(60)])
+        found, state = new_changes(spark, scratch)
+        assert found == [(f"p{i:02d}", "created", i, "10:00") for i in range(60)] and state < 20
+        listed(spark, scratch, 11, [(f"p{i:02d}", 1, i + (i == 40)) for i in range(20, 60)])
+        assert new_changes(spark, scratch)[0] == [("p40", "modified", 41, "11:00")]
+        listed(spark, scratch, 12, [(f"p{i:02d}", 1, i + (i == 40)) for i in range(40, 60)])
+        listed(spark, scratch, 14, [("p50", 1, 50)])
+        found, state = new_changes(spark, scratch)
+        gone = [(f"p{i:02d}", "deleted", i + (i == 40), f"{11 + (i >= 20) + (i >= 40)}:30") for i in range(60) if i != 50]
+        assert found == gone[:20] + gone[20:40] + gone[40:] and state < 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_sessions_close_and_leave_the_state(spark, scratch):
     """A stream in ten parts gives the closed runs of the batch form, and its state holds open runs only."""
     rng = random.Random(7)
