@@ -55,6 +55,14 @@ def _with_starts(pieces: DataFrame, counts: Column | None = None) -> DataFrame:
     )
 
 
+def _opened_in_cell(place: str) -> Column:
+    """Place of the first starter of the cell a row lies in, as far as it is not below the row. The last cell with a starter
+    has the largest number, so a running maximum in the order of the file tells, and no row is sorted by its cell."""
+    so_far = W.partitionBy("source_file").orderBy(place).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.max(F.when(F.col("starts"), F.struct(F.col("cell").alias("cell"), (-F.col(place)).alias("first")))).over(so_far)
+    return F.when(last["cell"] == F.col("cell"), -last["first"])
+
+
 def _in_order(column: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda u: u[column])
 
@@ -150,8 +158,7 @@ def extract_line_runs(files: DataFrame, mode: str = "default") -> DataFrame:
         # A closing line ends whatever is open, so a block is fixed by the first starter after the last close.
         closed = ordered.rowsBetween(W.unboundedPreceding, -1)
         cells = lines.withColumn("cell", F.coalesce(F.sum(F.col("closes").cast("int")).over(closed), F.lit(0)))
-        in_cell = W.partitionBy("source_file", "cell")
-        opened = cells.withColumn("open_at", F.min(F.when(F.col("starts"), F.col("line_no"))).over(in_cell))
+        opened = cells.withColumn("open_at", _opened_in_cell("line_no"))
     else:
         # The opening line cannot close its own block: from each starter the next closing line below ends it, and
         # starters up to there belong to it.
@@ -222,8 +229,7 @@ def extract_statements(files: DataFrame, mode: str = "default") -> DataFrame:
         .withColumn("above", F.coalesce(F.sum(newlines).over(before), F.lit(0)))
         .withColumn("cell", F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)))
     )
-    in_cell = W.partitionBy("source_file", "cell")
-    opened = F.min(F.when(F.col("starts"), F.col("pos"))).over(in_cell)
+    opened = _opened_in_cell("pos")
     pieces = F.col("_splits")
     blocks = (
         _with_starts(counted, counts=pieces)

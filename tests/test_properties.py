@@ -394,3 +394,15 @@ def test_a_level_moves_each_page_once(spark):
         plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "hashpartitioning(src" not in plan
     assert WB.expand_frontier(edges, spark.createDataFrame([(p,) for p in pages], "url string")).count() == 64 * 6
+
+
+@pytest.mark.parametrize("scan", [ST.extract_line_runs, ST.extract_statements])
+def test_lines_are_sorted_once(spark, scan):
+    """All windows of the line scanner run in the order of the file; cells need no order of their own."""
+    text = "noise\nselect a from b\nwhere c = 1\n\nx\ndelete from t where\nupdate u set a = 1\n b = 2;\ninsert into v values (1);\ny"
+    files = spark.createDataFrame([("f", text), ("g", "select 1 from x\n\n" + text)], "source_file string, content string")
+    found = scan(files)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    if scan is ST.extract_line_runs:
+        got = sorted((r.source_file, r.line_start, r.line_end) for r in found.collect())
+        assert got == [("f", 2, 4), ("f", 6, 8), ("f", 9, 9), ("g", 1, 2), ("g", 4, 6), ("g", 8, 10), ("g", 11, 11)]
