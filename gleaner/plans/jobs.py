@@ -47,7 +47,14 @@ def statement_features(files: DataFrame, options: ConsolidateOptions | None = No
     o = options or ConsolidateOptions()
     statements = ST.extract_statements(files.select("source_file", "content")).drop("extractor")
     found = ST.with_features(ST.filter_valid(statements, o.strict))
-    return ST.filter_scores(found, o.min_complexity, o.min_importance)
+    # Scores are never below zero; without a bound they are computed only for those who read them.
+    return ST.filter_scores(found, o.min_complexity, o.min_importance) if o.min_complexity > 0 or o.min_importance > 0 else found
+
+
+#: Reports that only count, and what they and the tiers read of a statement.
+COUNTING = {"dedup_stats", "run_summary"}
+COUNTED = ["query_type", "has_where", "risk_level", "complexity_score"]
+COMPARED = ["source_file", "ordinal", "line_start", "raw_sql", "fingerprint"]
 
 
 def consolidate(
@@ -56,13 +63,15 @@ def consolidate(
     only: set[str] | None = None,
     scanned: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Text corpus to report frames, all or the named ones. The tagged statements are cut once and feed every report.
+    """Text corpus to report frames, all or the named ones. The tagged statements are cut once and feed every report; if all
+    that is wanted are counts, only the columns they need are made, moved and written.
     ``scanned`` is the row of ``scan_metrics`` that the run summary quotes."""
     o = options or ConsolidateOptions()
-    found = durable(statement_features(files, o))
-    tagged = durable(
-        D.dedup(found, threshold=o.threshold, near=o.near, bypass=o.skip_dedup, metric=o.metric)
-    )
+    counts = only is not None and only <= COUNTING
+    features = statement_features(files, o)
+    found = durable(features.select(*COMPARED, *COUNTED) if counts else features)
+    tagged = D.dedup(found, threshold=o.threshold, near=o.near, bypass=o.skip_dedup, metric=o.metric)
+    tagged = durable(tagged.select("tier", *COUNTED) if counts else tagged)
     unique = tagged.filter("tier = 'UNIQUE'")
     stats = D.dedup_stats(tagged)
     reports: dict[str, Callable[[], DataFrame]] = {

@@ -136,6 +136,19 @@ def test_consolidated_text(spark, scratch):
     assert A.browse(frames["statements"], risk="HIGH").count() == 1
 
 
+def test_counting_reports_move_no_features(spark):
+    """The summary alone is that of the whole job, without the columns that it does not count."""
+    from gleaner import session
+
+    text = "select a from t where b = 1;\nselect a from t where b = 2;\nupdate u set a = 1;\ndrop table old_t;\ndrop table old_t;"
+    files = spark.createDataFrame([("a.sql", text), ("b.sql", text)], "source_file string, content string")
+    whole = sorted(consolidate(files)["run_summary"].collect())
+    with session.scratch(spark) as cuts:
+        assert sorted(consolidate(files, only={"run_summary"})["run_summary"].collect()) == whole
+        columns = {c for cut in cuts if os.path.isdir(urlparse(cut).path) for c in spark.read.parquet(cut).columns}
+    assert "complexity_score" in columns and not columns & {"normalized_sql", "table_names", "importance_score"}
+
+
 def test_find_duplicate_files(spark, scratch):
     put(scratch, "a/x.txt", "same")
     put(scratch, "b/x.txt", "same")
