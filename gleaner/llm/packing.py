@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import memo_tokenizer, remade, small_batches
+from gleaner.llm.common import by_bytes, memo_tokenizer, small_batches
 from gleaner.operators.skew import number_rows
 from gleaner.session import durable
 
@@ -212,20 +212,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = memo_tokenizer(tokenizer, MEMO_ENTRIES, special)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in remade(batches, 256):
-            rows: list[tuple[int, int, int, int, int]] = []
-            for i, ids in enumerate(coder.encode_bytes(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                first = n if n <= capacity else n % capacity or capacity
-                at, piece = 0, 0
-                while at < n:
-                    length = first if piece == 0 else capacity
-                    rows.append((i, piece, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
-                    at += length
-                    piece += 1
-            i, piece, at, length, crc = zip(*rows)
+        for batch in by_bytes(batches, 1):
+            flat, ends = coder.encode_column(batch.column(1), end_id)
+            n = np.diff(ends, prepend=0)
+            first = np.where(n <= capacity, n, (n - 1) % capacity + 1)
+            number = 1 + (n - first) // capacity
+            i = np.repeat(np.arange(len(n)), number)
+            piece = np.arange(len(i)) - np.repeat(np.cumsum(number) - number, number)
+            at = np.where(piece == 0, 0, first[i] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[i], capacity)
+            begin = 4 * ((ends - n)[i] + at)
+            raw = memoryview(flat.tobytes())
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(i, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, length, crc))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],

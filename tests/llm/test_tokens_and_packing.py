@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from gleaner.llm import packing, token_files
-from gleaner.llm.common import MemoTokenizer, tokenizer_path
+from gleaner.llm.common import MemoTokenizer, by_bytes, tokenizer_path
 from gleaner.llm.queries import QUERIES
 from gleaner.session import shared_folder
 
@@ -218,3 +219,42 @@ def test_exact_search_equals_brute_force():
         items = sorted((rng.randrange(4, 24) for _ in range(rng.randrange(1, 9))), reverse=True)
         plan = packing.fill(dict(Counter(items)), 30, None, None)
         assert sum(t for t, _ in plan) == least(items, []), items
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("special", ["text", "token"])
+def test_columns_give_the_ids_of_whole_texts(path, special):
+    """All neighbours of kinds of characters, in columns that are slices and hold nulls, with the memo in two generations."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = special == "text"
+    rng = random.Random(3)
+    parts = [*" \n\n  '.,#(<=_|1290abZ\t\r\x0b\x1c\x85\xa0 　’̸́é中Σ\U0001f600\x00\x7f", "'s", "'LL", "word", "<|endoftext|>", "<|ENDOFTEXT|>", "x" * 300]
+    plainer = [*" \n'.,#(<=_|19abZé", "̸", "'s", " word", "\n\n"]
+    texts = [*ODD, *("".join(rng.choices(p, k=rng.randrange(12))) for p in (parts, plainer) for _ in range(1500)), None, ""]
+    rng.shuffle(texts)
+    memo = MemoTokenizer(path, max_entries=300, special=special)
+    for at in range(0, len(texts), 97):
+        flat, ends = memo.encode_column(pa.array(["cut off", *texts[at : at + 97], None], pa.string())[1:], end_id=2)
+        for text, ids in zip([*texts[at : at + 97], None], np.split(flat, ends[:-1])):
+            assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_are_encoded_once_whatever_marks_follow(path):
+    memo = MemoTokenizer(path, special="token")
+    seen = []
+    whole = memo.many
+    memo.many = lambda pieces, *a, **k: seen.extend(pieces) or whole(pieces, *a, **k)
+    texts = [f"some {word}{mark} (other) {n}{mark}\nnext" for word in ("alpha", "beta") for mark in ".,;:!?" for n in (1, 2)]
+    memo.encode(texts)
+    memo.encode(texts)
+    assert len(seen) == len(set(seen)) <= 20
+
+
+def test_batches_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "", "b" * 95, "c" * 300, "d"])], names=["t"])
+    got = [b.column(0).to_pylist() for b in by_bytes([batch, batch.slice(0, 0)], 0, 100)]
+    assert [x for part in got for x in part] == batch.column(0).to_pylist()
+    assert len(got) == 3 and all(sum(len(x or "") for x in part[1:]) <= 100 for part in got)
