@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gleaner.llm.common import memo_tokenizer, remade
+from gleaner.llm.common import by_bytes, memo_tokenizer
 
 END_ID = 2
 #: Stretches of text that a worker remembers the ids of, in each of two generations (about 100 MB).
@@ -36,13 +36,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = memo_tokenizer(tokenizer, MEMO_ENTRIES, special)
-        end = np.array([end_id], dtype="<u4").tobytes()
         at = 0
-        for batch in remade(batches, 256):
-            coded = [ids + end for ids in coder.encode_bytes(batch.column(1).to_pylist())]
-            n = np.array([len(ids) // 4 for ids in coded], dtype=np.int64)
-            ends = np.cumsum(n)
-            flat = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
+        for batch in by_bytes(batches, 1):
+            ids, ends = coder.encode_column(batch.column(1), end_id)
+            n = np.diff(ends, prepend=0)
+            flat = pa.array(ids.view("<i4"))
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(at + ends - n), pa.ListArray.from_arrays(offsets, flat)],
