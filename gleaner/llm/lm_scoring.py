@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import memo_tokenizer, release, remade, small_batches, word_bytes
+from gleaner.llm.common import by_bytes, memo_tokenizer, release, remade, small_batches, word_bytes
 from gleaner.session import durable
 
 WINDOW = 32
@@ -80,93 +80,144 @@ def start(entry_counts: np.ndarray) -> Params:
     return p
 
 
-def causal() -> np.ndarray:
-    return np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+def by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order of the cells by class, and each class that occurs with its place in it."""
+    order = np.argsort(classes.astype(np.int16), kind="stable")  # 16 bits are sorted by digits
+    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
-def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Batched masked attention; returns the weights and the weighted values."""
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= 1 / math.sqrt(WIDTH)
-    s += mask
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    return s, np.matmul(s, v)
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row, in place, up to a factor, and the rows' sums; the maximum is taken off only where needed, as it
+    costs more than the rest."""
+    if max(x.max(initial=0), -x.min(initial=0)) >= 80:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
 
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) of each row; ``x`` is overwritten."""
+    top = x.max(1) if max(x.max(initial=0), -x.min(initial=0)) >= 80 else None
+    total = np.log(exponentials(x)[1])
+    return total if top is None else total + top
 
-def by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+
+def open_weights(q: np.ndarray, k: np.ndarray, open_cells: np.ndarray) -> np.ndarray:
+    """Weights of masked attention, for queries that are scaled already, without the running maximum. Should the plain
+    exponentials leave the range of floats, the slower way is taken."""
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(s, out=s)
+        s *= open_cells
+        total = s @ np.ones(s.shape[-1], s.dtype)
+    if not np.isfinite(total).all() or total.min(initial=1) < 1e-30:
+        s = np.where(open_cells > 0, np.matmul(q, k.transpose(0, 2, 1)), -1e9).astype(q.dtype)
+        s -= s.max(-1, keepdims=True)
+        np.exp(s, out=s)
+        total = s.sum(-1)
+    s *= (1 / total)[..., None]
+    return s
+
+
+def scaled(p: Params) -> np.ndarray:
+    weights = p["Wqkv"].copy()
+    weights[:, :WIDTH] /= math.sqrt(WIDTH)
+    return weights
 
 
-def gradients(p: Params, inputs: np.ndarray, goals: np.ndarray, real: np.ndarray) -> tuple[float, Params]:
-    """Mean loss (nats a token) and gradients for windows of entries; ``real`` marks the goals that count."""
+def gradients(p: Params, inputs: np.ndarray, goals: np.ndarray, real: np.ndarray, g: Params | None = None) -> tuple[float, Params]:
+    """Mean loss (nats a token) and gradients for windows of entries; ``real`` marks the goals that count. ``g`` takes the
+    gradients, if given, and must be zero."""
     b, w, d = len(inputs), WINDOW, WIDTH
-    x = p["E"][inputs] + p["P"]
-    qkv = x @ p["Wqkv"]
+    kind = p["E"].dtype
+    g = {name: np.zeros_like(value) for name, value in p.items()} if g is None else g
+    ones = np.ones(b * w, kind)
+    weights = scaled(p)
+    x = np.take(p["E"], inputs, axis=0)
+    x += p["P"]
+    x = x.reshape(-1, d)
+    qkv = (x @ weights).reshape(b, w, 3 * d)
     q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a, o = attend(q, k, v, causal())
-    h1 = x + o @ p["Wo"]
-    z = h1 @ p["W1"] + p["b1"]
-    r = np.maximum(z, 0)
-    h = h1 + r @ p["W2"]
-    flat, goal = h[real], goals[real]
+    a = open_weights(q, k, np.tril(np.ones((w, w), kind)))
+    o = np.matmul(a, v).reshape(-1, d)
+    h1 = o @ p["Wo"]
+    h1 += x
+    r = h1 @ p["W1"]
+    r += p["b1"]
+    np.maximum(r, 0, out=r)
+    h = r @ p["W2"]
+    h += h1
+    cell = np.flatnonzero(real)
+    flat, goal = (h if len(cell) == len(h) else np.take(h, cell, axis=0)), goals.ravel()[cell]
     n = max(len(goal), 1)
-    g = {name: np.zeros_like(value) for name, value in p.items()}
-    lc = flat @ p["Uc"].T + p["bc"]
-    lc -= lc.max(1, keepdims=True)
-    np.exp(lc, out=lc)
-    lc /= lc.sum(1, keepdims=True)
     c, m = goal // MEMBERS, goal % MEMBERS
     rows = np.arange(len(goal))
-    loss = -np.log(lc[rows, c] + 1e-20).sum()
-    lc[rows, c] -= 1
-    lc /= n
-    g["Uc"], g["bc"] = lc.T @ flat, lc.sum(0)
+    lc = flat @ p["Uc"].T
+    lc += p["bc"]
+    lc, total = exponentials(lc)
+    loss = -np.log(lc[rows, c] / total + 1e-20).sum()
+    lc *= (1 / (total * n))[:, None]
+    lc[rows, c] -= kind.type(1 / n)
+    np.matmul(lc.T, flat, out=g["Uc"])
+    np.matmul(ones[: len(goal)], lc, out=g["bc"])
     df = lc @ p["Uc"]
-    for i, idx in by_class(c):
-        lm = flat[idx] @ p["Um"][i].T + p["bm"][i]
-        lm -= lm.max(1, keepdims=True)
-        np.exp(lm, out=lm)
-        lm /= lm.sum(1, keepdims=True)
-        at = np.arange(len(idx))
-        loss -= np.log(lm[at, m[idx]] + 1e-20).sum()
-        lm[at, m[idx]] -= 1
-        lm /= n
-        g["Um"][i], g["bm"][i] = lm.T @ flat[idx], lm.sum(0)
-        df[idx] += lm @ p["Um"][i]
-    dh = np.zeros_like(h)
-    dh[real] = df
-    side = lambda left, right: left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-    g["W2"] = side(r, dh)
-    dz = (dh @ p["W2"].T) * (z > 0)
-    g["W1"], g["b1"] = side(h1, dz), dz.sum((0, 1))
-    dh1 = dh + dz @ p["W1"].T
-    g["Wo"] = side(o, dh1)
+    order, spans = by_class(c)
+    flat, m = np.take(flat, order, axis=0), m[order]
+    lm = np.empty((len(goal), MEMBERS), kind)
+    for i, span in spans:
+        np.dot(flat[span], p["Um"][i].T, out=lm[span])
+    lm += np.take(p["bm"], c[order], axis=0)
+    lm, total = exponentials(lm)
+    loss -= np.log(lm[rows, m] / total + 1e-20).sum()
+    lm *= (1 / (total * n))[:, None]
+    lm[rows, m] -= kind.type(1 / n)
+    back = np.empty_like(flat)
+    for i, span in spans:
+        part = lm[span]
+        np.dot(part.T, flat[span], out=g["Um"][i])
+        np.dot(ones[: len(part)], part, out=g["bm"][i])
+        np.dot(part, p["Um"][i], out=back[span])
+    df[order] += back
+    dh = df
+    if len(cell) < len(h):
+        dh = np.zeros_like(h)
+        dh[cell] = df
+    np.matmul(r.T, dh, out=g["W2"])
+    dz = dh @ p["W2"].T
+    dz *= r > 0
+    np.matmul(h1.T, dz, out=g["W1"])
+    np.matmul(ones, dz, out=g["b1"])
+    dh1 = dz @ p["W1"].T
+    dh1 += dh
+    np.matmul(o.T, dh1, out=g["Wo"])
     do = dh1 @ p["Wo"].T
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), do)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) / math.sqrt(d)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], -1)
-    g["Wqkv"] = side(x, dqkv)
-    dx = dh1 + dqkv @ p["Wqkv"].T
-    g["P"] = dx.sum(0)
-    cells = dx.reshape(b * w, d)
-    order = np.argsort(inputs.ravel(), kind="stable")
-    used, first = np.unique(inputs.ravel()[order], return_index=True)
-    g["E"][used] = np.add.reduceat(cells[order], first, axis=0)
+    # A row's sum of weights times their gradients is its value times the value's gradient.
+    own = ((do * o) @ np.ones(d, kind)).reshape(b, w, 1)
+    do = do.reshape(b, w, d)
+    ds = np.matmul(do, v.transpose(0, 2, 1))
+    ds -= own
+    ds *= a
+    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)], -1).reshape(-1, 3 * d)
+    np.matmul(x.T, dqkv, out=g["Wqkv"])
+    g["Wqkv"][:, :d] /= math.sqrt(d)
+    dx = dqkv @ weights.T
+    dx += dh1
+    np.matmul(ones[:b], dx.reshape(b, w * d), out=g["P"].reshape(-1))
+    entry = inputs.ravel().astype(np.int16)
+    order = np.argsort(entry, kind="stable")
+    entry = entry[order]
+    first = np.concatenate([[0], np.flatnonzero(entry[1:] != entry[:-1]) + 1])
+    g["E"][entry[first]] = np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
     return float(loss) / n, g
 
 
 def train(p: Params, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tuple[Params, float]:
     """One pass of Adam over a stream of blocks of windows (inputs, goals, and 1 where the goal counts); returns also the
     number of goals."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    at_p = packed(p).astype(np.float32)
+    m, v, at_g, step_of = (np.zeros_like(at_p) for _ in range(4))
+    p, g = views(at_p), views(at_g)
     rng = np.random.default_rng(seed)
     step, weight = 0, 0.0
     for block in blocks:
@@ -175,11 +226,20 @@ def train(p: Params, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tu
         for at in range(0, len(order), BATCH):
             step += 1
             part = block[order[at : at + BATCH]].astype(np.int64)
-            _, g = gradients(p, part[:, 0], part[:, 1], part[:, 2] > 0)
-            for k in p:
-                m[k] += 0.1 * (g[k] - m[k])
-                v[k] += 0.001 * (g[k] ** 2 - v[k])
-                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
+            at_g[:] = 0
+            gradients(p, part[:, 0], part[:, 1], part[:, 2] > 0, g)
+            m *= 0.9
+            m += np.multiply(at_g, 0.1, out=step_of)
+            v *= 0.999
+            np.multiply(at_g, at_g, out=step_of)
+            step_of *= 0.001
+            v += step_of
+            np.sqrt(v, out=step_of)
+            step_of *= 1 / math.sqrt(1 - 0.999**step)
+            step_of += 1e-7
+            np.divide(m, step_of, out=step_of)
+            step_of *= rate / (1 - 0.9**step)
+            at_p -= step_of
     return p, weight
 
 
@@ -187,15 +247,19 @@ def packed(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in shapes()])
 
 
-def unpacked(flat: np.ndarray) -> Params:
+def views(flat: np.ndarray) -> Params:
     out, at = {}, 0
     for k, s in shapes().items():
         n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s).astype(np.float32)
+        out[k] = flat[at : at + n].reshape(s)
         at += n
     return out
 
 
+def unpacked(flat: np.ndarray) -> Params:
+    return views(flat.astype(np.float32))
+
+
 def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
     """Sum of natural log probabilities of each sequence of entries, given the end entry before it. Windows of all
     sequences form batches; a window scores the tokens that the one before it has not scored."""
@@ -209,58 +273,58 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
     totals = np.zeros(len(lengths))
     d = WIDTH
     # One layer: what a token and a place send into attention are rows of small tables.
-    weights = p["Wqkv"].copy()
-    weights[:, :d] /= math.sqrt(d)
-    table, places = (np.hstack([p[k] @ weights, p[k]]) for k in ("E", "P"))
-    open_cells = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-    place = np.arange(WINDOW)
-    for at in range(0, len(owner), 256):
-        hidden, goals, owners = [], [], []
-        for part in range(at, min(at + 256, len(owner)), 64):  # few windows at a time: their scores stay in the cache
-            own, num = owner[part : min(part + 64, at + 256)], number[part : min(part + 64, at + 256)]
-            cells = (base[own] + num * STRIDE)[:, None] + place
-            # The end entry stands in for the goal of another sequence's cells; ``real`` leaves those out.
-            spot = num[:, None] * STRIDE + place
-            real = (spot < lengths[own][:, None]) & ((num[:, None] == 0) | (place >= WINDOW - STRIDE))
-            cell = np.flatnonzero(real)
-            sent = np.take(table, joined[cells], axis=0)
-            sent += places
-            o = attended(sent[..., :d], sent[..., d : 2 * d], sent[..., 2 * d : 3 * d], open_cells)
-            hidden.append(np.take(sent.reshape(-1, 4 * d), cell, axis=0)[:, 3 * d :] + np.take(o.reshape(-1, d), cell, axis=0) @ p["Wo"])
-            goals.append(joined[cells.ravel()[cell] + 1])
-            owners.append(own[cell // WINDOW])
-        h, goal = np.concatenate(hidden), np.concatenate(goals)
-        h += np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
-        c, m = goal // MEMBERS, goal % MEMBERS
-        lc = h @ p["Uc"].T + p["bc"]
-        logp = lc[np.arange(len(goal)), c] - log_sum(lc)
-        for i, idx in by_class(c):
-            lm = h[idx] @ p["Um"][i].T + p["bm"][i]
-            logp[idx] += lm[np.arange(len(idx)), m[idx]] - log_sum(lm)
-        totals += np.bincount(np.concatenate(owners), logp, minlength=len(totals))
+    weights = scaled(p)
+    (own_table, own_places), (sent_table, sent_places) = (
+        [np.hstack([p[k] @ weights[:, :d], p[k]]) for k in ("E", "P")],
+        [p[k] @ weights[:, d:] for k in ("E", "P")],
+    )
+    joined = joined.astype(np.int32)
+    # Later windows score no token of their first places, which then need not attend.
+    for skip, group in ((0, np.flatnonzero(number == 0)), (WINDOW - STRIDE, np.flatnonzero(number))):
+        place = np.arange(skip, WINDOW)
+        open_cells = np.tril(np.ones((WINDOW, WINDOW), p["E"].dtype))[skip:]
+        for at in range(0, len(group), 256):
+            hidden, goals, owners = [], [], []
+            for part in range(at, min(at + 256, len(group)), 64):  # few windows at a time: their scores stay in the cache
+                window = group[part : min(part + 64, at + 256)]
+                own, num = owner[window], number[window]
+                cells = (base[own] + num * STRIDE)[:, None] + np.arange(WINDOW)
+                entry = joined[cells]
+                sent = np.take(sent_table, entry, axis=0)
+                sent += sent_places
+                own_rows = np.take(own_table, entry[:, skip:], axis=0)
+                own_rows += own_places[skip:]
+                o = np.matmul(open_weights(own_rows[..., :d], sent[..., :d], open_cells), sent[..., d:])
+                # The end entry stands in for the goal of another sequence's cells; ``real`` leaves those out.
+                real = num[:, None] * STRIDE + place < lengths[own][:, None]
+                cell = np.flatnonzero(real)
+                h = own_rows[..., d:].reshape(-1, d) + o.reshape(-1, d) @ p["Wo"]
+                hidden.append(h if len(cell) == len(h) else np.take(h, cell, axis=0))
+                goals.append(joined[cells[:, skip:].ravel()[cell] + 1])
+                owners.append(own[cell // len(place)])
+            h, goal = np.concatenate(hidden), np.concatenate(goals).astype(np.int64)
+            z = h @ p["W1"]
+            z += p["b1"]
+            h += np.maximum(z, 0, out=z) @ p["W2"]
+            c, m = goal // MEMBERS, goal % MEMBERS
+            rows = np.arange(len(goal))
+            lc = h @ p["Uc"].T
+            lc += p["bc"]
+            logp = lc[rows, c]
+            logp -= log_sum(lc)
+            order, spans = by_class(c)
+            h, m = np.take(h, order, axis=0), m[order]
+            lm = np.empty((len(goal), MEMBERS), h.dtype)
+            for i, span in spans:
+                np.dot(h[span], p["Um"][i].T, out=lm[span])
+            lm += np.take(p["bm"], c[order], axis=0)
+            picked = lm[rows, m]
+            picked -= log_sum(lm)
+            logp[order] += picked
+            totals += np.bincount(np.concatenate(owners), logp, minlength=len(totals))
     return totals
 
 
-def attended(q: np.ndarray, k: np.ndarray, v: np.ndarray, open_cells: np.ndarray) -> np.ndarray:
-    """Masked attention without the running maximum: an added column of ones sums the weights in the same product. Should
-    the plain exponentials leave the range of floats, the slower way is taken."""
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    np.exp(s, out=s)
-    s *= open_cells
-    o = np.matmul(s, np.concatenate([v, np.ones((*v.shape[:2], 1), v.dtype)], -1))
-    if not np.isfinite(o).all() or o[..., -1].min() < 1e-30:
-        return attend(q * math.sqrt(WIDTH), k, v, causal())[1]
-    return o[..., :-1] / o[..., -1:]
-
-
-def log_sum(x: np.ndarray) -> np.ndarray:
-    """log(sum(exp)) of each row; the maximum is taken off only where needed, as it costs more than the rest."""
-    if abs(x).max(initial=0) < 80:
-        return np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
-    top = x.max(1, keepdims=True)
-    return np.log(np.exp(x - top).sum(1)) + top[:, 0]
-
-
 # --- entries: what the model predicts ------------------------------------------------------------------------------
 
 
@@ -290,8 +354,10 @@ def coded(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = memo_tokenizer(tokenizer)
-        for batch in remade(batches, 256):
-            ids = pa.array(coder.encode_bytes(batch.column(2).to_pylist()), pa.binary())
+        for batch in by_bytes(batches, 2):
+            flat, ends = coder.encode_column(batch.column(2))
+            offsets = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32))
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["doc_id", "held_out", "text", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -42,6 +42,50 @@ def test_gradients_equal_differences(monkeypatch):
             assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[name][at], rel=1e-2, abs=1e-7), name
 
 
+def test_gradients_fill_a_given_buffer():
+    """As training does it: one flat array for all gradients, also of classes and entries that do not occur."""
+    rng = np.random.default_rng(4)
+    p = lm_scoring.start(np.ones(lm_scoring.CLASSES * lm_scoring.MEMBERS))
+    inputs, goals = (rng.integers(0, 40, (5, lm_scoring.WINDOW)) for _ in range(2))
+    for real in (rng.random(inputs.shape) < 0.5, np.ones(inputs.shape, bool), np.zeros(inputs.shape, bool)):
+        flat = np.zeros(len(lm_scoring.packed(p)), np.float32)
+        loss, g = lm_scoring.gradients(p, inputs, goals, real, lm_scoring.views(flat))
+        alone, plain = lm_scoring.gradients(p, inputs, goals, real)
+        assert loss == alone and np.isfinite(flat).all() and (flat == lm_scoring.packed(plain)).all()
+        assert not g["E"][40:].any() and not g["Um"][2:].any() and real.any() == flat.any()
+
+
+def test_steps_are_those_of_adam():
+    rng = np.random.default_rng(6)
+    p = lm_scoring.start(np.ones(lm_scoring.CLASSES * lm_scoring.MEMBERS))
+    block = np.stack([*(rng.integers(0, 1024, (150, lm_scoring.WINDOW)) for _ in range(2)), rng.random((150, lm_scoring.WINDOW)) < 0.9], 1).astype(np.int16)
+    got, weight = lm_scoring.train(p, [block], 0.01, 3)
+    want = {k: v.astype(np.float64) for k, v in p.items()}
+    m, v = ({k: np.zeros(x.shape) for k, x in p.items()} for _ in range(2))
+    order = np.random.default_rng(3).permutation(len(block))
+    for step, at in enumerate(range(0, len(order), lm_scoring.BATCH), 1):
+        part = block[order[at : at + lm_scoring.BATCH]].astype(np.int64)
+        _, g = lm_scoring.gradients(want, part[:, 0], part[:, 1], part[:, 2] > 0)
+        for k in want:
+            m[k] += 0.1 * (g[k] - m[k])
+            v[k] += 0.001 * (g[k] ** 2 - v[k])
+            want[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
+    assert weight == block[:, 2].sum()
+    for k in want:
+        assert np.quantile(np.abs(got[k] - want[k]), 0.99) < 1e-4, k
+
+
+def test_exponentials_out_of_range():
+    rng = np.random.default_rng(5)
+    q, k = (rng.standard_normal((3, lm_scoring.WINDOW, 4)).astype(np.float32) * 40 for _ in range(2))
+    cells = np.tril(np.ones((lm_scoring.WINDOW, lm_scoring.WINDOW), np.float32))
+    s = np.where(cells > 0, np.matmul(q.astype(np.float64), k.transpose(0, 2, 1)), -np.inf)
+    want = np.exp(s - s.max(-1, keepdims=True))
+    assert lm_scoring.open_weights(q, k, cells) == pytest.approx(want / want.sum(-1, keepdims=True), abs=1e-3)
+    x = np.array([[1000.0, 999.0], [-1000.0, -1000.0], [0.0, 1.0]])
+    assert lm_scoring.log_sum(x.copy()) == pytest.approx([1000 + math.log(1 + math.exp(-1)), math.log(2) - 1000, math.log(1 + math.e)])
+
+
 def test_each_token_is_scored_once_in_its_window():
     rng = np.random.default_rng(1)
     p = lm_scoring.start(np.ones(lm_scoring.CLASSES * lm_scoring.MEMBERS))
