@@ -42,6 +42,8 @@ RATE = 0.01
 SEED = 5
 #: Words in the broadcast table: the most frequent ones, at most so many.
 HOT_WORDS = 100_000
+#: Bytes of texts that a task encodes at a time.
+CODED_BYTES = 1 << 20
 #: Distinct words that a task counts before it hands on what it has.
 MAX_COUNTED = 150_000
 END_WORD = b"\n"  # no word holds a line feed
@@ -354,7 +356,7 @@ def coded(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = memo_tokenizer(tokenizer)
-        for batch in by_bytes(batches, 2):
+        for batch in by_bytes(batches, 2, CODED_BYTES):
             flat, ends = coder.encode_column(batch.column(2))
             offsets = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32))
             ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
