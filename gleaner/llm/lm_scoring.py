@@ -42,8 +42,9 @@ RATE = 0.01
 SEED = 5
 #: Words in the broadcast table: the most frequent ones, at most so many.
 HOT_WORDS = 100_000
-#: Bytes of texts that a task encodes at a time.
+#: Bytes of texts that a task encodes at a time, and of the batches in which rows come to Python.
 CODED_BYTES = 1 << 20
+BATCH_BYTES = "2m"
 #: Distinct words that a task counts before it hands on what it has.
 MAX_COUNTED = 150_000
 END_WORD = b"\n"  # no word holds a line feed
@@ -364,7 +365,7 @@ def coded(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = rows.mapInArrow(code, f"doc_id {kind}, held_out boolean, text string, ids binary")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH_BYTES):
         return durable(done.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -439,9 +440,33 @@ def windows_of(batches: Iterable[pa.RecordBatch], entry_of: np.ndarray, turn: in
         yield np.concatenate(kept)
 
 
+def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (w, p) with the sums of all."""
+    weight, flat = 0.0, np.zeros(0)
+    for batch in batches:
+        for w, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            weight += w
+            flat = np.frombuffer(p, "<f8") + (flat if len(flat) else 0.0)
+    if weight:
+        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([flat.astype("<f8").tobytes()], pa.binary())], names=["w", "p"])
+
+
+def averaged(sent: DataFrame, tasks: int) -> np.ndarray | None:
+    """The mean of rows (w, p), p a weighted array of doubles; None without rows. Tasks behind a shuffle add what about
+    the root of the number of tasks sent, the driver adds their sums. Unlike treeAggregate() on the rows of mapInArrow(),
+    this needs no second Python process a task beside the one that trains."""
+    groups = math.isqrt(max(tasks - 1, 0)) + 1
+    by_task = sent.withColumn("part", F.spark_partition_id() % groups).repartition(groups, "part")
+    rows = by_task.select("w", "p").mapInArrow(summed, "w double, p binary").collect()
+    if not rows:
+        return None
+    return sum(np.frombuffer(r["p"], "<f8") for r in rows) / sum(r["w"] for r in rows)
+
+
 def fit(learning: DataFrame, to_entry: np.ndarray, by_entry: np.ndarray) -> Params:
     """Rounds of local steps and averaging; every window has its round. A task holds a block of windows at a time."""
     spark = learning.sparkSession
+    tasks = learning.rdd.getNumPartitions()
     total = max(float(by_entry.sum()), 1.0)
     share = min(1.0, max(1.0, MIN_TOKENS / total) / ROUNDS)
     p = start(by_entry)
@@ -456,12 +481,10 @@ def fit(learning: DataFrame, to_entry: np.ndarray, by_entry: np.ndarray) -> Para
             if weight:
                 yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(packed(p) * weight).astype("<f8").tobytes()], pa.binary())], names=["w", "p"])
 
-        rows = learning.select("row", "ids").mapInArrow(run, "w double, p binary").rdd.map(lambda r: (r["w"], np.frombuffer(r["p"], "<f8")))
-        weight, summed = rows.treeAggregate((0.0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        mean = averaged(learning.select("row", "ids").mapInArrow(run, "w double, p binary"), tasks)
         shared.unpersist()
-        if not weight:  # a round of a tiny input may have no window
-            continue
-        p = unpacked(summed / weight)
+        if mean is not None:  # a round of a tiny input may have no window
+            p = unpacked(mean)
     return p
 
 
@@ -488,12 +511,12 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     table = coded(docs, tokenizer)
     learning = table.where("not held_out")
-    with small_batches(spark):
+    with small_batches(spark, BATCH_BYTES):
         vocabulary = durable(word_counts(learning))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot = {bytes(r["word"]): r["c"] for r in frequent(vocabulary).collect()}
     below = math.log10(n + ADD * (v + 1))
-    with small_batches(spark):
+    with small_batches(spark, BATCH_BYTES):
         counts, n_docs = id_counts(learning)
         to_entry, by_entry, share = entries(counts, n_docs)
         params = fit(learning, to_entry, by_entry)
@@ -551,7 +574,7 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("word", T.BinaryType()),
         ]
     )
-    with small_batches(spark):
+    with small_batches(spark, BATCH_BYTES):
         found = durable(table.select("row", "doc_id", "held_out", "text", "ids").mapInArrow(run, schema))
     release(table)
     rare = found.where("word is not null").select("row", "word", "n").join(vocabulary, "word", "left")

@@ -13,6 +13,8 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark import RDD
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from gleaner.llm import ann, language, lm_scoring, warc
@@ -169,6 +171,53 @@ def test_training_takes_rows_of_any_partition(spark):
     assert all(np.isfinite(v).all() for v in params.values())
 
 
+def test_training_takes_one_python_process_a_task(spark, monkeypatch):
+    """Rows of mapInArrow() that go on into functions of an RDD are piped to a second one."""
+
+    def piped(*args, **kw):
+        raise AssertionError("a function of an RDD")
+
+    learning = spark.createDataFrame([(i, np.arange(100, dtype="<u4").tobytes()) for i in range(8)], "row long, ids binary").repartition(4)
+    to_entry, by_entry, _ = lm_scoring.entries(np.ones(100), 8)
+    monkeypatch.setattr(RDD, "mapPartitionsWithIndex", piped)
+    params = lm_scoring.fit(learning, to_entry, by_entry)
+    assert any((params[k] != v).any() for k, v in lm_scoring.start(by_entry).items())
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 11])
+def test_means_of_tasks(spark, tasks):
+    values = np.random.default_rng(0).standard_normal((20, 50))
+    weights = np.arange(1.0, 21)
+    sent = spark.createDataFrame([(float(w), (x * w).tobytes()) for w, x in zip(weights, values)], "w double, p binary").repartition(tasks)
+    assert lm_scoring.averaged(sent, tasks) == pytest.approx(np.average(values, axis=0, weights=weights), rel=1e-12)
+    assert lm_scoring.averaged(sent.limit(0), tasks) is None
+
+
+def test_texts_come_to_python_in_small_batches(spark, monkeypatch):
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    most = spark.sparkContext.accumulator(0, Most())
+    whole = lm_scoring.by_bytes
+
+    def noted(batches, column, size):
+        def each():
+            for batch in batches:
+                most.add(batch.nbytes)
+                yield batch
+
+        return whole(each(), column, size)
+
+    monkeypatch.setattr(lm_scoring, "by_bytes", noted)
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('ab cd ', 20000) AS text")
+    assert lm_scoring.coded(docs, WORD).count() == 60
+    assert 0 < most.value < 3 << 20
+
+
 def brute(rows, every, k):
     out = {}
     for q in range(len(rows)):

@@ -43,6 +43,23 @@ def test_memo_gives_the_ids_of_whole_texts(path):
             assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_memo_hands_the_library_few_texts_at_a_time(path):
+    """What a call returns takes a hundred bytes and more a token."""
+    memo = MemoTokenizer(path)
+    plain, sizes = memo.tokenizer, []
+
+    class Noted:
+        def encode_batch_fast(self, texts, **kw):
+            sizes.append(sum(map(len, texts)))
+            return plain.encode_batch_fast(texts, **kw)
+
+    memo.tokenizer = Noted()
+    text = " ".join(f"{'abcdefghij'[i % 10]}w{i}" for i in range(60_000))
+    assert memo.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 0 < max(sizes) < 50_000
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_memo_gives_the_ids_of_the_plain_library_call(path):
     from tokenizers import Tokenizer
