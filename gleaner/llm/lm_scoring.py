@@ -14,16 +14,16 @@ table of bounded size, all others meet their counts in a join.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import by_bytes, memo_tokenizer, release, remade, small_batches, word_bytes
+from gleaner.llm.common import by_bytes, memo_tokenizer, release, remade, small_batches
 from gleaner.session import durable
 
 WINDOW = 32
@@ -38,6 +38,10 @@ ROUNDS = 4
 BATCH = 64
 #: Windows that a task holds, and takes its mini-batches from in random order, at a time.
 HELD_WINDOWS = 8192
+#: Bytes of freed memory that a worker keeps for its next arrays.
+KEPT_BYTES = 16 << 20
+#: Rows that a product of a long and a small matrix takes at a time.
+PART = 512
 RATE = 0.01
 SEED = 5
 #: Words in the broadcast table: the most frequent ones, at most so many.
@@ -85,11 +89,32 @@ def start(entry_counts: np.ndarray) -> Params:
 
 def by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """The order of the cells by class, and each class that occurs with its place in it."""
-    order = np.argsort(classes.astype(np.int16), kind="stable")  # 16 bits are sorted by digits
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+    order = np.argsort(classes.astype(np.uint8), kind="stable")  # 8 bits are sorted by counting
+    edges = [0, *np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()]
     return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` for many rows, some at a time: small products are made without copies of the factors. ``w`` is best
+    contiguous."""
+    out = np.empty((len(x), w.shape[1]), x.dtype)
+    whole = len(x) - len(x) % PART
+    if whole:
+        np.matmul(x[:whole].reshape(-1, PART, x.shape[1]), w, out=out[:whole].reshape(-1, PART, w.shape[1]))
+    if whole < len(x):
+        np.matmul(x[whole:], w, out=out[whole:])
+    return out
+
+
+def crossed(x: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+    """``x.T @ y`` for many rows into ``out``, likewise."""
+    whole = len(x) - len(x) % PART
+    np.matmul(x[whole:].T, y[whole:], out=out)
+    if whole:
+        parts = [z[:whole].reshape(-1, PART, z.shape[1]) for z in (x, y)]
+        out += np.matmul(parts[0].transpose(0, 2, 1), parts[1]).sum(0)
+
+
 def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp of each row, in place, up to a factor, and the rows' sums; the maximum is taken off only where needed, as it
     costs more than the rest."""
@@ -136,88 +161,109 @@ def gradients(p: Params, inputs: np.ndarray, goals: np.ndarray, real: np.ndarray
     kind = p["E"].dtype
     g = {name: np.zeros_like(value) for name, value in p.items()} if g is None else g
     ones = np.ones(b * w, kind)
+    turned = lambda z: np.ascontiguousarray(z.T)
     weights = scaled(p)
     x = np.take(p["E"], inputs, axis=0)
     x += p["P"]
     x = x.reshape(-1, d)
-    qkv = (x @ weights).reshape(b, w, 3 * d)
+    qkv = times(x, weights).reshape(b, w, 3 * d)
     q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a = open_weights(q, k, np.tril(np.ones((w, w), kind)))
+    a = open_weights(q, k, np.tri(w, dtype=kind))
     o = np.matmul(a, v).reshape(-1, d)
-    h1 = o @ p["Wo"]
+    h1 = times(o, p["Wo"])
     h1 += x
-    r = h1 @ p["W1"]
+    r = times(h1, p["W1"])
     r += p["b1"]
     np.maximum(r, 0, out=r)
-    h = r @ p["W2"]
+    h = times(r, p["W2"])
     h += h1
+    # From here to ``dh`` the cells that count are in the order of their goals' classes.
     cell = np.flatnonzero(real)
-    flat, goal = (h if len(cell) == len(h) else np.take(h, cell, axis=0)), goals.ravel()[cell]
+    goal = goals.ravel()[cell]
+    order, spans = by_class(goal // MEMBERS)
+    cell, goal = cell[order], goal[order]
+    flat = np.take(h, cell, axis=0)
     n = max(len(goal), 1)
     c, m = goal // MEMBERS, goal % MEMBERS
-    rows = np.arange(len(goal))
-    lc = flat @ p["Uc"].T
+    first = np.arange(len(goal))
+    lc = times(flat, turned(p["Uc"]))
     lc += p["bc"]
-    lc, total = exponentials(lc)
-    loss = -np.log(lc[rows, c] / total + 1e-20).sum()
-    lc *= (1 / (total * n))[:, None]
-    lc[rows, c] -= kind.type(1 / n)
-    np.matmul(lc.T, flat, out=g["Uc"])
+    lc, loss = errors(lc, first * CLASSES + c, n)
+    crossed(lc, flat, g["Uc"])
     np.matmul(ones[: len(goal)], lc, out=g["bc"])
-    df = lc @ p["Uc"]
-    order, spans = by_class(c)
-    flat, m = np.take(flat, order, axis=0), m[order]
+    df = times(lc, p["Uc"])
     lm = np.empty((len(goal), MEMBERS), kind)
+    members = np.ascontiguousarray(p["Um"].transpose(0, 2, 1))
     for i, span in spans:
-        np.dot(flat[span], p["Um"][i].T, out=lm[span])
-    lm += np.take(p["bm"], c[order], axis=0)
-    lm, total = exponentials(lm)
-    loss -= np.log(lm[rows, m] / total + 1e-20).sum()
-    lm *= (1 / (total * n))[:, None]
-    lm[rows, m] -= kind.type(1 / n)
+        np.dot(flat[span], members[i], out=lm[span])
+    lm += np.take(p["bm"], c, axis=0)
+    lm, more = errors(lm, first * MEMBERS + m, n)
     back = np.empty_like(flat)
     for i, span in spans:
         part = lm[span]
-        np.dot(part.T, flat[span], out=g["Um"][i])
+        if len(part) > PART:
+            crossed(part, flat[span], g["Um"][i])
+        else:
+            np.dot(part.T, flat[span], out=g["Um"][i])
         np.dot(ones[: len(part)], part, out=g["bm"][i])
         np.dot(part, p["Um"][i], out=back[span])
-    df[order] += back
-    dh = df
-    if len(cell) < len(h):
-        dh = np.zeros_like(h)
-        dh[cell] = df
-    np.matmul(r.T, dh, out=g["W2"])
-    dz = dh @ p["W2"].T
+    df += back
+    dh = np.empty_like(h) if len(cell) == len(h) else np.zeros_like(h)
+    dh[cell] = df
+    crossed(r, dh, g["W2"])
+    dz = times(dh, turned(p["W2"]))
     dz *= r > 0
-    np.matmul(h1.T, dz, out=g["W1"])
+    crossed(h1, dz, g["W1"])
     np.matmul(ones, dz, out=g["b1"])
-    dh1 = dz @ p["W1"].T
+    dh1 = times(dz, turned(p["W1"]))
     dh1 += dh
-    np.matmul(o.T, dh1, out=g["Wo"])
-    do = dh1 @ p["Wo"].T
+    crossed(o, dh1, g["Wo"])
+    do = times(dh1, turned(p["Wo"]))
     # A row's sum of weights times their gradients is its value times the value's gradient.
     own = ((do * o) @ np.ones(d, kind)).reshape(b, w, 1)
     do = do.reshape(b, w, d)
     ds = np.matmul(do, v.transpose(0, 2, 1))
     ds -= own
     ds *= a
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)], -1).reshape(-1, 3 * d)
-    np.matmul(x.T, dqkv, out=g["Wqkv"])
+    dqkv = np.empty_like(qkv)
+    np.matmul(ds, k, out=dqkv[..., :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), do, out=dqkv[..., 2 * d :])
+    dqkv = dqkv.reshape(-1, 3 * d)
+    crossed(x, dqkv, g["Wqkv"])
     g["Wqkv"][:, :d] /= math.sqrt(d)
-    dx = dqkv @ weights.T
+    dx = times(dqkv, turned(weights))
     dx += dh1
     np.matmul(ones[:b], dx.reshape(b, w * d), out=g["P"].reshape(-1))
-    entry = inputs.ravel().astype(np.int16)
-    order = np.argsort(entry, kind="stable")
-    entry = entry[order]
-    first = np.concatenate([[0], np.flatnonzero(entry[1:] != entry[:-1]) + 1])
-    g["E"][entry[first]] = np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
-    return float(loss) / n, g
+    numbers = np.arange(g["E"].size).reshape(-1, d)
+    np.add.at(g["E"].reshape(-1), np.take(numbers, inputs.ravel(), axis=0).ravel(), dx.ravel())
+    return (loss + more) / n, g
+
+
+def errors(x: np.ndarray, goal: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """A n-th of the probabilities that scores give, less one at the goals (cells of the flat array), and the goals' loss."""
+    x, total = exponentials(x)
+    flat = x.reshape(-1)
+    total = 1 / total
+    found = np.take(flat, goal) * total
+    total /= n
+    x *= total[:, None]
+    flat[goal] = (found - 1) / n
+    found += 1e-20
+    return x, -float(np.log(found).sum())
+
+
+def keep_memory() -> None:
+    """Have the C library keep freed memory of this process, as it does once an array of this size has been freed. Otherwise
+    every step gives its arrays back and fetches them again page by page, a quarter of its time. The array takes no memory,
+    since nothing is written to it."""
+    np.empty(KEPT_BYTES // 2, np.uint8)
 
 
 def train(p: Params, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tuple[Params, float]:
     """One pass of Adam over a stream of blocks of windows (inputs, goals, and 1 where the goal counts); returns also the
     number of goals."""
+    keep_memory()
     at_p = packed(p).astype(np.float32)
     m, v, at_g, step_of = (np.zeros_like(at_p) for _ in range(4))
     p, g = views(at_p), views(at_g)
@@ -231,17 +277,17 @@ def train(p: Params, blocks: Iterable[np.ndarray], rate: float, seed: int) -> tu
             part = block[order[at : at + BATCH]].astype(np.int64)
             at_g[:] = 0
             gradients(p, part[:, 0], part[:, 1], part[:, 2] > 0, g)
+            # The means up to factors, which the step makes good.
             m *= 0.9
-            m += np.multiply(at_g, 0.1, out=step_of)
+            m += at_g
+            at_g *= at_g
             v *= 0.999
-            np.multiply(at_g, at_g, out=step_of)
-            step_of *= 0.001
-            v += step_of
+            v += at_g
+            size = math.sqrt((1 - 0.999**step) / 0.001)
             np.sqrt(v, out=step_of)
-            step_of *= 1 / math.sqrt(1 - 0.999**step)
-            step_of += 1e-7
+            step_of += 1e-7 * size
             np.divide(m, step_of, out=step_of)
-            step_of *= rate / (1 - 0.9**step)
+            step_of *= rate * 0.1 * size / (1 - 0.9**step)
             at_p -= step_of
     return p, weight
 
@@ -277,15 +323,14 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
     d = WIDTH
     # One layer: what a token and a place send into attention are rows of small tables.
     weights = scaled(p)
-    (own_table, own_places), (sent_table, sent_places) = (
-        [np.hstack([p[k] @ weights[:, :d], p[k]]) for k in ("E", "P")],
-        [p[k] @ weights[:, d:] for k in ("E", "P")],
-    )
+    own_table, own_places = (np.hstack([p[k] @ weights[:, :d], p[k]]) for k in ("E", "P"))
+    sent_table, sent_places = (np.hstack([p[k] @ weights[:, d : 2 * d], p[k] @ (weights[:, 2 * d :] @ p["Wo"])]) for k in ("E", "P"))
     joined = joined.astype(np.int32)
+    to_class, members = np.ascontiguousarray(p["Uc"].T), np.ascontiguousarray(p["Um"].transpose(0, 2, 1))
     # Later windows score no token of their first places, which then need not attend.
     for skip, group in ((0, np.flatnonzero(number == 0)), (WINDOW - STRIDE, np.flatnonzero(number))):
         place = np.arange(skip, WINDOW)
-        open_cells = np.tril(np.ones((WINDOW, WINDOW), p["E"].dtype))[skip:]
+        open_cells = np.tri(WINDOW, dtype=p["E"].dtype)[skip:]
         for at in range(0, len(group), 256):
             hidden, goals, owners = [], [], []
             for part in range(at, min(at + 256, len(group)), 64):  # few windows at a time: their scores stay in the cache
@@ -301,30 +346,30 @@ def token_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
                 # The end entry stands in for the goal of another sequence's cells; ``real`` leaves those out.
                 real = num[:, None] * STRIDE + place < lengths[own][:, None]
                 cell = np.flatnonzero(real)
-                h = own_rows[..., d:].reshape(-1, d) + o.reshape(-1, d) @ p["Wo"]
+                o += own_rows[..., d:]
+                h = o.reshape(-1, d)
                 hidden.append(h if len(cell) == len(h) else np.take(h, cell, axis=0))
                 goals.append(joined[cells[:, skip:].ravel()[cell] + 1])
                 owners.append(own[cell // len(place)])
-            h, goal = np.concatenate(hidden), np.concatenate(goals).astype(np.int64)
-            z = h @ p["W1"]
+            goal = np.concatenate(goals)
+            order, spans = by_class(goal // MEMBERS)
+            h, goal = np.take(np.concatenate(hidden), order, axis=0), goal[order].astype(np.int64)
+            z = times(h, p["W1"])
             z += p["b1"]
-            h += np.maximum(z, 0, out=z) @ p["W2"]
-            c, m = goal // MEMBERS, goal % MEMBERS
-            rows = np.arange(len(goal))
-            lc = h @ p["Uc"].T
+            h += times(np.maximum(z, 0, out=z), p["W2"])
+            c = goal // MEMBERS
+            first = np.arange(len(goal))
+            lc = times(h, to_class)
             lc += p["bc"]
-            logp = lc[rows, c]
+            logp = np.take(lc, first * CLASSES + c)
             logp -= log_sum(lc)
-            order, spans = by_class(c)
-            h, m = np.take(h, order, axis=0), m[order]
             lm = np.empty((len(goal), MEMBERS), h.dtype)
             for i, span in spans:
-                np.dot(h[span], p["Um"][i].T, out=lm[span])
-            lm += np.take(p["bm"], c[order], axis=0)
-            picked = lm[rows, m]
-            picked -= log_sum(lm)
-            logp[order] += picked
-            totals += np.bincount(np.concatenate(owners), logp, minlength=len(totals))
+                np.dot(h[span], members[i], out=lm[span])
+            lm += np.take(p["bm"], c, axis=0)
+            logp += np.take(lm, first * MEMBERS + goal % MEMBERS)
+            logp -= log_sum(lm)
+            totals += np.bincount(np.concatenate(owners)[order], logp, minlength=len(totals))
     return totals
 
 
@@ -369,23 +414,30 @@ def coded(docs: DataFrame, tokenizer: str) -> DataFrame:
         return durable(done.withColumn("row", F.monotonically_increasing_id()))
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words of texts without nulls, A-Z in lower case, as UTF-8, and each word's text. Arrow's ASCII blanks are these six."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))
+    words = split.flatten()
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)  # blanks at the ends of a text leave empty ones
+    return owner[real.to_numpy(zero_copy_only=False)], words.filter(real).cast(pa.large_binary()).cast(pa.binary())
+
+
 def word_counts(learning: DataFrame) -> DataFrame:
     """(word, c) over all learning texts; counted in the tasks before the shuffle. The end of each text counts as a word."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-
-        for batch in remade(batches, 256):
-            for text in batch.column(0).to_pylist():
-                seen.update(word_bytes(text))
-                seen[END_WORD] += 1
+        schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+        seen = schema.empty_table()
+        for batch in batches:
+            words, counts = words_in(batch.column(0))[1].value_counts().flatten()
+            ends = pa.table([pa.array([END_WORD], pa.binary()), pa.array([batch.num_rows], pa.int64())], schema)
+            seen = pa.concat_tables([seen, pa.table([words, counts], schema), ends])
+            seen = seen.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(schema.names)
             if len(seen) > MAX_COUNTED:
-                yield flush()
-                seen.clear()
-        yield flush()
+                yield from seen.to_batches()
+                seen = schema.empty_table()
+        yield from seen.to_batches()
 
     return learning.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -413,29 +465,41 @@ def id_counts(learning: DataFrame) -> tuple[np.ndarray, int]:
     return counts, n_docs
 
 
-def draws(row: int, n: int) -> np.ndarray:
-    """Numbers in [0, 1) of the first ``n`` windows of a row, spread evenly; 64-bit arithmetic that wraps, for any row number."""
-    mixed = np.full(n, row, np.int64).astype(np.uint64) * np.uint64(1_000_003) + np.arange(n, dtype=np.uint64)
+def draws(rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) of windows by their rows and places there, spread evenly; 64-bit arithmetic that wraps, for any row."""
+    mixed = rows.astype(np.uint64) * np.uint64(1_000_003) + numbers.astype(np.uint64)
     return (mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) / 65_536
 
 
 def windows_of(batches: Iterable[pa.RecordBatch], entry_of: np.ndarray, turn: int, share: float) -> Iterator[np.ndarray]:
     """Blocks of the windows of (row, ids) that a round takes: inputs, goals and whether a goal counts, as entries."""
     kept, held = [], 0
-    for batch in batches:
-        for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = len(ids) // 4 + 1
-            windows = np.arange(-(-n // WINDOW))
-            chosen = windows[((draws(row, len(windows)) + turn / ROUNDS) % 1.0) < share]
-            line = np.zeros(len(windows) * WINDOW + 1, np.int16)
-            line[1:n] = entry_of[np.minimum(np.frombuffer(ids, "<u4"), len(entry_of) - 1)]
-            for at in range(0, len(chosen), HELD_WINDOWS):  # a long text has many blocks
-                cells = chosen[at : at + HELD_WINDOWS, None] * WINDOW + np.arange(WINDOW)
-                kept.append(np.stack([line[cells], line[cells + 1], cells < n], 1).astype(np.int16))
-                held += len(cells)
-                if held >= HELD_WINDOWS:
-                    yield np.concatenate(kept)
-                    kept, held = [], 0
+    entry_of = entry_of.astype(np.int16)
+    gap = bytes(4 * (WINDOW + 1))
+    for batch in remade(batches, 256):
+        ids = batch.column(1).to_pylist()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # Windows, with the entry before the first goal, lie within their text and the gaps around it.
+        flat = np.frombuffer(gap + gap.join(ids) + gap, "<u4")
+        lines = np.lib.stride_tricks.sliding_window_view(flat, WINDOW + 1)
+        base = np.cumsum(sizes + WINDOW + 1) - sizes
+        n_windows = sizes // WINDOW + 1
+        owner = np.repeat(np.arange(len(ids)), n_windows)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        drawn = draws(batch.column(0).to_numpy()[owner], number)
+        chosen = np.flatnonzero((drawn + turn / ROUNDS) % 1.0 < share)
+        for at in range(0, len(chosen), HELD_WINDOWS):  # a long text has many blocks
+            part = chosen[at : at + HELD_WINDOWS]
+            own = owner[part]
+            size = sizes[own][:, None]
+            place = number[part][:, None] * WINDOW + np.arange(-1, WINDOW)
+            line = np.take(entry_of, np.minimum(lines[base[own] + place[:, 0]], len(entry_of) - 1))
+            line *= (place >= 0) & (place < size)  # the end is entry 0
+            kept.append(np.stack([line[:, :-1], line[:, 1:], place[:, 1:] <= size], 1).astype(np.int16))
+            held += len(part)
+            if held >= HELD_WINDOWS:
+                yield np.concatenate(kept)
+                kept, held = [], 0
     if kept:
         yield np.concatenate(kept)
 
@@ -488,6 +552,20 @@ def fit(learning: DataFrame, to_entry: np.ndarray, by_entry: np.ndarray) -> Para
     return p
 
 
+def entry_scores(p: Params, ids: list[bytes], entry_of: np.ndarray, share_of: np.ndarray, unseen: float) -> np.ndarray:
+    """log10 probability of each text, given as its ids, with its end."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    ends = np.cumsum([len(x) // 4 for x in ids])
+    line = entry_of[np.minimum(flat, len(entry_of) - 1)]
+    line[flat >= len(entry_of)] = 1
+    rare = np.flatnonzero(line == 1)
+    shares = np.append(share_of, unseen)[np.minimum(flat[rare], len(share_of))]
+    extra = np.bincount(np.searchsorted(ends, rare, "right"), shares, minlength=len(ids))
+    # The closing 0 of each sequence is its end, scored as a token.
+    scores = token_scores(p, [np.append(x, 0) for x in np.split(line, ends[:-1])])
+    return (scores + extra) / math.log(10)
+
+
 def frequent(vocabulary: DataFrame, most: int = HOT_WORDS) -> DataFrame:
     """The words of the highest counts, at most ``most``: those from a count on, which a histogram of counts (in steps of a
     16th of an octave, under 1100 rows) gives."""
@@ -514,56 +592,55 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     with small_batches(spark, BATCH_BYTES):
         vocabulary = durable(word_counts(learning))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = {bytes(r["word"]): r["c"] for r in frequent(vocabulary).collect()}
+    hot = frequent(vocabulary).collect()
     below = math.log10(n + ADD * (v + 1))
     with small_batches(spark, BATCH_BYTES):
         counts, n_docs = id_counts(learning)
         to_entry, by_entry, share = entries(counts, n_docs)
         params = fit(learning, to_entry, by_entry)
-    shared = spark.sparkContext.broadcast((packed(params), to_entry, share, {w: math.log10(c + ADD) - below for w, c in hot.items()}))
+    shared = spark.sparkContext.broadcast((packed(params), to_entry, share, pa.array([r["word"] for r in hot], pa.binary()), np.array([math.log10(r["c"] + ADD) - below for r in hot])))
     kind = docs.schema["doc_id"].dataType
     unseen = float(np.log(0.5 / max((counts[to_entry == 1] + 0.5).sum(), 0.5)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo_tokenizer.cache_clear()
-        flat, entry_of, share_of, known = shared.value
+        keep_memory()
+        flat, entry_of, share_of, hot_words, hot_scores = shared.value
         p = unpacked(flat)
-        for batch in remade(batches, 64):
+        end = pc.index_in(pa.array([END_WORD], pa.binary()), hot_words)[0].as_py()
+        for batch in batches:
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            rows = columns["row"].to_pylist()
-            sequences, extra = [], []
-            for ids in columns["ids"].to_pylist():
-                a = np.frombuffer(ids, "<u4").astype(np.int64)
-                new = a >= len(entry_of)
-                a = np.minimum(a, len(entry_of) - 1)
-                sequences.append(np.append(np.where(new, 1, entry_of[a]), 0))
-                extra.append(float(np.where(new, unseen, share_of[a]).sum()))
-            # The closing 0 of each sequence is its end, scored as a token.
-            scores = (token_scores(p, sequences) + np.array(extra)) / math.log(10)
-            n_tokens, n_known, base, rare = [], [], [], []
-            for row, text in zip(rows, columns["text"].to_pylist()):
-                words = word_bytes(text)
-                words.append(END_WORD)
-                found = list(map(known.get, words))
-                missing = [w for w, x in zip(words, found) if x is None]
-                n_tokens.append(len(words))
-                n_known.append(len(words) - len(missing))
-                base.append(math.fsum(x for x in found if x is not None))
-                rare += [(row, w, k) for w, k in Counter(missing).items()]
-            n_rare, n_rows = len(rare), len(rows)
-            r, w, k = zip(*rare) if rare else ((), (), ())
+            rows = columns["row"].to_numpy()
+            scores = [entry_scores(p, part.column(0).to_pylist(), entry_of, share_of, unseen) for part in remade([batch.select(["ids"])], 64)]
+            owner, words = words_in(columns["text"])
+            n_tokens = np.bincount(owner, minlength=len(rows)) + 1
+            place = pc.index_in(words, hot_words)
+            missing = place.is_null().to_numpy(zero_copy_only=False)
+            found = hot_scores[place.drop_null().to_numpy()].tolist()
+            ends = np.cumsum(np.bincount(owner[~missing], minlength=len(rows))).tolist()
+            last = [] if end is None else [hot_scores[end]]
+            base = [math.fsum(found[a:b] + last) for a, b in zip([0, *ends], ends)]
+            n_known = np.diff(ends, prepend=0) + len(last)
+            # Each other word once a text, with its count there; so the end, should it not be among the frequent ones.
+            rest, own = words.filter(pa.array(missing)), owner[missing]
+            if end is None:
+                rest, own = pa.concat_arrays([rest, pa.array([END_WORD] * len(rows), pa.binary())]), np.append(own, np.arange(len(rows)))
+            rest = rest.dictionary_encode()
+            each, k = np.unique(own * max(len(rest.dictionary), 1) + rest.indices.to_numpy(), return_counts=True)
+            r, w = np.divmod(each, max(len(rest.dictionary), 1))
+            n_rare, n_rows = len(each), len(rows)
             null = lambda kind, m: pa.nulls(m, kind)
             both = lambda a, b: pa.concat_arrays([a, b])
             yield pa.RecordBatch.from_arrays(
                 [
-                    both(columns["row"], pa.array(r, pa.int64())),
+                    both(columns["row"], pa.array(rows[r], pa.int64())),
                     both(columns["doc_id"], null(columns["doc_id"].type, n_rare)),
                     both(columns["held_out"], null(pa.bool_(), n_rare)),
                     both(pa.array(n_tokens, pa.int64()), pa.array(k, pa.int64())),
                     both(pa.array(n_known, pa.int64()), null(pa.int64(), n_rare)),
                     both(pa.array(base, pa.float64()), null(pa.float64(), n_rare)),
-                    both(pa.array(scores, pa.float64()), null(pa.float64(), n_rare)),
-                    both(null(pa.binary(), n_rows), pa.array(w, pa.binary())),
+                    both(pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64()), null(pa.float64(), n_rare)),
+                    both(null(pa.binary(), n_rows), rest.dictionary.take(pa.array(w))),
                 ],
                 names=["row", "doc_id", "held_out", "n", "known", "base", "score", "word"],
             )

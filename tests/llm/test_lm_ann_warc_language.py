@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark import RDD
@@ -18,7 +22,7 @@ from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from gleaner.llm import ann, language, lm_scoring, warc
-from gleaner.llm.common import tokenizer_path
+from gleaner.llm.common import tokenizer_path, word_bytes
 from gleaner.llm.queries import QUERIES, SQL
 from gleaner.session import shared_folder
 
@@ -184,6 +188,67 @@ def test_training_takes_one_python_process_a_task(spark, monkeypatch):
     assert any((params[k] != v).any() for k, v in lm_scoring.start(by_entry).items())
 
 
+def test_steps_reuse_memory():
+    """In a process of its own, as freeing large arrays changes what the C library keeps."""
+    code = """if True:
+        import resource
+        import numpy as np
+        from gleaner.llm import lm_scoring
+        p = lm_scoring.start(np.ones(lm_scoring.CLASSES * lm_scoring.MEMBERS))
+        rng = np.random.default_rng(0)
+        blocks = [np.stack([*(rng.integers(0, 1024, (10 * lm_scoring.BATCH, lm_scoring.WINDOW)) for _ in range(2)), np.ones((10 * lm_scoring.BATCH, lm_scoring.WINDOW))], 1).astype(np.int16) for _ in range(3)]
+        def watched():
+            yield blocks[0]
+            before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+            yield blocks[1]
+            print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 10)
+        lm_scoring.train(p, watched(), 0.01, 1)
+    """
+    env = os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(sys.path)}
+    faults = float(subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, check=True, text=True).stdout)
+    assert faults < 100  # pages a step
+
+
+@pytest.mark.parametrize("rows", [0, 1, 511, 512, 513, 1500])
+def test_products_in_parts(rows):
+    rng = np.random.default_rng(rows)
+    x, y, w = (rng.standard_normal(s) for s in ((rows, 5), (rows, 3), (5, 4)))
+    out = np.full((5, 3), 7.0)
+    lm_scoring.crossed(x, y, out)
+    assert lm_scoring.times(x, w) == pytest.approx(x @ w) and out == pytest.approx(x.T @ y)
+
+
+def test_windows_are_those_of_each_text(monkeypatch):
+    rng = np.random.default_rng(3)
+    entry_of = rng.integers(0, 1024, 1300)
+    ids = [rng.integers(0, 1500, n).astype("<u4") for n in (0, 1, 30, 31, 32, 33, 64, 0, 5000)]
+    rows = np.array([5, -3, 2**62, 1 << 33, 4, 5, 6, 7, 8])
+    batch = pa.record_batch([pa.array(rows), pa.array([x.tobytes() for x in ids], pa.binary())], names=["row", "ids"])
+    w = lm_scoring.WINDOW
+    for held, turn, share in ((8192, 0, 1.0), (40, 1, 0.5), (8192, 3, 0.25)):
+        monkeypatch.setattr(lm_scoring, "HELD_WINDOWS", held)
+        want = []
+        for row, x in zip(rows, ids):
+            line = np.concatenate([[0], entry_of[np.minimum(x, 1299)], np.zeros(w, int)])
+            for number in range(-(-(len(x) + 1) // w)):
+                mixed = (int(row) * 1_000_003 + number) * 0x9E3779B97F4A7C15 % 2**64
+                if ((mixed >> 48) / 65_536 + turn / lm_scoring.ROUNDS) % 1.0 < share:
+                    cells = number * w + np.arange(w)
+                    want.append([line[cells], [line[c + 1] if c < len(x) else 0 for c in cells], cells <= len(x)])
+        got = list(lm_scoring.windows_of([batch], entry_of, turn, share))
+        assert np.concatenate(got).dtype == np.int16 and (np.concatenate(got) == np.array(want, int)).all()
+
+
+def test_words_by_column():
+    texts = ["", " ", "Ab c\x0b\x0cAB\r\n\td ", "\x1c\x1d x\x85y\xa0Z\u2003Ä", "\u0130 K", "a" * 5000, "x\0Y z"]
+    owner, words = lm_scoring.words_in(pa.array(texts))
+    want = [(i, w) for i, text in enumerate(texts) for w in word_bytes(text)]
+    assert list(zip(owner.tolist(), words.to_pylist())) == want and words.type == pa.binary()
+    owner, words = lm_scoring.words_in(pa.array(texts).slice(2, 2))
+    assert list(zip((owner + 2).tolist(), words.to_pylist())) == [x for x in want if x[0] in (2, 3)]
+    assert len(lm_scoring.words_in(pa.array([], pa.string()))[1]) == 0
+
+
 @pytest.mark.parametrize("tasks", [1, 2, 11])
 def test_means_of_tasks(spark, tasks):
     values = np.random.default_rng(0).standard_normal((20, 50))
