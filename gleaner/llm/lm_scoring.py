@@ -488,18 +488,25 @@ def windows_of(batches: Iterable[pa.RecordBatch], entry_of: np.ndarray, turn: in
         number = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         drawn = draws(batch.column(0).to_numpy()[owner], number)
         chosen = np.flatnonzero((drawn + turn / ROUNDS) % 1.0 < share)
-        for at in range(0, len(chosen), HELD_WINDOWS):  # a long text has many blocks
-            part = chosen[at : at + HELD_WINDOWS]
+
+        def gathered(part: np.ndarray) -> np.ndarray:
             own = owner[part]
             size = sizes[own][:, None]
             place = number[part][:, None] * WINDOW + np.arange(-1, WINDOW)
             line = np.take(entry_of, np.minimum(lines[base[own] + place[:, 0]], len(entry_of) - 1))
             line *= (place >= 0) & (place < size)  # the end is entry 0
-            kept.append(np.stack([line[:, :-1], line[:, 1:], place[:, 1:] <= size], 1).astype(np.int16))
-            held += len(part)
-            if held >= HELD_WINDOWS:
-                yield np.concatenate(kept)
-                kept, held = [], 0
+            return np.stack([line[:, :-1], line[:, 1:], place[:, 1:] <= size], 1).astype(np.int16)
+
+        done = end = 0
+        for n in np.bincount(owner[chosen], minlength=len(ids)).tolist():
+            for at in range(0, n, HELD_WINDOWS):  # a long text has many blocks
+                size = min(n - at, HELD_WINDOWS)
+                end, held = end + size, held + size
+                if held >= HELD_WINDOWS:
+                    yield np.concatenate([*kept, gathered(chosen[done:end])])
+                    kept, held, done = [], 0, end
+        if done < end:
+            kept.append(gathered(chosen[done:]))
     if kept:
         yield np.concatenate(kept)
 

@@ -227,16 +227,22 @@ def test_windows_are_those_of_each_text(monkeypatch):
     w = lm_scoring.WINDOW
     for held, turn, share in ((8192, 0, 1.0), (40, 1, 0.5), (8192, 3, 0.25)):
         monkeypatch.setattr(lm_scoring, "HELD_WINDOWS", held)
-        want = []
+        want = [[]]  # blocks: a text, or a part of a long one, ends a block that it fills
         for row, x in zip(rows, ids):
             line = np.concatenate([[0], entry_of[np.minimum(x, 1299)], np.zeros(w, int)])
+            own = []
             for number in range(-(-(len(x) + 1) // w)):
                 mixed = (int(row) * 1_000_003 + number) * 0x9E3779B97F4A7C15 % 2**64
                 if ((mixed >> 48) / 65_536 + turn / lm_scoring.ROUNDS) % 1.0 < share:
                     cells = number * w + np.arange(w)
-                    want.append([line[cells], [line[c + 1] if c < len(x) else 0 for c in cells], cells <= len(x)])
+                    own.append([line[cells], [line[c + 1] if c < len(x) else 0 for c in cells], cells <= len(x)])
+            for at in range(0, len(own), held):
+                want[-1] += own[at : at + held]
+                if len(want[-1]) >= held:
+                    want.append([])
+        want = [np.array(block, int) for block in want if block]
         got = list(lm_scoring.windows_of([batch], entry_of, turn, share))
-        assert np.concatenate(got).dtype == np.int16 and (np.concatenate(got) == np.array(want, int)).all()
+        assert len(got) == len(want) and all(a.dtype == np.int16 and np.array_equal(a, b) for a, b in zip(got, want))
 
 
 def test_words_by_column():
