@@ -255,7 +255,7 @@ def errors(x: np.ndarray, goal: np.ndarray, n: int) -> tuple[np.ndarray, float]:
 
 def keep_memory() -> None:
     """Have the C library keep freed memory of this process, as it does once an array of this size has been freed. Otherwise
-    every step gives its arrays back and fetches them again page by page, a quarter of its time. The array takes no memory,
+    every step gives its arrays back and fetches them again page by page, a fifth of its time. The array takes no memory,
     since nothing is written to it."""
     np.empty(KEPT_BYTES // 2, np.uint8)
 
